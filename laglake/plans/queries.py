@@ -190,3 +190,136 @@ def flagship(spark, sf):
 
 
 register("flagship_split", ENTRY_SQL)(flagship)
+
+
+# ---------------------------------------------------------------- cleaning
+from laglake.operators.prepare import dedupe_key, prepare, shrink_plan, strip_time  # noqa: E402
+from laglake.operators.grid import fill_gaps  # noqa: E402
+from laglake.spec import DatasetSpec, StripTime  # noqa: E402
+
+EVENTS_SPEC = DatasetSpec(path="", target=("value",), date="ts", features=("user_id",), segment="event_type",
+                          granularity=60, name="events")
+
+
+@register("prepare", "SELECT ts, event_type, user_id, round(value, 6) AS value FROM ("
+          "SELECT *, row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id, user_id, value, props) AS rk "
+          "FROM events WHERE event_id IS NOT NULL AND ts IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL "
+          "AND value IS NOT NULL AND props IS NOT NULL) WHERE rk = 1")
+def q_prepare(spark, sf):
+    out = prepare(V.table(spark, sf, "events"), EVENTS_SPEC, null_scope="all")
+    return out.select("ts", "event_type", "user_id", rnd("value").alias("value"))
+
+
+@register("dedupe_key", "SELECT event_type, hour, event_id, ts, user_id, round(value, 6) AS value, props FROM ("
+          "SELECT *, date_trunc('hour', ts) AS hour, row_number() OVER (PARTITION BY event_type, date_trunc('hour', ts) "
+          "ORDER BY event_id, ts, user_id, value, props) AS rk FROM events) WHERE rk = 1")
+def q_dedupe_key(spark, sf):
+    from laglake.functions.timecols import floor_to_step
+    ev = V.table(spark, sf, "events").withColumn("hour", floor_to_step("ts", 60))
+    out = dedupe_key(ev, ["event_type", "hour"], order_cols=["event_id", "ts", "user_id", "value", "props"])
+    return out.select("event_type", "hour", "event_id", "ts", "user_id", rnd("value").alias("value"), "props")
+
+
+STRIP_DATE = StripTime("%Y-%m-%d", (2024, 1, 5), (2024, 1, 20))
+STRIP_TOD = StripTime("%H:%M", (8, 0), (17, 30))
+
+
+@register("strip_time_date", "SELECT event_id, ts, event_type, round(value, 6) AS value FROM events "
+          "WHERE strftime(ts, '%Y-%m-%d') BETWEEN '2024-01-05' AND '2024-01-20'")
+def q_strip_time_date(spark, sf):
+    out = strip_time(V.table(spark, sf, "events"), "ts", STRIP_DATE)
+    return out.select("event_id", "ts", "event_type", rnd("value").alias("value"))
+
+
+@register("strip_time_of_day", "SELECT event_id, ts, event_type, round(value, 6) AS value FROM events "
+          "WHERE strftime(ts, '%H:%M') BETWEEN '08:00' AND '17:30'")
+def q_strip_time_of_day(spark, sf):
+    out = strip_time(V.table(spark, sf, "events"), "ts", STRIP_TOD)
+    return out.select("event_id", "ts", "event_type", rnd("value").alias("value"))
+
+
+def _shrink_sql(table: str, cols) -> str:
+    parts = []
+    for c, kind in cols:
+        if kind == "string":
+            parts.append(f"SELECT '{c}' AS column_name, 'string' AS kind, CAST(NULL AS DOUBLE) AS min_value, "
+                         f"CAST(NULL AS DOUBLE) AS max_value, 'string' AS to_type")
+            continue
+        mn, mx = f"CAST(min({c}) AS DOUBLE)", f"CAST(max({c}) AS DOUBLE)"
+        if kind == "int":
+            to = (f"CASE WHEN {mn} > -128 AND {mx} < 127 THEN 'int8' WHEN {mn} > -32768 AND {mx} < 32767 THEN 'int16' "
+                  f"WHEN {mn} > -2147483648 AND {mx} < 2147483647 THEN 'int32' ELSE 'int64' END")
+        else:
+            to = f"CASE WHEN {mn} > -3.4028234663852886e38 AND {mx} < 3.4028234663852886e38 THEN 'float32' ELSE 'float64' END"
+        parts.append(f"SELECT '{c}' AS column_name, '{kind}' AS kind, {mn} AS min_value, {mx} AS max_value, {to} AS to_type "
+                     f"FROM {table}")
+    return " UNION ALL ".join(parts)
+
+
+@register("shrink_types", _shrink_sql("lineitem", [
+    ("l_orderkey", "int"), ("l_partkey", "int"), ("l_suppkey", "int"), ("l_linenumber", "int"),
+    ("l_quantity", "float"), ("l_extendedprice", "float"), ("l_discount", "float"), ("l_tax", "float"),
+    ("l_returnflag", "string"), ("l_linestatus", "string")]))
+def q_shrink_types(spark, sf):
+    return shrink_plan(V.table(spark, sf, "lineitem"))
+
+
+H5_GRID_SQL = (", g AS (SELECT segment, UNNEST(generate_series(min(ts), max(ts), INTERVAL 60 MINUTE)) AS ts FROM H5 GROUP BY 1), "
+               "dd AS (SELECT coalesce(H5.segment, g.segment) AS segment, coalesce(H5.ts, g.ts) AS ts, H5.value "
+               "FROM H5 FULL OUTER JOIN g ON H5.segment = g.segment AND H5.ts = g.ts) ")
+
+
+def h5_dense(spark, sf):
+    return fill_date(V.h5(spark, sf), "segment", "ts", 60)
+
+
+@register("fill_date", with_views(H5_GRID_SQL + "SELECT segment, ts, round(value, 6) AS value FROM dd", "H5"))
+def q_fill_date(spark, sf):
+    return h5_dense(spark, sf).select("segment", "ts", rnd("value").alias("value"))
+
+
+FILL_CHUNK_MINUTES = 3 * 1440   # small chunks so the cross-chunk carry is exercised
+
+
+@register("fill_forward", with_views(H5_GRID_SQL + "SELECT segment, ts, round(last_value(value IGNORE NULLS) OVER ("
+                                     "PARTITION BY segment ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) "
+                                     "AS value FROM dd", "H5"))
+def q_fill_forward(spark, sf):
+    out = fill_gaps(h5_dense(spark, sf), "segment", "ts", ["value"], "forward", chunk_minutes=FILL_CHUNK_MINUTES)
+    return out.select("segment", "ts", rnd("value").alias("value"))
+
+
+@register("fill_backward", with_views(H5_GRID_SQL + "SELECT segment, ts, round(first_value(value IGNORE NULLS) OVER ("
+                                      "PARTITION BY segment ORDER BY ts ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 6) "
+                                      "AS value FROM dd", "H5"))
+def q_fill_backward(spark, sf):
+    out = fill_gaps(h5_dense(spark, sf), "segment", "ts", ["value"], "backward", chunk_minutes=FILL_CHUNK_MINUTES)
+    return out.select("segment", "ts", rnd("value").alias("value"))
+
+
+@register("fill_stat", with_views(H5_GRID_SQL + "SELECT segment, ts, round(coalesce(value, avg(value) OVER "
+                                  "(PARTITION BY segment)), 6) AS value_mean, round(coalesce(value, min(value) OVER "
+                                  "(PARTITION BY segment)), 6) AS value_min, round(coalesce(value, max(value) OVER "
+                                  "(PARTITION BY segment)), 6) AS value_max FROM dd", "H5"))
+def q_fill_stat(spark, sf):
+    d = h5_dense(spark, sf).withColumn("value_mean", F.col("value")).withColumn("value_min", F.col("value")) \
+        .withColumn("value_max", F.col("value")).drop("value")
+    d = fill_gaps(d, "segment", "ts", ["value_mean"], "mean")
+    d = fill_gaps(d, "segment", "ts", ["value_min"], "min")
+    d = fill_gaps(d, "segment", "ts", ["value_max"], "max")
+    return d.select("segment", "ts", *[rnd(c).alias(c) for c in ("value_mean", "value_min", "value_max")])
+
+
+# ---------------------------------------------------------------- sources
+from laglake.session import scratch_path  # noqa: E402
+from laglake.sources.csv_scan import read_series, write_series_csv  # noqa: E402
+
+
+@register("csv_scan", with_views("SELECT segment, ts, round(qty, 6) AS qty FROM D6", "D6"))
+def q_csv_scan(spark, sf):
+    """D6 written by Spark as many CSV files, discovered recursively, inferred and prepared."""
+    path = scratch_path(spark, "csv_scan")
+    write_series_csv(V.d6(spark, sf).repartition(4, "segment"), path)
+    spec = DatasetSpec(path=path, target=("qty",), date="ts", segment="segment", name="d6csv")
+    out = prepare(read_series(spark, spec), spec)
+    return out.select("segment", "ts", rnd("qty").alias("qty"))
