@@ -323,3 +323,110 @@ def q_csv_scan(spark, sf):
     spec = DatasetSpec(path=path, target=("qty",), date="ts", segment="segment", name="d6csv")
     out = prepare(read_series(spark, spec), spec)
     return out.select("segment", "ts", rnd("qty").alias("qty"))
+
+
+# ---------------------------------------------------------------- scaling
+from laglake.operators.scale import apply_scaler, fit_scaler  # noqa: E402
+
+
+def wide_train_raw(spark, sf):
+    w = make_windows(V.wide(spark, sf), "segment", "ts", ["qty"], ["qty"], D6_SPEC)
+    acc, _ = chrono_split(w, "segment", (0.7, 0.1, 0.2))
+    b = split_bounds(acc, "segment", "ts")
+    return raw_split(V.wide(spark, sf), b, "segment", "ts").where(F.col("split") == "train").drop("split")
+
+
+def d6_train_stats(spark, sf, method):
+    return fit_scaler(wide_train_raw(spark, sf).select("segment", "ts", "qty"), ["qty"], method)
+
+
+def _train_sql(view):
+    return (f", s AS ({O.split_cte(O.windows_cte(view, ['segment'], 'ts', ['qty'], ['qty'], 8, 2, 3, 1440), ['segment'], 'ts')}), "
+            "b AS (SELECT segment, max(ts) FILTER (WHERE split = 'train') AS train_max FROM s GROUP BY 1), "
+            f"tr AS (SELECT {view}.* FROM {view} JOIN b USING (segment) WHERE {view}.ts <= train_max) ")
+
+
+def _stats_sql(channels, method):
+    return (f", lg AS (UNPIVOT (SELECT {', '.join(channels)} FROM tr) ON {', '.join(channels)} INTO NAME channel VALUE value), "
+            "st AS (SELECT channel, min(value) AS min, max(value) AS max, avg(value) AS mean, median(value) AS median, "
+            "stddev_samp(value) AS std, var_samp(value) AS variance, list_sort(list(value)) AS srt, count(*) AS n FROM lg GROUP BY 1), "
+            "sq AS (SELECT *, srt[CAST(round((n - 1) * 0.25) AS BIGINT) + 1] AS quantile_25, "
+            "srt[CAST(round((n - 1) * 0.5) AS BIGINT) + 1] AS quantile_50, "
+            f"srt[CAST(round((n - 1) * 0.75) AS BIGINT) + 1] AS quantile_75, '{method}' AS method FROM st) ")
+
+
+@register("scaler_stats", with_views(
+    _train_sql("WIDE") + _stats_sql(["qty", "price", "disc"], "standard")
+    + "SELECT channel, " + ", ".join(f"round({c}, {2 if c == 'variance' else 6}) AS {c}" for c in
+                                     ("min", "max", "mean", "median", "std", "variance", "quantile_25", "quantile_50", "quantile_75"))
+    + ", round(quantile_75 - quantile_25, 6) AS iqr, method FROM sq", "WIDE"))
+def q_scaler_stats(spark, sf):
+    st = fit_scaler(wide_train_raw(spark, sf), ["qty", "price", "disc"], "standard")
+    # variance ~1e10 for prices: 2 decimals keep 12 significant digits, beyond the summation-order noise
+    return st.select("channel", *[rnd(c, 2 if c == "variance" else R).alias(c) for c in st.columns
+                                  if c not in ("channel", "method")], "method")
+
+
+def _norm_sql(expr):
+    return with_views(_train_sql("D6") + _stats_sql(["qty"], "x")
+                      + f"SELECT D6.segment, D6.ts, round({expr}, 6) AS qty FROM D6, sq", "D6")
+
+
+for _m, _e in (("minmax", "(D6.qty - sq.min) / nullif(sq.max - sq.min, 0)"),
+               ("standard", "(D6.qty - sq.mean) / nullif(sq.std, 0)"),
+               ("robust", "(D6.qty - sq.median) / ((sq.quantile_75 - sq.quantile_25) + 1e-12)")):
+    def _mk(method):
+        def q(spark, sf):
+            out = apply_scaler(V.d6(spark, sf), d6_train_stats(spark, sf, method), ["qty"], method)
+            return out.select("segment", "ts", rnd("qty").alias("qty"))
+        q.__name__ = f"q_normalize_{method}"
+        return q
+    register(f"normalize_{_m}", _norm_sql(_e))(_mk(_m))
+
+
+@register("denormalize", _norm_sql("((D6.qty - sq.median) / ((sq.quantile_75 - sq.quantile_25) + 1e-12)) * "
+                                   "(sq.quantile_75 - sq.quantile_25) + sq.median"))
+def q_denormalize(spark, sf):
+    st = d6_train_stats(spark, sf, "robust")
+    scaled = apply_scaler(V.d6(spark, sf), st, ["qty"], "robust")
+    back = apply_scaler(scaled, st, ["qty"], "robust", inverse=True)
+    return back.select("segment", "ts", rnd("qty").alias("qty"))
+
+
+# ---------------------------------------------------------------- calendar and activations
+from laglake.functions.activations import ACTIVATIONS  # noqa: E402
+from laglake.functions.calendar import cyclical_pattern, time_encode  # noqa: E402
+
+_CYC = "((hour(ts) * 60 + minute(ts)) / 5.0) / (24 * (60 / 5.0)) * 2 * pi()"
+
+
+@register("cyclical_pattern", "SELECT event_id, ts, "
+          f"round(sin({_CYC}), 6) AS hour_sin, round(cos({_CYC}), 6) AS hour_cos, "
+          "round(sin(isodow(ts) / 7.0 * 2 * pi()), 6) AS day_sin, round(cos(isodow(ts) / 7.0 * 2 * pi()), 6) AS day_cos, "
+          "round(sin(month(ts) / 12.0 * 2 * pi()), 6) AS month_sin, round(cos(month(ts) / 12.0 * 2 * pi()), 6) AS month_cos "
+          "FROM events")
+def q_cyclical_pattern(spark, sf):
+    out = cyclical_pattern(V.table(spark, sf, "events").select("event_id", "ts"), "ts", resample=5)
+    return out.select("event_id", "ts", *[rnd(c).alias(c) for c in
+                                          ("hour_sin", "hour_cos", "day_sin", "day_cos", "month_sin", "month_cos")])
+
+
+@register("time_encode", "SELECT event_id, ts, round(cos(floor(epoch(ts)) * (2 * pi() / 86400)), 6) AS day_cos, "
+          "round(sin(floor(epoch(ts)) * (2 * pi() / 86400)), 6) AS day_sin FROM events")
+def q_time_encode(spark, sf):
+    out = time_encode(V.table(spark, sf, "events").select("event_id", "ts"), "ts")
+    return out.select("event_id", "ts", *[rnd(c).alias(c) for c in out.columns if c not in ("event_id", "ts")])
+
+
+_ACT_ALIAS = {"xsinsquared": "act_xsinsquared", "xsin": "act_xsin", "snake_a.5": "act_snake_a05",
+              "snake_a1": "act_snake_a1", "snake_a5": "act_snake_a5"}
+
+
+@register("activations", "SELECT event_id, round(value + pow(sin(value), 2), 6) AS act_xsinsquared, "
+          "round(value + sin(value), 6) AS act_xsin, "
+          + ", ".join(f"round(value - cos(value * {2 * a!r}) / {2 * a!r} + {1 / (2 * a)!r}, 6) AS {n}"
+                      for a, n in ((0.5, "act_snake_a05"), (1.0, "act_snake_a1"), (5.0, "act_snake_a5")))
+          + " FROM events")
+def q_activations(spark, sf):
+    ev = V.table(spark, sf, "events")
+    return ev.select("event_id", *[rnd(fn(F.col("value"))).alias(_ACT_ALIAS[n]) for n, fn in ACTIVATIONS.items()])
