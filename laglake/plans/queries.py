@@ -430,3 +430,104 @@ _ACT_ALIAS = {"xsinsquared": "act_xsinsquared", "xsin": "act_xsin", "snake_a.5":
 def q_activations(spark, sf):
     ev = V.table(spark, sf, "events")
     return ev.select("event_id", *[rnd(fn(F.col("value"))).alias(_ACT_ALIAS[n]) for n, fn in ACTIVATIONS.items()])
+
+
+# ---------------------------------------------------------------- window transforms (sequence ops)
+from laglake.functions import sequence as S  # noqa: E402
+
+SEQ_SPEC = WindowSpec(lag=8, ahead=1, offset=1, minutes=1440)
+SEQ_K = S.decomposition_kernel(SEQ_SPEC.lag)          # 8 // 3 = 2 -> 3
+_SEQ_W = f", w AS ({O.windows_cte('D6', ['segment'], 'ts', ['qty'], ['qty'], 8, 1, 1, 1440)}) "
+
+
+def seq_windows(spark, sf):
+    return make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], SEQ_SPEC)
+
+
+def _explode_arr(df, col, extra=()):
+    return df.select("segment", "ts", *extra, F.posexplode(col).alias("pos", "value")).select(
+        "segment", "ts", *extra, F.col("pos").cast("long").alias("pos"), rnd("value").alias("value"))
+
+
+def _ma_sql(k: int, src: str = "x") -> str:
+    p = (k - 1) // 2
+    pad = f"list_concat(list_transform(range({p}), lambda i: {src}[1]), {src}, list_transform(range({p}), lambda i: {src}[-1]))"
+    return (f"list_transform(range(len({src}) + {2 * p - k + 1}), lambda i: list_sum(({pad})[i + 1:i + {k}]) / {k})")
+
+
+@register("moving_average", with_views(_SEQ_W + f", t AS (SELECT segment, ts, {_ma_sql(5)} AS a FROM w) "
+                                       "SELECT segment, ts, UNNEST(range(len(a))) AS pos, round(UNNEST(a), 6) AS value FROM t", "D6"))
+def q_moving_average(spark, sf):
+    w = seq_windows(spark, sf).select("segment", "ts", S.moving_average("x", 5).alias("a"))
+    return _explode_arr(w, "a")
+
+
+@register("decompose", with_views(_SEQ_W + f", t AS (SELECT segment, ts, x, {_ma_sql(SEQ_K)} AS tr FROM w) "
+                                  "SELECT segment, ts, UNNEST(range(len(tr))) AS pos, round(UNNEST(tr), 6) AS trend, "
+                                  "round(UNNEST(list_transform(range(len(x)), lambda i: x[i + 1] - tr[i + 1])), 6) AS seasonal "
+                                  "FROM t", "D6"))
+def q_decompose(spark, sf):
+    w = seq_windows(spark, sf).select("segment", "ts", S.decompose("x", SEQ_K).alias("d"))
+    z = w.select("segment", "ts", F.posexplode(F.arrays_zip("d.trend", "d.seasonal")).alias("pos", "z"))
+    return z.select("segment", "ts", F.col("pos").cast("long").alias("pos"), rnd("z.trend").alias("trend"),
+                    rnd("z.seasonal").alias("seasonal"))
+
+
+@register("last_value_norm", with_views(_SEQ_W + ", t AS (SELECT segment, ts, list_transform(x, lambda v: v - x[-1]) AS a, "
+                                        "list_transform(y, lambda v: v - x[-1]) AS b FROM w) "
+                                        "SELECT segment, ts, 'x' AS part, UNNEST(range(len(a))) AS pos, round(UNNEST(a), 6) AS value FROM t "
+                                        "UNION ALL SELECT segment, ts, 'y', UNNEST(range(len(b))), round(UNNEST(b), 6) FROM t", "D6"))
+def q_last_value_norm(spark, sf):
+    w = seq_windows(spark, sf)
+    w = w.select("segment", "ts", S.last_value_norm("x").alias("a"),
+                 F.transform("y", lambda v: v - F.element_at("x", -1)).alias("b"))
+    return (_explode_arr(w.select("segment", "ts", "a"), "a", ()).withColumn("part", F.lit("x"))
+            .unionByName(_explode_arr(w.select("segment", "ts", "b"), "b").withColumn("part", F.lit("y"))))
+
+
+_REVIN_SQL = (", t AS (SELECT segment, ts, x, list_avg(x) AS mean FROM w), "
+              "u AS (SELECT segment, ts, x, mean, sqrt(list_sum(list_transform(x, lambda v: (v - mean) * (v - mean))) / len(x) + 1e-5) AS std FROM t) ")
+
+
+@register("revin_norm", with_views(_SEQ_W + _REVIN_SQL + "SELECT segment, ts, round(mean, 6) AS mean, round(std, 6) AS std, "
+                                   "UNNEST(range(len(x))) AS pos, round(UNNEST(list_transform(x, lambda v: (v - mean) / std)), 6) AS value FROM u", "D6"))
+def q_revin_norm(spark, sf):
+    w = seq_windows(spark, sf).withColumn("st", S.revin_stats("x"))
+    w = w.select("segment", "ts", rnd("st.mean").alias("mean"), rnd("st.std").alias("std"),
+                 S.revin_norm("x", "st.mean", "st.std").alias("a"))
+    return _explode_arr(w, "a", ("mean", "std"))
+
+
+@register("revin_roundtrip", with_views(_SEQ_W + _REVIN_SQL + "SELECT segment, ts, UNNEST(range(len(x))) AS pos, "
+                                        "round(UNNEST(x), 6) AS value FROM u", "D6"))
+def q_revin_roundtrip(spark, sf):
+    w = seq_windows(spark, sf).withColumn("st", S.revin_stats("x"))
+    n = S.revin_norm("x", "st.mean", "st.std", weight=1.5, bias=0.25)
+    w = w.select("segment", "ts", S.revin_denorm(n, "st.mean", "st.std", weight=1.5, bias=0.25, eps=0.0).alias("a"))
+    return _explode_arr(w, "a")
+
+
+# Fixed Time2Vec weights for the oracle check (k = 2 periodic features, L = 8 steps).
+T2V_WA = [0.01, -0.02]
+T2V_BA = [[0.1 * t, -0.05 * t] for t in range(8)]
+T2V_WB = [0.5 + 0.1 * t for t in range(8)]
+T2V_BB = [0.2 * t - 0.3 for t in range(8)]
+
+
+def _t2v_sql():
+    per = []
+    for t in range(8):
+        for j in range(2):
+            per.append(f"SELECT segment, ts, CAST({t} AS BIGINT) AS step, CAST({j} AS BIGINT) AS feat, "
+                       f"round(sin(x[{t + 1}] * {T2V_WA[j]!r} + {T2V_BA[t][j]!r}), 6) AS value FROM w")
+        per.append(f"SELECT segment, ts, CAST({t} AS BIGINT), CAST(2 AS BIGINT), "
+                   f"round({T2V_WB[t]!r} * x[{t + 1}] + {T2V_BB[t]!r}, 6) FROM w")
+    return " UNION ALL ".join(per)
+
+
+@register("time2vec", with_views(_SEQ_W + _t2v_sql(), "D6"))
+def q_time2vec(spark, sf):
+    w = seq_windows(spark, sf).select("segment", "ts", S.time2vec("x", T2V_WA, T2V_BA, T2V_WB, T2V_BB).alias("f"))
+    st = w.select("segment", "ts", F.posexplode("f").alias("step", "row"))
+    return st.select("segment", "ts", F.col("step").cast("long").alias("step"), F.posexplode("row").alias("feat", "value")) \
+        .select("segment", "ts", "step", F.col("feat").cast("long").alias("feat"), rnd("value").alias("value"))
