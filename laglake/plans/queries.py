@@ -6,7 +6,7 @@ DuckDB oracle can compare values exactly."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from laglake.operators.split import chrono_split, raw_split, raw_split_single, rejected_segments, split_bounds
@@ -531,3 +531,74 @@ def q_time2vec(spark, sf):
     st = w.select("segment", "ts", F.posexplode("f").alias("step", "row"))
     return st.select("segment", "ts", F.col("step").cast("long").alias("step"), F.posexplode("row").alias("feat", "value")) \
         .select("segment", "ts", "step", F.col("feat").cast("long").alias("feat"), rnd("value").alias("value"))
+
+
+# ---------------------------------------------------------------- metrics and ensemble
+from laglake.operators import metrics as MET  # noqa: E402
+
+
+def naive_predictions(spark, sf):
+    """D6 test windows scored by two naive models: persistence (x[-1]) and window mean."""
+    t = d6_split_windows(spark, sf).where(F.col("split") == "test")
+    last = t.select("segment", "ts", "y", F.lit("last").alias("model"),
+                    F.transform("y", lambda v: F.element_at("x", -1)).alias("yhat"))
+    mean = t.select("segment", "ts", "y", F.lit("mean").alias("model"),
+                    F.transform("y", lambda v: S.array_mean("x")).alias("yhat"))
+    return MET.long_predictions(last.unionByName(mean), ["model", "segment", "ts"])
+
+
+_PRED_SQL = (f", s AS ({O.d6_split()}), t AS (SELECT segment, ts, x, y AS yy FROM s WHERE split = 'test'), "
+             "p AS (SELECT 'last' AS model, segment, ts, UNNEST(range(len(yy))) AS h, UNNEST(yy) AS y, x[-1] AS yhat FROM t "
+             "UNION ALL SELECT 'mean', segment, ts, UNNEST(range(len(yy))), UNNEST(yy), list_avg(x) FROM t) ")
+
+
+def _metric_sql(src="p"):
+    return (f", pooled AS (SELECT model, avg(abs(y - yhat)) AS mae, avg((y - yhat) * (y - yhat)) AS mse, "
+            "sqrt(avg((y - yhat) * (y - yhat))) AS rmse, avg(abs(y - yhat) / greatest(abs(y), 2.220446049250313e-16)) AS mape, "
+            "avg(CASE WHEN (abs(yhat) + abs(y)) / 2 = 0 THEN CAST('nan' AS DOUBLE) ELSE abs(yhat - y) / ((abs(yhat) + abs(y)) / 2) END) * 100 AS smape, "
+            "2 * avg(0.5 * greatest(y - yhat, 0) + 0.5 * greatest(yhat - y, 0)) / avg(abs(y)) AS nql_5, "
+            "2 * avg(0.9 * greatest(y - yhat, 0) + 0.09999999999999998 * greatest(yhat - y, 0)) / avg(abs(y)) AS nql_9 "
+            f"FROM {src} GROUP BY 1), "
+            f"r2h AS (SELECT model, h, sum((y - yhat) * (y - yhat)) AS ssr, count(y) * var_pop(y) AS sst FROM {src} GROUP BY 1, 2), "
+            "r2 AS (SELECT model, avg(CASE WHEN sst > 0 THEN 1 - ssr / sst WHEN ssr = 0 THEN 1.0 ELSE 0.0 END) AS r2 FROM r2h GROUP BY 1) ")
+
+
+_METRIC_COLS = ", ".join(f"round({m}, 6) AS {m}" for m in MET.ALL_METRICS)
+
+
+@register("metrics_all", with_views(_PRED_SQL + _metric_sql() + f"SELECT model, {_METRIC_COLS} FROM pooled JOIN r2 USING (model)", "D6"))
+def q_metrics_all(spark, sf):
+    sc = MET.score(naive_predictions(spark, sf), ["model"])
+    return sc.select("model", *[rnd(m).alias(m) for m in MET.ALL_METRICS])
+
+
+@register("metric_r2", with_views(_PRED_SQL + _metric_sql() + "SELECT model, h, round(CASE WHEN sst > 0 THEN 1 - ssr / sst "
+                                  "WHEN ssr = 0 THEN 1.0 ELSE 0.0 END, 6) AS r2 FROM r2h", "D6"))
+def q_metric_r2(spark, sf):
+    p = naive_predictions(spark, sf)
+    per = MET.r2_per_horizon(p, ["model", "h"], "y", "yhat", "h")  # h in group -> one horizon per row
+    return per.select("model", "h", rnd("r2").alias("r2"))
+
+
+@register("metric_msle", with_views(_PRED_SQL + "SELECT model, round(avg(pow(ln(1 + y) - ln(1 + yhat), 2)), 6) AS msle "
+                                    "FROM p GROUP BY 1", "D6"))
+def q_metric_msle(spark, sf):
+    sc = MET.score(naive_predictions(spark, sf), ["model"], metrics=("msle",), extra={"msle": MET.msle})
+    return sc.select("model", rnd("msle").alias("msle"))
+
+
+@register("ensemble", with_views(
+    _PRED_SQL + _metric_sql() + ", wt AS (SELECT model, r2 / sum(r2) OVER () AS weight FROM r2), "
+    "e AS (SELECT 'Ensemble' AS model, segment, ts, h, first(y) AS y, sum(weight * yhat) AS yhat FROM p JOIN wt USING (model) "
+    "GROUP BY segment, ts, h)" + _metric_sql("e").replace("pooled AS", "epooled AS").replace("r2h AS", "er2h AS")
+    .replace("FROM r2h", "FROM er2h").replace("r2 AS (", "er2 AS (")
+    + f"SELECT model, round(weight, 6) AS weight, {_METRIC_COLS} FROM pooled JOIN r2 USING (model) JOIN wt USING (model) "
+    f"UNION ALL SELECT model, 1.0 AS weight, {_METRIC_COLS} FROM epooled JOIN er2 USING (model)", "D6"))
+def q_ensemble(spark, sf):
+    p = naive_predictions(spark, sf)
+    sc = MET.score(p, ["model"])
+    w = sc.select("model", (F.col("r2") / F.sum("r2").over(Window.partitionBy())).alias("weight"))
+    e = MET.ensemble(p, sc, ["segment", "ts"])
+    esc = MET.score(e, ["model"]).withColumn("weight", F.lit(1.0))
+    base = sc.join(w, "model")
+    return base.unionByName(esc).select("model", rnd("weight").alias("weight"), *[rnd(m).alias(m) for m in MET.ALL_METRICS])
