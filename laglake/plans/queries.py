@@ -602,3 +602,133 @@ def q_ensemble(spark, sf):
     esc = MET.score(e, ["model"]).withColumn("weight", F.lit(1.0))
     base = sc.join(w, "model")
     return base.unionByName(esc).select("model", rnd("weight").alias("weight"), *[rnd(m).alias(m) for m in MET.ALL_METRICS])
+
+
+# ---------------------------------------------------------------- forecasting
+import numpy as np  # noqa: E402
+
+from laglake.operators import forecast as FC  # noqa: E402
+
+AR1_SPEC = WindowSpec(lag=1, ahead=1, offset=1, minutes=1440)
+
+
+def d1_ar1_split(spark, sf):
+    w = make_windows(V.d1(spark, sf), None, "ts", ["qty"], ["qty"], AR1_SPEC, strategy="halo")
+    acc, _ = chrono_split(w, None, (0.7, 0.1, 0.2))
+    return acc
+
+
+_AR1_SQL = (f", s AS ({O.split_cte(O.windows_cte('D1', [], 'ts', ['qty'], ['qty'], 1, 1, 1, 1440), [], 'ts')}), "
+            "tr AS (SELECT x[1] AS xv, y[1] AS yv FROM s WHERE split = 'train') ")
+
+
+@register("fit_linear_ar1", with_views(_AR1_SQL + "SELECT 'linear' AS model, CAST(0 AS BIGINT) AS h, "
+                                       "round(regr_slope(yv, xv), 6) AS slope, round(regr_intercept(yv, xv), 4) AS intercept, "
+                                       "count(*) AS n_train FROM tr", "D1"))
+def q_fit_linear_ar1(spark, sf):
+    m = FC.fit(d1_ar1_split(spark, sf), "linear", lambdas=(0.0,), L=1, A=1)
+    W = m["weights"]
+    sc = spark.createDataFrame([("linear", 0, float(W[0, 0]), float(W[1, 0]), int(round(m["n_train"])))],
+                               "model string, h long, slope double, intercept double, n_train long")
+    return sc.select("model", "h", rnd("slope").alias("slope"), rnd("intercept", 4).alias("intercept"), "n_train")
+
+
+# Literal model weights (fixed parameters of the prediction checks): L = 8 steps, A = 2 horizons.
+LIN_W = [[(t + 1) / 36.0 for t in range(8)], [(8 - t) / 36.0 for t in range(8)]]
+LIN_B = [1.5, -2.0]
+DL_WS = [[0.125] * 8, [0.1 * ((t % 3) - 1) for t in range(8)]]
+DL_WT = [[(t + 1) / 36.0 for t in range(8)], [0.125] * 8]
+
+
+def _coef(spark, model, Weff):
+    return FC.coefficient_table(spark, model, Weff)
+
+
+def _lin_matrix(ws, bs):
+    W = np.zeros((len(ws[0]) + 1, len(ws)))
+    for h, (w, b) in enumerate(zip(ws, bs)):
+        W[:-1, h] = w
+        W[-1, h] = b
+    return W
+
+
+def _pred_out(pred):
+    z = pred.select("segment", "ts", F.posexplode("yhat").alias("h", "yhat"))
+    return z.select("segment", "ts", F.col("h").cast("long").alias("h"), rnd("yhat").alias("yhat"))
+
+
+def _pred_sql(exprs):
+    parts = [f"SELECT segment, ts, CAST({h} AS BIGINT) AS h, round({e}, 6) AS yhat FROM w" for h, e in enumerate(exprs)]
+    return with_views(f", w AS ({O.windows_cte('D6', ['segment'], 'ts', ['qty'], ['qty'], 8, 2, 3, 1440)}) " + " UNION ALL ".join(parts), "D6")
+
+
+def _lit_list(v):
+    return "[" + ", ".join(repr(float(a)) for a in v) + "]"
+
+
+@register("predict_linear", _pred_sql([f"list_dot_product(x, {_lit_list(LIN_W[h])}) + {LIN_B[h]!r}" for h in range(2)]))
+def q_predict_linear(spark, sf):
+    coef = _coef(spark, "linear", FC.effective("linear", _lin_matrix(LIN_W, LIN_B), 8, 1, 2))
+    return _pred_out(FC.predict(d6_windows(spark, sf), coef))
+
+
+@register("predict_nlinear", _pred_sql([f"list_dot_product(list_transform(x, lambda v: v - x[-1]), {_lit_list(LIN_W[h])}) "
+                                        f"+ {LIN_B[h]!r} + x[-1]" for h in range(2)]))
+def q_predict_nlinear(spark, sf):
+    coef = _coef(spark, "nlinear", FC.effective("nlinear", _lin_matrix(LIN_W, LIN_B), 8, 1, 2))
+    return _pred_out(FC.predict(d6_windows(spark, sf), coef))
+
+
+def _dl_sql(h):
+    tr = _ma_sql(S.decomposition_kernel(8))
+    return (f"list_dot_product(list_transform(range(8), lambda i: x[i + 1] - ({tr})[i + 1]), {_lit_list(DL_WS[h])}) "
+            f"+ list_dot_product({tr}, {_lit_list(DL_WT[h])}) + {LIN_B[h]!r}")
+
+
+@register("predict_dlinear", _pred_sql([_dl_sql(h) for h in range(2)]))
+def q_predict_dlinear(spark, sf):
+    W = np.zeros((17, 2))
+    for h in range(2):
+        W[:8, h], W[8:16, h], W[16, h] = DL_WS[h], DL_WT[h], LIN_B[h]
+    coef = _coef(spark, "dlinear", FC.effective("dlinear", W, 8, 1, 2))
+    return _pred_out(FC.predict(d6_windows(spark, sf), coef))
+
+
+@register("predict_head", with_views(
+    f", s AS ({O.d6_split()}), w AS (SELECT * FROM s WHERE split = 'train' ORDER BY segment, ts LIMIT 500) "
+    + " UNION ALL ".join(f"SELECT segment, ts, CAST({h} AS BIGINT) AS h, round(list_dot_product(x, {_lit_list(LIN_W[h])}) "
+                         f"+ {LIN_B[h]!r}, 6) AS yhat FROM w" for h in range(2)), "D6"))
+def q_predict_head(spark, sf):
+    """Diagnostics on the first 500 train windows (ordered by segment, date); the limit is the feature."""
+    head = d6_split_windows(spark, sf).where(F.col("split") == "train").orderBy("segment", "ts").limit(500)
+    coef = _coef(spark, "linear", FC.effective("linear", _lin_matrix(LIN_W, LIN_B), 8, 1, 2))
+    return _pred_out(FC.predict(head, coef))
+
+
+LAMBDAS = (0.0, 1.0, 10.0, 100.0, 1000.0, 10000.0)
+
+
+@register("select_lambda", None)
+def q_select_lambda(spark, sf):
+    """Ridge strength per model kind chosen on validation MSE computed from the val Gram."""
+    sw = d6_split_windows(spark, sf)
+    rows = []
+    for kind in FC.KINDS:
+        m = FC.fit(sw, kind, LAMBDAS, L=8, A=2)
+        rows.append((kind, float(m["lambda"]), float(m["val_mse"]), int(round(m["n_train"]))))
+    return spark.createDataFrame(rows, "model string, lambda double, val_mse double, n_train long")
+
+
+@register("model_roundtrip", with_views(_AR1_SQL + "SELECT 'linear' AS model, CAST(0 AS BIGINT) AS h, "
+                                        "round(regr_slope(yv, xv), 6) AS slope, round(regr_intercept(yv, xv), 4) AS intercept "
+                                        "FROM tr", "D1"))
+def q_model_roundtrip(spark, sf):
+    """Fit, store the coefficient table under the shared scratch folder, load it back."""
+    m = FC.fit(d1_ar1_split(spark, sf), "linear", lambdas=(0.0,), L=1, A=1)
+    path = scratch_path(spark, "models")
+    FC.save_model(FC.coefficient_table(spark, "linear", m["weights"]), path)
+    c = FC.load_model(spark, path, "linear")
+    piv = c.groupBy("model", F.col("h").cast("long").alias("h")).agg(
+        F.max(F.when(F.col("term") == 0, F.col("coef"))).alias("slope"),
+        F.max(F.when(F.col("term") == 1, F.col("coef"))).alias("intercept"))
+    return piv.select("model", "h", rnd("slope").alias("slope"), rnd("intercept", 4).alias("intercept"))
