@@ -732,3 +732,80 @@ def q_model_roundtrip(spark, sf):
         F.max(F.when(F.col("term") == 0, F.col("coef"))).alias("slope"),
         F.max(F.when(F.col("term") == 1, F.col("coef"))).alias("intercept"))
     return piv.select("model", "h", rnd("slope").alias("slope"), rnd("intercept", 4).alias("intercept"))
+
+
+# ---------------------------------------------------------------- expansion, assembly, stores
+from laglake.operators.assemble import assemble_zero_shot, shuffle_windows  # noqa: E402
+from laglake.operators.expand import channel_catalogue, feature_combinations, univariate_unpivot  # noqa: E402
+from laglake.sources.stores import read_windows, write_windows  # noqa: E402
+
+WIDE_CH = ["qty", "price", "disc"]
+
+
+@register("univariate_unpivot", with_views("SELECT segment, channel, ts, round(value, 6) AS value FROM "
+                                           "(UNPIVOT WIDE ON qty, price, disc INTO NAME channel VALUE value)", "WIDE"))
+def q_univariate_unpivot(spark, sf):
+    u = univariate_unpivot(V.wide(spark, sf), "segment", "ts", WIDE_CH)
+    return u.select("segment", "channel", "ts", rnd("value").alias("value"))
+
+
+@register("feature_combinations", with_views(
+    ", ch AS (SELECT DISTINCT channel, CASE channel WHEN 'qty' THEN 0 WHEN 'price' THEN 1 ELSE 2 END AS pos "
+    "FROM (UNPIVOT WIDE ON qty, price, disc INTO NAME channel VALUE value)) "
+    "SELECT a.channel AS c0, b.channel AS c1 FROM ch a JOIN ch b ON b.pos > a.pos", "WIDE"))
+def q_feature_combinations(spark, sf):
+    cat = channel_catalogue(univariate_unpivot(V.wide(spark, sf), "segment", "ts", WIDE_CH), order=WIDE_CH)
+    return feature_combinations(cat, 2)
+
+
+ZS_SPEC = WindowSpec(lag=8, ahead=1, offset=1, minutes=1440)
+ZS_SPEC_H = WindowSpec(lag=8, ahead=1, offset=1, minutes=60)
+
+
+def zero_shot_windows(spark, sf):
+    h = make_windows(V.h5(spark, sf), "segment", "ts", ["value"], ["value"], ZS_SPEC_H)
+    h, _ = chrono_split(h, "segment", (0.7, 0.1, 0.2))
+    d6 = make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], ZS_SPEC)
+    d6, _ = chrono_split(d6, "segment", (0.7, 0.1, 0.2))
+    d1 = make_windows(V.d1(spark, sf), None, "ts", ["qty"], ["qty"], ZS_SPEC, strategy="halo")
+    d1, _ = chrono_split(d1, None, (0.7, 0.1, 0.2))
+    d1 = d1.withColumn("segment", F.lit("all"))
+    return assemble_zero_shot(h, {"D6": d6, "D1": d1}, target_name="H5",
+                              shapes={"H5": (8, 1, 1), "D6": (8, 1, 1), "D1": (8, 1, 1)})
+
+
+def _zs_sql():
+    h = O.split_cte(O.windows_cte("H5", ["segment"], "ts", ["value"], ["value"], 8, 1, 1, 60), ["segment"], "ts")
+    d6 = O.split_cte(O.windows_cte("D6", ["segment"], "ts", ["qty"], ["qty"], 8, 1, 1, 1440), ["segment"], "ts")
+    d1 = O.split_cte(O.windows_cte("D1", [], "ts", ["qty"], ["qty"], 8, 1, 1, 1440), [], "ts")
+    return (f", a AS (SELECT 'H5' AS dataset, segment, ts, split, x, y FROM ({h}) WHERE split = 'test' "
+            f"UNION ALL SELECT 'D6', segment, ts, split, x, y FROM ({d6}) WHERE split IN ('train', 'val') "
+            f"UNION ALL SELECT 'D1', 'all', ts, split, x, y FROM ({d1}) WHERE split IN ('train', 'val')) ")
+
+
+@register("zero_shot_assemble", with_views(
+    _zs_sql() + "SELECT dataset, segment, ts, split, UNNEST(range(len(x))) AS pos, round(UNNEST(x), 6) AS x_value, "
+    "round(y[1], 6) AS y_value FROM a", "H5", "D6", "D1"))
+def q_zero_shot_assemble(spark, sf):
+    a = zero_shot_windows(spark, sf)
+    return a.select("dataset", "segment", "ts", "split", F.posexplode("x").alias("pos", "x_value"),
+                    F.element_at("y", 1).alias("y_value")).select(
+        "dataset", "segment", "ts", "split", F.col("pos").cast("long").alias("pos"), rnd("x_value").alias("x_value"),
+        rnd("y_value").alias("y_value"))
+
+
+@register("shuffle_windows", with_views(f"SELECT segment, ts, split, round(y[1], 6) AS y0, round(x[-1], 6) AS x_last "
+                                        f"FROM ({O.d6_split()})", "D6"))
+def q_shuffle_windows(spark, sf):
+    s = shuffle_windows(d6_split_windows(spark, sf), ["segment", "ts"], seed=941)
+    return s.select("segment", "ts", "split", rnd(F.element_at("y", 1)).alias("y0"), rnd(F.element_at("x", -1)).alias("x_last"))
+
+
+@register("windows_roundtrip", with_views(f", w AS (SELECT * FROM ({O.d6_split()}) WHERE split = 'test') "
+                                          + SQL_EXPLODE_XY.format(k="segment, "), "D6"))
+def q_windows_roundtrip(spark, sf):
+    """Split windows appended to a (dataset, split)-partitioned Parquet store and read back pruned."""
+    path = scratch_path(spark, "windows")
+    write_windows(d6_split_windows(spark, sf).select("segment", "ts", "split", "x", "y"), path, dataset="D6")
+    back = read_windows(spark, path, dataset="D6", split="test")
+    return explode_xy(back, ["segment"])
