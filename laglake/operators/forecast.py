@@ -85,11 +85,17 @@ def val_mse(Sv: np.ndarray, Weff: np.ndarray, n_val: float, A: int) -> float:
     return float(np.trace(B.T @ Sv @ B) / max(n_val * A, 1.0))
 
 
-def fit(split_windows: DataFrame, kind: str = "linear", lambdas=(0.0,), L: int | None = None, F_: int = 1,
-        A: int | None = None, last_channel: int | None = None) -> dict:
+def split_grams(split_windows: DataFrame) -> dict:
+    """One data pass: train / val / test Gram matrices of the split windows."""
+    return gram_matrices(gram(split_windows, "split"))
+
+
+def fit(split_windows: DataFrame | None = None, kind: str = "linear", lambdas=(0.0,), L: int | None = None, F_: int = 1,
+        A: int | None = None, last_channel: int | None = None, mats: dict | None = None) -> dict:
     """Fit ``kind`` on the train Gram for every lambda, pick the lambda with the lowest validation
-    MSE (from the val Gram, no further data pass). Returns a dict with weights and diagnostics."""
-    mats = gram_matrices(gram(split_windows, "split"))
+    MSE (from the val Gram, no further data pass). Pass ``mats`` (``split_grams``) to fit several
+    model kinds from the same pass. Returns a dict with weights and diagnostics."""
+    mats = mats if mats is not None else split_grams(split_windows)
     S = mats["train"]
     P = S.shape[0] - 1 - A
     L = L or P // F_

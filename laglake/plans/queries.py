@@ -711,10 +711,10 @@ LAMBDAS = (0.0, 1.0, 10.0, 100.0, 1000.0, 10000.0)
 @register("select_lambda", None)
 def q_select_lambda(spark, sf):
     """Ridge strength per model kind chosen on validation MSE computed from the val Gram."""
-    sw = d6_split_windows(spark, sf)
+    mats = FC.split_grams(d6_split_windows(spark, sf))
     rows = []
     for kind in FC.KINDS:
-        m = FC.fit(sw, kind, LAMBDAS, L=8, A=2)
+        m = FC.fit(kind=kind, lambdas=LAMBDAS, L=8, A=2, mats=mats)
         rows.append((kind, float(m["lambda"]), float(m["val_mse"]), int(round(m["n_train"]))))
     return spark.createDataFrame(rows, "model string, lambda double, val_mse double, n_train long")
 
@@ -736,7 +736,7 @@ def q_model_roundtrip(spark, sf):
 
 # ---------------------------------------------------------------- expansion, assembly, stores
 from laglake.operators.assemble import assemble_zero_shot, shuffle_windows  # noqa: E402
-from laglake.operators.expand import channel_catalogue, feature_combinations, univariate_unpivot  # noqa: E402
+from laglake.operators.expand import channel_catalogue, feature_combinations, union_all, univariate_unpivot  # noqa: E402
 from laglake.sources.stores import read_windows, write_windows  # noqa: E402
 
 WIDE_CH = ["qty", "price", "disc"]
@@ -809,3 +809,54 @@ def q_windows_roundtrip(spark, sf):
     write_windows(d6_split_windows(spark, sf).select("segment", "ts", "split", "x", "y"), path, dataset="D6")
     back = read_windows(spark, path, dataset="D6", split="test")
     return explode_xy(back, ["segment"])
+
+
+# ---------------------------------------------------------------- rows-only fits (no SQL twin)
+from laglake.operators.features import t2v_revin_frame, time2vec_weights  # noqa: E402
+
+
+def scale_windows(w: DataFrame, stats: dict) -> DataFrame:
+    """Affine scaling of one-channel windows with a scaler record (x and y share the channel)."""
+    f = lambda v: (v - F.lit(stats["mean"])) / F.lit(stats["std"])
+    return w.withColumn("x", F.transform("x", f)).withColumn("y", F.transform("y", f))
+
+
+def _own_stats(spark, series, key, ts, ch, split_w):
+    b = split_bounds(split_w, key, ts)
+    tr = raw_split(series, b, key, ts).where(F.col("split") == "train")
+    return fit_scaler(tr, [ch], "standard").first().asDict()
+
+
+@register("zero_shot_eval", None)
+def q_zero_shot_eval(spark, sf):
+    """Fit on the source datasets (each scaled by its own training stats), score on the unseen
+    target's test windows with the target's scaler."""
+    h5s, d6s = V.h5(spark, sf), V.d6(spark, sf)
+    h = make_windows(h5s, "segment", "ts", ["value"], ["value"], ZS_SPEC_H)
+    h, _ = chrono_split(h, "segment", (0.7, 0.1, 0.2))
+    d6 = make_windows(d6s, "segment", "ts", ["qty"], ["qty"], ZS_SPEC)
+    d6, _ = chrono_split(d6, "segment", (0.7, 0.1, 0.2))
+    hs, ds = _own_stats(spark, h5s, "segment", "ts", "value", h), _own_stats(spark, d6s, "segment", "ts", "qty", d6)
+    a = assemble_zero_shot(scale_windows(h, hs), {"D6": scale_windows(d6, ds)}, target_name="H5")
+    mats = FC.split_grams(a.where(F.col("dataset") == "D6"))
+    rows = []
+    for kind in FC.KINDS:
+        m = FC.fit(kind=kind, lambdas=LAMBDAS, L=8, A=1, mats=mats)
+        pred = FC.predict(a.where(F.col("dataset") == "H5"), FC.coefficient_table(spark, kind, m["weights"]))
+        lp = MET.long_predictions(pred.withColumn("model", F.lit(kind)), ["model", "segment", "ts"])
+        rows.append(MET.score(lp, ["model"], scaler=hs))
+    return union_all(rows)
+
+
+@register("predict_t2v", None)
+def q_predict_t2v(spark, sf):
+    """Time2Vec (16 seeded periodic features) -> RevIN -> ridge read-out fitted from one Gram
+    pass; predictions de-normalised with the window statistics and scored on test windows."""
+    sw = d6_split_windows(spark, sf)
+    fr = t2v_revin_frame(sw, time2vec_weights(8, 16, seed=941))
+    m = FC.fit(fr.select("split", F.col("xf").alias("x"), F.col("yn").alias("y")), "linear", (0.1, 1.0, 10.0), A=2)
+    coef = FC.coefficient_table(spark, "t2v", m["weights"])
+    test = fr.where(F.col("split") == "test").select("segment", "ts", "y", "mean", "std", F.col("xf").alias("x"))
+    pred = FC.predict(test, coef).withColumn("yhat", F.transform("yhat", lambda v: v * F.col("std") + F.col("mean")))
+    lp = MET.long_predictions(pred.withColumn("model", F.lit("t2v")), ["model", "segment", "ts"])
+    return MET.score(lp, ["model"]).withColumn("lambda", F.lit(float(m["lambda"])))
