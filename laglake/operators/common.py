@@ -16,10 +16,15 @@ def as_keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
+def qc(name: str) -> Column:
+    """Column by exact name (dots, spaces and brackets in channel names are not struct paths)."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def all_not_null(cols) -> Column:
     cond = F.lit(True)
     for c in cols:
-        cond = cond & F.col(c).isNotNull()
+        cond = cond & qc(c).isNotNull()
     return cond
 
 

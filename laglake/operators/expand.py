@@ -29,24 +29,23 @@ def channel_catalogue(long_df: DataFrame, order: list[str] | None = None, datase
     return ch.withColumn("dataset", F.lit(dataset)) if dataset else ch
 
 
-def feature_combinations(catalogue: DataFrame, k: int, first: str | None = None) -> DataFrame:
-    """All k-subsets of the catalogue's channels in catalogue order (like itertools.combinations),
-    as (c0, ..., c{k-1}); with ``first`` (a target-less dataset) the subsets are of size k+1 and
-    start with ``first``. k-way self-join on strictly increasing positions: the catalogue is one
-    row per channel, so it is broadcast."""
-    cat = F.broadcast(catalogue.select("channel", "pos"))
-    if first is not None:
-        head = catalogue.where(F.col("channel") == first).select(F.col("channel").alias("c0"), F.lit(-1).alias("p0"))
-        rest = catalogue.where(F.col("channel") != first)
-        sub = feature_combinations(rest, k)
-        return head.crossJoin(sub.select([F.col(f"c{i}").alias(f"c{i + 1}") for i in range(k)])).drop("p0")
-    if k < 1:
+def feature_combinations(catalogue: DataFrame, k: int, targetless: bool = False) -> DataFrame:
+    """All k-subsets of the catalogue's channels in catalogue order (like itertools.combinations)
+    as columns c0..c{k-1}. For a dataset without a declared target (``targetless``) the subsets
+    have k+1 members and the first one becomes the target: columns target, c0..c{k-1}.
+    A self-join on strictly increasing positions; the catalogue has one row per channel, so it
+    is broadcast."""
+    size = k + 1 if targetless else k
+    if size < 1:
         raise ValueError("k must be >= 1")
-    out = cat.select(F.col("channel").alias("c0"), F.col("pos").alias("p0"))
-    for i in range(1, k):
-        nxt = cat.select(F.col("channel").alias(f"c{i}"), F.col("pos").alias(f"p{i}"))
+    cat = F.broadcast(catalogue.select("channel", "pos"))
+    out = cat.select(F.col("channel").alias("m0"), F.col("pos").alias("p0"))
+    for i in range(1, size):
+        nxt = cat.select(F.col("channel").alias(f"m{i}"), F.col("pos").alias(f"p{i}"))
         out = out.join(nxt, F.col(f"p{i}") > F.col(f"p{i - 1}"), "inner")
-    return out.select(*[f"c{i}" for i in range(k)])
+    if targetless:
+        return out.select(F.col("m0").alias("target"), *[F.col(f"m{i + 1}").alias(f"c{i}") for i in range(k)])
+    return out.select(*[F.col(f"m{i}").alias(f"c{i}") for i in range(k)])
 
 
 def expand_cases(cases: DataFrame, catalogue: DataFrame, dataset_flags: list[str], case_col: str = "Case",

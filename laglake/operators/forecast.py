@@ -96,6 +96,8 @@ def fit(split_windows: DataFrame | None = None, kind: str = "linear", lambdas=(0
     MSE (from the val Gram, no further data pass). Pass ``mats`` (``split_grams``) to fit several
     model kinds from the same pass. Returns a dict with weights and diagnostics."""
     mats = mats if mats is not None else split_grams(split_windows)
+    if "train" not in mats:
+        return None   # no training window
     S = mats["train"]
     P = S.shape[0] - 1 - A
     L = L or P // F_

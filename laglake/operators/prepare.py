@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from laglake.functions.timecols import as_ntz, strftime_to_spark
-from laglake.operators.common import all_not_null, as_keys
+from laglake.operators.common import all_not_null, as_keys, qc
 from laglake.spec import DatasetSpec, StripTime
 
 
@@ -28,8 +28,8 @@ def dedupe_key(df: DataFrame, key, order_cols=None) -> DataFrame:
     others = [c for c in (order_cols or df.columns) if c not in keys]
     if not others:
         return df.select(*keys).distinct()
-    agg = df.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_s"))
-    return agg.select(*keys, *[F.col(f"_s.{c}").alias(c) for c in others])
+    agg = df.groupBy(*[qc(k) for k in keys]).agg(F.min(F.struct(*[qc(c) for c in others])).alias("_s"))
+    return agg.select(*[qc(k) for k in keys], *[F.col("_s")[c].alias(c) for c in others])
 
 
 _BIG_ENDIAN = ["%Y-%m-%d", "%Y-%m-%d %H", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S"]
@@ -121,7 +121,7 @@ def prepare(df: DataFrame, spec: DatasetSpec, null_scope: str = "all", strip: St
     if null_scope not in ("all", "used"):
         raise ValueError("null_scope must be all|used")
     used = list(spec.used_columns)
-    d = df.select(*used) if null_scope == "used" else df
+    d = df.select(*[qc(c) for c in used]) if null_scope == "used" else df
     d = drop_incomplete(d)
     d = d.withColumn(spec.date, as_ntz(spec.date))
     keys = [k for k in (spec.segment, spec.date) if k]
@@ -129,5 +129,5 @@ def prepare(df: DataFrame, spec: DatasetSpec, null_scope: str = "all", strip: St
     strip = strip or spec.strip_time
     if strip is not None:
         d = strip_time(d, spec.date, strip)
-    d = d.select(*used)
+    d = d.select(*[qc(c) for c in used])
     return shrink_types(d) if shrink else d

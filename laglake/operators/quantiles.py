@@ -11,11 +11,14 @@ exact whatever the sketch error."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laglake.operators.common import as_keys
+from laglake.session import ensure_checkpoint_dir
 
 GRID = 512
 
@@ -67,17 +70,18 @@ def exact_quantiles(df: DataFrame, key, value: str, quantiles: dict, accuracy: i
     def attach(state, extra):
         return state.join(extra, keys, "inner") if keys else state.crossJoin(extra)
 
-    st = st.persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(d.sparkSession)
+    st = st.checkpoint(eager=True)   # small state table (one row per group); cuts lineage between rounds
     for _ in range(max_rounds):
         cnt = with_state(st, [f"{p}{i}" for i in T for p in ("lo", "hi")]).groupBy(*keys).agg(
             *[F.count_if(v < F.col(f"lo{i}")).alias(f"b{i}") for i in T],
             *[F.count_if(inside(i)).alias(f"c{i}") for i in T])
         st = attach(st.drop(*[f"{p}{i}" for i in T for p in ("b", "c") if f"{p}{i}" in st.columns]), cnt)
         ok = [(F.col(f"b{i}") <= F.col(f"k{i}")) & (F.col(f"k{i}") < F.col(f"b{i}") + F.col(f"c{i}")) for i in T]
-        st = st.select(*[c for c in st.columns if not any(c in (f"lo{i}", f"hi{i}") for i in T)],
+        st = st.select(*[c for c in st.columns if not any(c in (f"lo{i}", f"hi{i}", f"ok{i}") for i in T)],
                        *[F.when(ok[i], F.col(f"lo{i}")).otherwise(F.col(f"plo{i}")).alias(f"lo{i}") for i in T],
                        *[F.when(ok[i], F.col(f"hi{i}")).otherwise(F.col(f"phi{i}")).alias(f"hi{i}") for i in T],
-                       *[ok[i].alias(f"ok{i}") for i in T]).persist(StorageLevel.MEMORY_AND_DISK)
+                       *[ok[i].alias(f"ok{i}") for i in T]).checkpoint(eager=True)
         chk = st.agg(F.max(F.greatest(*[F.col(f"c{i}") for i in T], F.lit(0))).alias("w"),
                      F.min(F.least(*[F.col(f"ok{i}").cast("int") for i in T], F.lit(1))).alias("ok")).first()
         if chk["ok"] in (None, 1) and (chk["w"] or 0) <= max_candidates:
@@ -85,20 +89,21 @@ def exact_quantiles(df: DataFrame, key, value: str, quantiles: dict, accuracy: i
         if chk["ok"] == 0:
             continue  # recount the widened brackets before narrowing again
         grid = [j / GRID for j in range(GRID + 1)]
+        slack = int(math.ceil(GRID / accuracy)) + 1   # grid cells covering the sketch's rank error
         sk = with_state(st, [f"{p}{i}" for i in T for p in ("lo", "hi")]).groupBy(*keys).agg(
             *[F.percentile_approx(F.when(inside(i), v), grid, accuracy).alias(f"z{i}") for i in T])
         st2 = attach(st, sk)
         upd = []
         for i in T:
             rel = (F.col(f"k{i}") - F.col(f"b{i}")).cast("double") / F.greatest(F.col(f"c{i}").cast("double"), F.lit(1.0))
-            j_lo = (F.greatest(F.floor(rel * GRID) - 2, F.lit(0)) + 1).cast("int")
-            j_hi = (F.least(F.ceil(rel * GRID) + 2, F.lit(GRID)) + 1).cast("int")
+            j_lo = (F.greatest(F.floor(rel * GRID) - slack, F.lit(0)) + 1).cast("int")
+            j_hi = (F.least(F.ceil(rel * GRID) + slack, F.lit(GRID)) + 1).cast("int")
             big = F.col(f"c{i}") > max_candidates
             upd += [F.when(big, F.greatest(F.col(f"lo{i}"), F.element_at(f"z{i}", j_lo))).otherwise(F.col(f"lo{i}")).alias(f"lo{i}"),
                     F.when(big, F.least(F.col(f"hi{i}"), F.element_at(f"z{i}", j_hi))).otherwise(F.col(f"hi{i}")).alias(f"hi{i}"),
                     F.col(f"lo{i}").alias(f"plo{i}"), F.col(f"hi{i}").alias(f"phi{i}")]
         drop = {f"{p}{i}" for i in T for p in ("lo", "hi", "plo", "phi", "z", "ok")}
-        st = st2.select(*[c for c in st2.columns if c not in drop], *upd).persist(StorageLevel.MEMORY_AND_DISK)
+        st = st2.select(*[c for c in st2.columns if c not in drop], *upd).checkpoint(eager=True)
     else:
         raise RuntimeError("exact_quantiles did not converge; raise max_rounds or max_candidates")
     cand = with_state(st, [f"{p}{i}" for i in T for p in ("lo", "hi")]).groupBy(*keys).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laglake.operators.common import as_keys
+from laglake.operators.common import as_keys, qc
 from laglake.operators.quantiles import exact_quantiles
 
 ROBUST_EPS = 1e-12
@@ -20,7 +20,7 @@ def to_long(df: DataFrame, channels, id_cols=()) -> DataFrame:
 def fit_scaler(train_raw: DataFrame, channels, method: str = "minmax", **quantile_opts) -> DataFrame:
     """One row per channel: min, max, mean, median, std, variance (sample), nearest-rank
     quartiles, iqr and the method name; pooled over every segment of the training rows."""
-    long = train_raw.select(F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), F.col(c).cast("double").alias("value"))
+    long = train_raw.select(F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), qc(c).cast("double").alias("value"))
                                                 for c in channels])).alias("p")).select("p.*")
     v = F.col("_v")
     st = exact_quantiles(long, "channel", "value",
@@ -56,7 +56,7 @@ def _stat_cols(stats: DataFrame, channels):
     """Pivot the (small, one row per channel) stats table into one row of <stat>_<channel> columns."""
     aggs = [F.first(F.when(F.col("channel") == c, F.col(s)), ignorenulls=True).alias(f"{s}__{c}")
             for c in channels for s in ("min", "max", "mean", "std", "median", "iqr")]
-    return stats.agg(*aggs)
+    return stats.agg(F.count(F.lit(1)).alias("_n"), *aggs).where(F.col("_n") > 0).drop("_n")
 
 
 def apply_scaler(df: DataFrame, stats: DataFrame, channels, method: str | None = None, inverse: bool = False,
@@ -73,6 +73,6 @@ def apply_scaler(df: DataFrame, stats: DataFrame, channels, method: str | None =
     for c in channels:
         s = {k: F.col(f"{k}__{c}") for k in ("min", "max", "mean", "std", "median", "iqr")}
         f = _inverse if inverse else _forward
-        outs.append(f(F.col(c).cast("double"), s, method).alias(c + suffix))
+        outs.append(f(qc(c).cast("double"), s, method).alias(c + suffix))
     keep = [c for c in df.columns if c not in channels or suffix]
-    return j.select(*keep, *outs)
+    return j.select(*[qc(c) for c in keep], *outs)

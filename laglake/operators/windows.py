@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laglake.operators.common import DEFAULT_CHUNK_STEPS, all_not_null, as_keys, chunk_of, with_minutes
+from laglake.operators.common import DEFAULT_CHUNK_STEPS, all_not_null, as_keys, chunk_of, qc, with_minutes
 from laglake.spec import WindowSpec, unique
 
 HALO_ROWS = 2_000_000
@@ -26,18 +26,18 @@ def lag_columns(df: DataFrame, key, ts: str, channels, spec: WindowSpec) -> Data
     """Wide form: ``<c>_lag_<l>`` for l in 1..lag+offset-1 on the (densified) date-ordered series."""
     keys = as_keys(key)
     w = Window.partitionBy(*keys).orderBy(ts)
-    lags = [F.lag(c, l).over(w).alias(f"{c}_lag_{l}") for c in unique(channels) for l in range(1, spec.span + 1)]
+    lags = [F.lag(qc(c), l).over(w).alias(f"{c}_lag_{l}") for c in unique(channels) for l in range(1, spec.span + 1)]
     return df.select("*", *lags)
 
 
 def _step(channels) -> F.Column:
     if len(channels) == 1:
-        return F.col(channels[0]).cast("double")
-    return F.when(all_not_null(channels), F.array(*[F.col(c).cast("double") for c in channels]))
+        return qc(channels[0]).cast("double")
+    return F.when(all_not_null(channels), F.array(*[qc(c).cast("double") for c in channels]))
 
 
 def _target_step(targets) -> F.Column:
-    return F.when(all_not_null(targets), F.array(*[F.col(c).cast("double") for c in targets]))
+    return F.when(all_not_null(targets), F.array(*[qc(c).cast("double") for c in targets]))
 
 
 def grid_check(df: DataFrame, key, ts: str, minutes: int) -> dict:
@@ -68,7 +68,7 @@ def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpe
     if strategy == "dense":
         from laglake.operators.grid import fill_date
         return _windows_rows(fill_date(df, keys, ts, spec.minutes), keys, ts, channels, targets, spec)
-    d = with_minutes(df.select(*keys, ts, *channels), ts)
+    d = with_minutes(df.select(*[qc(c) for c in (*keys, ts, *channels)]), ts)
     if strategy == "halo":
         width = chunk_steps * spec.minutes
         d = (d.withColumn("_own", chunk_of("m", width))

@@ -715,6 +715,8 @@ def q_select_lambda(spark, sf):
     rows = []
     for kind in FC.KINDS:
         m = FC.fit(kind=kind, lambdas=LAMBDAS, L=8, A=2, mats=mats)
+        if m is None:
+            continue
         rows.append((kind, float(m["lambda"]), float(m["val_mse"]), int(round(m["n_train"]))))
     return spark.createDataFrame(rows, "model string, lambda double, val_mse double, n_train long")
 
@@ -806,8 +808,10 @@ def q_shuffle_windows(spark, sf):
 def q_windows_roundtrip(spark, sf):
     """Split windows appended to a (dataset, split)-partitioned Parquet store and read back pruned."""
     path = scratch_path(spark, "windows")
-    write_windows(d6_split_windows(spark, sf).select("segment", "ts", "split", "x", "y"), path, dataset="D6")
-    back = read_windows(spark, path, dataset="D6", split="test")
+    w = d6_split_windows(spark, sf).select("segment", "ts", "split", "x", "y")
+    write_windows(w, path, dataset="D6")
+    schema = w.withColumn("dataset", F.lit("D6")).schema
+    back = read_windows(spark, path, dataset="D6", split="test", schema=schema)
     return explode_xy(back, ["segment"])
 
 
@@ -815,6 +819,9 @@ def q_windows_roundtrip(spark, sf):
 from laglake.operators.features import t2v_revin_frame, time2vec_weights  # noqa: E402
 
 
+METRICS_SCHEMA = "model string, " + ", ".join(f"{m} double" for m in MET.ALL_METRICS)
+
+
 def scale_windows(w: DataFrame, stats: dict) -> DataFrame:
     """Affine scaling of one-channel windows with a scaler record (x and y share the channel)."""
     f = lambda v: (v - F.lit(stats["mean"])) / F.lit(stats["std"])
@@ -824,7 +831,8 @@ def scale_windows(w: DataFrame, stats: dict) -> DataFrame:
 def _own_stats(spark, series, key, ts, ch, split_w):
     b = split_bounds(split_w, key, ts)
     tr = raw_split(series, b, key, ts).where(F.col("split") == "train")
-    return fit_scaler(tr, [ch], "standard").first().asDict()
+    r = fit_scaler(tr, [ch], "standard").first()
+    return r.asDict() if r else None
 
 
 @register("zero_shot_eval", None)
@@ -837,15 +845,19 @@ def q_zero_shot_eval(spark, sf):
     d6 = make_windows(d6s, "segment", "ts", ["qty"], ["qty"], ZS_SPEC)
     d6, _ = chrono_split(d6, "segment", (0.7, 0.1, 0.2))
     hs, ds = _own_stats(spark, h5s, "segment", "ts", "value", h), _own_stats(spark, d6s, "segment", "ts", "qty", d6)
+    if hs is None or ds is None:
+        return spark.createDataFrame([], METRICS_SCHEMA)
     a = assemble_zero_shot(scale_windows(h, hs), {"D6": scale_windows(d6, ds)}, target_name="H5")
     mats = FC.split_grams(a.where(F.col("dataset") == "D6"))
     rows = []
     for kind in FC.KINDS:
         m = FC.fit(kind=kind, lambdas=LAMBDAS, L=8, A=1, mats=mats)
+        if m is None:
+            continue
         pred = FC.predict(a.where(F.col("dataset") == "H5"), FC.coefficient_table(spark, kind, m["weights"]))
         lp = MET.long_predictions(pred.withColumn("model", F.lit(kind)), ["model", "segment", "ts"])
         rows.append(MET.score(lp, ["model"], scaler=hs))
-    return union_all(rows)
+    return union_all(rows) if rows else spark.createDataFrame([], METRICS_SCHEMA)
 
 
 @register("predict_t2v", None)
@@ -855,6 +867,8 @@ def q_predict_t2v(spark, sf):
     sw = d6_split_windows(spark, sf)
     fr = t2v_revin_frame(sw, time2vec_weights(8, 16, seed=941))
     m = FC.fit(fr.select("split", F.col("xf").alias("x"), F.col("yn").alias("y")), "linear", (0.1, 1.0, 10.0), A=2)
+    if m is None:
+        return spark.createDataFrame([], METRICS_SCHEMA + ", lambda double")
     coef = FC.coefficient_table(spark, "t2v", m["weights"])
     test = fr.where(F.col("split") == "test").select("segment", "ts", "y", "mean", "std", F.col("xf").alias("x"))
     pred = FC.predict(test, coef).withColumn("yhat", F.transform("yhat", lambda v: v * F.col("std") + F.col("mean")))

@@ -14,7 +14,7 @@ def file_stem(col: str = "_metadata.file_name") -> F.Column:
     anything else (``12.5``, ``abc``) is kept as written."""
     stem = F.regexp_extract(F.col(col), r"^(.*)\.[^.]+$", 1)
     stem = F.when(stem == "", F.col(col)).otherwise(stem)
-    return F.when(stem.rlike("^[0-9]+$"), F.try_cast(stem, "bigint").cast("string")).otherwise(stem)
+    return F.when(stem.rlike("^[0-9]+$"), stem.try_cast("bigint").cast("string")).otherwise(stem)
 
 
 def read_series(spark: SparkSession, spec: DatasetSpec, schema=None, sampling_ratio: float = 1.0) -> DataFrame:

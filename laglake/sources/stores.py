@@ -13,8 +13,10 @@ def write_windows(windows: DataFrame, path: str, dataset: str | None = None, mod
     return path
 
 
-def read_windows(spark: SparkSession, path: str, dataset: str | None = None, split: str | None = None) -> DataFrame:
-    df = spark.read.parquet(path)
+def read_windows(spark: SparkSession, path: str, dataset: str | None = None, split: str | None = None,
+                 schema=None) -> DataFrame:
+    """Read a window store; pass the ``schema`` when the store may hold no file yet."""
+    df = (spark.read.schema(schema) if schema is not None else spark.read).parquet(path)
     if dataset is not None:
         df = df.where(F.col("dataset") == dataset)
     if split is not None:
