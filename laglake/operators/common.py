@@ -51,13 +51,15 @@ def ordered_row_number(df: DataFrame, keys: list[str], order: str, chunk: str |
         if count_name:
             out = out.withColumn(count_name, F.count(F.lit(1)).over(w))
         return out
-    counts = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_cnt"))
+    local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, chunk).orderBy(order)) - 1)
+    # both branches read ``local``; when the input carries no column the count branch prunes,
+    # Spark reuses the input's shuffle for both (see windows.make_windows)
+    counts = local.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("_cnt"))
     wk = Window.partitionBy(*keys).orderBy(chunk)
     offsets = counts.select(
         *keys, chunk,
         F.coalesce(F.sum("_cnt").over(wk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"),
         *( [F.sum("_cnt").over(Window.partitionBy(*keys)).alias(count_name)] if count_name else [] ),
     )
-    local = df.withColumn("_local", F.row_number().over(Window.partitionBy(*keys, chunk).orderBy(order)) - 1)
     out = local.join(offsets, on=[*keys, chunk], how="inner")
     return out.withColumn(name, F.col("_base") + F.col("_local")).drop("_base", "_local")

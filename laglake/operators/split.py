@@ -18,7 +18,7 @@ def split_indices(n, ratios):
             F.floor(n.cast("double") * F.lit(r0 + r1)).cast("long"))
 
 
-def chrono_split(windows: DataFrame, key, ratios=(0.7, 0.1, 0.2), order: str = "m",
+def chrono_split(windows: DataFrame, key, ratios=(0.7, 0.1, 0.2), order: str = "tus",
                  strict_parity: bool = False):
     """Return (accepted windows with ``rn, n, split``, rejected segments with ``n, reason``).
 

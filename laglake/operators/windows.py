@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from laglake.operators.common import DEFAULT_CHUNK_STEPS, all_not_null, as_keys, chunk_of, qc, with_minutes
+from laglake.session import EPOCH_NTZ
 from laglake.spec import WindowSpec, unique
 
 HALO_ROWS = 2_000_000
@@ -53,7 +54,7 @@ def grid_check(df: DataFrame, key, ts: str, minutes: int) -> dict:
 
 def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpec, strategy: str = "range",
                  chunk_steps: int = DEFAULT_CHUNK_STEPS, halo_rows: int = HALO_ROWS) -> DataFrame:
-    """Return ``[*keys, ts, m, (chunk,) x, y]``; x is array<double> for one channel, else
+    """Return ``[*keys, (chunk,) ts, tus, x, y]`` (``tus``: microseconds since epoch, the order key); x is array<double> for one channel, else
     array<array<double>> (steps x channels, features then targets); y is array<double> of
     ahead x targets values, step-major, oldest first."""
     keys = as_keys(key)
@@ -68,34 +69,42 @@ def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpe
     if strategy == "dense":
         from laglake.operators.grid import fill_date
         return _windows_rows(fill_date(df, keys, ts, spec.minutes), keys, ts, channels, targets, spec)
-    d = with_minutes(df.select(*[qc(c) for c in (*keys, ts, *channels)]), ts)
+    # Order by a microsecond index and rebuild ``ts`` from it after the window: the shuffled
+    # rows then carry no column that a second consumer (e.g. the split's per-chunk counts)
+    # would prune, so Spark can reuse this one shuffle for both.
+    d = df.select(*[qc(c) for c in keys], *[qc(c) for c in channels], micros(ts).alias("tus"))
+    step_us = spec.minutes * 60_000_000
     if strategy == "halo":
-        width = chunk_steps * spec.minutes
-        d = (d.withColumn("_own", chunk_of("m", width))
-              .withColumn("chunk", F.explode(F.sequence(F.col("_own"),
-                                                        chunk_of(F.col("m") + spec.span * spec.minutes, width)))))
+        width = chunk_steps * step_us
+        d = (d.withColumn("_own", chunk_of("tus", width))
+              .withColumn("chunk", F.explode(F.sequence(F.col("_own"), chunk_of(F.col("tus") + spec.span * step_us, width)))))
         part = [*keys, "chunk"]
     elif strategy == "range":
         part = keys
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    g = spec.minutes
-    w = Window.partitionBy(*part).orderBy("m")
-    xw = w.rangeBetween(-spec.span * g, -spec.offset * g)
-    yw = w.rangeBetween(-(spec.ahead - 1) * g, 0)
-    out = d.select(*part, ts, "m", *(["_own"] if strategy == "halo" else []),
+    w = Window.partitionBy(*part).orderBy("tus")
+    xw = w.rangeBetween(-spec.span * step_us, -spec.offset * step_us)
+    yw = w.rangeBetween(-(spec.ahead - 1) * step_us, 0)
+    out = d.select(*part, "tus", *(["_own"] if strategy == "halo" else []),
                    F.collect_list(_step(channels)).over(xw).alias("x"),
                    F.collect_list(_target_step(targets)).over(yw).alias("_y"))
     if strategy == "halo":
         out = out.where(F.col("chunk") == F.col("_own")).drop("_own")
     out = out.where((F.size("x") == spec.lag) & (F.size("_y") == spec.ahead))
-    return out.withColumn("y", F.flatten("_y")).drop("_y")
+    return out.select(*part, F.timestamp_add("MICROSECOND", F.col("tus"), F.expr(EPOCH_NTZ)).alias(ts), "tus", "x",
+                      F.flatten("_y").alias("y"))
+
+
+def micros(ts) -> F.Column:
+    """Microseconds since 1970-01-01 (BIGINT): exact for TIMESTAMP_NTZ, the windows' order key."""
+    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), qc(ts).cast("timestamp_ntz"))
 
 
 def _windows_rows(dense: DataFrame, keys, ts, channels, targets, spec: WindowSpec) -> DataFrame:
-    d = with_minutes(dense, ts)
-    w = Window.partitionBy(*keys).orderBy(ts)
-    out = d.select(*keys, ts, "m",
+    d = dense.withColumn("tus", micros(ts))
+    w = Window.partitionBy(*keys).orderBy("tus")
+    out = d.select(*keys, ts, "tus",
                    F.collect_list(_step(channels)).over(w.rowsBetween(-spec.span, -spec.offset)).alias("x"),
                    F.collect_list(_target_step(targets)).over(w.rowsBetween(-(spec.ahead - 1), 0)).alias("_y"),
                    F.count(F.lit(1)).over(w.rowsBetween(-spec.span, -spec.offset)).alias("_nx"))
