@@ -874,3 +874,45 @@ def q_predict_t2v(spark, sf):
     pred = FC.predict(test, coef).withColumn("yhat", F.transform("yhat", lambda v: v * F.col("std") + F.col("mean")))
     lp = MET.long_predictions(pred.withColumn("model", F.lit("t2v")), ["model", "segment", "ts"])
     return MET.score(lp, ["model"]).withColumn("lambda", F.lit(float(m["lambda"])))
+
+
+# ---------------------------------------------------------------- sinks (write, read back, compare)
+from laglake.sources.stores import write_table  # noqa: E402
+
+
+def _roundtrip(spark, df, name, fmt="parquet", partition_by=None, single_file=False, mode="overwrite"):
+    path = scratch_path(spark, name)
+    write_table(df, path, fmt=fmt, mode=mode, partition_by=partition_by, single_file=single_file)
+    r = spark.read.schema(df.schema) if fmt != "csv" else spark.read.schema(df.schema).option("header", True)
+    return getattr(r, fmt)(path)
+
+
+@register("raw_split_sink", QUERIES["raw_split"][1])
+def q_raw_split_sink(spark, sf):
+    """Raw split rows stored partitioned by split, read back."""
+    return _roundtrip(spark, q_raw_split(spark, sf), "rawsplit", partition_by=["split"]).select("segment", "ts", "qty", "split")
+
+
+@register("scaler_sink", QUERIES["scaler_stats"][1])
+def q_scaler_sink(spark, sf):
+    """Scaler record (all channels) stored as JSON, read back."""
+    return _roundtrip(spark, q_scaler_stats(spark, sf), "scaler", fmt="json", single_file=True)
+
+
+@register("rejected_sink", QUERIES["rejected_segments"][1])
+def q_rejected_sink(spark, sf):
+    """Rejected segments appended to a store (each id once), read back."""
+    return _roundtrip(spark, q_rejected_segments(spark, sf), "rejects", mode="append")
+
+
+@register("prediction_sink", QUERIES["predict_linear"][1])
+def q_prediction_sink(spark, sf):
+    """Predictions (model, segment, ts, h, yhat) stored partitioned by model, read back."""
+    p = q_predict_linear(spark, sf).withColumn("model", F.lit("linear"))
+    return _roundtrip(spark, p, "predictions", partition_by=["model"]).select("segment", "ts", "h", "yhat")
+
+
+@register("metrics_sink", QUERIES["metrics_all"][1])
+def q_metrics_sink(spark, sf):
+    """Result table written as one headed CSV (one row per model, so one file), read back."""
+    return _roundtrip(spark, q_metrics_all(spark, sf), "results", fmt="csv", single_file=True)

@@ -1,0 +1 @@
+"""Sources and sinks: delimited-text series files, Parquet / JSON / CSV stores."""

@@ -1,0 +1,7 @@
+"""Streaming.
+
+The reference pipeline reads only batch files: it has no stream source, watermark, event-time
+window or stateful operator, so no streaming operator is owed here. Every operator in
+``laglake.operators`` is a plain DataFrame transformation, so a caller can still apply them to
+each micro-batch inside ``writeStream.foreachBatch``; this package adds nothing beyond that.
+"""
