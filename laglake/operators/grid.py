@@ -30,6 +30,8 @@ def grid(df: DataFrame, key, ts: str, minutes: int, low=None, high=None,
     steps = F.floor((F.col("m_hi") - F.col("m_lo")) / minutes).cast("long")
     chunks = b.select(*keys, "m_lo", steps.alias("_steps"),
                       F.explode(F.sequence(F.lit(0).cast("long"), F.floor(steps / chunk_steps).cast("long"))).alias("_c"))
+    # spread the chunks of a long series over tasks before generating their points
+    chunks = chunks.repartition(*[F.col(k) for k in keys], F.col("_c"))
     pts = chunks.select(*keys, "m_lo", F.explode(F.sequence(
         F.col("_c") * chunk_steps,
         F.least(F.col("_c") * chunk_steps + (chunk_steps - 1), F.col("_steps")))).alias("_i"))

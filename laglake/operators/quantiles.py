@@ -33,7 +33,8 @@ def nearest_rank(n, q: float):
 
 
 def exact_quantiles(df: DataFrame, key, value: str, quantiles: dict, accuracy: int = 10_000,
-                    max_candidates: int = 1_000_000, max_rounds: int = 8, extra_aggs=()) -> DataFrame:
+                    max_candidates: int = 1_000_000, max_rounds: int = 8, extra_aggs=(),
+                    max_broadcast_groups: int = 200_000) -> DataFrame:
     """``quantiles``: name -> q (nearest-rank quantile) or name -> 'median' (interpolated mean of
     the two middle values). Returns keys, n, ``extra_aggs`` and one column per name."""
     keys = as_keys(key)
@@ -62,7 +63,11 @@ def exact_quantiles(df: DataFrame, key, value: str, quantiles: dict, accuracy: i
 
     def with_state(state, cols):
         s = state.select(*keys, *cols)
-        return d.join(s, keys, "inner") if keys else d.crossJoin(F.broadcast(s))
+        if not keys:
+            return d.crossJoin(F.broadcast(s))
+        # the state has one row per group and its size was counted: broadcast it so a hot group
+        # is never shuffled to one task; beyond the bound AQE's skew-join handling applies
+        return d.join(F.broadcast(s) if small_state else s, keys, "inner")
 
     def inside(i):
         return (v >= F.col(f"lo{i}")) & (v <= F.col(f"hi{i}"))
@@ -72,6 +77,31 @@ def exact_quantiles(df: DataFrame, key, value: str, quantiles: dict, accuracy: i
 
     ensure_checkpoint_dir(d.sparkSession)
     st = st.checkpoint(eager=True)   # small state table (one row per group); cuts lineage between rounds
+    info = st.agg(F.count(F.lit(1)).alias("g"), F.max("n").alias("n")).first()
+    small_state = info["g"] <= max_broadcast_groups
+    picked_cols = [(name, i) for i, (name, _, _) in enumerate(targets)]
+
+    def pick(fin):
+        picked: dict = {}
+        for name, i in picked_cols:
+            picked.setdefault(name, []).append(F.element_at(f"s{i}", (F.col(f"k{i}") - F.col(f"b{i}") + 1).cast("int")))
+        return fin.select(*out_cols, *[(vals[0] if len(vals) == 1 else (vals[0] + vals[1]) / 2).alias(name)
+                                       for name, vals in picked.items()])
+
+    if info["n"] is not None and info["n"] * 10.0 / accuracy <= max_candidates:
+        # The sketch bounds every bracket to ~10 n / accuracy values, so counting and collecting the
+        # candidates share one pass; the exact counts still verify each bracket.
+        one = with_state(st, [f"{p}{i}" for i in T for p in ("lo", "hi")]).groupBy(*keys).agg(
+            *[F.count_if(v < F.col(f"lo{i}")).alias(f"b{i}") for i in T],
+            *[F.sort_array(F.collect_list(F.when(inside(i), v))).alias(f"s{i}") for i in T])
+        fin = attach(st, one).checkpoint(eager=True)
+        ok = F.lit(True)
+        for i in T:
+            ok = ok & (F.col(f"b{i}") <= F.col(f"k{i}")) & (F.col(f"k{i}") < F.col(f"b{i}") + F.size(f"s{i}"))
+        if fin.agg(F.min(ok.cast("int")).alias("ok")).first()["ok"] in (None, 1):
+            out = pick(fin).checkpoint(eager=True)
+            d.unpersist()
+            return out
     for _ in range(max_rounds):
         cnt = with_state(st, [f"{p}{i}" for i in T for p in ("lo", "hi")]).groupBy(*keys).agg(
             *[F.count_if(v < F.col(f"lo{i}")).alias(f"b{i}") for i in T],
@@ -108,9 +138,6 @@ def exact_quantiles(df: DataFrame, key, value: str, quantiles: dict, accuracy: i
         raise RuntimeError("exact_quantiles did not converge; raise max_rounds or max_candidates")
     cand = with_state(st, [f"{p}{i}" for i in T for p in ("lo", "hi")]).groupBy(*keys).agg(
         *[F.sort_array(F.collect_list(F.when(inside(i), v))).alias(f"s{i}") for i in T])
-    fin = attach(st, cand)
-    picked: dict = {}
-    for i, (name, _, _) in enumerate(targets):
-        picked.setdefault(name, []).append(F.element_at(f"s{i}", (F.col(f"k{i}") - F.col(f"b{i}") + 1).cast("int")))
-    return fin.select(*out_cols, *[(vals[0] if len(vals) == 1 else (vals[0] + vals[1]) / 2).alias(name)
-                                   for name, vals in picked.items()])
+    out = pick(attach(st, cand)).checkpoint(eager=True)   # one row per group; lets the cached input go
+    d.unpersist()
+    return out

@@ -52,7 +52,7 @@ def grid_check(df: DataFrame, key, ts: str, minutes: int) -> dict:
     return {"on_grid": bool(r["on_grid"]), "max_rows": int(r["max_rows"])}
 
 
-def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpec, strategy: str = "range",
+def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpec, strategy: str = "auto",
                  chunk_steps: int = DEFAULT_CHUNK_STEPS, halo_rows: int = HALO_ROWS) -> DataFrame:
     """Return ``[*keys, (chunk,) ts, tus, x, y]`` (``tus``: microseconds since epoch, the order key); x is array<double> for one channel, else
     array<array<double>> (steps x channels, features then targets); y is array<double> of
@@ -60,12 +60,14 @@ def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpe
     keys = as_keys(key)
     channels = list(unique([*channels, *targets]))
     targets = list(unique(targets))
+    if not keys and strategy == "range":
+        strategy = "halo"   # a single series is one hot key: always spread it over time chunks
     if strategy == "auto":
         chk = grid_check(df, keys, ts, spec.minutes)
         if not chk["on_grid"]:
             strategy = "dense"
         else:
-            strategy = "halo" if chk["max_rows"] > halo_rows else "range"
+            strategy = "halo" if (chk["max_rows"] > halo_rows or not keys) else "range"
     if strategy == "dense":
         from laglake.operators.grid import fill_date
         return _windows_rows(fill_date(df, keys, ts, spec.minutes), keys, ts, channels, targets, spec)

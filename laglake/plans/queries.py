@@ -43,13 +43,17 @@ SQL_EXPLODE_XY = """SELECT {k}ts, 'x' AS part, UNNEST(range(len(x))) AS pos, rou
 UNION ALL SELECT {k}ts, 'y' AS part, UNNEST(range(len(y))) AS pos, round(UNNEST(y), 6) AS value FROM w"""
 
 D6_SPEC = WindowSpec(lag=8, ahead=2, offset=3, minutes=1440)
+# The series views aggregate to a bounded date domain (days or hours of the tables' span), so each
+# series has a bounded length at any scale factor: one RANGE window per series is the right plan.
+# Unsegmented series and raw, unbounded inputs use the halo plan instead.
+VIEW_STRATEGY = "range"
 
 
-def d6_windows(spark, sf, strategy="range", spec=D6_SPEC):
+def d6_windows(spark, sf, strategy=VIEW_STRATEGY, spec=D6_SPEC):
     return make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], spec, strategy=strategy)
 
 
-def d6_split_windows(spark, sf, strategy="range"):
+def d6_split_windows(spark, sf, strategy=VIEW_STRATEGY):
     acc, _ = chrono_split(d6_windows(spark, sf, strategy), "segment", (0.7, 0.1, 0.2))
     return acc
 
@@ -101,7 +105,7 @@ WIDE_SPEC = WindowSpec(lag=4, ahead=1, offset=1, minutes=1440)
     "UNION ALL SELECT segment, ts, 'y' AS part, UNNEST(range(len(y))) AS step, CAST(0 AS BIGINT) AS ch, "
     "round(UNNEST(y), 6) AS value FROM w", "WIDE"))
 def q_lag_windows_multi(spark, sf):
-    w = make_windows(V.wide(spark, sf), "segment", "ts", ["price", "disc"], ["qty"], WIDE_SPEC)
+    w = make_windows(V.wide(spark, sf), "segment", "ts", ["price", "disc"], ["qty"], WIDE_SPEC, strategy=VIEW_STRATEGY)
     xs = w.select("segment", "ts", F.posexplode("x").alias("step", "v"))
     x = xs.select("segment", "ts", F.lit("x").alias("part"), F.col("step").cast("long").alias("step"),
                   F.posexplode("v").alias("ch", "value"))
@@ -139,7 +143,7 @@ USER_SPEC = WindowSpec(lag=3, ahead=1, offset=1, minutes=1440)
     "WHERE segment NOT IN (SELECT segment FROM c)", "USERD"))
 def q_rejected_segments(spark, sf):
     s = V.userd(spark, sf)
-    w = make_windows(s, "segment", "ts", ["value"], ["value"], USER_SPEC)
+    w = make_windows(s, "segment", "ts", ["value"], ["value"], USER_SPEC, strategy=VIEW_STRATEGY)
     return rejected_segments(s, w, "segment", (0.7, 0.1, 0.2))
 
 
@@ -330,7 +334,7 @@ from laglake.operators.scale import apply_scaler, fit_scaler  # noqa: E402
 
 
 def wide_train_raw(spark, sf):
-    w = make_windows(V.wide(spark, sf), "segment", "ts", ["qty"], ["qty"], D6_SPEC)
+    w = make_windows(V.wide(spark, sf), "segment", "ts", ["qty"], ["qty"], D6_SPEC, strategy=VIEW_STRATEGY)
     acc, _ = chrono_split(w, "segment", (0.7, 0.1, 0.2))
     b = split_bounds(acc, "segment", "ts")
     return raw_split(V.wide(spark, sf), b, "segment", "ts").where(F.col("split") == "train").drop("split")
@@ -441,7 +445,7 @@ _SEQ_W = f", w AS ({O.windows_cte('D6', ['segment'], 'ts', ['qty'], ['qty'], 8,
 
 
 def seq_windows(spark, sf):
-    return make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], SEQ_SPEC)
+    return make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], SEQ_SPEC, strategy=VIEW_STRATEGY)
 
 
 def _explode_arr(df, col, extra=()):
@@ -765,9 +769,9 @@ ZS_SPEC_H = WindowSpec(lag=8, ahead=1, offset=1, minutes=60)
 
 
 def zero_shot_windows(spark, sf):
-    h = make_windows(V.h5(spark, sf), "segment", "ts", ["value"], ["value"], ZS_SPEC_H)
+    h = make_windows(V.h5(spark, sf), "segment", "ts", ["value"], ["value"], ZS_SPEC_H, strategy=VIEW_STRATEGY)
     h, _ = chrono_split(h, "segment", (0.7, 0.1, 0.2))
-    d6 = make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], ZS_SPEC)
+    d6 = make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], ZS_SPEC, strategy=VIEW_STRATEGY)
     d6, _ = chrono_split(d6, "segment", (0.7, 0.1, 0.2))
     d1 = make_windows(V.d1(spark, sf), None, "ts", ["qty"], ["qty"], ZS_SPEC, strategy="halo")
     d1, _ = chrono_split(d1, None, (0.7, 0.1, 0.2))
@@ -840,9 +844,9 @@ def q_zero_shot_eval(spark, sf):
     """Fit on the source datasets (each scaled by its own training stats), score on the unseen
     target's test windows with the target's scaler."""
     h5s, d6s = V.h5(spark, sf), V.d6(spark, sf)
-    h = make_windows(h5s, "segment", "ts", ["value"], ["value"], ZS_SPEC_H)
+    h = make_windows(h5s, "segment", "ts", ["value"], ["value"], ZS_SPEC_H, strategy=VIEW_STRATEGY)
     h, _ = chrono_split(h, "segment", (0.7, 0.1, 0.2))
-    d6 = make_windows(d6s, "segment", "ts", ["qty"], ["qty"], ZS_SPEC)
+    d6 = make_windows(d6s, "segment", "ts", ["qty"], ["qty"], ZS_SPEC, strategy=VIEW_STRATEGY)
     d6, _ = chrono_split(d6, "segment", (0.7, 0.1, 0.2))
     hs, ds = _own_stats(spark, h5s, "segment", "ts", "value", h), _own_stats(spark, d6s, "segment", "ts", "qty", d6)
     if hs is None or ds is None:
