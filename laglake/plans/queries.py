@@ -597,7 +597,7 @@ def q_metric_msle(spark, sf):
     "GROUP BY segment, ts, h)" + _metric_sql("e").replace("pooled AS", "epooled AS").replace("r2h AS", "er2h AS")
     .replace("FROM r2h", "FROM er2h").replace("r2 AS (", "er2 AS (")
     + f"SELECT model, round(weight, 6) AS weight, {_METRIC_COLS} FROM pooled JOIN r2 USING (model) JOIN wt USING (model) "
-    f"UNION ALL SELECT model, 1.0 AS weight, {_METRIC_COLS} FROM epooled JOIN er2 USING (model)", "D6"))
+    f"UNION ALL SELECT model, CAST(1.0 AS DOUBLE) AS weight, {_METRIC_COLS} FROM epooled JOIN er2 USING (model)", "D6"))
 def q_ensemble(spark, sf):
     p = naive_predictions(spark, sf)
     sc = MET.score(p, ["model"])
@@ -920,3 +920,32 @@ def q_prediction_sink(spark, sf):
 def q_metrics_sink(spark, sf):
     """Result table written as one headed CSV (one row per model, so one file), read back."""
     return _roundtrip(spark, q_metrics_all(spark, sf), "results", fmt="csv", single_file=True)
+
+
+# ---------------------------------------------------------------- top-level flows
+from laglake.plans.experiment import prepare_dataset, run_zero_shot  # noqa: E402
+
+WIDE_DS = DatasetSpec(path="", target=("qty",), date="ts", features=("price", "disc"), segment="segment", name="WIDE")
+
+
+@register("prepare_dataset", with_views(
+    f", s AS ({O.split_cte(O.windows_cte('WIDE', ['segment'], 'ts', ['price', 'disc', 'qty'], ['qty'], 8, 2, 3, 1440), ['segment'], 'ts')}) "
+    "SELECT segment, split, count(*) AS n_windows, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY 1, 2", "WIDE"))
+def q_prepare_dataset(spark, sf):
+    """Whole dataset flow on the 3-channel daily lineitem series, standard-scaled on train rows."""
+    ds = prepare_dataset(spark, WIDE_DS, D6_SPEC, source=V.wide(spark, sf), normalization="standard", strategy=VIEW_STRATEGY)
+    return (ds.windows.groupBy("segment", "split")
+            .agg(F.count(F.lit(1)).alias("n_windows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
+
+
+@register("zero_shot_experiment", None)
+def q_zero_shot_experiment(spark, sf):
+    """Target: hourly event means; source: daily lineitem quantities; every kind + ensemble."""
+    h = prepare_dataset(spark, DatasetSpec(path="", target=("value",), date="ts", segment="segment", name="H5", granularity=60),
+                        ZS_SPEC_H, source=V.h5(spark, sf), normalization="standard", strategy=VIEW_STRATEGY)
+    d = prepare_dataset(spark, DatasetSpec(path="", target=("qty",), date="ts", segment="segment", name="D6"),
+                        ZS_SPEC, source=V.d6(spark, sf), normalization="standard", strategy=VIEW_STRATEGY)
+    try:
+        return run_zero_shot(spark, h, [d])
+    except ValueError:
+        return spark.createDataFrame([], METRICS_SCHEMA)

@@ -223,3 +223,23 @@ def test_expand_cases(spark):
     out = sorted((r["Case"], r["flag"], r["path"]) for r in expand_cases(cases, cat, ["Salinity", "ETTh1"]).collect())
     assert out == [(1, "Salinity", "data/Salinity/stations"), (2, "ETTh1", "data/ETT/ETTh1.csv"),
                    (2, "Salinity", "data/Salinity/stations")]
+
+
+def test_scaled_windows_equal_windows_of_scaled_series(spark):
+    from laglake.operators.scale import apply_scaler
+    from laglake.operators.windows import make_windows
+    from laglake.plans.experiment import scale_windows
+    from laglake.spec import WindowSpec
+    rng = np.random.default_rng(5)
+    rows = [("s", T0 + dt.timedelta(days=i), float(rng.normal()), float(rng.normal() * 10)) for i in range(60)]
+    df = spark.createDataFrame(rows, "seg string, ts timestamp_ntz, f double, t double")
+    spec = WindowSpec(lag=3, ahead=2, offset=2)
+    for method in ("minmax", "standard", "robust"):
+        st = fit_scaler(df, ["f", "t"], method)
+        a = make_windows(apply_scaler(df, st, ["f", "t"], method), "seg", "ts", ["f"], ["t"], spec, strategy="range")
+        b = scale_windows(make_windows(df, "seg", "ts", ["f"], ["t"], spec, strategy="range"), st, ["f", "t"], ["t"], method)
+        ra = sorted((r["ts"], tuple(map(tuple, r["x"])), tuple(r["y"])) for r in a.collect())
+        rb = sorted((r["ts"], tuple(map(tuple, r["x"])), tuple(r["y"])) for r in b.collect())
+        assert len(ra) == len(rb) > 0
+        for (t1, x1, y1), (t2, x2, y2) in zip(ra, rb):
+            assert t1 == t2 and np.allclose(x1, x2) and np.allclose(y1, y2)
