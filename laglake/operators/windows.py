@@ -23,12 +23,35 @@ from laglake.spec import WindowSpec, unique
 HALO_ROWS = 2_000_000
 
 
-def lag_columns(df: DataFrame, key, ts: str, channels, spec: WindowSpec) -> DataFrame:
-    """Wide form: ``<c>_lag_<l>`` for l in 1..lag+offset-1 on the (densified) date-ordered series."""
+def lag_columns(df: DataFrame, key, ts: str, channels, spec: WindowSpec, strategy: str = "rows",
+                chunk_steps: int = DEFAULT_CHUNK_STEPS) -> DataFrame:
+    """Wide form: ``<c>_lag_<l>`` for l in 1..lag+offset-1.
+
+    ``rows``: shift by rows in date order (the reference, on a densified series).
+    ``range`` / ``halo``: shift by time - the value exactly l grid steps earlier, NULL when that
+    step is absent. Identical on a densified on-grid series, needs no grid, and ``halo`` spreads a
+    long or hot series over (key, time chunk) tasks."""
     keys = as_keys(key)
-    w = Window.partitionBy(*keys).orderBy(ts)
-    lags = [F.lag(qc(c), l).over(w).alias(f"{c}_lag_{l}") for c in unique(channels) for l in range(1, spec.span + 1)]
-    return df.select("*", *lags)
+    names = [(c, l) for c in unique(channels) for l in range(1, spec.span + 1)]
+    if strategy == "rows":
+        w = Window.partitionBy(*keys).orderBy(ts)
+        return df.select("*", *[F.lag(qc(c), l).over(w).alias(f"{c}_lag_{l}") for c, l in names])
+    if strategy not in ("range", "halo"):
+        raise ValueError("strategy must be rows|range|halo")
+    step_us = spec.minutes * 60_000_000
+    d = df.withColumn("_tus", micros(ts))
+    part = list(keys)
+    if strategy == "halo":
+        width = chunk_steps * step_us
+        d = (d.withColumn("_own", chunk_of("_tus", width))
+              .withColumn("_chunk", F.explode(F.sequence(F.col("_own"), chunk_of(F.col("_tus") + spec.span * step_us, width)))))
+        part.append("_chunk")
+    w = Window.partitionBy(*part).orderBy("_tus")
+    lags = [F.first(qc(c)).over(w.rangeBetween(-l * step_us, -l * step_us)).alias(f"{c}_lag_{l}") for c, l in names]
+    out = d.select(*[qc(c) for c in df.columns], *(["_own", "_chunk"] if strategy == "halo" else []), *lags)
+    if strategy == "halo":
+        out = out.where(F.col("_chunk") == F.col("_own")).drop("_own", "_chunk")
+    return out
 
 
 def _step(channels) -> F.Column:

@@ -127,6 +127,14 @@ def q_lag_columns(spark, sf):
     return lag_columns(dense, "segment", "ts", ["qty"], WindowSpec(lag=3, ahead=1, offset=1))
 
 
+@register("lag_columns_halo", QUERIES["lag_columns"][1])
+def q_lag_columns_halo(spark, sf):
+    """Time-shift lag columns per (segment, time chunk): no single task holds a whole series."""
+    dense = fill_date(V.d6(spark, sf), "segment", "ts", 1440)
+    return lag_columns(dense, "segment", "ts", ["qty"], WindowSpec(lag=3, ahead=1, offset=1), strategy="halo",
+                       chunk_steps=256)
+
+
 USER_SPEC = WindowSpec(lag=3, ahead=1, offset=1, minutes=1440)
 
 

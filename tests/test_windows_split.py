@@ -137,3 +137,41 @@ def test_fills_cross_chunks(spark):
     assert bw[1] == 2.0 and bw[5] == 9.0 and bw[12] is None
     mean = dict((r["ts"].day, r["v"]) for r in fill_gaps(s, "segment", "ts", ["v"], "mean").collect())
     assert mean[1] == pytest.approx(5.5)
+
+
+def test_auto_strategy_and_grid_check(spark):
+    from laglake.operators.windows import grid_check
+    on = series(spark, [("a", day(i), float(i)) for i in range(1, 30)])
+    assert grid_check(on, "segment", "ts", 1440) == {"on_grid": True, "max_rows": 29}
+    off = on.unionByName(series(spark, [("a", day(3) + dt.timedelta(hours=5), 9.0)]))
+    assert grid_check(off, "segment", "ts", 1440)["on_grid"] is False
+    spec = WindowSpec(lag=3)
+    a = win_rows(make_windows(on, "segment", "ts", ["v"], ["v"], spec, strategy="auto"))
+    b = win_rows(make_windows(on, "segment", "ts", ["v"], ["v"], spec, strategy="auto", halo_rows=5))
+    assert a == b == win_rows(make_windows(on, "segment", "ts", ["v"], ["v"], spec, strategy="range"))
+    # off-grid rows count as steps under the dense (reference) semantics
+    d = win_rows(make_windows(off, "segment", "ts", ["v"], ["v"], spec, strategy="auto"))
+    assert d == win_rows(make_windows(off, "segment", "ts", ["v"], ["v"], spec, strategy="dense"))
+
+
+def test_lag_columns_strategies(spark):
+    from laglake.operators.windows import lag_columns
+    s = fill_date(series(spark, [("a", day(i), float(i)) for i in (1, 2, 4, 5, 6, 9)]), "segment", "ts", 1440)
+    spec = WindowSpec(lag=2, ahead=1, offset=1)
+    key = lambda df: sorted((r["ts"], r["v"], r["v_lag_1"], r["v_lag_2"]) for r in df.collect())
+    rows = key(lag_columns(s, "segment", "ts", ["v"], spec))
+    assert rows == key(lag_columns(s, "segment", "ts", ["v"], spec, strategy="halo", chunk_steps=2))
+    assert rows[5] == (day(6), 6.0, 5.0, 4.0)
+
+
+def test_p10_skip_test_keeps_first_ten(spark):
+    from laglake.operators.assemble import assemble_zero_shot
+    t = series(spark, [("a", day(i), float(i)) for i in range(1, 40)]).withColumn("split", F.lit("test")) \
+        .withColumn("x", F.array(F.col("v"))).withColumn("y", F.array(F.col("v")))
+    src = t.withColumn("split", F.lit("train"))
+    a = assemble_zero_shot(t, {"src": src}, skip_test=True)
+    tests = sorted(r["ts"] for r in a.where(F.col("dataset") == "target").collect())
+    assert tests == [day(i) for i in range(1, 11)]
+    assert a.where(F.col("dataset") == "src").count() == 39
+    with pytest.raises(ValueError):
+        assemble_zero_shot(t, {"src": src}, shapes={"target": (8, 1, 1), "src": (4, 1, 1)})
