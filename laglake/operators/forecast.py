@@ -85,9 +85,10 @@ def val_mse(Sv: np.ndarray, Weff: np.ndarray, n_val: float, A: int) -> float:
     return float(np.trace(B.T @ Sv @ B) / max(n_val * A, 1.0))
 
 
-def split_grams(split_windows: DataFrame) -> dict:
-    """One data pass: train / val / test Gram matrices of the split windows."""
-    return gram_matrices(gram(split_windows, "split"))
+def split_grams(split_windows: DataFrame, n_terms: int | None = None, engine: str = "auto") -> dict:
+    """One data pass: train / val / test Gram matrices of the split windows
+    (``n_terms`` = L*F + 1 + A lets ``auto`` pick the JVM path for small windows)."""
+    return gram_matrices(gram(split_windows, "split", engine=engine, n_terms=n_terms))
 
 
 def fit(split_windows: DataFrame | None = None, kind: str = "linear", lambdas=(0.0,), L: int | None = None, F_: int = 1,
@@ -95,7 +96,9 @@ def fit(split_windows: DataFrame | None = None, kind: str = "linear", lambdas=(0
     """Fit ``kind`` on the train Gram for every lambda, pick the lambda with the lowest validation
     MSE (from the val Gram, no further data pass). Pass ``mats`` (``split_grams``) to fit several
     model kinds from the same pass. Returns a dict with weights and diagnostics."""
-    mats = mats if mats is not None else split_grams(split_windows)
+    if mats is None:
+        n_terms = (L * F_ + 1 + A) if (L and A) else None
+        mats = split_grams(split_windows, n_terms)
     if "train" not in mats:
         return None   # no training window
     S = mats["train"]

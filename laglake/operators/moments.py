@@ -23,11 +23,27 @@ def _flat(col: str, multi: bool):
     return F.flatten(F.col(col)) if multi else F.col(col)
 
 
-def gram(windows: DataFrame, group: str | None = "split", x: str = "x", y: str = "y") -> DataFrame:
-    """Return (grp, i, j, v) of sum(z z^T) per group value (e.g. train / val)."""
+SQL_MAX_TERMS = 48
+
+
+def gram(windows: DataFrame, group: str | None = "split", x: str = "x", y: str = "y", engine: str = "auto",
+         n_terms: int | None = None) -> DataFrame:
+    """Return (grp, i, j, v) of sum(z z^T) per group value (e.g. train / val), upper triangle.
+
+    ``engine``: ``sql`` generates the cross products in the JVM (two posexplodes, partial
+    aggregation before the shuffle) - best for small windows; ``arrow`` folds Arrow batches with a
+    numpy matmul in the Python workers - best for long windows (BLAS, one partial matrix per task);
+    ``auto`` picks ``sql`` when the window has at most ``SQL_MAX_TERMS`` terms (``n_terms``)."""
     multi = isinstance(windows.schema[x].dataType.elementType, T.ArrayType)
     g = F.col(group).cast("string") if group else F.lit("all")
     z = windows.select(g.alias("grp"), F.concat(_flat(x, multi), F.array(F.lit(1.0)), F.col(y).cast("array<double>")).alias("z"))
+    if engine == "auto":
+        engine = "sql" if (n_terms is not None and n_terms <= SQL_MAX_TERMS) else "arrow"
+    if engine == "sql":
+        a = z.select("grp", "z", F.posexplode("z").alias("i", "zi"))
+        b = a.select("grp", "i", "zi", F.posexplode("z").alias("j", "zj")).where(F.col("j") >= F.col("i"))
+        return b.groupBy("grp", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")) \
+            .agg(F.sum(F.col("zi") * F.col("zj")).alias("v"))
 
     def fold(batches):
         acc: dict = {}

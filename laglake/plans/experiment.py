@@ -96,8 +96,8 @@ def run_zero_shot(spark: SparkSession, target: PreparedDataset, sources: list[Pr
               for d in [target, *sources]}
     norm = lambda d: d.windows.withColumnRenamed(d.key, "segment").withColumn("segment", F.col("segment").cast("string"))
     a = assemble_zero_shot(norm(target), {d.name: norm(d) for d in sources}, target_name=target.name, shapes=shapes)
-    mats = FC.split_grams(a.where(F.col("dataset") != target.name))
     L, F_, A = shapes[target.name]
+    mats = FC.split_grams(a.where(F.col("dataset") != target.name), n_terms=L * F_ + 1 + A)
     scaler = None
     if target.scaler is not None:
         first = target.spec.target[0]

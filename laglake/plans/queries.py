@@ -723,7 +723,7 @@ LAMBDAS = (0.0, 1.0, 10.0, 100.0, 1000.0, 10000.0)
 @register("select_lambda", None)
 def q_select_lambda(spark, sf):
     """Ridge strength per model kind chosen on validation MSE computed from the val Gram."""
-    mats = FC.split_grams(d6_split_windows(spark, sf))
+    mats = FC.split_grams(d6_split_windows(spark, sf), n_terms=8 + 1 + 2)
     rows = []
     for kind in FC.KINDS:
         m = FC.fit(kind=kind, lambdas=LAMBDAS, L=8, A=2, mats=mats)
@@ -860,7 +860,7 @@ def q_zero_shot_eval(spark, sf):
     if hs is None or ds is None:
         return spark.createDataFrame([], METRICS_SCHEMA)
     a = assemble_zero_shot(scale_windows(h, hs), {"D6": scale_windows(d6, ds)}, target_name="H5")
-    mats = FC.split_grams(a.where(F.col("dataset") == "D6"))
+    mats = FC.split_grams(a.where(F.col("dataset") == "D6"), n_terms=8 + 1 + 1)
     rows = []
     for kind in FC.KINDS:
         m = FC.fit(kind=kind, lambdas=LAMBDAS, L=8, A=1, mats=mats)

@@ -243,3 +243,15 @@ def test_scaled_windows_equal_windows_of_scaled_series(spark):
         assert len(ra) == len(rb) > 0
         for (t1, x1, y1), (t2, x2, y2) in zip(ra, rb):
             assert t1 == t2 and np.allclose(x1, x2) and np.allclose(y1, y2)
+
+
+def test_gram_engines_agree(spark):
+    from laglake.operators.moments import gram, gram_matrices
+    rng = np.random.default_rng(9)
+    X, Y = rng.normal(size=(200, 5)), rng.normal(size=(200, 2))
+    df = _windows_df(spark, X, Y, ["train"] * 150 + ["val"] * 50)
+    a = gram_matrices(gram(df, "split", engine="sql"))
+    b = gram_matrices(gram(df, "split", engine="arrow"))
+    Z = np.hstack([X, np.ones((200, 1)), Y])
+    for k, sl in (("train", slice(0, 150)), ("val", slice(150, 200))):
+        assert np.allclose(a[k], b[k]) and np.allclose(a[k], Z[sl].T @ Z[sl])
