@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laglake.operators.common import as_keys
-from laglake.session import ensure_checkpoint_dir
+from laglake.session import ensure_checkpoint_dir, materialize
 
 GRID = 512
 
@@ -76,7 +76,7 @@ def exact_quantiles(df: DataFrame, key, value: str, quantiles: dict, accuracy: i
         return state.join(extra, keys, "inner") if keys else state.crossJoin(extra)
 
     ensure_checkpoint_dir(d.sparkSession)
-    st = st.checkpoint(eager=True)   # small state table (one row per group); cuts lineage between rounds
+    st = st.transform(lambda t: materialize(t, "quantiles"))   # small state table (one row per group); cuts lineage between rounds
     info = st.agg(F.count(F.lit(1)).alias("g"), F.max("n").alias("n")).first()
     small_state = info["g"] <= max_broadcast_groups
     picked_cols = [(name, i) for i, (name, _, _) in enumerate(targets)]
@@ -94,12 +94,12 @@ def exact_quantiles(df: DataFrame, key, value: str, quantiles: dict, accuracy: i
         one = with_state(st, [f"{p}{i}" for i in T for p in ("lo", "hi")]).groupBy(*keys).agg(
             *[F.count_if(v < F.col(f"lo{i}")).alias(f"b{i}") for i in T],
             *[F.sort_array(F.collect_list(F.when(inside(i), v))).alias(f"s{i}") for i in T])
-        fin = attach(st, one).checkpoint(eager=True)
+        fin = attach(st, one).transform(lambda t: materialize(t, "quantiles"))
         ok = F.lit(True)
         for i in T:
             ok = ok & (F.col(f"b{i}") <= F.col(f"k{i}")) & (F.col(f"k{i}") < F.col(f"b{i}") + F.size(f"s{i}"))
         if fin.agg(F.min(ok.cast("int")).alias("ok")).first()["ok"] in (None, 1):
-            out = pick(fin).checkpoint(eager=True)
+            out = pick(fin).transform(lambda t: materialize(t, "quantiles"))
             d.unpersist()
             return out
     for _ in range(max_rounds):
@@ -111,7 +111,7 @@ def exact_quantiles(df: DataFrame, key, value: str, quantiles: dict, accuracy: i
         st = st.select(*[c for c in st.columns if not any(c in (f"lo{i}", f"hi{i}", f"ok{i}") for i in T)],
                        *[F.when(ok[i], F.col(f"lo{i}")).otherwise(F.col(f"plo{i}")).alias(f"lo{i}") for i in T],
                        *[F.when(ok[i], F.col(f"hi{i}")).otherwise(F.col(f"phi{i}")).alias(f"hi{i}") for i in T],
-                       *[ok[i].alias(f"ok{i}") for i in T]).checkpoint(eager=True)
+                       *[ok[i].alias(f"ok{i}") for i in T]).transform(lambda t: materialize(t, "quantiles"))
         chk = st.agg(F.max(F.greatest(*[F.col(f"c{i}") for i in T], F.lit(0))).alias("w"),
                      F.min(F.least(*[F.col(f"ok{i}").cast("int") for i in T], F.lit(1))).alias("ok")).first()
         if chk["ok"] in (None, 1) and (chk["w"] or 0) <= max_candidates:
@@ -133,11 +133,11 @@ def exact_quantiles(df: DataFrame, key, value: str, quantiles: dict, accuracy: i
                     F.when(big, F.least(F.col(f"hi{i}"), F.element_at(f"z{i}", j_hi))).otherwise(F.col(f"hi{i}")).alias(f"hi{i}"),
                     F.col(f"lo{i}").alias(f"plo{i}"), F.col(f"hi{i}").alias(f"phi{i}")]
         drop = {f"{p}{i}" for i in T for p in ("lo", "hi", "plo", "phi", "z", "ok")}
-        st = st2.select(*[c for c in st2.columns if c not in drop], *upd).checkpoint(eager=True)
+        st = st2.select(*[c for c in st2.columns if c not in drop], *upd).transform(lambda t: materialize(t, "quantiles"))
     else:
         raise RuntimeError("exact_quantiles did not converge; raise max_rounds or max_candidates")
     cand = with_state(st, [f"{p}{i}" for i in T for p in ("lo", "hi")]).groupBy(*keys).agg(
         *[F.sort_array(F.collect_list(F.when(inside(i), v))).alias(f"s{i}") for i in T])
-    out = pick(attach(st, cand)).checkpoint(eager=True)   # one row per group; lets the cached input go
+    out = pick(attach(st, cand)).transform(lambda t: materialize(t, "quantiles"))   # one row per group; lets the cached input go
     d.unpersist()
     return out

@@ -63,3 +63,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/laglake/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df, name: str = "state"):
+    """Write ``df`` as Parquet under the shared scratch folder and read it back: lineage is cut
+    (the result survives executor loss) and, unlike an eager ``checkpoint()``, the input is
+    computed once."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
