@@ -45,7 +45,9 @@ def scale_windows(windows: DataFrame, stats: DataFrame, channels, targets, metho
     rows = {r["channel"]: r.asDict() for r in stats.collect()}
 
     def f(v, c):
-        s = rows[c]
+        s = rows.get(c)
+        if s is None:   # no training row at all: nothing to scale against
+            return F.lit(None).cast("double")
         if method == "minmax":
             den = s["max"] - s["min"]
             return (v - F.lit(s["min"])) / F.lit(den) if den else F.lit(None).cast("double")
