@@ -121,3 +121,54 @@ def run_zero_shot(spark: SparkSession, target: PreparedDataset, sources: list[Pr
         e = MET.ensemble(long, MET.score(long, ["model"]), ["segment", "ts"])
         scores = scores.unionByName(MET.score(e, ["model"], scaler=scaler))
     return scores
+
+
+def _target_scaler(d: PreparedDataset) -> dict | None:
+    if d.scaler is None:
+        return None
+    r = d.scaler.where(F.col("channel") == d.spec.target[0]).first()
+    return r.asDict() if r else None
+
+
+def _score_kinds(spark, fitted: dict, test: DataFrame, key: str, scaler, ensemble: bool) -> DataFrame:
+    preds = []
+    for kind, coef in fitted.items():
+        p = FC.predict(test, coef).withColumn("model", F.lit(kind))
+        preds.append(MET.long_predictions(p, ["model", key, "ts"] if "ts" in test.columns else ["model", key]))
+    long = union_all(preds)
+    scores = MET.score(long, ["model"], scaler=scaler)
+    if ensemble and len(preds) > 1:
+        keys = [key, "ts"] if "ts" in test.columns else [key]
+        e = MET.ensemble(long, MET.score(long, ["model"]), keys)
+        scores = scores.unionByName(MET.score(e, ["model"], scaler=scaler))
+    return scores
+
+
+def run_single(spark: SparkSession, ds: PreparedDataset, kinds=FC.KINDS, lambdas=(0.0, 1.0, 10.0, 100.0),
+               ensemble: bool = True, model_path: str | None = None, version: int = 1) -> DataFrame:
+    """One dataset: fit every kind on its train windows (lambda chosen on val, one Gram pass),
+    optionally store the coefficients, score on its test windows with its own scaler."""
+    L, F_, A = ds.window.lag, len(ds.spec.channels), ds.window.ahead * len(ds.spec.target)
+    mats = FC.split_grams(ds.windows, n_terms=L * F_ + 1 + A)
+    fitted = {}
+    for kind in kinds:
+        m = FC.fit(kind=kind, lambdas=lambdas, L=L, F_=F_, A=A, mats=mats)
+        if m is None:
+            continue
+        fitted[kind] = FC.coefficient_table(spark, kind, m["weights"], version)
+        if model_path:
+            FC.save_model(fitted[kind], model_path)
+    if not fitted:
+        raise ValueError("no training windows")
+    test = ds.windows.where(F.col("split") == "test").withColumnRenamed(ds.spec.date, "ts") \
+        if ds.spec.date != "ts" else ds.windows.where(F.col("split") == "test")
+    return _score_kinds(spark, fitted, test, ds.key, _target_scaler(ds), ensemble)
+
+
+def evaluate_stored(spark: SparkSession, target: PreparedDataset, model_path: str, kinds=FC.KINDS,
+                    ensemble: bool = True) -> DataFrame:
+    """Zero-shot evaluation of stored models: load each kind's latest coefficients (a filtered,
+    partition-pruned read), predict the target's test windows, score with the target's scaler."""
+    fitted = {k: FC.load_model(spark, model_path, k) for k in kinds}
+    test = target.windows.where(F.col("split") == "test")
+    return _score_kinds(spark, fitted, test, target.key, _target_scaler(target), ensemble)

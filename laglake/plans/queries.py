@@ -957,3 +957,34 @@ def q_zero_shot_experiment(spark, sf):
         return run_zero_shot(spark, h, [d])
     except ValueError:
         return spark.createDataFrame([], METRICS_SCHEMA)
+
+
+from laglake.plans.experiment import evaluate_stored, run_single  # noqa: E402
+
+
+def _d6_prepared(spark, sf):
+    return prepare_dataset(spark, DatasetSpec(path="", target=("qty",), date="ts", segment="segment", name="D6"),
+                           ZS_SPEC, source=V.d6(spark, sf), normalization="standard", strategy=VIEW_STRATEGY)
+
+
+@register("single_dataset_experiment", None)
+def q_single_dataset_experiment(spark, sf):
+    """Fit every kind on the daily lineitem series' own train/val windows, score its test windows."""
+    try:
+        return run_single(spark, _d6_prepared(spark, sf))
+    except ValueError:
+        return spark.createDataFrame([], METRICS_SCHEMA)
+
+
+@register("stored_model_eval", None)
+def q_stored_model_eval(spark, sf):
+    """Fit on daily lineitem series, store the coefficients, reload them and score the hourly
+    event series (an unseen dataset) with its own scaler."""
+    path = scratch_path(spark, "zs-models")
+    try:
+        run_single(spark, _d6_prepared(spark, sf), model_path=path)
+    except ValueError:
+        return spark.createDataFrame([], METRICS_SCHEMA)
+    h = prepare_dataset(spark, DatasetSpec(path="", target=("value",), date="ts", segment="segment", name="H5", granularity=60),
+                        ZS_SPEC_H, source=V.h5(spark, sf), normalization="standard", strategy=VIEW_STRATEGY)
+    return evaluate_stored(spark, h, path)
