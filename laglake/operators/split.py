@@ -94,10 +94,11 @@ def raw_split(raw: DataFrame, bounds: DataFrame, key, ts: str) -> DataFrame:
 
 
 def raw_split_single(raw: DataFrame, n_windows: DataFrame, ts: str, ratios=(0.7, 0.1, 0.2),
-                     chunk_minutes: int | None = None) -> DataFrame:
+                     chunk_minutes: int | None = 4096 * 1440) -> DataFrame:
     """Unsegmented series: raw rows (ordered by date) sliced by the *sample* indices of the
     window table: [0, train_idx) train, [train_idx, val_idx) val, [max(train_idx, val_idx), ...) test.
-    ``n_windows``: one-row DataFrame with column ``n`` (count of complete windows)."""
+    ``n_windows``: one-row DataFrame with column ``n`` (count of complete windows). Row positions come
+    from per-chunk counts (``chunk_minutes`` wide), so the single series is never one task."""
     from laglake.operators.common import chunk_of, with_minutes
     r = list(ratios) + [0.0] * (3 - len(ratios))
     d = with_minutes(raw, ts, "_m")
