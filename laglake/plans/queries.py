@@ -6,16 +6,31 @@ DuckDB oracle can compare values exactly."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from laglake.functions import sequence as S
+from laglake.functions.activations import ACTIVATIONS
+from laglake.functions.calendar import cyclical_pattern, time_encode
+from laglake.operators import forecast as FC
+from laglake.operators import metrics as MET
+from laglake.operators.assemble import assemble_zero_shot, shuffle_windows
+from laglake.operators.expand import channel_catalogue, feature_combinations, union_all, univariate_unpivot
+from laglake.operators.features import t2v_revin_frame, time2vec_weights
+from laglake.operators.grid import fill_date, fill_gaps
+from laglake.operators.prepare import dedupe_key, prepare, shrink_plan, strip_time
+from laglake.operators.scale import apply_scaler, fit_scaler
 from laglake.operators.split import chrono_split, raw_split, raw_split_single, rejected_segments, split_bounds
 from laglake.operators.windows import lag_columns, make_windows
-from laglake.operators.grid import fill_date
 from laglake.plans import oracle_sql as O
 from laglake.plans import views as V
+from laglake.plans.experiment import evaluate_stored, prepare_dataset, run_single, run_zero_shot
 from laglake.plans.views import with_views
-from laglake.spec import WindowSpec
+from laglake.session import scratch_path
+from laglake.sources.csv_scan import read_series, write_series_csv
+from laglake.sources.stores import read_windows, write_table, write_windows
+from laglake.spec import DatasetSpec, StripTime, WindowSpec
 
 R = 6
 QUERIES: dict = {}
@@ -205,9 +220,6 @@ register("flagship_split", ENTRY_SQL)(flagship)
 
 
 # ---------------------------------------------------------------- cleaning
-from laglake.operators.prepare import dedupe_key, prepare, shrink_plan, strip_time  # noqa: E402
-from laglake.operators.grid import fill_gaps  # noqa: E402
-from laglake.spec import DatasetSpec, StripTime  # noqa: E402
 
 EVENTS_SPEC = DatasetSpec(path="", target=("value",), date="ts", features=("user_id",), segment="event_type",
                           granularity=60, name="events")
@@ -323,8 +335,6 @@ def q_fill_stat(spark, sf):
 
 
 # ---------------------------------------------------------------- sources
-from laglake.session import scratch_path  # noqa: E402
-from laglake.sources.csv_scan import read_series, write_series_csv  # noqa: E402
 
 
 @register("csv_scan", with_views("SELECT segment, ts, round(qty, 6) AS qty FROM D6", "D6"))
@@ -338,7 +348,6 @@ def q_csv_scan(spark, sf):
 
 
 # ---------------------------------------------------------------- scaling
-from laglake.operators.scale import apply_scaler, fit_scaler  # noqa: E402
 
 
 def wide_train_raw(spark, sf):
@@ -406,8 +415,6 @@ def q_denormalize(spark, sf):
 
 
 # ---------------------------------------------------------------- calendar and activations
-from laglake.functions.activations import ACTIVATIONS  # noqa: E402
-from laglake.functions.calendar import cyclical_pattern, time_encode  # noqa: E402
 
 _CYC = "((hour(ts) * 60 + minute(ts)) / 5.0) / (24 * (60 / 5.0)) * 2 * pi()"
 
@@ -445,7 +452,6 @@ def q_activations(spark, sf):
 
 
 # ---------------------------------------------------------------- window transforms (sequence ops)
-from laglake.functions import sequence as S  # noqa: E402
 
 SEQ_SPEC = WindowSpec(lag=8, ahead=1, offset=1, minutes=1440)
 SEQ_K = S.decomposition_kernel(SEQ_SPEC.lag)          # 8 // 3 = 2 -> 3
@@ -546,7 +552,6 @@ def q_time2vec(spark, sf):
 
 
 # ---------------------------------------------------------------- metrics and ensemble
-from laglake.operators import metrics as MET  # noqa: E402
 
 
 def naive_predictions(spark, sf):
@@ -617,9 +622,7 @@ def q_ensemble(spark, sf):
 
 
 # ---------------------------------------------------------------- forecasting
-import numpy as np  # noqa: E402
 
-from laglake.operators import forecast as FC  # noqa: E402
 
 AR1_SPEC = WindowSpec(lag=1, ahead=1, offset=1, minutes=1440)
 
@@ -749,9 +752,6 @@ def q_model_roundtrip(spark, sf):
 
 
 # ---------------------------------------------------------------- expansion, assembly, stores
-from laglake.operators.assemble import assemble_zero_shot, shuffle_windows  # noqa: E402
-from laglake.operators.expand import channel_catalogue, feature_combinations, union_all, univariate_unpivot  # noqa: E402
-from laglake.sources.stores import read_windows, write_windows  # noqa: E402
 
 WIDE_CH = ["qty", "price", "disc"]
 
@@ -828,7 +828,6 @@ def q_windows_roundtrip(spark, sf):
 
 
 # ---------------------------------------------------------------- rows-only fits (no SQL twin)
-from laglake.operators.features import t2v_revin_frame, time2vec_weights  # noqa: E402
 
 
 METRICS_SCHEMA = "model string, " + ", ".join(f"{m} double" for m in MET.ALL_METRICS)
@@ -889,7 +888,6 @@ def q_predict_t2v(spark, sf):
 
 
 # ---------------------------------------------------------------- sinks (write, read back, compare)
-from laglake.sources.stores import write_table  # noqa: E402
 
 
 def _roundtrip(spark, df, name, fmt="parquet", partition_by=None, single_file=False, mode="overwrite"):
@@ -931,7 +929,6 @@ def q_metrics_sink(spark, sf):
 
 
 # ---------------------------------------------------------------- top-level flows
-from laglake.plans.experiment import prepare_dataset, run_zero_shot  # noqa: E402
 
 WIDE_DS = DatasetSpec(path="", target=("qty",), date="ts", features=("price", "disc"), segment="segment", name="WIDE")
 
@@ -959,9 +956,6 @@ def q_zero_shot_experiment(spark, sf):
         return spark.createDataFrame([], METRICS_SCHEMA)
 
 
-from laglake.plans.experiment import evaluate_stored, run_single  # noqa: E402
-
-
 def _d6_prepared(spark, sf):
     return prepare_dataset(spark, DatasetSpec(path="", target=("qty",), date="ts", segment="segment", name="D6"),
                            ZS_SPEC, source=V.d6(spark, sf), normalization="standard", strategy=VIEW_STRATEGY)
