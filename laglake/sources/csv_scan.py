@@ -17,20 +17,45 @@ def file_stem(col: str = "_metadata.file_name") -> F.Column:
     return F.when(stem.rlike("^[0-9]+$"), stem.try_cast("bigint").cast("string")).otherwise(stem)
 
 
-def read_series(spark: SparkSession, spec: DatasetSpec, schema=None, sampling_ratio: float = 1.0) -> DataFrame:
-    """Read every ``*<extension>`` file below ``spec.path`` (recursively) into one DataFrame.
-
-    Without ``schema`` types are inferred (one extra scan over ``sampling_ratio`` of the input);
-    pass a schema at scale. Raises when no file matches."""
+def _reader(spark: SparkSession, spec: DatasetSpec):
     r = (spark.read.option("header", spec.has_header).option("sep", spec.delimiter)
          .option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{spec.extension}")
          .option("mode", "PERMISSIVE"))
+    return r.option("timestampFormat", spec.time_format) if spec.time_format else r
+
+
+def infer_schema(spark: SparkSession, spec: DatasetSpec, rows: int = 10_000):
+    """Infer column types from the first ``rows`` data lines of the input (header lines of further
+    files are skipped), so inference costs a bounded read instead of a pass over every file."""
+    text = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{spec.extension}")
+            .text(spec.path))
+    first = text.limit(1).collect()
+    if not first:
+        raise FileNotFoundError(f"no {spec.extension} file under {spec.path}")
+    head = text.limit(rows + 1)
+    lines = head.rdd.map(lambda r: r.value)
+    if spec.has_header:
+        header = first[0].value
+        lines = spark.sparkContext.parallelize([header], 1).union(lines.filter(lambda v: v != header))
+    r = (spark.read.option("header", spec.has_header).option("sep", spec.delimiter).option("inferSchema", "true"))
     if spec.time_format:
         r = r.option("timestampFormat", spec.time_format)
+    return r.csv(lines).schema
+
+
+def read_series(spark: SparkSession, spec: DatasetSpec, schema=None, infer_rows: int | None = 10_000) -> DataFrame:
+    """Read every ``*<extension>`` file below ``spec.path`` (recursively) into one DataFrame.
+
+    Types come from ``schema`` when given, else from the first ``infer_rows`` lines (like the
+    reference's 10 000-row inference), else (``infer_rows=None``) from a full inference pass.
+    Raises when no file matches."""
+    r = _reader(spark, spec)
+    if schema is None and infer_rows:
+        schema = infer_schema(spark, spec, infer_rows)
     if schema is not None:
         r = r.schema(schema)
     else:
-        r = r.option("inferSchema", "true").option("samplingRatio", sampling_ratio)
+        r = r.option("inferSchema", "true")
     df = r.csv(spec.path)
     if not df.columns:
         raise FileNotFoundError(f"no {spec.extension} file under {spec.path}")
