@@ -73,3 +73,21 @@ def materialize(df, name: str = "state"):
     path = scratch_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def cluster_conf(input_bytes: int, executor_cores: int = 1000 * 4, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings sized from the input volume for a cluster run (apply with ``SparkSession.builder.config``
+    or ``spark.conf.set``): enough shuffle partitions that each holds ~``target_partition_bytes``
+    (AQE then coalesces small ones and splits skewed ones), scan splits of the same size, and
+    AQE skew handling for hot keys. Example: 100 TB -> ~400 000 shuffle partitions."""
+    parts = max(executor_cores * 2, int(input_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.execution.arrow.maxRecordsPerBatch": "10000",
+        "spark.sql.session.timeZone": "UTC",
+    }
