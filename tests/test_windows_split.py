@@ -175,3 +175,29 @@ def test_p10_skip_test_keeps_first_ten(spark):
     assert a.where(F.col("dataset") == "src").count() == 39
     with pytest.raises(ValueError):
         assemble_zero_shot(t, {"src": src}, shapes={"target": (8, 1, 1), "src": (4, 1, 1)})
+
+
+@pytest.mark.parametrize("ratios", [(0.7, 0.1, 0.2), (0.6, 0.2, 0.2), (0.7, 0.0, 0.3), (0.5, 0.25, 0.25)])
+def test_split_sizes_all_lengths(spark, ratios):
+    import math
+    rows = [(f"s{n:02d}", day(i), float(i)) for n in range(1, 61) for i in range(1, n + 2)]
+    s = series(spark, rows)
+    w = make_windows(s, "segment", "ts", ["v"], ["v"], WindowSpec(lag=1), strategy="halo", chunk_steps=8)
+    acc, rej = chrono_split(w, "segment", ratios)
+    got = {}
+    for r in acc.groupBy("segment", "split").count().collect():
+        got.setdefault(r["segment"], {})[r["split"]] = r["count"]
+    rejected = {r["segment"]: r["reason"] for r in rej.collect()}
+    for n in range(1, 61):
+        tr = math.ceil(n * ratios[0])
+        va = int(n * (ratios[0] + ratios[1]))
+        sizes = {"train": min(tr, n), "val": max(min(va, n) - tr, 0), "test": n - min(max(tr, va), n)}
+        bad = sizes["train"] <= 0 or (ratios[1] != 0 and sizes["val"] <= 0) or (ratios[2] != 0 and sizes["test"] <= 0)
+        seg = f"s{n:02d}"
+        if bad:
+            assert seg in rejected and seg not in got
+        else:
+            assert got[seg] == {k: v for k, v in sizes.items() if v > 0}, (n, got[seg], sizes)
+            # splits are contiguous and chronological
+            order = [r["split"] for r in acc.where(F.col("segment") == seg).orderBy("ts").collect()] if n in (7, 33) else []
+            assert order == sorted(order, key=["train", "val", "test"].index)
