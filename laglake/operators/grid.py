@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from laglake.functions.timecols import from_minute_index
-from laglake.operators.common import DEFAULT_CHUNK_STEPS, as_keys, chunk_of, with_minutes
+from laglake.operators.common import DEFAULT_CHUNK_STEPS, as_keys, chunk_of, qc, with_minutes
 
 
 def series_bounds(df: DataFrame, key, ts: str) -> DataFrame:
@@ -38,23 +38,36 @@ def grid(df: DataFrame, key, ts: str, minutes: int, low=None, high=None,
     return pts.select(*keys, from_minute_index(F.col("m_lo") + F.col("_i") * minutes).alias(ts))
 
 
+def align_to_grid(df: DataFrame, key, ts: str, minutes: int, align: str = "floor") -> DataFrame:
+    """Put off-grid rows onto their series' grid (anchored at the series' first timestamp):
+    ``floor`` moves them to the step below (when several rows land on one step the latest
+    observation wins), ``drop`` removes them, ``keep`` leaves the data unchanged. The per-series
+    anchor table joins on the key (AQE broadcasts it when small, splits skew otherwise)."""
+    keys = as_keys(key)
+    if align == "keep":
+        return df
+    if align not in ("floor", "drop"):
+        raise ValueError("align must be keep|floor|drop")
+    b = with_minutes(series_bounds(df, keys, ts), "lo", "m_lo").select(*keys, "m_lo")
+    src = with_minutes(df, ts, "_m")
+    src = src.join(b, keys, "inner") if keys else src.crossJoin(F.broadcast(b))
+    off = (F.col("_m") - F.col("m_lo")) % minutes
+    if align == "drop":
+        return src.where(off == 0).drop("_m", "m_lo")
+    others = [c for c in df.columns if c not in (*keys, ts)]
+    floored = src.withColumn("_t", from_minute_index(F.col("_m") - off))
+    if not others:
+        return floored.select(*keys, F.col("_t").alias(ts)).distinct()
+    best = floored.groupBy(*keys, "_t").agg(F.max_by(F.struct(*[qc(c) for c in others]), F.col(ts)).alias("_r"))
+    return best.select(*keys, F.col("_t").alias(ts), *[F.col("_r")[c].alias(c) for c in others])
+
+
 def fill_date(df: DataFrame, key, ts: str, minutes: int, low=None, high=None, align: str = "keep") -> DataFrame:
     """Full outer equi-join of each series with its grid; the key of new rows is filled from
-    the grid side. ``align``: keep off-grid rows (default), ``floor`` them onto the grid, or
-    ``drop`` them."""
+    the grid side. ``align``: keep off-grid rows (default, the reference), ``floor`` them onto the
+    grid, or ``drop`` them (see ``align_to_grid``)."""
     keys = as_keys(key)
-    if align not in ("keep", "floor", "drop"):
-        raise ValueError("align must be keep|floor|drop")
-    src = df
-    if align != "keep":
-        b = with_minutes(series_bounds(df, keys, ts), "lo", "m_lo").select(*keys, "m_lo")
-        src = with_minutes(df, ts, "_m").join(b, keys, "inner") if keys else with_minutes(df, ts, "_m").crossJoin(F.broadcast(b))
-        off = (F.col("_m") - F.col("m_lo")) % minutes
-        if align == "drop":
-            src = src.where(off == 0)
-        else:
-            src = src.withColumn(ts, from_minute_index(F.col("_m") - off))
-        src = src.drop("_m", "m_lo")
+    src = align_to_grid(df, keys, ts, minutes, align)
     g = grid(df, keys, ts, minutes, low, high)
     return src.join(g, on=[*keys, ts], how="full_outer")
 

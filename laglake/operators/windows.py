@@ -76,13 +76,22 @@ def grid_check(df: DataFrame, key, ts: str, minutes: int) -> dict:
 
 
 def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpec, strategy: str = "auto",
-                 chunk_steps: int = DEFAULT_CHUNK_STEPS, halo_rows: int = HALO_ROWS) -> DataFrame:
-    """Return ``[*keys, (chunk,) ts, tus, x, y]`` (``tus``: microseconds since epoch, the order key); x is array<double> for one channel, else
+                 chunk_steps: int = DEFAULT_CHUNK_STEPS, halo_rows: int = HALO_ROWS, align: str = "keep") -> DataFrame:
+    """``align``: ``keep`` off-grid rows as steps (reference; needs ``dense``), or ``floor`` / ``drop``
+    them onto the grid first (then RANGE / halo plans apply).
+
+    Return ``[*keys, (chunk,) ts, tus, x, y]`` (``tus``: microseconds since epoch, the order key); x is array<double> for one channel, else
     array<array<double>> (steps x channels, features then targets); y is array<double> of
     ahead x targets values, step-major, oldest first."""
     keys = as_keys(key)
     channels = list(unique([*channels, *targets]))
     targets = list(unique(targets))
+    if align != "keep":
+        # aligned rows are all on the grid, so the RANGE / halo plans apply
+        from laglake.operators.grid import align_to_grid
+        df = align_to_grid(df.select(*[qc(c) for c in (*keys, ts, *channels)]), keys, ts, spec.minutes, align)
+        if strategy in ("auto", "dense"):
+            strategy = "halo" if not keys else "range"
     if not keys and strategy == "range":
         strategy = "halo"   # a single series is one hot key: always spread it over time chunks
     if strategy == "auto":

@@ -106,7 +106,8 @@ def test_fx9_off_grid_alignment(spark):
     assert fill_date(s, "segment", "ts", 60, align="keep").count() == 4
     assert fill_date(s, "segment", "ts", 60, align="drop").count() == 3
     fl = fill_date(s, "segment", "ts", 60, align="floor")
-    assert sorted(r["ts"].minute for r in fl.collect()) == [0, 0, 0, 0]
+    # 01:30 floors onto 01:00: one row per grid step, the latest observation (90) wins
+    assert sorted((r["ts"].hour, r["ts"].minute, r["v"]) for r in fl.collect()) == [(0, 0, 0.0), (1, 0, 90.0), (2, 0, 120.0)]
 
 
 def test_halo_equals_range_random(spark):
@@ -201,3 +202,17 @@ def test_split_sizes_all_lengths(spark, ratios):
             # splits are contiguous and chronological
             order = [r["split"] for r in acc.where(F.col("segment") == seg).orderBy("ts").collect()] if n in (7, 33) else []
             assert order == sorted(order, key=["train", "val", "test"].index)
+
+
+def test_fx9_window_alignment(spark):
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", t0 + dt.timedelta(minutes=m), float(m)) for m in (0, 60, 90, 120, 180, 200)]
+    s = series(spark, rows)
+    spec = WindowSpec(lag=2, ahead=1, offset=1, minutes=60)
+    drop = win_rows(make_windows(s, "segment", "ts", ["v"], ["v"], spec, align="drop"))
+    assert [(r[2], r[3]) for r in drop] == [((0.0, 60.0), (120.0,)), ((60.0, 120.0), (180.0,))]
+    fl = win_rows(make_windows(s, "segment", "ts", ["v"], ["v"], spec, align="floor"))
+    # 01:30 floors onto 01:00 and wins there (latest observation); 03:20 floors onto 03:00
+    assert [(r[2], r[3]) for r in fl] == [((0.0, 90.0), (120.0,)), ((90.0, 120.0), (200.0,))]
+    keep = win_rows(make_windows(s, "segment", "ts", ["v"], ["v"], spec, strategy="dense"))
+    assert len(keep) > 0
