@@ -982,3 +982,22 @@ def q_stored_model_eval(spark, sf):
     h = prepare_dataset(spark, DatasetSpec(path="", target=("value",), date="ts", segment="segment", name="H5", granularity=60),
                         ZS_SPEC_H, source=V.h5(spark, sf), normalization="standard", strategy=VIEW_STRATEGY)
     return evaluate_stored(spark, h, path)
+
+
+# ---------------------------------------------------------------- off-grid alignment
+ALIGN_SPEC = WindowSpec(lag=4, ahead=1, offset=1, minutes=60)
+
+
+@register("lag_windows_aligned", with_views(
+    ", ev AS (SELECT event_type AS segment, ts, value, CAST(floor(epoch(ts) / 60) AS BIGINT) AS m FROM events), "
+    "lo AS (SELECT segment, min(m) AS m_lo FROM ev GROUP BY 1), "
+    "al AS (SELECT ev.segment, TIMESTAMP '1970-01-01 00:00:00' + to_minutes(ev.m - ((ev.m - lo.m_lo) % 60)) AS ts, "
+    "arg_max(ev.value, ev.ts) AS value FROM ev JOIN lo USING (segment) GROUP BY 1, 2), "
+    f"w AS ({O.windows_cte('al', ['segment'], 'ts', ['value'], ['value'], 4, 1, 1, 60)}) "
+    + SQL_EXPLODE_XY.format(k="segment, ")))
+def q_lag_windows_aligned(spark, sf):
+    """Raw events (sub-minute, off-grid timestamps) floored onto each type's hourly grid, latest
+    observation per step, then hourly lag-4 windows."""
+    ev = V.table(spark, sf, "events").select(F.col("event_type").alias("segment"), "ts", "value")
+    w = make_windows(ev, "segment", "ts", ["value"], ["value"], ALIGN_SPEC, strategy="range", align="floor")
+    return explode_xy(w, ["segment"])

@@ -72,5 +72,5 @@ def with_views(sql: str, *names: str) -> str:
     """Prefix ``sql`` with the CTEs of the named series views."""
     ctes = ",\n".join(f"{n} AS ({SQL_VIEWS[n]})" for n in names)
     if not names:
-        return sql.lstrip(", ").replace("AS (", "AS (", 1) if sql.lstrip().startswith(",") else sql
+        return "WITH " + sql.lstrip().lstrip(",").lstrip() if sql.lstrip().startswith(",") else sql
     return f"WITH {ctes}{'' if sql.lstrip().startswith(',') else chr(10)}{sql}"
