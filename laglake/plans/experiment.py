@@ -20,6 +20,7 @@ from laglake.operators.prepare import prepare
 from laglake.operators.scale import fit_scaler
 from laglake.operators.split import chrono_split, raw_split, rejected_segments, split_bounds
 from laglake.operators.windows import make_windows
+from laglake.session import materialize
 from laglake.sources.csv_scan import read_series
 from laglake.spec import DatasetSpec, WindowSpec
 
@@ -70,7 +71,9 @@ def scale_windows(windows: DataFrame, stats: DataFrame, channels, targets, metho
 
 def prepare_dataset(spark: SparkSession, spec: DatasetSpec, window: WindowSpec, source: DataFrame | None = None,
                     normalization: str | None = None, strategy: str = "auto", null_scope: str = "all",
-                    strict_parity: bool = False) -> PreparedDataset:
+                    strict_parity: bool = False, materialize_windows: bool = True) -> PreparedDataset:
+    """``materialize_windows``: write the window table once to the shared scratch folder and read it
+    back, so the split, the rejects and the boundaries do not each recompute it (and lineage is cut)."""
     raw_in = source if source is not None else read_series(spark, spec)
     series = prepare(raw_in, spec, null_scope=null_scope)
     key = spec.segment
@@ -79,6 +82,8 @@ def prepare_dataset(spark: SparkSession, spec: DatasetSpec, window: WindowSpec,
         key = SEGMENT
     strat = strategy if spec.segment is not None else "halo"
     w = make_windows(series, key, spec.date, spec.features, spec.target, window, strategy=strat)
+    if materialize_windows:
+        w = materialize(w, f"windows-{spec.name}")
     acc, _ = chrono_split(w, key, window.ratios, strict_parity=strict_parity)
     rej = rejected_segments(series, w, key, window.ratios)
     bounds = split_bounds(acc, key, spec.date)

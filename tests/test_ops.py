@@ -255,3 +255,23 @@ def test_gram_engines_agree(spark):
     Z = np.hstack([X, np.ones((200, 1)), Y])
     for k, sl in (("train", slice(0, 150)), ("val", slice(150, 200))):
         assert np.allclose(a[k], b[k]) and np.allclose(a[k], Z[sl].T @ Z[sl])
+
+
+def test_cli_end_to_end(spark):
+    from laglake.__main__ import main
+    d = tempfile.mkdtemp(prefix="laglake-cli-")
+    rng = np.random.default_rng(2)
+    for station in (3, 7):
+        with open(os.path.join(d, f"{station}.csv"), "w") as fh:
+            fh.write("date,average,extra\n")
+            level = 10.0
+            for i in range(120):
+                level += rng.normal()
+                fh.write(f"{(T0 + dt.timedelta(days=i)).date()},{level:.3f},{i % 7}\n")
+    out = tempfile.mkdtemp(prefix="laglake-cli-out-")
+    res = main(["--path", d, "--date", "date", "--target", "average", "--features", "extra", "--segment", "station",
+                "--file-name-as-feature", "station", "--lag", "5", "--normalization", "standard", "--out", out], spark=spark)
+    rows = {r["model"]: r for r in res.collect()}
+    assert set(rows) == {"linear", "nlinear", "dlinear", "Ensemble"}
+    assert all(r["rmse"] is not None and r["rmse"] >= 0 for r in rows.values())
+    assert any(f.endswith(".csv") for f in os.listdir(os.path.join(out, "results")))
