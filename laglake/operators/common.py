@@ -32,9 +32,12 @@ def with_minutes(df: DataFrame, ts: str, name: str = "m") -> DataFrame:
     return df if name in df.columns else df.withColumn(name, minute_index(ts))
 
 
-def chunk_of(m: Column | str, chunk_minutes: int) -> Column:
+def chunk_of(m: Column | str, width: int) -> Column:
+    """floor(m / width) for BIGINT m of any sign, computed exactly: m - pmod(m, width) is a multiple
+    of width, so the division has no rounding even for microsecond counts near 2^53."""
     m = F.col(m) if isinstance(m, str) else m
-    return F.floor(m / F.lit(int(chunk_minutes))).cast("long")
+    w = F.lit(int(width)).cast("long")
+    return F.floor((m - F.pmod(m, w)) / w).cast("long")
 
 
 def ordered_row_number(df: DataFrame, keys: list[str], order: str, chunk: str | None = None,
