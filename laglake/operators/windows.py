@@ -8,7 +8,10 @@ Strategies (same rows, different physical plans):
                  chunk(s) its windows reach, so a hot or very long segment spreads over many tasks.
   * ``dense``  - densify onto the grid (``grid.fill_date``), then ROWS frames; keeps off-grid rows
                  as steps, like the reference's outer join.
-  * ``auto``   - one aggregate decides: off-grid -> dense; largest segment > ``halo_rows`` -> halo.
+  * ``dense_halo`` - ``dense`` computed per (key, block of row positions) with the previous block's
+                 last rows copied in; positions come from per-chunk prefix counts (no per-key task).
+  * ``auto``   - one aggregate decides: off-grid -> dense (dense_halo for long / unkeyed series);
+                 largest segment > ``halo_rows`` -> halo.
 """
 
 from __future__ import annotations
@@ -97,12 +100,15 @@ def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpe
     if strategy == "auto":
         chk = grid_check(df, keys, ts, spec.minutes)
         if not chk["on_grid"]:
-            strategy = "dense"
+            strategy = "dense_halo" if (chk["max_rows"] > halo_rows or not keys) else "dense"
         else:
             strategy = "halo" if (chk["max_rows"] > halo_rows or not keys) else "range"
-    if strategy == "dense":
+    if strategy in ("dense", "dense_halo"):
         from laglake.operators.grid import fill_date
-        return _windows_rows(fill_date(df, keys, ts, spec.minutes), keys, ts, channels, targets, spec)
+        dense = fill_date(df.select(*[qc(c) for c in (*keys, ts, *channels)]), keys, ts, spec.minutes)
+        if strategy == "dense" and keys:
+            return _windows_rows(dense, keys, ts, channels, targets, spec)
+        return _windows_rows_halo(dense, keys, ts, channels, targets, spec, chunk_steps)
     # Order by a microsecond index and rebuild ``ts`` from it after the window: the shuffled
     # rows then carry no column that a second consumer (e.g. the split's per-chunk counts)
     # would prune, so Spark can reuse this one shuffle for both.
@@ -144,3 +150,23 @@ def _windows_rows(dense: DataFrame, keys, ts, channels, targets, spec: WindowSpe
                    F.count(F.lit(1)).over(w.rowsBetween(-spec.span, -spec.offset)).alias("_nx"))
     out = out.where((F.size("x") == spec.lag) & (F.col("_nx") == spec.lag) & (F.size("_y") == spec.ahead))
     return out.withColumn("y", F.flatten("_y")).drop("_y", "_nx")
+
+
+def _windows_rows_halo(dense: DataFrame, keys, ts, channels, targets, spec: WindowSpec, chunk_steps: int) -> DataFrame:
+    """ROWS-frame windows without a per-key task: rows get their position in the series (per-chunk
+    prefix counts), are grouped in blocks of ``chunk_steps`` positions, and the last ``span`` rows of
+    each block are copied into the next block, so every frame is complete inside one block."""
+    from laglake.operators.common import ordered_row_number
+    d = dense.withColumn("tus", micros(ts))
+    d = d.withColumn("_tc", chunk_of("tus", chunk_steps * spec.minutes * 60_000_000))
+    d = ordered_row_number(d, keys, "tus", "_tc", name="_rn", count_name=None).drop("_tc")
+    d = (d.withColumn("_own", chunk_of("_rn", chunk_steps))
+          .withColumn("_blk", F.explode(F.sequence(F.col("_own"), chunk_of(F.col("_rn") + spec.span, chunk_steps)))))
+    w = Window.partitionBy(*keys, "_blk").orderBy("_rn")
+    out = d.select(*keys, ts, "tus", "_own", "_blk",
+                   F.collect_list(_step(channels)).over(w.rowsBetween(-spec.span, -spec.offset)).alias("x"),
+                   F.collect_list(_target_step(targets)).over(w.rowsBetween(-(spec.ahead - 1), 0)).alias("_y"),
+                   F.count(F.lit(1)).over(w.rowsBetween(-spec.span, -spec.offset)).alias("_nx"))
+    out = out.where((F.col("_blk") == F.col("_own")) & (F.size("x") == spec.lag) & (F.col("_nx") == spec.lag)
+                    & (F.size("_y") == spec.ahead))
+    return out.select(*keys, ts, "tus", "x", F.flatten("_y").alias("y"))

@@ -110,6 +110,13 @@ def q_lag_windows_dense(spark, sf):
     return explode_xy(d6_windows(spark, sf, "dense"), ["segment"])
 
 
+@register("lag_windows_dense_halo", QUERIES["lag_windows"][1])
+def q_lag_windows_dense_halo(spark, sf):
+    """Grid + ROWS frames per (segment, block of 256 positions): skew-safe dense windows."""
+    w = make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], D6_SPEC, strategy="dense_halo", chunk_steps=256)
+    return explode_xy(w, ["segment"])
+
+
 WIDE_SPEC = WindowSpec(lag=4, ahead=1, offset=1, minutes=1440)
 
 

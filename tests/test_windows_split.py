@@ -216,3 +216,24 @@ def test_fx9_window_alignment(spark):
     assert [(r[2], r[3]) for r in fl] == [((0.0, 90.0), (120.0,)), ((90.0, 120.0), (200.0,))]
     keep = win_rows(make_windows(s, "segment", "ts", ["v"], ["v"], spec, strategy="dense"))
     assert len(keep) > 0
+
+
+def test_dense_halo_equals_dense(spark):
+    rnd = random.Random(11)
+    t0 = dt.datetime(2024, 1, 1)
+    rows = []
+    for seg in ("a", "b"):
+        for i in range(300):
+            if rnd.random() < 0.8:
+                rows.append((seg, t0 + dt.timedelta(hours=i), float(rnd.randint(0, 9))))
+            if rnd.random() < 0.1:   # off-grid observations count as steps under dense semantics
+                rows.append((seg, t0 + dt.timedelta(hours=i, minutes=17), float(rnd.randint(0, 9))))
+    s = series(spark, rows)
+    spec = WindowSpec(lag=3, ahead=2, offset=2, minutes=60)
+    a = win_rows(make_windows(s, "segment", "ts", ["v"], ["v"], spec, strategy="dense"))
+    b = win_rows(make_windows(s, "segment", "ts", ["v"], ["v"], spec, strategy="dense_halo", chunk_steps=16))
+    assert a == b and len(a) > 50
+    one = s.where(F.col("segment") == "a").drop("segment").withColumn("segment", F.lit("a"))
+    c = win_rows(make_windows(one.drop("segment"), None, "ts", ["v"], ["v"], spec, strategy="dense", chunk_steps=16)
+                 .withColumn("segment", F.lit("a")))
+    assert c == [r for r in a if r[0] == "a"]
