@@ -1008,3 +1008,20 @@ def q_lag_windows_aligned(spark, sf):
     ev = V.table(spark, sf, "events").select(F.col("event_type").alias("segment"), "ts", "value")
     w = make_windows(ev, "segment", "ts", ["value"], ["value"], ALIGN_SPEC, strategy="range", align="floor")
     return explode_xy(w, ["segment"])
+
+
+@register("metrics_scaled", QUERIES["metrics_all"][1])
+def q_metrics_scaled(spark, sf):
+    """Naive models run on standard-scaled windows and are scored after inverse scaling with the
+    training scaler (both models commute with affine maps, so the metrics equal the raw ones)."""
+    from laglake.plans.experiment import scale_windows
+    st = d6_train_stats(spark, sf, "standard")
+    t = scale_windows(d6_split_windows(spark, sf).where(F.col("split") == "test"), st, ["qty"], ["qty"], "standard")
+    last = t.select("segment", "ts", "y", F.lit("last").alias("model"),
+                    F.transform("y", lambda v: F.element_at("x", -1)).alias("yhat"))
+    mean = t.select("segment", "ts", "y", F.lit("mean").alias("model"),
+                    F.transform("y", lambda v: S.array_mean("x")).alias("yhat"))
+    p = MET.long_predictions(last.unionByName(mean), ["model", "segment", "ts"])
+    row = st.first()
+    sc = MET.score(p, ["model"], scaler=row.asDict() if row else None)
+    return sc.select("model", *[rnd(m).alias(m) for m in MET.ALL_METRICS])
