@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 REVIN_EPS = 1e-5
+MAX_LITERAL_WEIGHTS = 4096   # beyond this the generated expression outgrows whole-stage codegen
 
 
 def _c(c) -> Column:
@@ -87,6 +88,8 @@ def time2vec(x, wa, ba, wb, bb) -> Column:
     large k with a vectorised pandas UDF."""
     x = _c(x)
     k = len(wa)
+    if k * len(ba) > MAX_LITERAL_WEIGHTS:
+        raise ValueError(f"{k * len(ba)} literal weights: use operators.features.t2v_revin_frame for large L*k")
     wa_c = F.array(*[F.lit(float(v)) for v in wa])
     ba_c = F.array(*[F.array(*[F.lit(float(v)) for v in row]) for row in ba])
     wb_c = F.array(*[F.lit(float(v)) for v in wb])

@@ -89,6 +89,12 @@ def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpe
     keys = as_keys(key)
     channels = list(unique([*channels, *targets]))
     targets = list(unique(targets))
+    shared = [c for c in channels if c in keys or c == ts]
+    if shared:
+        # a key (e.g. a numeric station id) can also be an input channel: window a copy of it
+        df = df.select("*", *[qc(c).alias(f"__ch_{c}") for c in shared])
+        channels = [f"__ch_{c}" if c in shared else c for c in channels]
+        targets = [f"__ch_{c}" if c in shared else c for c in targets]
     if align != "keep":
         # aligned rows are all on the grid, so the RANGE / halo plans apply
         from laglake.operators.grid import align_to_grid

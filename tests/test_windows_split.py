@@ -237,3 +237,13 @@ def test_dense_halo_equals_dense(spark):
     c = win_rows(make_windows(one.drop("segment"), None, "ts", ["v"], ["v"], spec, strategy="dense", chunk_steps=16)
                  .withColumn("segment", F.lit("a")))
     assert c == [r for r in a if r[0] == "a"]
+
+
+def test_segment_is_also_a_channel(spark):
+    # a dataset whose segment column (numeric station id) is also listed as a feature
+    rows = [(st, day(i), float(i * st)) for st in (3, 7) for i in range(1, 8)]
+    s = spark.createDataFrame(rows, "station bigint, ts timestamp_ntz, average double")
+    for strat in ("range", "halo", "dense"):
+        w = make_windows(s, "station", "ts", ["station"], ["average"], WindowSpec(lag=2), strategy=strat, chunk_steps=4)
+        r = w.where(F.col("station") == 7).orderBy("ts").first()
+        assert r["x"] == [[7.0, 7.0], [7.0, 14.0]] and r["y"] == [21.0], strat
