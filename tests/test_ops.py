@@ -275,3 +275,15 @@ def test_cli_end_to_end(spark):
     assert set(rows) == {"linear", "nlinear", "dlinear", "Ensemble"}
     assert all(r["rmse"] is not None and r["rmse"] >= 0 for r in rows.values())
     assert any(f.endswith(".csv") for f in os.listdir(os.path.join(out, "results")))
+
+
+def test_read_cases_and_expand(spark):
+    from laglake.sources.cases import read_cases
+    d = tempfile.mkdtemp(prefix="laglake-cases-")
+    p = os.path.join(d, "cases.csv")
+    with open(p, "w") as fh:
+        fh.write("Case,lag,Salinity,ETTh1\n1,8,1,0\n2,16,1,1\n3,32,0,1\n")
+    cases = read_cases(spark, p, selected=[2, 3])
+    cat = spark.createDataFrame([("data/Salinity/stations", 0), ("data/ETT/ETTh1.csv", 1)], "path string, cat_order int")
+    out = sorted((r["Case"], r["flag"]) for r in expand_cases(cases, cat, ["Salinity", "ETTh1"]).collect())
+    assert out == [(2, "ETTh1"), (2, "Salinity"), (3, "ETTh1")]
