@@ -99,9 +99,8 @@ def exact_quantiles(df: DataFrame, key, value: str, quantiles: dict, accuracy: i
         for i in T:
             ok = ok & (F.col(f"b{i}") <= F.col(f"k{i}")) & (F.col(f"k{i}") < F.col(f"b{i}") + F.size(f"s{i}"))
         if fin.agg(F.min(ok.cast("int")).alias("ok")).first()["ok"] in (None, 1):
-            out = pick(fin).transform(lambda t: materialize(t, "quantiles"))
             d.unpersist()
-            return out
+            return pick(fin)   # reads only the written ``fin``, not the cached input
     for _ in range(max_rounds):
         cnt = with_state(st, [f"{p}{i}" for i in T for p in ("lo", "hi")]).groupBy(*keys).agg(
             *[F.count_if(v < F.col(f"lo{i}")).alias(f"b{i}") for i in T],

@@ -71,11 +71,16 @@ def scale_windows(windows: DataFrame, stats: DataFrame, channels, targets, metho
 
 def prepare_dataset(spark: SparkSession, spec: DatasetSpec, window: WindowSpec, source: DataFrame | None = None,
                     normalization: str | None = None, strategy: str = "auto", null_scope: str = "all",
-                    strict_parity: bool = False, materialize_windows: bool = True) -> PreparedDataset:
-    """``materialize_windows``: write the window table once to the shared scratch folder and read it
-    back, so the split, the rejects and the boundaries do not each recompute it (and lineage is cut)."""
+                    strict_parity: bool = False, materialize_windows: bool = True,
+                    materialize_series: bool = True) -> PreparedDataset:
+    """``materialize_series`` / ``materialize_windows``: write the cleaned series and the window table
+    once to the shared scratch folder and read them back. The series feeds the windows, the rejects
+    and the raw splits, and the windows feed the split, rejects and boundaries; without this each
+    consumer would re-parse and re-shuffle the input (and lineage is cut for recovery)."""
     raw_in = source if source is not None else read_series(spark, spec)
     series = prepare(raw_in, spec, null_scope=null_scope)
+    if materialize_series:
+        series = materialize(series, f"series-{spec.name}")
     key = spec.segment
     if key is None:
         series = series.withColumn(SEGMENT, F.lit("all"))
