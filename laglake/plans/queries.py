@@ -358,7 +358,10 @@ def q_csv_scan(spark, sf):
 
 
 def wide_train_raw(spark, sf):
-    w = make_windows(V.wide(spark, sf), "segment", "ts", ["qty"], ["qty"], D6_SPEC, strategy=VIEW_STRATEGY)
+    """Training rows of the 3-channel view: windows over all its channels (features price, disc and
+    target qty), then rows up to each series' last training date. Both branches read the same view
+    columns, so the view is aggregated once (shared shuffle)."""
+    w = make_windows(V.wide(spark, sf), "segment", "ts", ["price", "disc"], ["qty"], D6_SPEC, strategy=VIEW_STRATEGY)
     acc, _ = chrono_split(w, "segment", (0.7, 0.1, 0.2))
     b = split_bounds(acc, "segment", "ts")
     return raw_split(V.wide(spark, sf), b, "segment", "ts").where(F.col("split") == "train").drop("split")
@@ -369,7 +372,8 @@ def d6_train_stats(spark, sf, method):
 
 
 def _train_sql(view):
-    return (f", s AS ({O.split_cte(O.windows_cte(view, ['segment'], 'ts', ['qty'], ['qty'], 8, 2, 3, 1440), ['segment'], 'ts')}), "
+    chans = ["price", "disc", "qty"] if view == "WIDE" else ["qty"]
+    return (f", s AS ({O.split_cte(O.windows_cte(view, ['segment'], 'ts', chans, ['qty'], 8, 2, 3, 1440), ['segment'], 'ts')}), "
             "b AS (SELECT segment, max(ts) FILTER (WHERE split = 'train') AS train_max FROM s GROUP BY 1), "
             f"tr AS (SELECT {view}.* FROM {view} JOIN b USING (segment) WHERE {view}.ts <= train_max) ")
 
