@@ -287,3 +287,18 @@ def test_read_cases_and_expand(spark):
     cat = spark.createDataFrame([("data/Salinity/stations", 0), ("data/ETT/ETTh1.csv", 1)], "path string, cat_order int")
     out = sorted((r["Case"], r["flag"]) for r in expand_cases(cases, cat, ["Salinity", "ETTh1"]).collect())
     assert out == [(2, "ETTh1"), (2, "Salinity"), (3, "ETTh1")]
+
+
+def test_metric_and_registry_errors(spark):
+    from laglake.functions.activations import apply_activation
+    neg = spark.createDataFrame([("m", 0, -1.0, 1.0)], "model string, h long, y double, yhat double")
+    with pytest.raises(Exception):
+        MET.score(neg, ["model"], metrics=("msle",), extra={"msle": MET.msle}).collect()
+    with pytest.raises(ValueError):
+        MET.nql(1.5)
+    with pytest.raises(ValueError):
+        apply_activation("relu", F.col("x"))
+    from laglake.operators.moments import MAX_TERMS, gram_matrices
+    big = spark.createDataFrame([("train", MAX_TERMS + 100, 0, 1.0)], "grp string, i int, j int, v double")
+    with pytest.raises(ValueError):
+        gram_matrices(big)
