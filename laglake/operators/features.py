@@ -5,7 +5,6 @@ inside ``mapInPandas`` (weights are small and shipped with the closure)."""
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 

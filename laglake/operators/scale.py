@@ -5,18 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from laglake.operators.common import as_keys, qc
+from laglake.operators.common import qc
 from laglake.operators.quantiles import exact_quantiles
 
 ROBUST_EPS = 1e-12
 STAT_COLUMNS = ("min", "max", "mean", "median", "std", "variance", "quantile_25", "quantile_50", "quantile_75", "iqr")
 
 
-def to_long(df: DataFrame, channels, id_cols=()) -> DataFrame:
-    """Unpivot channels into (id_cols..., channel, value)."""
-    return df.unpivot(list(id_cols), [c for c in channels], "channel", "value") if channels else df
-
-
 def fit_scaler(train_raw: DataFrame, channels, method: str = "minmax", **quantile_opts) -> DataFrame:
     """One row per channel: min, max, mean, median, std, variance (sample), nearest-rank
     quartiles, iqr and the method name; pooled over every segment of the training rows."""

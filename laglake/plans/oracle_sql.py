@@ -5,15 +5,6 @@ parquet views. Floats are rounded to 6 decimals on both sides (see ``plans.queri
 
 from __future__ import annotations
 
-from laglake.plans.views import with_views
-
-R = 6
-
-
-def r(expr: str, digits: int = R) -> str:
-    return f"round({expr}, {digits})"
-
-
 def windows_cte(view: str, keys: list[str], ts: str, channels: list[str], targets: list[str],
                 lag: int, ahead: int, offset: int, minutes: int) -> str:
     """SELECT producing keys, ts, x, y for complete windows (RANGE frames on the timestamp)."""

@@ -8,7 +8,6 @@ import math
 import sys
 import time
 from collections import Counter
-from datetime import date, datetime
 from decimal import Decimal
 from pathlib import Path
 

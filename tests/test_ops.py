@@ -302,3 +302,14 @@ def test_metric_and_registry_errors(spark):
     big = spark.createDataFrame([("train", MAX_TERMS + 100, 0, 1.0)], "grp string, i int, j int, v double")
     with pytest.raises(ValueError):
         gram_matrices(big)
+
+
+def test_last_value_roundtrip_and_cluster_conf(spark):
+    from laglake.session import cluster_conf
+    df = spark.createDataFrame([([3.0, 5.0, 4.0], [6.0])], "x array<double>, y array<double>")
+    r = df.select(S.last_value_norm("x").alias("n"),
+                  S.last_value_denorm(F.transform("y", lambda v: v - F.element_at("x", -1)), F.element_at("x", -1)).alias("b")).first()
+    assert r["n"] == [-1.0, 1.0, 0.0] and r["b"] == [6.0]
+    conf = cluster_conf(100 * 2**40)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20) + 1
+    assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
