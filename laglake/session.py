@@ -44,8 +44,11 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     d = spark.conf.get("spark.checkpoint.dir", None)
     if d:
         return d
-    jd = spark.sparkContext._jsc.sc().getCheckpointDir()
-    return jd.get() if jd.isDefined() else None
+    try:
+        jd = spark.sparkContext._jsc.sc().getCheckpointDir()
+        return jd.get() if jd.isDefined() else None
+    except Exception:  # noqa: BLE001 - no JVM context (e.g. a remote session)
+        return None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -53,9 +56,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     d = checkpoint_dir(spark)
     if not d:
         d = tempfile.mkdtemp(prefix="laglake-ckpt-")
-        spark.sparkContext.setCheckpointDir(d)
-    elif spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(d)
+        try:
+            spark.sparkContext.setCheckpointDir(d)
+        except Exception:  # noqa: BLE001
+            spark.conf.set("spark.checkpoint.dir", d)
+        return d
+    try:
+        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+            spark.sparkContext.setCheckpointDir(d)
+    except Exception:  # noqa: BLE001
+        pass
     return d
 
 

@@ -51,7 +51,12 @@ def read_series(spark: SparkSession, spec: DatasetSpec, schema=None, infer_rows:
     Raises when no file matches."""
     r = _reader(spark, spec)
     if schema is None and infer_rows:
-        schema = infer_schema(spark, spec, infer_rows)
+        try:
+            schema = infer_schema(spark, spec, infer_rows)
+        except FileNotFoundError:
+            raise
+        except Exception:  # noqa: BLE001 - no RDD API (remote session): fall back to full inference
+            schema = None
     if schema is not None:
         r = r.schema(schema)
     else:
