@@ -1029,3 +1029,27 @@ def q_metrics_scaled(spark, sf):
     row = st.first()
     sc = MET.score(p, ["model"], scaler=row.asDict() if row else None)
     return sc.select("model", *[rnd(m).alias(m) for m in MET.ALL_METRICS])
+
+
+# ---------------------------------------------------------------- zero-shot AR(1): fit on D1, score on D6
+def _zs_ar1_sql():
+    d6s = O.split_cte(O.windows_cte("D6", ["segment"], "ts", ["qty"], ["qty"], 1, 1, 1, 1440), ["segment"], "ts")
+    p = (f", c AS (SELECT regr_slope(yv, xv) AS a, regr_intercept(yv, xv) AS b FROM tr), "
+         f"t AS (SELECT segment, ts, x[1] AS xv, y[1] AS y FROM ({d6s}) WHERE split = 'test'), "
+         "p AS (SELECT 'linear' AS model, segment, ts, CAST(0 AS BIGINT) AS h, y, a * xv + b AS yhat FROM t, c) ")
+    return _AR1_SQL + p + _metric_sql() + f"SELECT model, {_METRIC_COLS} FROM pooled JOIN r2 USING (model)"
+
+
+@register("zero_shot_ar1", with_views(_zs_ar1_sql(), "D1", "D6"))
+def q_zero_shot_ar1(spark, sf):
+    """AR(1) fitted by the Gram pass on the daily total's training windows, applied unchanged to
+    the six flag/status series' test windows and scored there (zero-shot transfer)."""
+    m = FC.fit(d1_ar1_split(spark, sf), "linear", lambdas=(0.0,), L=1, A=1)
+    if m is None:
+        return spark.createDataFrame([], METRICS_SCHEMA)
+    coef = FC.coefficient_table(spark, "linear", m["weights"])
+    w = make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], AR1_SPEC, strategy=VIEW_STRATEGY)
+    acc, _ = chrono_split(w, "segment", (0.7, 0.1, 0.2))
+    pred = FC.predict(acc.where(F.col("split") == "test"), coef).withColumn("model", F.lit("linear"))
+    sc = MET.score(MET.long_predictions(pred, ["model", "segment", "ts"]), ["model"])
+    return sc.select("model", *[rnd(m_).alias(m_) for m_ in MET.ALL_METRICS])
