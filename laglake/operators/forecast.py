@@ -105,17 +105,28 @@ def fit(split_windows: DataFrame | None = None, kind: str = "linear", lambdas=(0
     P = S.shape[0] - 1 - A
     L = L or P // F_
     M = basis(kind, L, F_, A, last_channel)
+    best = None
+    for cand in ridge_path(mats, kind, lambdas, L, F_, A, last_channel):
+        if best is None or cand["val_mse"] < best["val_mse"]:
+            best = cand
+    return best
+
+
+def ridge_path(mats: dict, kind: str, lambdas, L: int, F_: int, A: int, last_channel: int | None = None) -> list:
+    """Weights and validation MSE for every lambda, all from the train / val Gram matrices."""
+    S = mats["train"]
+    P = L * F_
+    M = basis(kind, L, F_, A, last_channel)
     St = M @ S @ M.T
     n_feat = M.shape[0] - 1 - A
-    best = None
+    out = []
     for lam in lambdas:
         lam_eff = lam if (kind != "dlinear" or lam > 0) else 1e-8 * max(1.0, float(np.trace(St[:n_feat, :n_feat])) / n_feat)
         W = solve(St, n_feat, lam_eff)
         Weff = effective(kind, W, L, F_, A, last_channel)
         mse = val_mse(mats["val"], Weff, mats["val"][P, P], A) if "val" in mats else float("nan")
-        if best is None or (mse < best["val_mse"]):
-            best = {"kind": kind, "lambda": lam, "weights": Weff, "val_mse": mse, "n_train": S[P, P]}
-    return best
+        out.append({"kind": kind, "lambda": lam, "weights": Weff, "val_mse": mse, "n_train": S[P, P]})
+    return out
 
 
 def coefficient_table(spark: SparkSession, model: str, Weff: np.ndarray, version: int = 1) -> DataFrame:

@@ -1053,3 +1053,32 @@ def q_zero_shot_ar1(spark, sf):
     pred = FC.predict(acc.where(F.col("split") == "test"), coef).withColumn("model", F.lit("linear"))
     sc = MET.score(MET.long_predictions(pred, ["model", "segment", "ts"]), ["model"])
     return sc.select("model", *[rnd(m_).alias(m_) for m_ in MET.ALL_METRICS])
+
+
+# ---------------------------------------------------------------- ridge path (M5) with an SQL twin at lag 1
+RIDGE_LAMBDAS = (0.0, 1e6, 1e8, 1e10)
+
+
+def _ridge_sql():
+    va = (f", va AS (SELECT x[1] AS xv, y[1] AS yv FROM ({O.split_cte(O.windows_cte('D1', [], 'ts', ['qty'], ['qty'], 1, 1, 1, 1440), [], 'ts')}) "
+          "WHERE split = 'val'), ")
+    lam = ", ".join(f"({v!r})" for v in RIDGE_LAMBDAS)
+    return (_AR1_SQL + va +
+            "st AS (SELECT regr_sxy(yv, xv) AS sxy, regr_sxx(yv, xv) AS sxx, regr_avgx(yv, xv) AS ax, regr_avgy(yv, xv) AS ay FROM tr), "
+            f"lam AS (SELECT CAST(l AS DOUBLE) AS lam FROM (VALUES {lam}) t(l)), "
+            "w AS (SELECT lam, sxy / (sxx + lam) AS slope, ay - sxy / (sxx + lam) * ax AS intercept FROM st, lam) "
+            "SELECT lam AS lambda, round(slope, 8) AS slope, round(intercept, 4) AS intercept, "
+            "round(avg((slope * xv + intercept - yv) * (slope * xv + intercept - yv)), 3) AS val_mse FROM w, va GROUP BY lam, slope, intercept")
+
+
+@register("ridge_path_ar1", with_views(_ridge_sql(), "D1"))
+def q_ridge_path_ar1(spark, sf):
+    """Ridge path of the lag-1 linear model: weights and validation MSE for each lambda, all from
+    one Gram pass over the train / val windows (no further data pass per lambda)."""
+    mats = FC.split_grams(d1_ar1_split(spark, sf), n_terms=3)
+    if "train" not in mats:
+        return spark.createDataFrame([], "lambda double, slope double, intercept double, val_mse double")
+    rows = [(float(c["lambda"]), float(c["weights"][0, 0]), float(c["weights"][1, 0]), float(c["val_mse"]))
+            for c in FC.ridge_path(mats, "linear", RIDGE_LAMBDAS, 1, 1, 1)]
+    df = spark.createDataFrame(rows, "lambda double, slope double, intercept double, val_mse double")
+    return df.select("lambda", rnd("slope", 8).alias("slope"), rnd("intercept", 4).alias("intercept"), rnd("val_mse", 3).alias("val_mse"))
