@@ -112,6 +112,18 @@ def shrink_types(df: DataFrame) -> DataFrame:
                        for c in df.columns])
 
 
+def parse_date(df: DataFrame, spec: DatasetSpec) -> F.Column:
+    """The date column as TIMESTAMP_NTZ: text is parsed with ``spec.time_format`` (strftime or Spark
+    pattern) when given, else cast leniently (unparsable text becomes NULL instead of failing)."""
+    c = qc(spec.date)
+    if isinstance(df.schema[spec.date].dataType, T.StringType):
+        if spec.time_format:
+            fmt = strftime_to_spark(spec.time_format) if "%" in spec.time_format else spec.time_format
+            return F.to_timestamp_ntz(c, F.lit(fmt))
+        return c.try_cast("timestamp_ntz")
+    return as_ntz(c)
+
+
 def prepare(df: DataFrame, spec: DatasetSpec, null_scope: str = "all", strip: StripTime | None = None,
             shrink: bool = False) -> DataFrame:
     """Null drop -> key de-duplication -> date cast -> time strip -> used-column projection.
@@ -123,7 +135,7 @@ def prepare(df: DataFrame, spec: DatasetSpec, null_scope: str = "all", strip: St
     used = list(spec.used_columns)
     d = df.select(*[qc(c) for c in used]) if null_scope == "used" else df
     d = drop_incomplete(d)
-    d = d.withColumn(spec.date, as_ntz(spec.date))
+    d = d.withColumn(spec.date, parse_date(d, spec))
     keys = [k for k in (spec.segment, spec.date) if k]
     d = dedupe_key(d, keys)
     strip = strip or spec.strip_time

@@ -313,3 +313,11 @@ def test_last_value_roundtrip_and_cluster_conf(spark):
     conf = cluster_conf(100 * 2**40)
     assert int(conf["spark.sql.shuffle.partitions"]) == 100 * 2**40 // (256 << 20) + 1
     assert conf["spark.sql.adaptive.skewJoin.enabled"] == "true"
+
+
+def test_prepare_parses_text_dates(spark):
+    df = spark.createDataFrame([("02/01/2024", 1.0), ("03/01/2024", 2.0)], "d string, v double")
+    out = prepare(df, DatasetSpec(path="", target=("v",), date="d", time_format="%d/%m/%Y")).orderBy("d").collect()
+    assert [r["d"] for r in out] == [dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3)]
+    iso = spark.createDataFrame([("2024-01-02 05:00:00", 1.0)], "d string, v double")
+    assert prepare(iso, DatasetSpec(path="", target=("v",), date="d")).first()["d"] == dt.datetime(2024, 1, 2, 5)
