@@ -720,15 +720,30 @@ def q_predict_dlinear(spark, sf):
     return _pred_out(FC.predict(d6_windows(spark, sf), coef))
 
 
-@register("predict_head", with_views(
-    f", s AS ({O.d6_split()}), w AS (SELECT * FROM s WHERE split = 'train' ORDER BY segment, ts LIMIT 500) "
-    + " UNION ALL ".join(f"SELECT segment, ts, CAST({h} AS BIGINT) AS h, round(list_dot_product(x, {_lit_list(LIN_W[h])}) "
-                         f"+ {LIN_B[h]!r}, 6) AS yhat FROM w" for h in range(2)), "D6"))
+def _head_sql():
+    heads = []
+    for sp in ("train", "val"):
+        heads.append(f"(SELECT * FROM s WHERE split = '{sp}' ORDER BY segment, ts LIMIT 500)")
+    body = " UNION ALL ".join(
+        f"SELECT split, segment, ts, CAST({h} AS BIGINT) AS h, round(list_dot_product(x, {_lit_list(LIN_W[h])}) "
+        f"+ {LIN_B[h]!r}, 6) AS yhat FROM w" for h in range(2))
+    return with_views(f", s AS ({O.d6_split()}), w AS ({' UNION ALL '.join(heads)}) " + body, "D6")
+
+
+@register("predict_head", _head_sql())
 def q_predict_head(spark, sf):
-    """Diagnostics on the first 500 train windows (ordered by segment, date); the limit is the feature."""
-    head = d6_split_windows(spark, sf).where(F.col("split") == "train").orderBy("segment", "ts").limit(500)
+    """Diagnostics on the first 500 train and the first 500 val windows (ordered by segment, date);
+    the limits are the feature."""
+    sw = d6_split_windows(spark, sf)
     coef = _coef(spark, "linear", FC.effective("linear", _lin_matrix(LIN_W, LIN_B), 8, 1, 2))
-    return _pred_out(FC.predict(head, coef))
+    outs = []
+    for sp in ("train", "val"):
+        head = sw.where(F.col("split") == sp).orderBy("segment", "ts").limit(500)
+        p = FC.predict(head, coef)
+        z = p.select("segment", "ts", F.posexplode("yhat").alias("h", "yhat"))
+        outs.append(z.select(F.lit(sp).alias("split"), "segment", "ts", F.col("h").cast("long").alias("h"),
+                             rnd("yhat").alias("yhat")))
+    return outs[0].unionByName(outs[1])
 
 
 LAMBDAS = (0.0, 1.0, 10.0, 100.0, 1000.0, 10000.0)
