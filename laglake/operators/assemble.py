@@ -8,18 +8,22 @@ from pyspark.sql import functions as F
 from laglake.operators.expand import union_all
 
 
-def assemble_zero_shot(target: DataFrame, sources: dict, target_name: str = "target", skip_test: bool = False,
+def truncate_test(windows: DataFrame, n: int = 10, keys=("segment",), ts: str = "ts") -> DataFrame:
+    """Keep every train / val window and only the first ``n`` test windows in (keys, ts) order
+    (what the reference does for source datasets, whose test windows are never used)."""
+    rest = windows.where(F.col("split") != "test")
+    head = windows.where(F.col("split") == "test").orderBy(*keys, ts).limit(n)
+    return rest.unionByName(head)
+
+
+def assemble_zero_shot(target: DataFrame, sources: dict, target_name: str = "target",
                        shapes: dict | None = None) -> DataFrame:
-    """Target contributes its test windows only, every source its train and val windows; rows are
-    tagged with ``dataset``. All inputs carry (segment, ts, split, x, y). ``shapes`` maps dataset
-    -> (lag, channels, ahead) and must agree. ``skip_test`` keeps the first 10 test windows in
-    (segment, ts) order."""
+    """Target contributes its (complete) test windows, every source its train and val windows;
+    rows are tagged with ``dataset``. All inputs carry (segment, ts, split, x, y). ``shapes`` maps
+    dataset -> (lag, channels, ahead) and must agree."""
     if shapes and len({tuple(s) for s in shapes.values()}) > 1:
         raise ValueError(f"window shapes differ across datasets: {shapes}")
-    t = target.where(F.col("split") == "test")
-    if skip_test:
-        t = t.orderBy("segment", "ts").limit(10)
-    parts = [t.withColumn("dataset", F.lit(target_name))]
+    parts = [target.where(F.col("split") == "test").withColumn("dataset", F.lit(target_name))]
     for name, w in sources.items():
         parts.append(w.where(F.col("split").isin("train", "val")).withColumn("dataset", F.lit(name)))
     cols = ["dataset", "segment", "ts", "split", "x", "y"]

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from laglake.operators import forecast as FC
 from laglake.operators import metrics as MET
-from laglake.operators.assemble import assemble_zero_shot
+from laglake.operators.assemble import assemble_zero_shot, truncate_test
 from laglake.operators.expand import union_all
 from laglake.operators.prepare import prepare
 from laglake.operators.scale import fit_scaler
@@ -72,7 +72,7 @@ def scale_windows(windows: DataFrame, stats: DataFrame, channels, targets, metho
 def prepare_dataset(spark: SparkSession, spec: DatasetSpec, window: WindowSpec, source: DataFrame | None = None,
                     normalization: str | None = None, strategy: str = "auto", null_scope: str = "all",
                     strict_parity: bool = False, materialize_windows: bool = True,
-                    materialize_series: bool = True) -> PreparedDataset:
+                    materialize_series: bool = True, skip_test: bool = False) -> PreparedDataset:
     """``materialize_series`` / ``materialize_windows``: write the cleaned series and the window table
     once to the shared scratch folder and read them back. The series feeds the windows, the rejects
     and the raw splits, and the windows feed the split, rejects and boundaries; without this each
@@ -97,6 +97,8 @@ def prepare_dataset(spark: SparkSession, spec: DatasetSpec, window: WindowSpec,
     if normalization:
         stats = fit_scaler(raw.where(F.col("split") == "train"), list(spec.channels), normalization)
         acc = scale_windows(acc, stats, spec.channels, spec.target, normalization)
+    if skip_test:   # a source dataset of a zero-shot run: its test windows are not used
+        acc = truncate_test(acc, 10, [key], spec.date)
     return PreparedDataset(spec.name, spec, window, series, acc, rej, raw, stats, key)
 
 
