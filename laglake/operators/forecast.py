@@ -18,6 +18,7 @@ from laglake.functions.sequence import decomposition_kernel
 from laglake.operators.moments import gram, gram_matrices
 
 KINDS = ("linear", "nlinear", "dlinear")
+SHARED = "linear_shared"
 
 
 def ma_matrix(L: int, k: int) -> np.ndarray:
@@ -93,7 +94,7 @@ def split_grams(split_windows: DataFrame, n_terms: int | None = None, engine: st
 
 def fit(split_windows: DataFrame | None = None, kind: str = "linear", lambdas=(0.0,), L: int | None = None, F_: int = 1,
         A: int | None = None, last_channel: int | None = None, mats: dict | None = None) -> dict:
-    """Fit ``kind`` on the train Gram for every lambda, pick the lambda with the lowest validation
+    """Fit ``kind`` (linear, nlinear, dlinear or linear_shared) on the train Gram for every lambda, pick the lambda with the lowest validation
     MSE (from the val Gram, no further data pass). Pass ``mats`` (``split_grams``) to fit several
     model kinds from the same pass. Returns a dict with weights and diagnostics."""
     if mats is None:
@@ -101,10 +102,8 @@ def fit(split_windows: DataFrame | None = None, kind: str = "linear", lambdas=(0
         mats = split_grams(split_windows, n_terms)
     if "train" not in mats:
         return None   # no training window
-    S = mats["train"]
-    P = S.shape[0] - 1 - A
+    P = mats["train"].shape[0] - 1 - A
     L = L or P // F_
-    M = basis(kind, L, F_, A, last_channel)
     best = None
     for cand in ridge_path(mats, kind, lambdas, L, F_, A, last_channel):
         if best is None or cand["val_mse"] < best["val_mse"]:
@@ -116,6 +115,13 @@ def ridge_path(mats: dict, kind: str, lambdas, L: int, F_: int, A: int, last_cha
     """Weights and validation MSE for every lambda, all from the train / val Gram matrices."""
     S = mats["train"]
     P = L * F_
+    if kind == SHARED:
+        out = []
+        for lam in lambdas:
+            Weff = fit_shared(S, L, F_, A, lam)
+            mse = val_mse(mats["val"], Weff, mats["val"][P, P], A) if "val" in mats else float("nan")
+            out.append({"kind": kind, "lambda": lam, "weights": Weff, "val_mse": mse, "n_train": S[P, P]})
+        return out
     M = basis(kind, L, F_, A, last_channel)
     St = M @ S @ M.T
     n_feat = M.shape[0] - 1 - A
@@ -158,3 +164,55 @@ def predict(windows: DataFrame, coef: DataFrame, x: str = "x") -> DataFrame:
     j = windows.crossJoin(F.broadcast(row)).withColumn("_xv", xv)
     yhat = F.transform("_W", lambda w: F.aggregate(F.zip_with("_xv", w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
     return j.withColumn("yhat", yhat).drop("_W", "_xv")
+
+
+def fit_shared(S: np.ndarray, L: int, F_: int, A: int, lam: float = 0.0, iters: int = 200, tol: float = 1e-12) -> np.ndarray:
+    """Shared-weight linear model for F channels: y_h = sum_c v_c sum_t w_th x_tc + beta_h (one set of
+    time weights for every channel, then a channel mix). Bilinear, so it is fitted by alternating
+    least squares; both half-steps are linear maps of z, hence solved from the one Gram matrix S.
+    Returns effective weights on [vec(x), 1] like ``effective``."""
+    P = L * F_
+    n = P + 1 + A
+    v = np.ones(F_) / F_
+    prev = None
+    for _ in range(iters):
+        # w-step: u_t = sum_c v_c x_tc
+        M = np.zeros((L + 1 + A, n))
+        for t in range(L):
+            M[t, t * F_:(t + 1) * F_] = v
+        M[L, P] = 1.0
+        M[L + 1:, P + 1:] = np.eye(A)
+        W = solve(M @ S @ M.T, L, lam)                       # (L+1) x A
+        # v-step: g_ch = sum_t w_th x_tc, stacked over horizons with one intercept per horizon
+        Avv = np.zeros((F_, F_))
+        Avb = np.zeros((F_, A))
+        rv = np.zeros(F_)
+        rb = np.zeros(A)
+        nn = S[P, P]
+        for h in range(A):
+            Mh = np.zeros((F_ + 2, n))
+            for c in range(F_):
+                Mh[c, [t * F_ + c for t in range(L)]] = W[:L, h]
+            Mh[F_, P] = 1.0
+            Mh[F_ + 1, P + 1 + h] = 1.0
+            Sh = Mh @ S @ Mh.T
+            Avv += Sh[:F_, :F_]
+            Avb[:, h] = Sh[:F_, F_]
+            rv += Sh[:F_, F_ + 1]
+            rb[h] = Sh[F_, F_ + 1]
+        big = np.zeros((F_ + A, F_ + A))
+        big[:F_, :F_] = Avv
+        big[:F_, F_:] = Avb
+        big[F_:, :F_] = Avb.T
+        big[F_:, F_:] = np.eye(A) * nn
+        sol = np.linalg.lstsq(big, np.concatenate([rv, rb]), rcond=None)[0]
+        v, beta = sol[:F_], sol[F_:]
+        Weff = np.zeros((P + 1, A))
+        for t in range(L):
+            for c in range(F_):
+                Weff[t * F_ + c, :] = W[t, :] * v[c]
+        Weff[P, :] = beta
+        if prev is not None and np.max(np.abs(Weff - prev)) <= tol * max(1.0, np.max(np.abs(Weff))):
+            break
+        prev = Weff
+    return Weff

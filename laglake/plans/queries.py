@@ -1098,3 +1098,18 @@ def q_ridge_path_ar1(spark, sf):
             for c in FC.ridge_path(mats, "linear", RIDGE_LAMBDAS, 1, 1, 1)]
     df = spark.createDataFrame(rows, "lambda double, slope double, intercept double, val_mse double")
     return df.select("lambda", rnd("slope", 8).alias("slope"), rnd("intercept", 4).alias("intercept"), rnd("val_mse", 3).alias("val_mse"))
+
+
+@register("fit_shared_multi", None)
+def q_fit_shared_multi(spark, sf):
+    """3-channel daily windows (price, discount, quantity -> quantity): per-channel ("individual")
+    and shared-weight linear models fitted from one Gram pass, compared on validation MSE."""
+    w = make_windows(V.wide(spark, sf), "segment", "ts", ["price", "disc"], ["qty"], WIDE_SPEC, strategy=VIEW_STRATEGY)
+    acc, _ = chrono_split(w, "segment", (0.7, 0.1, 0.2))
+    mats = FC.split_grams(acc, n_terms=4 * 3 + 1 + 1)
+    rows = []
+    for kind in ("linear", FC.SHARED):
+        m = FC.fit(kind=kind, lambdas=(0.0, 1.0, 100.0), L=4, F_=3, A=1, mats=mats)
+        if m is not None:
+            rows.append((kind, float(m["lambda"]), float(m["val_mse"]), int(round(m["n_train"]))))
+    return spark.createDataFrame(rows, "model string, lambda double, val_mse double, n_train long")

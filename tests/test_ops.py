@@ -321,3 +321,68 @@ def test_prepare_parses_text_dates(spark):
     assert [r["d"] for r in out] == [dt.datetime(2024, 1, 2), dt.datetime(2024, 1, 3)]
     iso = spark.createDataFrame([("2024-01-02 05:00:00", 1.0)], "d string, v double")
     assert prepare(iso, DatasetSpec(path="", target=("v",), date="d")).first()["d"] == dt.datetime(2024, 1, 2, 5)
+
+
+def test_zero_shot_flow_matches_numpy(spark):
+    from laglake.plans.experiment import evaluate_stored, prepare_dataset, run_single, run_zero_shot
+    from laglake.spec import WindowSpec
+    rng = np.random.default_rng(4)
+
+    def ar_rows(seg_prefix, n_seg, n):
+        rows = []
+        for s in range(n_seg):
+            v = 0.0
+            for i in range(n):
+                v = 0.8 * v + rng.normal()
+                rows.append((f"{seg_prefix}{s}", T0 + dt.timedelta(days=i), float(v)))
+        return rows
+
+    src_df = spark.createDataFrame(ar_rows("s", 3, 200), "segment string, ts timestamp_ntz, v double")
+    tgt_df = spark.createDataFrame(ar_rows("t", 2, 150), "segment string, ts timestamp_ntz, v double")
+    ws = WindowSpec(lag=2, ahead=1, offset=1)
+    spec = lambda name: DatasetSpec(path="", target=("v",), date="ts", segment="segment", name=name)
+    src = prepare_dataset(spark, spec("src"), ws, source=src_df, strategy="range", skip_test=True)
+    tgt = prepare_dataset(spark, spec("tgt"), ws, source=tgt_df, strategy="range")
+    res = {r["model"]: r for r in run_zero_shot(spark, tgt, [src], kinds=("linear",), lambdas=(0.0,)).collect()}
+    # numpy: fit on the source's train windows, score the target's test windows
+    sw = src.windows.where(F.col("split") == "train").select("x", "y").collect()
+    X = np.array([list(r["x"]) + [1.0] for r in sw])
+    Y = np.array([r["y"][0] for r in sw])
+    w = np.linalg.lstsq(X, Y, rcond=None)[0]
+    tw = tgt.windows.where(F.col("split") == "test").select("x", "y").collect()
+    Xt = np.array([list(r["x"]) + [1.0] for r in tw])
+    Yt = np.array([r["y"][0] for r in tw])
+    p = Xt @ w
+    assert res["linear"]["mse"] == pytest.approx(np.mean((p - Yt) ** 2))
+    assert res["linear"]["r2"] == pytest.approx(1 - np.sum((Yt - p) ** 2) / np.sum((Yt - Yt.mean()) ** 2))
+    assert res["linear"]["r2"] > 0.3
+    # the same model stored and evaluated zero-shot gives the same scores
+    path = tempfile.mkdtemp(prefix="laglake-models-")
+    run_single(spark, src, kinds=("linear",), lambdas=(0.0,), model_path=path)
+    st = evaluate_stored(spark, tgt, path, kinds=("linear",)).first()
+    assert st["mse"] == pytest.approx(res["linear"]["mse"])
+
+
+def test_shared_weight_linear(spark):
+    rng = np.random.default_rng(8)
+    n, L, F_, A = 600, 4, 3, 2
+    X = rng.normal(size=(n, L, F_))
+    w_true, v_true = rng.normal(size=(L, A)), np.array([0.5, -1.0, 2.0])
+    Y = np.einsum("ntc,th,c->nh", X, w_true, v_true) + np.array([0.3, -0.2]) + rng.normal(scale=0.01, size=(n, A))
+    df = spark.createDataFrame([("train" if i < 500 else "val", X[i].tolist(), Y[i].tolist()) for i in range(n)],
+                               "split string, x array<array<double>>, y array<double>")
+    mats = FC.split_grams(df)
+    m = FC.fit(kind=FC.SHARED, lambdas=(0.0,), L=L, F_=F_, A=A, mats=mats)
+    Xa = np.hstack([X.reshape(n, -1), np.ones((n, 1))])
+    pred = Xa[500:] @ m["weights"]
+    assert np.sqrt(np.mean((pred - Y[500:]) ** 2)) < 0.02
+    # the effective weights factor as w_th * v_c (rank one across channels per horizon)
+    Wt = m["weights"][:-1].reshape(L, F_, A)
+    for h in range(A):
+        assert np.linalg.matrix_rank(Wt[:, :, h], tol=1e-8) == 1
+    # with one channel the shared model is the plain linear fit
+    df1 = _windows_df(spark, X[:, :, 0], Y, ["train"] * 500 + ["val"] * 100)
+    mats1 = FC.split_grams(df1)
+    a = FC.fit(kind=FC.SHARED, lambdas=(0.0,), L=L, F_=1, A=A, mats=mats1)["weights"]
+    b = FC.fit(kind="linear", lambdas=(0.0,), L=L, F_=1, A=A, mats=mats1)["weights"]
+    assert np.allclose(a, b, atol=1e-8)

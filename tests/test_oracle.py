@@ -31,7 +31,7 @@ def test_entry(spark):
 def test_registry_complete():
     assert set(SQL) <= set(QUERIES)
     rows_only = set(QUERIES) - set(SQL)
-    assert rows_only == {"select_lambda", "zero_shot_eval", "predict_t2v", "zero_shot_experiment", "single_dataset_experiment", "stored_model_eval"}
+    assert rows_only == {"select_lambda", "zero_shot_eval", "predict_t2v", "zero_shot_experiment", "single_dataset_experiment", "stored_model_eval", "fit_shared_multi"}
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
