@@ -19,6 +19,7 @@ from laglake.operators.assemble import assemble_zero_shot, shuffle_windows
 from laglake.operators.expand import channel_catalogue, feature_combinations, union_all, univariate_unpivot
 from laglake.operators.features import t2v_revin_frame, time2vec_weights
 from laglake.operators.grid import fill_date, fill_gaps
+from laglake.operators.moments import gram
 from laglake.operators.prepare import dedupe_key, prepare, shrink_plan, strip_time
 from laglake.operators.scale import apply_scaler, fit_scaler
 from laglake.operators.split import chrono_split, raw_split, raw_split_single, rejected_segments, split_bounds
@@ -1113,3 +1114,23 @@ def q_fit_shared_multi(spark, sf):
         if m is not None:
             rows.append((kind, float(m["lambda"]), float(m["val_mse"]), int(round(m["n_train"]))))
     return spark.createDataFrame(rows, "model string, lambda double, val_mse double, n_train long")
+
+
+# ---------------------------------------------------------------- the Gram pass itself
+
+
+_GRAM_SQL = with_views(
+    f", s AS ({O.d6_split()}), zz AS (SELECT split, list_concat(x, [1.0], y) AS z FROM s) "
+    "SELECT split, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(z[i + 1] * z[j + 1]), 6) AS v "
+    "FROM zz, range(11) a(i), range(11) b(j) WHERE j >= i GROUP BY 1, 2, 3", "D6")
+
+
+def _gram_query(engine):
+    def q(spark, sf):
+        g = gram(d6_split_windows(spark, sf), "split", engine=engine)
+        return g.select(F.col("grp").alias("split"), "i", "j", rnd("v").alias("v"))
+    return q
+
+
+register("gram_moments", _GRAM_SQL)(_gram_query("sql"))
+register("gram_moments_arrow", _GRAM_SQL)(_gram_query("arrow"))
