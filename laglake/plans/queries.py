@@ -1134,3 +1134,36 @@ def _gram_query(engine):
 
 register("gram_moments", _GRAM_SQL)(_gram_query("sql"))
 register("gram_moments_arrow", _GRAM_SQL)(_gram_query("arrow"))
+
+
+# ---------------------------------------------------------------- Time2Vec + RevIN feature map (pandas path) with an SQL twin
+T2V_K = 2
+T2V_SEEDED = time2vec_weights(8, T2V_K, seed=941)
+
+
+def _t2v_revin_sql():
+    W = T2V_SEEDED
+    vals = ", ".join(f"({t}, {float(W['wb'][t])!r}, {float(W['bb'][t])!r}, " + ", ".join(repr(float(W['ba'][t][j])) for j in range(T2V_K)) + ")"
+                     for t in range(8))
+    bcols = ", ".join(f"ba{j}" for j in range(T2V_K))
+    cases = " ".join(f"WHEN {j} THEN sin(xv * {float(W['wa'][j])!r} + ba{j})" for j in range(T2V_K))
+    return with_views(
+        f", w AS ({O.windows_cte('D6', ['segment'], 'ts', ['qty'], ['qty'], 8, 1, 1, 1440)}), "
+        "st AS (SELECT segment, ts, UNNEST(range(len(x))) AS t, UNNEST(x) AS xv FROM w), "
+        f"wt AS (SELECT * FROM (VALUES {vals}) v(t, wb, bb, {bcols})), "
+        f"f AS (SELECT segment, ts, st.t, j, CASE j {cases} ELSE wb * xv + bb END AS fv "
+        f"FROM st JOIN wt ON st.t = wt.t, range({T2V_K + 1}) r(j)), "
+        "n AS (SELECT *, avg(fv) OVER (PARTITION BY segment, ts, j) AS mu, "
+        "var_pop(fv) OVER (PARTITION BY segment, ts, j) AS va FROM f) "
+        f"SELECT segment, ts, CAST(t * {T2V_K + 1} + j AS BIGINT) AS pos, round((fv - mu) / sqrt(va + 1e-5), 6) AS value FROM n",
+        "D6")
+
+
+@register("t2v_revin_features", _t2v_revin_sql())
+def q_t2v_revin_features(spark, sf):
+    """Seeded Time2Vec (2 periodic features + linear) then RevIN over each window's steps, computed
+    per Arrow batch with numpy (the feature map behind ``predict_t2v``)."""
+    w = seq_windows(spark, sf).withColumn("split", F.lit("all"))
+    fr = t2v_revin_frame(w, T2V_SEEDED)
+    z = fr.select("segment", "ts", F.posexplode("xf").alias("pos", "value"))
+    return z.select("segment", "ts", F.col("pos").cast("long").alias("pos"), rnd("value").alias("value"))
