@@ -386,3 +386,19 @@ def test_shared_weight_linear(spark):
     a = FC.fit(kind=FC.SHARED, lambdas=(0.0,), L=L, F_=1, A=A, mats=mats1)["weights"]
     b = FC.fit(kind="linear", lambdas=(0.0,), L=L, F_=1, A=A, mats=mats1)["weights"]
     assert np.allclose(a, b, atol=1e-8)
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.001/events.parquet"), reason="driver tables absent")
+def test_scan_pushdown_and_pruning(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    plan = _plan(strip_time(ev, "ts", StripTime("%Y-%m-%d", (2024, 1, 5), (2024, 1, 20))).select("event_id"))
+    pushed = plan.split("PushedFilters: [", 1)[1].split("]", 1)[0]
+    assert "GreaterThanOrEqual(ts" in pushed and "LessThan(ts" in pushed
+    spec = DatasetSpec(path="", target=("value",), date="ts", segment="event_type")
+    used = _plan(prepare(ev, spec, null_scope="used"))
+    schema = used.split("ReadSchema: struct<", 1)[1].split(">", 1)[0]
+    assert set(f.split(":")[0] for f in schema.split(",")) == {"ts", "event_type", "value"}
