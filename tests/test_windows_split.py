@@ -249,3 +249,15 @@ def test_segment_is_also_a_channel(spark):
         w = make_windows(s, "station", "ts", ["station"], ["average"], WindowSpec(lag=2), strategy=strat, chunk_steps=4)
         r = w.where(F.col("station") == 7).orderBy("ts").first()
         assert r["x"] == [[7.0, 7.0], [7.0, 14.0]] and r["y"] == [21.0], strat
+
+
+def test_two_targets_two_horizons_step_major(spark):
+    rows = [("s", day(i), float(i), float(10 * i), float(100 * i)) for i in range(1, 9)]
+    s = spark.createDataFrame(rows, "segment string, ts timestamp_ntz, f double, a double, b double")
+    for strat in ("range", "halo", "dense"):
+        w = make_windows(s, "segment", "ts", ["f"], ["a", "b"], WindowSpec(lag=2, ahead=2, offset=2), strategy=strat)
+        r = w.orderBy("ts").first()
+        # anchor day 4: x = days 1..2 (f, a, b), y = days 3..4 step-major (a, b, a, b)
+        assert r["ts"] == day(4), strat
+        assert r["x"] == [[1.0, 10.0, 100.0], [2.0, 20.0, 200.0]], strat
+        assert r["y"] == [30.0, 300.0, 40.0, 400.0], strat
