@@ -261,3 +261,14 @@ def test_two_targets_two_horizons_step_major(spark):
         assert r["ts"] == day(4), strat
         assert r["x"] == [[1.0, 10.0, 100.0], [2.0, 20.0, 200.0]], strat
         assert r["y"] == [30.0, 300.0, 40.0, 400.0], strat
+
+
+def test_shuffle_deterministic_and_paired(spark):
+    from laglake.operators.assemble import shuffle_windows
+    s = series(spark, [("a", day(i), float(i)) for i in range(1, 60)])
+    w = make_windows(s, "segment", "ts", ["v"], ["v"], WindowSpec(lag=2), strategy="range")
+    order = lambda seed: [(r["ts"], r["x"][-1], r["y"][0]) for r in shuffle_windows(w, ["segment", "ts"], seed).collect()]
+    a, b, c = order(941), order(941), order(7)
+    assert a == b and a != c and sorted(a) == sorted(c)
+    assert all(y == x + 1 for _, x, y in a)   # x and y of each window stay together
+    assert [t for t, _, _ in a] != sorted(t for t, _, _ in a)
