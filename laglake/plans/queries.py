@@ -368,8 +368,14 @@ def wide_train_raw(spark, sf):
     return raw_split(V.wide(spark, sf), b, "segment", "ts").where(F.col("split") == "train").drop("split")
 
 
+def d6_train_rows(spark, sf):
+    """Training rows of D6 (windows and raw rows read the same 3-column view: one aggregation)."""
+    b = split_bounds(d6_split_windows(spark, sf), "segment", "ts")
+    return raw_split(V.d6(spark, sf), b, "segment", "ts").where(F.col("split") == "train").drop("split")
+
+
 def d6_train_stats(spark, sf, method):
-    return fit_scaler(wide_train_raw(spark, sf).select("segment", "ts", "qty"), ["qty"], method)
+    return fit_scaler(d6_train_rows(spark, sf), ["qty"], method)
 
 
 def _train_sql(view):
