@@ -7,26 +7,28 @@ from __future__ import annotations
 
 def windows_cte(view: str, keys: list[str], ts: str, channels: list[str], targets: list[str],
                 lag: int, ahead: int, offset: int, minutes: int) -> str:
-    """SELECT producing keys, ts, x, y for complete windows (RANGE frames on the timestamp)."""
+    """SELECT producing keys, ts, x, y for complete windows, written as a self-join (each anchor row
+    joined to the rows of its time span, then grouped) - a formulation independent of the
+    window-frame plans on the Spark side."""
     offset = max(offset, ahead)
     span = lag + offset - 1
-    part = f"PARTITION BY {', '.join(keys)} " if keys else ""
-    if len(channels) == 1:
-        step = f"CAST({channels[0]} AS DOUBLE)"
-    else:
-        nn = " AND ".join(f"{c} IS NOT NULL" for c in channels)
-        step = f"CASE WHEN {nn} THEN [{', '.join(f'CAST({c} AS DOUBLE)' for c in channels)}] END"
-    nn_t = " AND ".join(f"{c} IS NOT NULL" for c in targets)
-    tstep = f"CASE WHEN {nn_t} THEN [{', '.join(f'CAST({c} AS DOUBLE)' for c in targets)}] END"
-    xw = (f"OVER ({part}ORDER BY {ts} RANGE BETWEEN INTERVAL ({span * minutes}) MINUTE PRECEDING "
-          f"AND INTERVAL ({offset * minutes}) MINUTE PRECEDING)")
-    yw = (f"OVER ({part}ORDER BY {ts} RANGE BETWEEN INTERVAL ({(ahead - 1) * minutes}) MINUTE PRECEDING "
-          f"AND CURRENT ROW)")
-    k = "".join(f"{c}, " for c in keys)
-    return (f"SELECT {k}{ts}, x, flatten(y) AS y FROM ("
-            f"SELECT {k}{ts}, list_filter(list({step}) {xw}, lambda v: v IS NOT NULL) AS x, "
-            f"list_filter(list({tstep}) {yw}, lambda v: v IS NOT NULL) AS y FROM {view}) "
-            f"WHERE len(x) = {lag} AND len(y) = {ahead}")
+    nn_x = " AND ".join(f"b.{c} IS NOT NULL" for c in channels)
+    nn_y = " AND ".join(f"b.{c} IS NOT NULL" for c in targets)
+    step = (f"CAST(b.{channels[0]} AS DOUBLE)" if len(channels) == 1
+            else "[" + ", ".join(f"CAST(b.{c} AS DOUBLE)" for c in channels) + "]")
+    tstep = "[" + ", ".join(f"CAST(b.{c} AS DOUBLE)" for c in targets) + "]"
+    in_x = f"b.{ts} <= a.{ts} - INTERVAL ({offset * minutes}) MINUTE"
+    in_y = f"b.{ts} >= a.{ts} - INTERVAL ({(ahead - 1) * minutes}) MINUTE"
+    on = " AND ".join([*(f"a.{k} = b.{k}" for k in keys),
+                       f"b.{ts} BETWEEN a.{ts} - INTERVAL ({span * minutes}) MINUTE AND a.{ts}"])
+    ka = "".join(f"a.{k} AS {k}, " for k in keys)
+    kg = "".join(f"a.{k}, " for k in keys)
+    return (f"SELECT {ka}a.{ts} AS {ts}, "
+            f"list({step} ORDER BY b.{ts}) FILTER (WHERE {in_x} AND {nn_x}) AS x, "
+            f"flatten(list({tstep} ORDER BY b.{ts}) FILTER (WHERE {in_y} AND {nn_y})) AS y "
+            f"FROM {view} a JOIN {view} b ON {on} GROUP BY {kg}a.{ts} "
+            f"HAVING count(*) FILTER (WHERE {in_x} AND {nn_x}) = {lag} "
+            f"AND count(*) FILTER (WHERE {in_y} AND {nn_y}) = {ahead}")
 
 
 def split_cte(src: str, keys: list[str], ts: str, ratios=(0.7, 0.1, 0.2)) -> str:
