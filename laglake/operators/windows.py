@@ -2,7 +2,7 @@
 Y = the last `ahead` steps of the targets up to the anchor row.
 
 Strategies (same rows, different physical plans):
-  * ``range``  - RANGE frames on the minute index; no grid, no join. Valid when every row sits on
+  * ``range``  - RANGE frames on a microsecond index; no grid, no join. Valid when every row sits on
                  its segment's grid (checked by ``grid_check``). Plan: Exchange(key) -> Sort -> Window.
   * ``halo``   - ``range`` computed per (key, time chunk); each row is copied into the following
                  chunk(s) its windows reach, so a hot or very long segment spreads over many tasks.
