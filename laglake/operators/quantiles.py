@@ -76,7 +76,7 @@ def exact_quantiles(df: DataFrame, key, value: str, quantiles: dict, accuracy: i
         return state.join(extra, keys, "inner") if keys else state.crossJoin(extra)
 
     ensure_checkpoint_dir(d.sparkSession)
-    st = st.transform(lambda t: materialize(t, "quantiles"))   # small state table (one row per group); cuts lineage between rounds
+    st = st.persist(StorageLevel.MEMORY_AND_DISK)   # one row per group; the refinement rounds write it out
     info = st.agg(F.count(F.lit(1)).alias("g"), F.max("n").alias("n")).first()
     small_state = info["g"] <= max_broadcast_groups
     picked_cols = [(name, i) for i, (name, _, _) in enumerate(targets)]
@@ -94,13 +94,14 @@ def exact_quantiles(df: DataFrame, key, value: str, quantiles: dict, accuracy: i
         one = with_state(st, [f"{p}{i}" for i in T for p in ("lo", "hi")]).groupBy(*keys).agg(
             *[F.count_if(v < F.col(f"lo{i}")).alias(f"b{i}") for i in T],
             *[F.sort_array(F.collect_list(F.when(inside(i), v))).alias(f"s{i}") for i in T])
-        fin = attach(st, one).transform(lambda t: materialize(t, "quantiles"))
+        fin = attach(st, one).persist(StorageLevel.MEMORY_AND_DISK)
         ok = F.lit(True)
         for i in T:
             ok = ok & (F.col(f"b{i}") <= F.col(f"k{i}")) & (F.col(f"k{i}") < F.col(f"b{i}") + F.size(f"s{i}"))
         if fin.agg(F.min(ok.cast("int")).alias("ok")).first()["ok"] in (None, 1):
-            d.unpersist()
-            return pick(fin)   # reads only the written ``fin``, not the cached input
+            d.unpersist()      # ``fin`` is cached: one small row per group (recomputable from lineage)
+            return pick(fin)
+        fin.unpersist()
     for _ in range(max_rounds):
         cnt = with_state(st, [f"{p}{i}" for i in T for p in ("lo", "hi")]).groupBy(*keys).agg(
             *[F.count_if(v < F.col(f"lo{i}")).alias(f"b{i}") for i in T],
