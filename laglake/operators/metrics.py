@@ -81,16 +81,43 @@ def unscale(c: Column, stats_row: dict | None) -> Column:
 def score(pred: DataFrame, group=("model",), y: str = "y", p: str = "yhat", h: str = "h", metrics=ALL_METRICS,
           scaler: dict | None = None, digits: int | None = None, extra: dict | None = None) -> DataFrame:
     """One row per group with the requested metrics. ``scaler``: a scaler record to unscale y and
-    yhat first; ``digits``: round half to even; ``extra``: name -> f(y, p) aggregate builders."""
+    yhat first; ``digits``: round half to even; ``extra``: name -> f(y, p) aggregate builders.
+
+    The registered metrics are rolled up from one aggregate over (group, horizon) - sums of the
+    per-row terms plus the per-horizon R2 inputs - so the prediction rows are read and shuffled once
+    (map-side partial aggregation), and the second aggregate sees one row per (group, horizon)."""
     group = list(group)
     d = pred.select(*group, h, unscale(F.col(y), scaler).alias("_y"), unscale(F.col(p), scaler).alias("_p"))
     yc, pc = F.col("_y"), F.col("_p")
-    fns = {**POOLED, **(extra or {})}
-    pooled = [fns[m](yc, pc).alias(m) for m in metrics if m != "r2"]
-    out = d.groupBy(*group).agg(*pooled) if pooled else d.select(*group).distinct()
-    if "r2" in metrics:
-        out = out.join(r2_per_horizon(d, group, "_y", "_p", h), group, "inner") if group else \
-            out.crossJoin(r2_per_horizon(d, group, "_y", "_p", h))
+    e = yc - pc
+    den = (F.abs(pc) + F.abs(yc)) / 2
+    ql = lambda q: F.lit(q) * F.greatest(e, F.lit(0.0)) + F.lit(1 - q) * F.greatest(-e, F.lit(0.0))
+    per = d.groupBy(*group, h).agg(
+        F.count(yc).alias("_n"), F.sum(F.abs(e)).alias("_ae"), F.sum(e * e).alias("_se"),
+        F.sum(F.abs(e) / F.greatest(F.abs(yc), F.lit(EPS))).alias("_ape"),
+        F.sum(F.when(den == 0, F.lit(float("nan"))).otherwise(F.abs(pc - yc) / den)).alias("_sm"),
+        F.sum(ql(0.5)).alias("_q5"), F.sum(ql(0.9)).alias("_q9"), F.sum(F.abs(yc)).alias("_ay"),
+        (F.count(yc) * F.var_pop(yc)).alias("_sst"))
+    n = F.sum("_n")
+    r2h = (F.when(F.col("_sst") > 0, 1 - F.col("_se") / F.col("_sst"))
+            .when(F.col("_se") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
+    built = {
+        "mae": F.sum("_ae") / n, "mse": F.sum("_se") / n, "rmse": F.sqrt(F.sum("_se") / n),
+        "mape": F.sum("_ape") / n, "smape": F.sum("_sm") / n * 100,
+        "nql_5": F.try_divide(2 * F.sum("_q5") / n, F.sum("_ay") / n),
+        "nql_9": F.try_divide(2 * F.sum("_q9") / n, F.sum("_ay") / n),
+        "r2": F.avg(r2h),
+    }
+    fns = dict(extra or {})
+    unknown = [m for m in metrics if m not in built and m not in fns]
+    if unknown:
+        raise ValueError(f"unknown metrics {unknown}")
+    out = per.groupBy(*group).agg(*[built[m].alias(m) for m in metrics if m in built],
+                                  F.count(F.lit(1)).alias("_groups")).drop("_groups")
+    custom = [m for m in metrics if m not in built]
+    if custom:
+        c = d.groupBy(*group).agg(*[fns[m](yc, pc).alias(m) for m in custom])
+        out = out.join(c, group, "inner") if group else out.crossJoin(c)
     cols = [F.bround(F.col(m), digits).alias(m) if digits is not None else F.col(m) for m in metrics]
     return out.select(*group, *cols)
 
