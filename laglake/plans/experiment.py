@@ -77,6 +77,8 @@ def prepare_dataset(spark: SparkSession, spec: DatasetSpec, window: WindowSpec,
     once to the shared scratch folder and read them back. The series feeds the windows, the rejects
     and the raw splits, and the windows feed the split, rejects and boundaries; without this each
     consumer would re-parse and re-shuffle the input (and lineage is cut for recovery)."""
+    if window.minutes != spec.granularity:
+        raise ValueError(f"window step {window.minutes} min differs from the dataset granularity {spec.granularity} min")
     raw_in = source if source is not None else read_series(spark, spec)
     series = prepare(raw_in, spec, null_scope=null_scope)
     if materialize_series:
