@@ -272,3 +272,25 @@ def test_shuffle_deterministic_and_paired(spark):
     assert a == b and a != c and sorted(a) == sorted(c)
     assert all(y == x + 1 for _, x, y in a)   # x and y of each window stay together
     assert [t for t, _, _ in a] != sorted(t for t, _, _ in a)
+
+
+def test_unkeyed_paths(spark):
+    from laglake.operators.grid import align_to_grid
+    from laglake.operators.quantiles import exact_quantiles
+    from laglake.operators.split import raw_split, split_bounds
+    s = spark.createDataFrame([(day(i), float(i)) for i in (1, 2, 4, 5, 6, 8)], "ts timestamp_ntz, v double")
+    dense = fill_date(s, None, "ts", 1440)
+    assert dense.count() == 8 and dense.where(F.col("v").isNull()).count() == 2
+    filled = {r["ts"].day: r["v"] for r in fill_gaps(dense, None, "ts", ["v"], "max").collect()}
+    assert filled[3] == 8.0 and filled[1] == 1.0
+    assert align_to_grid(s, None, "ts", 1440, "drop").count() == 6
+    long = spark.createDataFrame([(day(i), float(i)) for i in range(1, 22)], "ts timestamp_ntz, v double")
+    w = make_windows(long, None, "ts", ["v"], ["v"], WindowSpec(lag=1))     # unkeyed -> halo plan
+    acc, _ = chrono_split(w, None, (0.6, 0.2, 0.2))                          # 20 windows: 12 / 4 / 4
+    assert {r["split"]: r["count"] for r in acc.groupBy("split").count().collect()} == {"train": 12, "val": 4, "test": 4}
+    b = split_bounds(acc, None, "ts")
+    labelled = {r["split"]: r["count"] for r in raw_split(long, b, None, "ts").groupBy("split").count().collect()}
+    # train rows up to the last train anchor (day 13), val days 14..17, test days 18..21
+    assert labelled == {"train": 13, "val": 4, "test": 4}
+    q = exact_quantiles(s, None, "v", {"median": "median", "q75": 0.75}).first()
+    assert q["median"] == 4.5 and q["q75"] == 6.0
