@@ -1173,3 +1173,14 @@ def q_t2v_revin_features(spark, sf):
     fr = t2v_revin_frame(w, T2V_SEEDED)
     z = fr.select("segment", "ts", F.posexplode("xf").alias("pos", "value"))
     return z.select("segment", "ts", F.col("pos").cast("long").alias("pos"), rnd("value").alias("value"))
+
+
+@register("time_encode_orders", "SELECT o_orderkey, o_orderdate, "
+          "round(cos(floor(epoch(o_orderdate)) * (2 * pi() / 86400)), 6) AS day_cos, "
+          "round(sin(floor(epoch(o_orderdate)) * (2 * pi() / 86400)), 6) AS day_sin, "
+          "round(cos(floor(epoch(o_orderdate)) * (2 * pi() / 31556952.0)), 6) AS month_cos, "
+          "round(sin(floor(epoch(o_orderdate)) * (2 * pi() / 31556952.0)), 6) AS month_sin FROM orders")
+def q_time_encode_orders(spark, sf):
+    """Epoch cycles on order dates spanning several years: both the day and the year pair apply."""
+    out = time_encode(V.table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate")
+    return out.select("o_orderkey", "o_orderdate", *[rnd(c).alias(c) for c in ("day_cos", "day_sin", "month_cos", "month_sin")])
