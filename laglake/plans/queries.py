@@ -1184,3 +1184,14 @@ def q_time_encode_orders(spark, sf):
     """Epoch cycles on order dates spanning several years: both the day and the year pair apply."""
     out = time_encode(V.table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate")
     return out.select("o_orderkey", "o_orderdate", *[rnd(c).alias(c) for c in ("day_cos", "day_sin", "month_cos", "month_sin")])
+
+
+STRIP_DT = StripTime("%Y-%m-%d %H:%M", (2024, 1, 5, 8, 0), (2024, 1, 20, 17, 30))
+
+
+@register("strip_time_datetime", "SELECT event_id, ts, event_type, round(value, 6) AS value FROM events "
+          "WHERE strftime(ts, '%Y-%m-%d %H:%M') BETWEEN '2024-01-05 08:00' AND '2024-01-20 17:30'")
+def q_strip_time_datetime(spark, sf):
+    """Date-and-time strip: inclusive to the minute, with a typed range pushed to the scan."""
+    out = strip_time(V.table(spark, sf, "events"), "ts", STRIP_DT)
+    return out.select("event_id", "ts", "event_type", rnd("value").alias("value"))
