@@ -97,18 +97,27 @@ def _chunked_fill(df: DataFrame, keys, ts: str, cols, forward: bool, chunk_minut
     return out.drop("_m", "_chunk")
 
 
-def fill_gaps(df: DataFrame, key, ts: str, cols, method: str,
+_STAT_FILLS = {"min": F.min, "max": F.max, "mean": F.avg}
+
+
+def fill_gaps(df: DataFrame, key, ts: str, cols, method: str | None = None,
               chunk_minutes: int = DEFAULT_CHUNK_STEPS * 1440) -> DataFrame:
     """Fill nulls in ``cols``: forward / backward (last / next observed value of the series),
-    or min / max / mean of the series."""
+    or min / max / mean of the series. ``cols`` may also map column -> method for the statistic
+    fills, which then share one aggregate and one join."""
     keys = as_keys(key)
-    cols = list(cols)
-    if method in ("forward", "backward"):
-        return _chunked_fill(df, keys, ts, cols, method == "forward", chunk_minutes)
-    fn = {"min": F.min, "max": F.max, "mean": F.avg}.get(method)
-    if fn is None:
-        raise ValueError("method must be forward|backward|min|max|mean")
-    stats = df.groupBy(*keys).agg(*[fn(c).alias(f"_s_{c}") for c in cols])
+    if isinstance(cols, dict):
+        plan = dict(cols)
+    else:
+        cols = list(cols)
+        if method in ("forward", "backward"):
+            return _chunked_fill(df, keys, ts, cols, method == "forward", chunk_minutes)
+        plan = {c: method for c in cols}
+    bad = {m for m in plan.values() if m not in _STAT_FILLS}
+    if bad:
+        raise ValueError(f"method must be forward|backward|min|max|mean, got {sorted(bad)}")
+    cols = list(plan)
+    stats = df.groupBy(*keys).agg(*[_STAT_FILLS[plan[c]](c).alias(f"_s_{c}") for c in cols])
     out = df.join(stats, keys, "left") if keys else df.crossJoin(F.broadcast(stats))
     return out.select(*[c for c in df.columns if c not in cols],
                       *[F.coalesce(F.col(c), F.col(f"_s_{c}")).alias(c) for c in cols])

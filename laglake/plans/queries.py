@@ -336,9 +336,7 @@ def q_fill_backward(spark, sf):
 def q_fill_stat(spark, sf):
     d = h5_dense(spark, sf).withColumn("value_mean", F.col("value")).withColumn("value_min", F.col("value")) \
         .withColumn("value_max", F.col("value")).drop("value")
-    d = fill_gaps(d, "segment", "ts", ["value_mean"], "mean")
-    d = fill_gaps(d, "segment", "ts", ["value_min"], "min")
-    d = fill_gaps(d, "segment", "ts", ["value_max"], "max")
+    d = fill_gaps(d, "segment", "ts", {"value_mean": "mean", "value_min": "min", "value_max": "max"})
     return d.select("segment", "ts", *[rnd(c).alias(c) for c in ("value_mean", "value_min", "value_max")])
 
 
