@@ -16,6 +16,8 @@ Strategies (same rows, different physical plans):
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,6 +111,9 @@ def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpe
             strategy = "dense_halo" if (chk["max_rows"] > halo_rows or not keys) else "dense"
         else:
             strategy = "halo" if (chk["max_rows"] > halo_rows or not keys) else "range"
+        # ~sqrt(n) steps per chunk balances the two levels of a hot key: rows per chunk task and
+        # rows of that key in the per-chunk offset table
+        chunk_steps = max(chunk_steps, math.isqrt(max(chk["max_rows"], 0)))
     if strategy in ("dense", "dense_halo"):
         from laglake.operators.grid import fill_date
         dense = fill_date(df.select(*[qc(c) for c in (*keys, ts, *channels)]), keys, ts, spec.minutes)
