@@ -921,9 +921,9 @@ def q_predict_t2v(spark, sf):
 # ---------------------------------------------------------------- sinks (write, read back, compare)
 
 
-def _roundtrip(spark, df, name, fmt="parquet", partition_by=None, single_file=False, mode="overwrite"):
+def _roundtrip(spark, df, name, fmt="parquet", partition_by=None, single_file=False, mode="overwrite", sort_within=None):
     path = scratch_path(spark, name)
-    write_table(df, path, fmt=fmt, mode=mode, partition_by=partition_by, single_file=single_file)
+    write_table(df, path, fmt=fmt, mode=mode, partition_by=partition_by, single_file=single_file, sort_within=sort_within)
     r = spark.read.schema(df.schema) if fmt != "csv" else spark.read.schema(df.schema).option("header", True)
     return getattr(r, fmt)(path)
 
@@ -931,7 +931,8 @@ def _roundtrip(spark, df, name, fmt="parquet", partition_by=None, single_file=Fa
 @register("raw_split_sink", QUERIES["raw_split"][1])
 def q_raw_split_sink(spark, sf):
     """Raw split rows stored partitioned by split, read back."""
-    return _roundtrip(spark, q_raw_split(spark, sf), "rawsplit", partition_by=["split"]).select("segment", "ts", "qty", "split")
+    return _roundtrip(spark, q_raw_split(spark, sf), "rawsplit", partition_by=["split"],
+                      sort_within=["segment", "ts"]).select("segment", "ts", "qty", "split")
 
 
 @register("scaler_sink", QUERIES["scaler_stats"][1])

@@ -6,9 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_windows(windows: DataFrame, path: str, dataset: str | None = None, mode: str = "append") -> str:
-    """Append window rows partitioned by (dataset, split): later reads prune to one split."""
+def write_windows(windows: DataFrame, path: str, dataset: str | None = None, mode: str = "append",
+                  sort_within=("segment", "ts")) -> str:
+    """Append window rows partitioned by (dataset, split): later reads prune to one split. Rows are
+    sorted by (segment, date) inside each task (no shuffle), which keeps Parquet min / max
+    statistics tight for later filters."""
     w = windows if dataset is None else windows.withColumn("dataset", F.lit(dataset))
+    cols = [c for c in (sort_within or ()) if c in w.columns]
+    if cols:
+        w = w.sortWithinPartitions(*cols)
     w.write.mode(mode).partitionBy("dataset", "split").parquet(path)
     return path
 
@@ -25,10 +31,13 @@ def read_windows(spark: SparkSession, path: str, dataset: str | None = None, spl
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite", partition_by=None,
-                single_file: bool = False) -> str:
+                single_file: bool = False, sort_within=None) -> str:
     """Generic sink for raw splits (partition by split), scaler stats (json), rejects (append),
-    predictions and metrics (csv with header, one file: the table is one row per model)."""
+    predictions and metrics (csv with header, one file: the table is one row per model).
+    ``sort_within``: order rows (e.g. segment, date) inside each task before writing."""
     d = df.coalesce(1) if single_file else df
+    if sort_within:
+        d = d.sortWithinPartitions(*sort_within)
     w = d.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
