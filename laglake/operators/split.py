@@ -55,11 +55,13 @@ def chrono_split(windows: DataFrame, key, ratios=(0.7, 0.1, 0.2), order: str = "
     return accepted, rejected
 
 
-def rejected_segments(series: DataFrame, windows: DataFrame, key, ratios=(0.7, 0.1, 0.2)) -> DataFrame:
+def rejected_segments(series: DataFrame, windows: DataFrame, key, ratios=(0.7, 0.1, 0.2),
+                      split_rejects: DataFrame | None = None) -> DataFrame:
     """Every segment of ``series`` that is not accepted, with its window count and a reason
-    (segments without a single complete window are rejected with n = 0)."""
+    (segments without a single complete window are rejected with n = 0). Pass the rejects already
+    returned by ``chrono_split`` as ``split_rejects`` to avoid splitting twice."""
     keys = as_keys(key)
-    _, rej = chrono_split(windows, keys, ratios)
+    rej = split_rejects if split_rejects is not None else chrono_split(windows, keys, ratios)[1]
     have = windows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     none = (series.select(*keys).distinct().join(have, keys, "left_anti")
             .select(*keys, F.lit(0).cast("long").alias("n"), F.lit("no window").alias("reason")))

@@ -91,8 +91,8 @@ def prepare_dataset(spark: SparkSession, spec: DatasetSpec, window: WindowSpec,
     w = make_windows(series, key, spec.date, spec.features, spec.target, window, strategy=strat)
     if materialize_windows:
         w = materialize(w, f"windows-{spec.name}")
-    acc, _ = chrono_split(w, key, window.ratios, strict_parity=strict_parity)
-    rej = rejected_segments(series, w, key, window.ratios)
+    acc, split_rej = chrono_split(w, key, window.ratios, strict_parity=strict_parity)
+    rej = rejected_segments(series, w, key, window.ratios, split_rejects=split_rej)
     bounds = split_bounds(acc, key, spec.date)
     raw = raw_split(series, bounds, key, spec.date)
     stats = None
