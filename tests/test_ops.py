@@ -402,3 +402,12 @@ def test_scan_pushdown_and_pruning(spark):
     used = _plan(prepare(ev, spec, null_scope="used"))
     schema = used.split("ReadSchema: struct<", 1)[1].split(">", 1)[0]
     assert set(f.split(":")[0] for f in schema.split(",")) == {"ts", "event_type", "value"}
+
+
+def test_strftime_translation():
+    from laglake.functions.timecols import strftime_to_spark
+    assert strftime_to_spark("%Y-%m-%d %H:%M:%S") == "yyyy-MM-dd HH:mm:ss"
+    assert strftime_to_spark("%d/%m/%Y") == "dd/MM/yyyy"
+    assert strftime_to_spark("%Y:%m:%d") == "yyyy:MM:dd"
+    assert strftime_to_spark("%Y-%m-%dT%H") == "yyyy-MM-dd'T'HH"
+    assert strftime_to_spark("day %j of %Y") == "'day' DDD 'of' yyyy"
