@@ -294,3 +294,17 @@ def test_unkeyed_paths(spark):
     assert labelled == {"train": 13, "val": 4, "test": 4}
     q = exact_quantiles(s, None, "v", {"median": "median", "q75": 0.75}).first()
     assert q["median"] == 4.5 and q["q75"] == 6.0
+
+
+def test_grid_low_high_override(spark):
+    s = series(spark, [("a", day(i), float(i)) for i in (3, 5)] + [("b", day(4), 1.0)])
+    g = fill_date(s, "segment", "ts", 1440, low=day(1), high=day(6))
+    per = {}
+    for r in g.collect():
+        per.setdefault(r["segment"], []).append(r["ts"])
+    assert sorted(per["a"]) == [day(i) for i in range(1, 7)]
+    assert sorted(per["b"]) == [day(i) for i in range(1, 7)]
+    # long series: grid points come from several chunks
+    from laglake.operators.grid import grid
+    pts = grid(s.where(F.col("segment") == "a"), "segment", "ts", 60, chunk_steps=7)
+    assert pts.count() == 2 * 24 + 1 and pts.select("ts").distinct().count() == 49
