@@ -411,3 +411,17 @@ def test_strftime_translation():
     assert strftime_to_spark("%Y:%m:%d") == "yyyy:MM:dd"
     assert strftime_to_spark("%Y-%m-%dT%H") == "yyyy-MM-dd'T'HH"
     assert strftime_to_spark("day %j of %Y") == "'day' DDD 'of' yyyy"
+
+
+def test_scaler_suffix_and_catalogue_order(spark):
+    from laglake.operators.expand import univariate_unpivot
+    df = spark.createDataFrame([("s", T0, 1.0, 10.0), ("s", T0 + dt.timedelta(days=1), 3.0, 30.0)],
+                               "seg string, ts timestamp_ntz, b double, a double")
+    st = fit_scaler(df, ["a", "b"], "minmax")
+    out = apply_scaler(df, st, ["a", "b"], suffix="_scaled").orderBy("ts").collect()
+    assert out[0]["a"] == 10.0 and out[0]["a_scaled"] == 0.0 and out[1]["b_scaled"] == 1.0
+    long = univariate_unpivot(df, "seg", "ts", ["b", "a"])
+    assert long.count() == 4 and set(long.columns) == {"seg", "ts", "channel", "value"}
+    cat = {r["channel"]: r["pos"] for r in channel_catalogue(long).collect()}
+    assert cat == {"a": 0, "b": 1}
+    assert {r["channel"]: r["pos"] for r in channel_catalogue(long, order=["b", "a"]).collect()} == {"b": 0, "a": 1}
