@@ -425,3 +425,12 @@ def test_scaler_suffix_and_catalogue_order(spark):
     cat = {r["channel"]: r["pos"] for r in channel_catalogue(long).collect()}
     assert cat == {"a": 0, "b": 1}
     assert {r["channel"]: r["pos"] for r in channel_catalogue(long, order=["b", "a"]).collect()} == {"b": 0, "a": 1}
+
+
+def test_materialize_cuts_lineage(spark):
+    from laglake.session import checkpoint_dir, materialize
+    df = spark.range(0, 1000).withColumn("k", F.col("id") % 7).groupBy("k").count()
+    m = materialize(df, "unit")
+    plan = m._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "HashAggregate" not in plan
+    assert checkpoint_dir(spark) and sorted(r["k"] for r in m.collect()) == list(range(7))
