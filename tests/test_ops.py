@@ -434,3 +434,12 @@ def test_materialize_cuts_lineage(spark):
     plan = m._jdf.queryExecution().executedPlan().toString()
     assert "FileScan parquet" in plan and "HashAggregate" not in plan
     assert checkpoint_dir(spark) and sorted(r["k"] for r in m.collect()) == list(range(7))
+
+
+def test_predict_multichannel_windows(spark):
+    rng = np.random.default_rng(12)
+    X, W = rng.normal(size=(5, 3, 2)), rng.normal(size=(3 * 2 + 1, 2))
+    df = spark.createDataFrame([(i, X[i].tolist()) for i in range(5)], "id int, x array<array<double>>")
+    got = {r["id"]: r["yhat"] for r in FC.predict(df, FC.coefficient_table(spark, "m", W)).collect()}
+    for i in range(5):
+        assert np.allclose(got[i], np.append(X[i].reshape(-1), 1.0) @ W)
