@@ -443,3 +443,12 @@ def test_predict_multichannel_windows(spark):
     got = {r["id"]: r["yhat"] for r in FC.predict(df, FC.coefficient_table(spark, "m", W)).collect()}
     for i in range(5):
         assert np.allclose(got[i], np.append(X[i].reshape(-1), 1.0) @ W)
+
+
+def test_spec_validation():
+    from laglake.spec import WindowSpec
+    with pytest.raises(ValueError):
+        WindowSpec(lag=0)
+    s = DatasetSpec(path="p", target="y", date="d", features=("a", "y"), segment="k")
+    assert s.target == ("y",) and s.channels == ("a", "y") and s.used_columns == ("d", "k", "a", "y")
+    assert WindowSpec(lag=4, ahead=2, offset=3).span == 6
