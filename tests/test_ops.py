@@ -452,3 +452,15 @@ def test_spec_validation():
     s = DatasetSpec(path="p", target="y", date="d", features=("a", "y"), segment="k")
     assert s.target == ("y",) and s.channels == ("a", "y") and s.used_columns == ("d", "k", "a", "y")
     assert WindowSpec(lag=4, ahead=2, offset=3).span == 6
+
+
+def test_case_parquet_and_json_sink(spark):
+    from laglake.sources.cases import read_cases
+    from laglake.sources.stores import write_table
+    d = tempfile.mkdtemp(prefix="laglake-sinks-")
+    cases = spark.createDataFrame([(1, 8), (2, 16)], "Case int, lag int")
+    write_table(cases, os.path.join(d, "cases.parquet"))
+    assert [r["lag"] for r in read_cases(spark, os.path.join(d, "cases.parquet"), selected=[2]).collect()] == [16]
+    write_table(cases, os.path.join(d, "cases.json"), fmt="json", single_file=True)
+    back = spark.read.schema(cases.schema).json(os.path.join(d, "cases.json"))
+    assert sorted(tuple(r) for r in back.collect()) == [(1, 8), (2, 16)]
