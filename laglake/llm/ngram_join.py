@@ -314,6 +314,15 @@ def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, chunk_sets: i
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, equal rows (id and text) once. Rows without an id can't
+    be told apart by it and stay."""
+    found = ngram_join(docs, id_col=id_col, text_col=text_col, **settings)
+    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
+    kept = docs.join(first, docs[id_col] == first["_first"], "left_semi").dropDuplicates([id_col, text_col])
+    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Five words, a similarity of 0.8, all documents."""
     return ngram_join(table(spark, sf_dir, "documents").select("doc_id", "text"))

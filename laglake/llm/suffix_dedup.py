@@ -26,8 +26,6 @@ with equal ids are ordered by their text. Empty tables give no rows.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -42,7 +40,6 @@ MASK = (1 << 64) - 1
 INVERSE = pow(BASE, -1, 1 << 64)
 GRAM_DROP = 20  # 44 bits tell grams apart; equal ranges need 32 more bits to agree
 U = np.uint64
-RESULT = "doc_id long, text binary, spans array<struct<start:int,stop:int>>"
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -61,10 +58,10 @@ class Block:
 
     def __init__(self, t: pa.Table, length: int, gram: int):
         self.length, self.gram = length, gram
-        rows = list(zip(t["doc_id"].to_pylist(), t["text"].to_pylist(), strict=True))
-        rows = [(i, (x or "").encode("utf-8", "surrogatepass")) for i, x in rows]
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        self.ids, self.raw = [r[0] for r in rows], [r[1] for r in rows]
+        raw = [(x or "").encode("utf-8", "surrogatepass") for x in t["text"].to_pylist()]
+        ids = t["doc_id"].to_pylist()
+        self.order = sorted(range(len(raw)), key=lambda k: (ids[k] is None, ids[k] or 0, raw[k]))
+        self.ids, self.raw = [ids[k] for k in self.order], [raw[k] for k in self.order]
         self.data = np.frombuffer(b"".join(self.raw), np.uint8)
         n = len(self.data)
         self.ends = np.cumsum([len(r) for r in self.raw], dtype=np.int64)
@@ -297,15 +294,18 @@ def dealt(docs: DataFrame, blocks: int) -> DataFrame:
 
     @F.pandas_udf("long")
     def block(ids: pd.Series) -> pd.Series:
-        known = ids.fillna(np.iinfo(np.int64).max).astype("int64").to_numpy()
-        return pd.Series(np.searchsorted(edges, known, side="left"))
+        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="left"))
 
-    return docs.withColumn("block", block("doc_id")).repartition(blocks, "block")
+    last = F.lit(int(np.iinfo(np.int64).max))
+    return docs.withColumn("block", block(F.coalesce("doc_id", last))).repartition(blocks, "block")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, the kept bytes as ``text`` and the removed spans (byte offsets) of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text",
+                 carry: tuple[str, ...] = (), decode: bool = False) -> DataFrame:
+    """doc_id, the kept bytes as ``text``, the removed spans (byte offsets) and the struct ``rest`` of the columns
+    ``carry``, of every row. With ``decode``, ``text`` is a string without the characters that a span cuts in two."""
+    rest = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("rest")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rest)
     blocks, buckets = plan(rows, block_bytes, 0.5)
     texts = dealt(rows, blocks)
 
@@ -321,23 +321,28 @@ def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes
         return ask_table(asks(t["block"][0].as_py(), 1, keys, np.zeros(len(keys), np.uint8), buckets))
 
     def finish(t: pa.Table, reply: pa.Table) -> pa.Table:
-        ids, kept, spans = [], [], []
+        ids, kept, spans, order = [], [], [], []
         if t.num_rows:
             b = Block(t, length, gram)
             gone = Known(b).marked(replies(reply, "u1")[0], replies(reply, "u1", 1)[0])
-            ids = b.ids
+            ids, order = b.ids, b.order
             for raw, end in zip(b.raw, b.ends.tolist(), strict=True):
                 g = gone[end - len(raw):end]
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8)))
                 spans.append([{"start": s, "stop": e} for s, e in edge.reshape(-1, 2).tolist()])
                 kept.append(np.frombuffer(raw, np.uint8)[~g].tobytes() if len(edge) else raw)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(kept, pa.binary()),
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if decode else pa.array(kept, pa.binary()), "rest": t["rest"].take(pa.array(order, pa.int64())).cast(nullable(t["rest"].type)),
                          "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))})
 
+    result = f"doc_id long, text {'string' if decode else 'binary'}, rest {rows.schema['rest'].dataType.simpleString()}, spans array<struct<start:int,stop:int>>"
     groups = texts.groupBy("block")
     about_grams = answered(groups.applyInArrow(ask_grams, ASK), gram_state, GRAM_FACT)
     about_windows = answered(groups.cogroup(about_grams.groupBy("block")).applyInArrow(ask_windows, ASK), window_state, "u1")
-    return groups.cogroup(about_grams.unionByName(about_windows).groupBy("block")).applyInArrow(finish, RESULT)
+    return groups.cogroup(about_grams.unionByName(about_windows).groupBy("block")).applyInArrow(finish, result)
+
+
+def nullable(kind: pa.StructType) -> pa.StructType:
+    return pa.struct([pa.field(f.name, f.type) for f in kind])
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 """Toxicity: maximum-scoring segments of token log-odds, with extreme-value calibration.
 
-Learning. On labelled rows, each token's log-odds between toxic and clean documents is estimated with
-an informative Dirichlet prior (the corpus' own frequencies, ``prior`` pseudo-documents); tokens whose
-z-score is below ``least_z`` count as uninformative. A token scores its log-odds, any other a small negative constant, so
-clean text drifts downwards.
+Learning. On labelled rows, the log-odds between toxic and clean text of each word, and of words' beginnings of 4 to 6
+letters, is estimated with an informative Dirichlet prior (the corpus' own frequencies, ``prior`` pseudo-counts). A feature
+is informative if its likelihood-ratio statistic exceeds 2 ln(number of features tested) and it occurs in
+``least_documents``. A token scores the log-odds of its longest informative feature, any other a small
+negative constant, so clean text drifts downwards.
 Search. One linear scan over a document's tokens finds all maximal scoring segments. For clean text the best segment's
 score follows an extreme-value law, P(best > x) = 1 - exp(-K n exp(-lambda x)) for n tokens: lambda solves
 E[exp(lambda score)] = 1 over clean tokens, K is its maximum-likelihood value on clean documents. A
@@ -41,9 +42,9 @@ TOKEN = re.compile(r"[^\W_]+")
 @dataclass(frozen=True)
 class Settings:
     rows_per_class: int = 12_000
-    prior: float = 2_000.0
-    least_z: float = 2.5
+    prior: float = 500.0
     least_documents: int = 3
+    most_of_one: int = 4
     other: float = -0.25
     most_expected: float = 0.05
 
@@ -60,6 +61,28 @@ class Model:
     curve: tuple[float, float] = (0.0, 0.0)
 
 
+STEMS = (6, 5, 4)
+
+
+def features(word: str) -> list[str]:
+    """The word and its beginnings, longest first."""
+    return [word, *[word[:k] + "*" for k in STEMS if len(word) > k]]
+
+
+class Memo(dict):
+    """Score of each token met so far (None: uninformative); at most ``most`` are kept."""
+
+    def __init__(self, scores: dict[str, float], most: int = 300_000):
+        super().__init__()
+        self.scores, self.most = scores, most
+
+    def __missing__(self, token: str) -> float | None:
+        if len(self) >= self.most:
+            self.clear()
+        found = self[token] = next((s for f in features(token.lower()) if (s := self.scores.get(f)) is not None), None)
+        return found
+
+
 def segments(at: Iterable[int], gains: Iterable[float], other: float) -> list[tuple[int, int, float]]:
     """All maximal scoring segments as (first token, last token + 1, score). ``at`` holds the rising positions of
     tokens that don't score ``other`` (< 0), ``gains`` their scores; the scan is linear in their number.
@@ -87,10 +110,10 @@ def segments(at: Iterable[int], gains: Iterable[float], other: float) -> list[tu
     return [(a, b, high - low) for a, b, low, high in found]
 
 
-def scan(text: str | None, m: Model) -> tuple[int, list[tuple[int, int, float]]]:
+def scan(text: str | None, m: Model, memo: Memo) -> tuple[int, list[tuple[int, int, float]]]:
     """Number of tokens and the document's maximal segments (in tokens)."""
     tokens = TOKEN.findall(text or "")
-    got = [(i, s) for i, s in enumerate(map(m.scores.get, map(str.lower, tokens))) if s is not None]
+    got = [(i, s) for i, s in enumerate([memo[t] for t in tokens]) if s is not None]
     return len(tokens), segments([i for i, _ in got], [s for _, s in got], m.other) if got else []
 
 
@@ -125,19 +148,26 @@ def fitted_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def token_counts(rows: DataFrame) -> DataFrame:
-    """token, toxic, clean: documents of each class that hold the token. Each task counts before the shuffle."""
+def feature_counts(rows: DataFrame, most_of_one: int) -> DataFrame:
+    """feature, toxic, clean (occurrences, at most ``most_of_one`` in a document, so that none dominates) and documents. Each task
+    counts before the shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: tuple[Counter, Counter] = (Counter(), Counter())
+            held: Counter = Counter()
             for label, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                seen[label].update(set(map(str.lower, TOKEN.findall(text.as_py() or ""))))
-            words = list(seen[0].keys() | seen[1].keys())
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *[pa.array([seen[c][x] for x in words], pa.int64()) for c in (1, 0)]],
-                                             names=["token", "toxic", "clean"])
+                own: Counter = Counter()
+                for word, n in Counter(map(str.lower, TOKEN.findall(text.as_py() or ""))).items():
+                    for f in features(word):
+                        own[f] += n
+                seen[label].update({f: min(n, most_of_one) for f, n in own.items()})
+                held.update(own.keys())
+            names = list(held)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([c[x] for x in names], pa.int64()) for c in (seen[1], seen[0], held)]],
+                                             names=["feature", "toxic", "clean", "documents"])
 
-    return rows.select("label", "text").mapInArrow(run, "token string, toxic long, clean long").groupBy("token").agg(
-        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = rows.select("label", "text").mapInArrow(run, "feature string, toxic long, clean long, documents long")
+    return counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "documents")])
 
 
 def labelled(docs: DataFrame, labels: DataFrame, learn, s: Settings, id_col: str, text_col: str) -> DataFrame | None:
@@ -167,18 +197,21 @@ def learned(docs: DataFrame, labels: DataFrame, learn, settings: Settings | None
         m.curve = (math.log(share / (1 - share)), 0.0)
         return m
     rows = rows.persist()
-    counts = token_counts(rows.where("fold < 7")).persist()
+    counts = feature_counts(rows.where("fold < 7"), s.most_of_one).where(F.col("documents") >= s.least_documents).persist()
     all1, all0, size = counts.agg(F.sum("toxic"), F.sum("clean"), F.count("*")).first()
     if size:
         a = F.lit(s.prior) * (F.col("toxic") + F.col("clean")) / float(all1 + all0)
         n1, n0 = all1 + s.prior, all0 + s.prior
         y1, y0 = F.col("toxic") + a, F.col("clean") + a
         odds = F.log(y1 / (n1 - y1)) - F.log(y0 / (n0 - y0))
-        useful = counts.where(F.col("toxic") + F.col("clean") >= s.least_documents).select(
-            "token", odds.alias("odds"), (y0 / n0).alias("rate"), (odds / F.sqrt(1 / y1 + 1 / y0)).alias("z"))
-        got = useful.where(F.abs("z") >= s.least_z).collect()
-        m.scores = {r["token"]: r["odds"] for r in sorted(got, key=lambda r: r["token"])}
-        m.lam = decay(np.array([r["odds"] for r in got]), np.array([r["rate"] for r in got]), s.other)
+        both, share = F.col("toxic") + F.col("clean"), all1 / float(all1 + all0)
+        part = lambda y, e: F.when(F.col(y) > 0, F.col(y) * F.log(F.col(y) / (both * e))).otherwise(0.0)
+        ratio = 2 * (part("toxic", share) + part("clean", 1 - share))
+        got = counts.select("feature", odds.alias("odds"), (y0 / n0).alias("rate"), ratio.alias("ratio")).where(
+            F.col("ratio") > 2 * math.log(size + 1)).collect()
+        m.scores = {r["feature"]: r["odds"] for r in sorted(got, key=lambda r: r["feature"])}
+        words = [r for r in got if not r["feature"].endswith("*")] or got
+        m.lam = decay(np.array([r["odds"] for r in words]), np.array([r["rate"] for r in words]), s.other)
     found = map_batches(rows.where("fold >= 7").select("label", "text"), lambda b: _scanned(b, m), "label int, n long, scores array<double>")
     held = found.collect()
     counts.unpersist()
@@ -194,7 +227,8 @@ def learned(docs: DataFrame, labels: DataFrame, learn, settings: Settings | None
 
 
 def _scanned(batch: pa.RecordBatch, m: Model) -> dict:
-    got = [scan(t.as_py(), m) for t in batch.column(1)]
+    memo = Memo(m.scores)
+    got = [scan(t.as_py(), m, memo) for t in batch.column(1)]
     return {"label": batch.column(0), "n": [n for n, _ in got], "scores": [[x for _, _, x in f] for _, f in got]}
 
 
@@ -216,11 +250,13 @@ def decay(scores: np.ndarray, rates: np.ndarray, other: float) -> float:
 
 def toxicity(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted and the significant passages (character offsets, score, expectation) of every row."""
+    memo = Memo(m.scores)
+
     def run(batch: pa.RecordBatch) -> dict:
         score, spans = [], []
         for t in batch.column(1):
             text = t.as_py()
-            n, found = scan(text, m)
+            n, found = scan(text, m, memo)
             score.append(probability(evidence(n, found, m), m))
             good = [(a, b, s, e) for a, b, s in found if (e := expected(n, s, m)) <= m.most_expected]
             place = [x.span() for x in TOKEN.finditer(text)] if good else []
@@ -231,6 +267,22 @@ def toxicity(docs: DataFrame, m: Model, id_col: str = "doc_id", text_col: str =
     return map_batches(rows, run, "doc_id long, score double, predicted int, passages array<struct<start:int,stop:int,score:double,expected:double>>")
 
 
+def without_toxic(docs: DataFrame, m: Model, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that aren't predicted toxic, with all their columns; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(m.scores)
+        for b in batches:
+            keep = []
+            for t in b.column(at):
+                n, found = scan(t.as_py(), m, memo)
+                keep.append(probability(evidence(n, found, m), m) < 0.5)
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def corpus_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Model:
     """Learned from the labels whose id's crc32 isn't a multiple of 5."""
     return learned(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"), crc_mod("doc_id", 5) != 0)
