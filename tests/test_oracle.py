@@ -12,8 +12,10 @@ from oracle_check import canon, duck
 SF = os.environ.get("LAGLAKE_TEST_SF", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="driver test tables not present")
 
-QUERIES = E.queries()
-SQL = E.oracle_sql()
+from laglake.plans.queries import QUERIES as CORE  # noqa: E402
+
+QUERIES = {name: E.queries()[name] for name in CORE}
+SQL = {name: sql for name, sql in E.oracle_sql().items() if name in CORE}
 
 
 @pytest.fixture(scope="module")
