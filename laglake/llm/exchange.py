@@ -54,10 +54,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def plan(docs: DataFrame, block_bytes: int, bucket_factor: float, bucket_bytes: int = 16 << 20, least: int = 48) -> tuple[int, int]:
-    """Numbers of blocks and buckets for the text column: ``bucket_factor`` is what a text byte sends at most."""
+def plan(docs: DataFrame, block_bytes: int, bucket_factor: float, bucket_bytes: int = 8 << 20, least: int = 48,
+         from_bytes: int = 30 << 30, most: int = 16) -> tuple[int, int]:
+    """Numbers of blocks and buckets for the text column: ``bucket_factor`` is what a text byte sends at most. Beyond
+    ``from_bytes`` of text both grow with its square root, up to ``most`` times, so that the lists that each block sends
+    each bucket don't become single keys too soon."""
     size = text_bytes(docs)
-    return max(least, math.ceil(size / block_bytes)), max(least, math.ceil(size * bucket_factor / bucket_bytes))
+    grow = min(most, max(1.0, math.sqrt(size / from_bytes)))
+    return max(least, math.ceil(size / (block_bytes * grow))), max(least, math.ceil(size * bucket_factor / (bucket_bytes * grow)))
 
 
 def by_hash(docs: DataFrame, blocks: int, *columns: str) -> DataFrame:

@@ -306,7 +306,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes
     ``carry``, of every row. With ``decode``, ``text`` is a string without the characters that a span cuts in two."""
     rest = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("rest")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rest)
-    blocks, buckets = plan(rows, block_bytes, 0.5)
+    blocks, buckets = plan(rows, block_bytes, 1.0)
     texts = dealt(rows, blocks)
 
     def ask_grams(t: pa.Table) -> pa.Table:
