@@ -30,17 +30,14 @@ def near_copies_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def passages_removed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of 100-byte strings are cut out of the texts."""
-    found = suffix_dedup.suffix_dedup(docs, carry=tuple(docs.columns), decode=True)
-    whole = F.size("spans") == 0
-    text = F.when(whole, F.col("rest")["text"]).otherwise(F.col("text"))
+    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
+    found = suffix_dedup.suffix_dedup(docs, carry=rest, decode=True)
     columns = []
     for c in docs.columns:
-        value = F.col("rest")[c]
-        if c == "text":
-            value = text
-        elif c == "n_chars":
-            value = F.when(whole, value).otherwise(F.length(text)).cast(docs.schema[c].dataType)
-        columns.append(value.alias(c))
+        value = F.col(c) if c in ("doc_id", "text") else F.col("rest")[c]
+        if c == "n_chars":
+            value = F.when(F.size("spans") == 0, value).otherwise(F.length("text"))
+        columns.append(value.cast(docs.schema[c].dataType).alias(c))
     return found.select(*columns)
 
 

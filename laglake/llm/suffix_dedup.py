@@ -300,10 +300,11 @@ def dealt(docs: DataFrame, blocks: int) -> DataFrame:
     return docs.withColumn("block", block(F.coalesce("doc_id", last))).repartition(blocks, "block")
 
 
-def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text",
+def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text",
                  carry: tuple[str, ...] = (), decode: bool = False) -> DataFrame:
     """doc_id, the kept bytes as ``text``, the removed spans (byte offsets) and the struct ``rest`` of the columns
-    ``carry``, of every row. With ``decode``, ``text`` is a string without the characters that a span cuts in two."""
+    ``carry``, of every row. With ``decode``, ``text`` is a string without the characters that a span cuts in two, and null where
+    the input is."""
     rest = F.struct(F.lit(0).alias("_"), *[F.col(c) for c in carry]).alias("rest")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), rest)
     blocks, buckets = plan(rows, block_bytes, 1.0)
@@ -321,17 +322,18 @@ def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes
         return ask_table(asks(t["block"][0].as_py(), 1, keys, np.zeros(len(keys), np.uint8), buckets))
 
     def finish(t: pa.Table, reply: pa.Table) -> pa.Table:
-        ids, kept, spans, order = [], [], [], []
+        ids, kept, spans, order, empty = [], [], [], [], []
         if t.num_rows:
             b = Block(t, length, gram)
             gone = Known(b).marked(replies(reply, "u1")[0], replies(reply, "u1", 1)[0])
-            ids, order = b.ids, b.order
+            ids, order, missing = b.ids, b.order, t["text"].is_null().to_pylist()
+            empty = [missing[k] for k in order]
             for raw, end in zip(b.raw, b.ends.tolist(), strict=True):
                 g = gone[end - len(raw):end]
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], g, [False]]).astype(np.int8)))
                 spans.append([{"start": s, "stop": e} for s, e in edge.reshape(-1, 2).tolist()])
                 kept.append(np.frombuffer(raw, np.uint8)[~g].tobytes() if len(edge) else raw)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if decode else pa.array(kept, pa.binary()), "rest": t["rest"].take(pa.array(order, pa.int64())).cast(nullable(t["rest"].type)),
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array([None if gone else x.decode("utf-8", "ignore") for x, gone in zip(kept, empty, strict=True)], pa.string()) if decode else pa.array(kept, pa.binary()), "rest": t["rest"].take(pa.array(order, pa.int64())).cast(nullable(t["rest"].type)),
                          "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))})
 
     result = f"doc_id long, text {'string' if decode else 'binary'}, rest {rows.schema['rest'].dataType.simpleString()}, spans array<struct<start:int,stop:int>>"
