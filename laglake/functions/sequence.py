@@ -2,10 +2,13 @@
 last-value normalisation, reversible instance normalisation and Time2Vec features.
 
 All builders take a 1-D ``array<double>`` column (one channel of one window, oldest step
-first) and stay inside Spark's higher-order functions, so they run in the JVM per row."""
+first). Per-element maps are higher-order functions; the moving average and the decomposition run on Arrow batches. Time
+is linear in the length of a window."""
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,53 +33,106 @@ def array_sum(x) -> Column:
 
 
 def array_mean(x) -> Column:
-    return array_sum(x) / F.size(_c(x))
+    return F.try_divide(array_sum(x), F.size(_c(x)))   # NULL for an empty array, which plans may evaluate before they filter it
+
+
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once per row, also where ``use`` needs it for every element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _averages(arrays: pd.Series, k: int) -> list:
+    """Edge-padded moving averages by running sums, in one pass over all windows of a length."""
+    out = [None] * len(arrays)
+    by_length: dict[int, list[int]] = {}
+    for i, a in enumerate(arrays):
+        if a is not None:
+            by_length.setdefault(len(a), []).append(i)
+    p = (k - 1) // 2
+    for n, rows in by_length.items():
+        if not n:
+            for i in rows:
+                out[i] = np.empty(0)
+            continue
+        x = np.stack([np.asarray(arrays.iloc[i], float) for i in rows])
+        level = x[:, :1]   # sums of differences from the first value keep their digits
+        padded = np.concatenate([np.repeat(x[:, :1], p + 1, axis=1), x, np.repeat(x[:, -1:], p, axis=1)], axis=1) - level
+        padded[:, 0] = 0.0
+        sums = np.cumsum(padded, axis=1)
+        average = (sums[:, k:] - sums[:, :-k]) / k + level if sums.shape[1] > k else np.empty((len(rows), 0))
+        for i, row in zip(rows, average, strict=True):
+            out[i] = row
+    return out
 
 
 def moving_average(x, k: int) -> Column:
     """Stride-1 mean over a window of ``k`` after padding (k-1)//2 copies of the first and the
-    last value at each end (length kept for odd k)."""
-    x = _c(x)
-    p = (k - 1) // 2
-    padded = F.concat(F.array_repeat(F.element_at(x, 1), p), x, F.array_repeat(F.element_at(x, -1), p))
-    n_out = F.size(x) + 2 * p - k + 1
-    return F.transform(
-        F.sequence(F.lit(1), n_out),
-        lambda i: F.aggregate(F.slice(padded, i, k), F.lit(0.0).cast("double"), lambda a, v: a + v) / k,
-    )
+    last value at each end (length kept for odd k). Arrow batches, time linear in the length."""
+    @F.pandas_udf("array<double>")
+    def run(arrays: pd.Series) -> pd.Series:
+        return pd.Series(_averages(arrays, k), dtype=object)
+
+    return run(_c(x).cast("array<double>"))
 
 
 def decompose(x, k: int) -> Column:
     """struct<trend, seasonal> with trend = moving_average(x, k) and seasonal = x - trend."""
-    x = _c(x)
-    trend = moving_average(x, k)
-    return F.struct(trend.alias("trend"), F.zip_with(x, trend, lambda a, b: a - b).alias("seasonal"))
+    @F.pandas_udf("trend array<double>, seasonal array<double>")
+    def run(arrays: pd.Series) -> pd.DataFrame:
+        trend = _averages(arrays, k)
+        rest = [None if t is None else np.asarray(a, float) - t for a, t in zip(arrays, trend, strict=True)]
+        return pd.DataFrame({"trend": pd.Series(trend, dtype=object), "seasonal": pd.Series(rest, dtype=object)})
+
+    return run(_c(x).cast("array<double>"))
 
 
 def last_value_norm(x) -> Column:
     """Subtract the last step of the window from every step."""
     x = _c(x)
-    return F.transform(x, lambda v: v - F.element_at(x, -1))
+    return bound(F.try_element_at(x, F.lit(-1)), lambda last: F.transform(x, lambda v: v - last))
 
 
 def last_value_denorm(y, last) -> Column:
     return F.transform(_c(y), lambda v: v + _c(last))
 
 
-def revin_stats(x, eps: float = REVIN_EPS) -> Column:
-    """struct<mean, std> per window: mean and sqrt(population variance + eps)."""
-    x = _c(x)
-    mean = array_mean(x)
-    var = F.aggregate(x, F.lit(0.0).cast("double"), lambda a, v: a + (v - mean) * (v - mean)) / F.size(x)
-    return F.struct(mean.alias("mean"), F.sqrt(var + F.lit(eps)).alias("std"))
+def _steps(x: Column, channels: int, fn) -> Column:
+    """``fn(values, channel)`` for one channel, or for each channel of a steps x channels array."""
+    if channels == 1:
+        return fn(x, 0)
+    def of(c: int) -> Column:
+        return F.transform(x, lambda step: F.element_at(step, c + 1))
+
+    return F.array(*[fn(of(c), c) for c in range(channels)])
+
+
+def revin_stats(x, eps: float = REVIN_EPS, channels: int = 1) -> Column:
+    """struct<mean, std> per window: mean and sqrt(population variance + eps); an array of them, one per channel,
+    for a steps x channels window."""
+    def one(v, _):
+        def spread(m):
+            return F.try_divide(F.aggregate(v, F.lit(0.0).cast("double"), lambda a, e: a + (e - m) * (e - m)), F.size(v))
+        return bound(array_mean(v), lambda m: F.struct(m.alias("mean"), F.sqrt(spread(m) + F.lit(eps)).alias("std")))
+
+    return _steps(_c(x), channels, one)
 
 
 def revin_norm(x, mean, std, weight: float = 1.0, bias: float = 0.0) -> Column:
-    return F.transform(_c(x), lambda v: (v - _c(mean)) / _c(std) * F.lit(weight) + F.lit(bias))
+    both = F.struct(_c(mean).alias("m"), _c(std).alias("s"))
+    return bound(both, lambda b: F.transform(_c(x), lambda v: (v - b["m"]) / b["s"] * F.lit(weight) + F.lit(bias)))
+
+
+def revin_norm_channels(x, stats, weights=None, biases=None) -> Column:
+    """A steps x channels window normalised by ``revin_stats(x, channels=n)``, with an affine map per channel."""
+    n = len(weights) if weights else None
+    return bound(_c(stats), lambda st: F.transform(_c(x), lambda step: F.transform(
+        step, lambda v, c: (v - st[c]["mean"]) / st[c]["std"] * (F.lit(1.0) if n is None else F.element_at(F.array(*map(F.lit, map(float, weights))), c + 1))
+        + (F.lit(0.0) if n is None else F.element_at(F.array(*map(F.lit, map(float, biases))), c + 1)))))
 
 
 def revin_denorm(y, mean, std, weight: float = 1.0, bias: float = 0.0, eps: float = REVIN_EPS) -> Column:
-    return F.transform(_c(y), lambda v: (v - F.lit(bias)) / F.lit(weight + eps * eps) * _c(std) + _c(mean))
+    both = F.struct(_c(mean).alias("m"), _c(std).alias("s"))
+    return bound(both, lambda b: F.transform(_c(y), lambda v: (v - F.lit(bias)) / F.lit(weight + eps * eps) * b["s"] + b["m"]))
 
 
 def time2vec(x, wa, ba, wb, bb) -> Column:

@@ -21,6 +21,15 @@ def _epoch() -> Column:
     return F.expr(EPOCH_NTZ)
 
 
+def micro_index(ts) -> Column:
+    """Microseconds since 1970-01-01 00:00 (BIGINT), exact; the ordering key of frames and grids."""
+    return F.timestamp_diff("MICROSECOND", _epoch(), as_ntz(ts))
+
+
+def from_micro_index(m) -> Column:
+    return F.timestamp_add("MICROSECOND", _col(m), _epoch())
+
+
 def minute_index(ts) -> Column:
     """Whole minutes since 1970-01-01 00:00 (BIGINT), the ordering key of RANGE frames."""
     return F.timestamp_diff("MINUTE", _epoch(), as_ntz(ts))

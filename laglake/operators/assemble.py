@@ -1,4 +1,4 @@
-"""Zero-shot assembly of window tables from several datasets, keyed shuffle, test truncation."""
+"""Zero-shot assembly of window tables from several datasets, and a keyed shuffle."""
 
 from __future__ import annotations
 
@@ -8,14 +8,6 @@ from pyspark.sql import functions as F
 from laglake.operators.expand import union_all
 
 
-def truncate_test(windows: DataFrame, n: int = 10, keys=("segment",), ts: str = "ts") -> DataFrame:
-    """Keep every train / val window and only the first ``n`` test windows in (keys, ts) order
-    (what the reference does for source datasets, whose test windows are never used)."""
-    rest = windows.where(F.col("split") != "test")
-    head = windows.where(F.col("split") == "test").orderBy(*keys, ts).limit(n)
-    return rest.unionByName(head)
-
-
 def assemble_zero_shot(target: DataFrame, sources: dict, target_name: str = "target",
                        shapes: dict | None = None) -> DataFrame:
     """Target contributes its (complete) test windows, every source its train and val windows;

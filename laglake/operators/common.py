@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from laglake.functions.timecols import minute_index
+from laglake.functions.timecols import micro_index, minute_index
 
 DEFAULT_CHUNK_STEPS = 4096
 
@@ -32,6 +32,13 @@ def with_minutes(df: DataFrame, ts: str, name: str = "m") -> DataFrame:
     return df if name in df.columns else df.withColumn(name, minute_index(ts))
 
 
+def with_micros(df: DataFrame, ts: str, name: str) -> DataFrame:
+    return df.withColumn(name, micro_index(qc(ts)))
+
+
+MINUTE = 60_000_000  # microseconds
+
+
 def chunk_of(m: Column | str, width: int) -> Column:
     """floor(m / width) for BIGINT m of any sign, computed exactly: m - pmod(m, width) is a multiple
     of width, so the division has no rounding even for microsecond counts near 2^53."""

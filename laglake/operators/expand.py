@@ -8,13 +8,26 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laglake.operators.common import as_keys
+from laglake.operators.common import as_keys, qc
 
 
 def univariate_unpivot(df: DataFrame, key, ts: str, channels) -> DataFrame:
     """Every channel becomes its own one-channel series keyed by (key..., channel)."""
     keys = as_keys(key)
-    return df.unpivot([*keys, ts], list(channels), "channel", "value")
+    one = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), qc(c).alias("value")) for c in channels])).alias("_p")
+    return df.select(*[qc(k) for k in keys], qc(ts), one).select(*[qc(k) for k in keys], qc(ts), "_p.channel", "_p.value")
+
+
+def combination_series(df: DataFrame, key, ts: str, channels, k: int, targetless: bool = False) -> DataFrame:
+    """The multi-channel series of every feature combination: (combination, key, ts, channels array). ``combination`` is the
+    position in ``itertools.combinations`` order and ``channels`` holds its members' values in that order. The
+    combinations come from the schema; each row of ``df`` is expanded once."""
+    from itertools import combinations
+    keys = as_keys(key)
+    sets = list(combinations(list(channels), k + 1 if targetless else k))
+    one = F.explode(F.array(*[F.struct(F.lit(i).alias("combination"), F.array(*[F.lit(c) for c in s]).alias("members"),
+                                       F.array(*[qc(c).cast("double") for c in s]).alias("channels")) for i, s in enumerate(sets)])).alias("_c")
+    return df.select(one, *[qc(x) for x in keys], qc(ts)).select("_c.combination", "_c.members", *[qc(x) for x in keys], qc(ts), "_c.channels")
 
 
 def channel_catalogue(long_df: DataFrame, order: list[str] | None = None, dataset: str | None = None) -> DataFrame:

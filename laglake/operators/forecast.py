@@ -10,15 +10,19 @@ Every model collapses to effective weights on the raw window, so prediction is o
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laglake.functions.sequence import decomposition_kernel
-from laglake.operators.moments import gram, gram_matrices
+from laglake.operators.moments import gram_matrices, gram_rows
 
 KINDS = ("linear", "nlinear", "dlinear")
-SHARED = "linear_shared"
+SHARED_KINDS = ("linear_shared", "nlinear_shared", "dlinear_shared", "t2v_shared")
+SHARED = SHARED_KINDS[0]
 
 
 def ma_matrix(L: int, k: int) -> np.ndarray:
@@ -63,11 +67,18 @@ def basis(kind: str, L: int, F_: int, A: int, last_channel: int | None = None) -
 
 
 def solve(S: np.ndarray, n_feat: int, lam: float) -> np.ndarray:
-    """Ridge solution W ((n_feat+1) x A) of the transformed Gram; the intercept is not penalised."""
-    p = n_feat + 1
-    A_ = S[:p, :p].copy()
+    """Ridge solution W ((n_feat+1) x A) of the transformed Gram; the intercept is not penalised. Inputs and labels are
+    centred from the Gram's own sums first, which leaves the solution alone but not the square of the raw level in
+    the condition number."""
+    p, n = n_feat + 1, S[n_feat, n_feat]
+    if n <= 0:
+        return np.zeros((p, S.shape[0] - p))
+    mx, my = S[:n_feat, n_feat] / n, S[n_feat, p:] / n
+    A_ = S[:n_feat, :n_feat] - n * np.outer(mx, mx)
+    B_ = S[:n_feat, p:] - n * np.outer(mx, my)
     A_[np.arange(n_feat), np.arange(n_feat)] += lam
-    return np.linalg.lstsq(A_, S[:p, p:], rcond=None)[0]
+    W = np.linalg.lstsq(A_, B_, rcond=None)[0]
+    return np.vstack([W, my - mx @ W])
 
 
 def effective(kind: str, W: np.ndarray, L: int, F_: int, A: int, last_channel: int | None = None) -> np.ndarray:
@@ -86,19 +97,19 @@ def val_mse(Sv: np.ndarray, Weff: np.ndarray, n_val: float, A: int) -> float:
     return float(np.trace(B.T @ Sv @ B) / max(n_val * A, 1.0))
 
 
-def split_grams(split_windows: DataFrame, n_terms: int | None = None, engine: str = "auto") -> dict:
-    """One data pass: train / val / test Gram matrices of the split windows
-    (``n_terms`` = L*F + 1 + A lets ``auto`` pick the JVM path for small windows)."""
-    return gram_matrices(gram(split_windows, "split", engine=engine, n_terms=n_terms))
+def split_grams(split_windows: DataFrame, n_terms: int | None = None) -> dict:
+    """One data pass: train and val Gram matrices of the split windows (test windows aren't needed to fit);
+    ``n_terms`` = L*F + 1 + A is checked against the bound before the job."""
+    return gram_matrices(gram_rows(split_windows.where(F.col("split").isin("train", "val")), "split", n_terms=n_terms))
 
 
 def fit(split_windows: DataFrame | None = None, kind: str = "linear", lambdas=(0.0,), L: int | None = None, F_: int = 1,
         A: int | None = None, last_channel: int | None = None, mats: dict | None = None) -> dict:
-    """Fit ``kind`` (linear, nlinear, dlinear or linear_shared) on the train Gram for every lambda, pick the lambda with the lowest validation
+    """Fit ``kind`` (linear, nlinear, dlinear, or one of ``SHARED_KINDS``) on the train Gram for every lambda, pick the lambda with the lowest validation
     MSE (from the val Gram, no further data pass). Pass ``mats`` (``split_grams``) to fit several
     model kinds from the same pass. Returns a dict with weights and diagnostics."""
     if mats is None:
-        n_terms = (L * F_ + 1 + A) if (L and A) else None
+        n_terms = (L * F_ + 1 + A) if (L and A and kind != "t2v_shared") else None
         mats = split_grams(split_windows, n_terms)
     if "train" not in mats:
         return None   # no training window
@@ -115,10 +126,11 @@ def ridge_path(mats: dict, kind: str, lambdas, L: int, F_: int, A: int, last_cha
     """Weights and validation MSE for every lambda, all from the train / val Gram matrices."""
     S = mats["train"]
     P = L * F_
-    if kind == SHARED:
+    if kind in SHARED_KINDS:
         out = []
+        P = S.shape[0] - 1 - A
         for lam in lambdas:
-            Weff = fit_shared(S, L, F_, A, lam)
+            Weff = fit_shared(S, L, F_, A, lam, kind.removesuffix("_shared"))
             mse = val_mse(mats["val"], Weff, mats["val"][P, P], A) if "val" in mats else float("nan")
             out.append({"kind": kind, "lambda": lam, "weights": Weff, "val_mse": mse, "n_train": S[P, P]})
         return out
@@ -141,8 +153,9 @@ def coefficient_table(spark: SparkSession, model: str, Weff: np.ndarray, version
     return spark.createDataFrame(rows, "model string, version int, h int, term int, coef double")
 
 
-def save_model(coef: DataFrame, path: str, mode: str = "append") -> None:
-    coef.write.mode(mode).partitionBy("model").parquet(path)
+def save_model(coef: DataFrame, path: str) -> None:
+    """Store a coefficient table. A version of a model that is saved again is replaced; others stay."""
+    coef.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("model", "version").parquet(path)
 
 
 def load_model(spark: SparkSession, path: str, model: str, version: int | None = None) -> DataFrame:
@@ -153,66 +166,90 @@ def load_model(spark: SparkSession, path: str, model: str, version: int | None =
 
 
 def predict(windows: DataFrame, coef: DataFrame, x: str = "x") -> DataFrame:
-    """Append ``yhat`` (array, one value per horizon) = W_h . [vec(x), 1]. The coefficient table
-    is bounded by the model size (guarded at 4096 terms), so it is pivoted to one row of
-    arrays and broadcast; the dot products run as higher-order functions in the JVM."""
-    per_h = coef.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("term", "coef"))).alias("tc"))
-    row = per_h.agg(F.sort_array(F.collect_list(F.struct("h", F.col("tc.coef").alias("w")))).alias("hw"))
-    row = row.select(F.col("hw.w").alias("_W"))
+    """Append ``yhat`` (array, one value per horizon) = W_h . [vec(x), 1]. The coefficients (a model's, bounded by
+    ``MAX_TERMS`` per horizon) go to the tasks as one matrix, and a batch of windows is one matrix product."""
+    rows = coef.select("h", "term", "coef").collect()
+    if not rows:
+        raise ValueError("the coefficient table is empty")
+    W = np.zeros((max(r["term"] for r in rows) + 1, max(r["h"] for r in rows) + 1))
+    for r in rows:
+        W[r["term"], r["h"]] = r["coef"]
     multi = str(windows.schema[x].dataType).startswith("ArrayType(ArrayType")
-    xv = F.concat(F.flatten(F.col(x)) if multi else F.col(x), F.array(F.lit(1.0)))
-    j = windows.crossJoin(F.broadcast(row)).withColumn("_xv", xv)
-    yhat = F.transform("_W", lambda w: F.aggregate(F.zip_with("_xv", w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
-    return j.withColumn("yhat", yhat).drop("_W", "_xv")
 
+    @F.pandas_udf("array<double>")
+    def run(arrays: pd.Series) -> pd.Series:
+        if not len(arrays):
+            return pd.Series([], dtype=object)
+        return pd.Series(list(np.vstack(arrays.to_numpy()).astype(np.float64) @ W[:-1] + W[-1]), dtype=object)
 
-def fit_shared(S: np.ndarray, L: int, F_: int, A: int, lam: float = 0.0, iters: int = 200, tol: float = 1e-12) -> np.ndarray:
-    """Shared-weight linear model for F channels: y_h = sum_c v_c sum_t w_th x_tc + beta_h (one set of
-    time weights for every channel, then a channel mix). Bilinear, so it is fitted by alternating
-    least squares; both half-steps are linear maps of z, hence solved from the one Gram matrix S.
-    Returns effective weights on [vec(x), 1] like ``effective``."""
-    P = L * F_
-    n = P + 1 + A
+    return windows.withColumn("yhat", run(F.flatten(F.col(x)) if multi else F.col(x)))
+
+
+def channel_map(kind: str, L: int) -> tuple[np.ndarray, np.ndarray]:
+    """(D, carry) of a shared-weight model: a channel's window x gives the features D x, and carry x is added to the output
+    as it is. ``t2v`` reads L steps of centred features followed by their std and mean per channel (see
+    ``features.t2v_revin_frame``): the decomposition sees the steps, the std carries the layer's bias through the
+    denormalisation, the mean is added back."""
+    I = np.eye(L)
+    if kind == "linear":
+        return I, np.zeros(L)
+    if kind == "nlinear":
+        last = np.zeros(L)
+        last[-1] = 1.0
+        return I - np.outer(np.ones(L), last), last
+    K = ma_matrix(L, decomposition_kernel(L))
+    both = np.vstack([I - K, K])
+    if kind == "dlinear":
+        return both, np.zeros(L)
+    if kind == "t2v":
+        D = np.zeros((2 * L + 1, L + 2))
+        D[:2 * L, :L] = both
+        D[2 * L, L] = 1.0
+        carry = np.zeros(L + 2)
+        carry[L + 1] = 1.0
+        return D, carry
+    raise ValueError(f"no shared form of {kind!r}")
+
+
+def fit_shared(S: np.ndarray, L: int, F_: int, A: int, lam: float = 0.0, kind: str = "linear", iters: int = 300,
+               tol: float = 1e-8) -> np.ndarray:
+    """Shared-weight model for F channels: y_h = sum_c v_c (w_h . D x_c + carry . x_c) + beta_h, one set of time weights for
+    every channel, then a channel mix. Bilinear, so it is fitted by alternating least squares; both
+    half-steps are linear maps of z, hence solved from the one Gram matrix S (as steps x channels blocks), until the
+    training error settles (a warning tells if it doesn't). Returns effective weights on [vec(x), 1] like ``effective``."""
+    D, carry = channel_map(kind, L)
+    steps, p = D.shape[1], len(D)
+    P = steps * F_
+    S_xx = S[:P, :P].reshape(steps, F_, steps, F_)
+    S_x = S[:P, P:].reshape(steps, F_, 1 + A)         # against the constant and the labels
+    S_y = S[P:, P:]
+    M = np.zeros((p + 1 + A, steps + 1 + A))          # of the mixed series u = sum_c v_c x_c, 1 and y
+    M[:p, :steps] = D
+    M[p:, steps:] = np.eye(1 + A)
+    M[p + 1:, :steps] = -carry
     v = np.ones(F_) / F_
-    prev = None
+    least, Weff = np.inf, np.zeros((P + 1, A))
+    spread = float(np.trace(S_y[1:, 1:] - np.outer(S_y[0, 1:], S_y[0, 1:]) / max(S_y[0, 0], 1.0))) / max(S_y[0, 0] * A, 1.0)
     for _ in range(iters):
-        # w-step: u_t = sum_c v_c x_tc
-        M = np.zeros((L + 1 + A, n))
-        for t in range(L):
-            M[t, t * F_:(t + 1) * F_] = v
-        M[L, P] = 1.0
-        M[L + 1:, P + 1:] = np.eye(A)
-        W = solve(M @ S @ M.T, L, lam)                       # (L+1) x A
-        # v-step: g_ch = sum_t w_th x_tc, stacked over horizons with one intercept per horizon
-        Avv = np.zeros((F_, F_))
-        Avb = np.zeros((F_, A))
-        rv = np.zeros(F_)
-        rb = np.zeros(A)
-        nn = S[P, P]
+        S_ux = np.einsum("tcs,c->ts", np.tensordot(S_xx, v, axes=(3, 0)), v)
+        S_u = np.einsum("tcj,c->tj", S_x, v)
+        W = solve(M @ np.block([[S_ux, S_u], [S_u.T, S_y]]) @ M.T, p, lam)
+        big, right = np.zeros((F_ + A, F_ + A)), np.zeros(F_ + A)
         for h in range(A):
-            Mh = np.zeros((F_ + 2, n))
-            for c in range(F_):
-                Mh[c, [t * F_ + c for t in range(L)]] = W[:L, h]
-            Mh[F_, P] = 1.0
-            Mh[F_ + 1, P + 1 + h] = 1.0
-            Sh = Mh @ S @ Mh.T
-            Avv += Sh[:F_, :F_]
-            Avb[:, h] = Sh[:F_, F_]
-            rv += Sh[:F_, F_ + 1]
-            rb[h] = Sh[F_, F_ + 1]
-        big = np.zeros((F_ + A, F_ + A))
-        big[:F_, :F_] = Avv
-        big[:F_, F_:] = Avb
-        big[F_:, :F_] = Avb.T
-        big[F_:, F_:] = np.eye(A) * nn
-        sol = np.linalg.lstsq(big, np.concatenate([rv, rb]), rcond=None)[0]
+            row = W[:p, h] @ D + carry
+            big[:F_, :F_] += np.tensordot(np.tensordot(row, S_xx, axes=(0, 0)), row, axes=(1, 0))
+            g = np.tensordot(row, S_x, axes=(0, 0))
+            big[:F_, F_ + h] = g[:, 0]
+            right[:F_] += g[:, 1 + h]
+            right[F_ + h] = S_y[0, 1 + h]
+        big[F_:, :F_] = big[:F_, F_:].T
+        big[F_:, F_:] = np.eye(A) * S_y[0, 0]
+        sol = np.linalg.lstsq(big, right, rcond=None)[0]
         v, beta = sol[:F_], sol[F_:]
-        Weff = np.zeros((P + 1, A))
-        for t in range(L):
-            for c in range(F_):
-                Weff[t * F_ + c, :] = W[t, :] * v[c]
-        Weff[P, :] = beta
-        if prev is not None and np.max(np.abs(Weff - prev)) <= tol * max(1.0, np.max(np.abs(Weff))):
-            break
-        prev = Weff
+        Weff = np.vstack([np.kron(D.T @ W[:p] + carry[:, None], v[:, None]), beta])
+        error = val_mse(S, Weff, S[P, P], A)
+        if least - error <= tol * error or error <= 1e-9 * spread:
+            return Weff
+        least = error
+    warnings.warn(f"the shared {kind} fit still improved after {iters} rounds", stacklevel=2)
     return Weff

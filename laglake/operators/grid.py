@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laglake.functions.timecols import from_minute_index
-from laglake.operators.common import DEFAULT_CHUNK_STEPS, as_keys, chunk_of, qc, with_minutes
+from laglake.functions.timecols import from_micro_index
+from laglake.operators.common import DEFAULT_CHUNK_STEPS, MINUTE, as_keys, chunk_of, qc, with_micros
 
 
 def series_bounds(df: DataFrame, key, ts: str) -> DataFrame:
     """First and last timestamp per series (partial aggregation, skew safe)."""
     keys = as_keys(key)
-    return df.groupBy(*keys).agg(F.min(ts).alias("lo"), F.max(ts).alias("hi"))
+    return df.groupBy(*[qc(k) for k in keys]).agg(F.min(qc(ts)).alias("lo"), F.max(qc(ts)).alias("hi"))
 
 
 def grid(df: DataFrame, key, ts: str, minutes: int, low=None, high=None,
          chunk_steps: int = DEFAULT_CHUNK_STEPS) -> DataFrame:
-    """All grid points lo, lo+g, ..., <= hi of every series, anchored at the series' own start
-    (or ``low``/``high`` overrides). Generated in two explodes (chunks of ``chunk_steps`` points,
+    """All grid points lo, lo+g, ..., <= hi of every series, anchored at the series' own first
+    timestamp, to the microsecond (or ``low``/``high`` overrides). Generated in two explodes (chunks of ``chunk_steps`` points,
     then points) so no single row expands a whole long series."""
     keys = as_keys(key)
     b = series_bounds(df, keys, ts)
@@ -26,16 +26,16 @@ def grid(df: DataFrame, key, ts: str, minutes: int, low=None, high=None,
         b = b.withColumn("lo", F.lit(low).cast("timestamp_ntz"))
     if high is not None:
         b = b.withColumn("hi", F.lit(high).cast("timestamp_ntz"))
-    b = with_minutes(with_minutes(b, "lo", "m_lo"), "hi", "m_hi")
-    steps = F.floor((F.col("m_hi") - F.col("m_lo")) / minutes).cast("long")
-    chunks = b.select(*keys, "m_lo", steps.alias("_steps"),
+    b = with_micros(with_micros(b, "lo", "m_lo"), "hi", "m_hi")
+    steps = chunk_of(F.col("m_hi") - F.col("m_lo"), minutes * MINUTE)
+    chunks = b.select(*[qc(k) for k in keys], "m_lo", steps.alias("_steps"),
                       F.explode(F.sequence(F.lit(0).cast("long"), F.floor(steps / chunk_steps).cast("long"))).alias("_c"))
     # spread the chunks of a long series over tasks before generating their points
-    chunks = chunks.repartition(*[F.col(k) for k in keys], F.col("_c"))
-    pts = chunks.select(*keys, "m_lo", F.explode(F.sequence(
+    chunks = chunks.repartition(*[qc(k) for k in keys], F.col("_c"))
+    pts = chunks.select(*[qc(k) for k in keys], "m_lo", F.explode(F.sequence(
         F.col("_c") * chunk_steps,
         F.least(F.col("_c") * chunk_steps + (chunk_steps - 1), F.col("_steps")))).alias("_i"))
-    return pts.select(*keys, from_minute_index(F.col("m_lo") + F.col("_i") * minutes).alias(ts))
+    return pts.select(*[qc(k) for k in keys], from_micro_index(F.col("m_lo") + F.col("_i") * (minutes * MINUTE)).alias(ts))
 
 
 def align_to_grid(df: DataFrame, key, ts: str, minutes: int, align: str = "floor") -> DataFrame:
@@ -48,18 +48,19 @@ def align_to_grid(df: DataFrame, key, ts: str, minutes: int, align: str = "floor
         return df
     if align not in ("floor", "drop"):
         raise ValueError("align must be keep|floor|drop")
-    b = with_minutes(series_bounds(df, keys, ts), "lo", "m_lo").select(*keys, "m_lo")
-    src = with_minutes(df, ts, "_m")
+    b = with_micros(series_bounds(df, keys, ts), "lo", "m_lo").select(*[qc(k) for k in keys], "m_lo")
+    src = with_micros(df, ts, "_m")
     src = src.join(b, keys, "inner") if keys else src.crossJoin(F.broadcast(b))
-    off = (F.col("_m") - F.col("m_lo")) % minutes
+    off = (F.col("_m") - F.col("m_lo")) % F.lit(minutes * MINUTE)
     if align == "drop":
         return src.where(off == 0).drop("_m", "m_lo")
     others = [c for c in df.columns if c not in (*keys, ts)]
-    floored = src.withColumn("_t", from_minute_index(F.col("_m") - off))
+    floored = src.withColumn("_t", from_micro_index(F.col("_m") - off))
+    kq = [qc(k) for k in keys]
     if not others:
-        return floored.select(*keys, F.col("_t").alias(ts)).distinct()
-    best = floored.groupBy(*keys, "_t").agg(F.max_by(F.struct(*[qc(c) for c in others]), F.col(ts)).alias("_r"))
-    return best.select(*keys, F.col("_t").alias(ts), *[F.col("_r")[c].alias(c) for c in others])
+        return floored.select(*kq, F.col("_t").alias(ts)).distinct()
+    best = floored.groupBy(*kq, "_t").agg(F.max_by(F.struct(*[qc(c).alias(f"c{i}") for i, c in enumerate(others)]), qc(ts)).alias("_r"))
+    return best.select(*kq, F.col("_t").alias(ts), *[F.col("_r")[f"c{i}"].alias(c) for i, c in enumerate(others)])
 
 
 def fill_date(df: DataFrame, key, ts: str, minutes: int, low=None, high=None, align: str = "keep") -> DataFrame:
@@ -75,25 +76,26 @@ def fill_date(df: DataFrame, key, ts: str, minutes: int, low=None, high=None, al
 def _chunked_fill(df: DataFrame, keys, ts: str, cols, forward: bool, chunk_minutes: int) -> DataFrame:
     """Forward (or backward) fill inside (key, chunk) windows, then carry the last (first)
     non-null value of earlier (later) chunks through a small per-chunk table."""
-    d = with_minutes(df, ts, "_m").withColumn("_chunk", chunk_of("_m", chunk_minutes))
-    part = Window.partitionBy(*keys, "_chunk").orderBy("_m")
+    kq = [qc(k) for k in keys]
+    d = with_micros(df, ts, "_m").withColumn("_chunk", chunk_of("_m", chunk_minutes * MINUTE))
+    part = Window.partitionBy(*kq, "_chunk").orderBy("_m")
     if forward:
         frame = part.rowsBetween(Window.unboundedPreceding, 0)
-        local = [F.last(c, ignorenulls=True).over(frame).alias(c) for c in cols]
-        edge = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_m"))).alias(c) for c in cols]
+        local = [F.last(qc(c), ignorenulls=True).over(frame).alias(c) for c in cols]
+        edge = [F.max_by(qc(c), F.when(qc(c).isNotNull(), F.col("_m"))).alias(f"_e{i}") for i, c in enumerate(cols)]
     else:
         frame = part.rowsBetween(0, Window.unboundedFollowing)
-        local = [F.first(c, ignorenulls=True).over(frame).alias(c) for c in cols]
-        edge = [F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_m"))).alias(c) for c in cols]
+        local = [F.first(qc(c), ignorenulls=True).over(frame).alias(c) for c in cols]
+        edge = [F.min_by(qc(c), F.when(qc(c).isNotNull(), F.col("_m"))).alias(f"_e{i}") for i, c in enumerate(cols)]
     others = [c for c in d.columns if c not in cols]
-    filled = d.select(*others, *local)
-    per_chunk = d.groupBy(*keys, "_chunk").agg(*edge)
-    wc = Window.partitionBy(*keys).orderBy("_chunk")
+    filled = d.select(*[qc(c) for c in others], *local)
+    per_chunk = d.groupBy(*kq, "_chunk").agg(*edge)
+    wc = Window.partitionBy(*kq).orderBy("_chunk")
     wc = wc.rowsBetween(Window.unboundedPreceding, -1) if forward else wc.rowsBetween(1, Window.unboundedFollowing)
     agg = F.last if forward else F.first
-    carry = per_chunk.select(*keys, "_chunk", *[agg(c, ignorenulls=True).over(wc).alias(f"_carry_{c}") for c in cols])
+    carry = per_chunk.select(*kq, "_chunk", *[agg(F.col(f"_e{i}"), ignorenulls=True).over(wc).alias(f"_carry{i}") for i in range(len(cols))])
     out = filled.join(carry, on=[*keys, "_chunk"], how="left")
-    out = out.select(*others, *[F.coalesce(F.col(c), F.col(f"_carry_{c}")).alias(c) for c in cols])
+    out = out.select(*[qc(c) for c in others], *[F.coalesce(qc(c), F.col(f"_carry{i}")).alias(c) for i, c in enumerate(cols)])
     return out.drop("_m", "_chunk")
 
 
@@ -117,7 +119,7 @@ def fill_gaps(df: DataFrame, key, ts: str, cols, method: str | None = None,
     if bad:
         raise ValueError(f"method must be forward|backward|min|max|mean, got {sorted(bad)}")
     cols = list(plan)
-    stats = df.groupBy(*keys).agg(*[_STAT_FILLS[plan[c]](c).alias(f"_s_{c}") for c in cols])
+    stats = df.groupBy(*[qc(k) for k in keys]).agg(*[_STAT_FILLS[plan[c]](qc(c)).alias(f"_s{i}") for i, c in enumerate(cols)])
     out = df.join(stats, keys, "left") if keys else df.crossJoin(F.broadcast(stats))
-    return out.select(*[c for c in df.columns if c not in cols],
-                      *[F.coalesce(F.col(c), F.col(f"_s_{c}")).alias(c) for c in cols])
+    return out.select(*[qc(c) for c in df.columns if c not in cols],
+                      *[F.coalesce(qc(c), F.col(f"_s{i}")).alias(c) for i, c in enumerate(cols)])

@@ -1,8 +1,8 @@
 """Second-moment (Gram) aggregation of window rows: the single data pass behind every linear fit.
 
 For each window z = [vec(x), 1, y] (vec(x): L*F inputs, y: A labels). Every Python worker folds
-its Arrow batches into one partial Gram matrix S = sum z z^T and emits it as (i, j, v) rows; a
-tiny ``groupBy(split, i, j).sum`` combines partitions. Only the (P+A)^2 matrix reaches the
+its Arrow batches into one partial Gram matrix S = sum z z^T and emits it as one array per matrix row; these are
+added in two steps. Only the (P+A)^2 matrix reaches the
 driver, never the windows."""
 
 from __future__ import annotations
@@ -13,66 +13,64 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_TERMS = 4096
+#: Bound of a matrix' terms: 8192 squared doubles are 512 MB, what a driver can solve. Checked before any job.
+MAX_TERMS = 8192
 
-_OUT = T.StructType([T.StructField("grp", T.StringType()), T.StructField("i", T.IntegerType()),
-                     T.StructField("j", T.IntegerType()), T.StructField("v", T.DoubleType())])
+_ROWS = "grp string, i int, part int, v array<double>"
 
 
 def _flat(col: str, multi: bool):
     return F.flatten(F.col(col)) if multi else F.col(col)
 
 
-# JVM cross products cost P^2 generated rows per window; beyond a few dozen pairs the numpy / BLAS
-# fold wins even after Arrow transfer, and at scale the Python worker start-up is negligible.
-SQL_MAX_TERMS = 16
+def gram_rows(windows: DataFrame, group: str | None = "split", x: str = "x", y: str = "y", n_terms: int | None = None,
+              fan: int = 64) -> DataFrame:
+    """(grp, i, v): row i of sum(z z^T) per group value (e.g. train / val), from the diagonal on.
 
-
-def gram(windows: DataFrame, group: str | None = "split", x: str = "x", y: str = "y", engine: str = "auto",
-         n_terms: int | None = None) -> DataFrame:
-    """Return (grp, i, j, v) of sum(z z^T) per group value (e.g. train / val), upper triangle.
-
-    ``engine``: ``sql`` generates the cross products in the JVM (two posexplodes, partial
-    aggregation before the shuffle) - best for small windows; ``arrow`` folds Arrow batches with a
-    numpy matmul in the Python workers - best for long windows (BLAS, one partial matrix per task);
-    ``auto`` picks ``sql`` when the window has at most ``SQL_MAX_TERMS`` terms (``n_terms``)."""
+    A task folds its Arrow batches into one matrix per group and emits it as one array per matrix row. The arrays
+    are added in two steps, ``fan`` sums per row first, so no task adds up more than its share of partitions."""
     multi = isinstance(windows.schema[x].dataType.elementType, T.ArrayType)
     g = F.col(group).cast("string") if group else F.lit("all")
     z = windows.select(g.alias("grp"), F.concat(_flat(x, multi), F.array(F.lit(1.0)), F.col(y).cast("array<double>")).alias("z"))
-    if engine == "auto":
-        engine = "sql" if (n_terms is not None and n_terms <= SQL_MAX_TERMS) else "arrow"
-    if engine == "sql":
-        a = z.select("grp", "z", F.posexplode("z").alias("i", "zi"))
-        b = a.select("grp", "i", "zi", F.posexplode("z").alias("j", "zj")).where(F.col("j") >= F.col("i"))
-        return b.groupBy("grp", F.col("i").cast("int").alias("i"), F.col("j").cast("int").alias("j")) \
-            .agg(F.sum(F.col("zi") * F.col("zj")).alias("v"))
+    if n_terms is None:
+        first = z.select(F.size("z").alias("n")).first()
+        n_terms = first["n"] if first else 0
+    if n_terms > MAX_TERMS:
+        raise ValueError(f"a Gram matrix of {n_terms} terms exceeds the bound of {MAX_TERMS}")
 
     def fold(batches):
+        from pyspark import TaskContext
+        part = TaskContext.get().partitionId() % fan
         acc: dict = {}
         for pdf in batches:
-            for grp, part in pdf.groupby("grp", sort=False):
-                m = np.vstack(part["z"].to_numpy()).astype(np.float64)
+            for grp, some in pdf.groupby("grp", sort=False):
+                m = np.vstack(some["z"].to_numpy()).astype(np.float64)
                 s = m.T @ m
                 acc[grp] = acc[grp] + s if grp in acc else s
         for grp, s in acc.items():
-            ii, jj = np.triu_indices(s.shape[0])
-            yield pd.DataFrame({"grp": grp, "i": ii.astype("int32"), "j": jj.astype("int32"), "v": s[ii, jj]})
+            yield pd.DataFrame({"grp": grp, "i": np.arange(len(s), dtype=np.int32), "part": np.int32(part), "v": [s[i, i:] for i in range(len(s))]})
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.iloc[:1].copy()
+        one["v"] = [np.sum(np.vstack(pdf["v"].to_numpy()), axis=0)]
+        return one
+
+    parts = z.mapInPandas(fold, _ROWS)
+    parts = parts.groupBy("grp", "i", "part").applyInPandas(add, _ROWS)
+    return parts.groupBy("grp", "i").applyInPandas(add, _ROWS).drop("part")
+
 
-    parts = z.mapInPandas(fold, _OUT)
-    return parts.groupBy("grp", "i", "j").agg(F.sum("v").alias("v"))
+def gram(windows: DataFrame, group: str | None = "split", x: str = "x", y: str = "y", n_terms: int | None = None) -> DataFrame:
+    """(grp, i, j, v) of sum(z z^T) per group value, upper triangle."""
+    rows = gram_rows(windows, group, x, y, n_terms)
+    return rows.select("grp", "i", F.posexplode("v").alias("k", "v")).select("grp", "i", (F.col("i") + F.col("k")).cast("int").alias("j"), "v")
 
 
-def gram_matrices(g: DataFrame) -> dict[str, np.ndarray]:
-    """Collect the (small) summed Gram entries into symmetric numpy matrices per group."""
-    rows = g.collect()
-    if not rows:
-        return {}
-    size = max(max(r["i"], r["j"]) for r in rows) + 1
-    if size > MAX_TERMS + 64:
-        raise ValueError(f"Gram of {size} terms exceeds the {MAX_TERMS} guard")
+def gram_matrices(rows: DataFrame) -> dict[str, np.ndarray]:
+    """The summed rows of ``gram_rows`` as symmetric numpy matrices per group (bounded by ``MAX_TERMS``)."""
     out: dict[str, np.ndarray] = {}
-    for r in rows:
-        m = out.setdefault(r["grp"], np.zeros((size, size)))
-        m[r["i"], r["j"]] = r["v"]
-        m[r["j"], r["i"]] = r["v"]
+    for r in sorted(rows.collect(), key=lambda r: (r["grp"], r["i"])):
+        m = out.setdefault(r["grp"], np.zeros((len(r["v"]), len(r["v"]))))   # row 0 comes first and is the longest
+        m[r["i"], r["i"]:] = r["v"]
+        m[r["i"]:, r["i"]] = r["v"]
     return out

@@ -3,7 +3,7 @@ project the used columns."""
 
 from __future__ import annotations
 
-from datetime import date, datetime, time, timedelta
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,9 +27,9 @@ def dedupe_key(df: DataFrame, key, order_cols=None) -> DataFrame:
     keys = as_keys(key)
     others = [c for c in (order_cols or df.columns) if c not in keys]
     if not others:
-        return df.select(*keys).distinct()
-    agg = df.groupBy(*[qc(k) for k in keys]).agg(F.min(F.struct(*[qc(c) for c in others])).alias("_s"))
-    return agg.select(*[qc(k) for k in keys], *[F.col("_s")[c].alias(c) for c in others])
+        return df.select(*[qc(k) for k in keys]).distinct()
+    agg = df.groupBy(*[qc(k) for k in keys]).agg(F.min(F.struct(*[qc(c).alias(f"c{i}") for i, c in enumerate(others)])).alias("_s"))
+    return agg.select(*[qc(k) for k in keys], *[F.col("_s")[f"c{i}"].alias(c) for i, c in enumerate(others)])
 
 
 _BIG_ENDIAN = ["%Y-%m-%d", "%Y-%m-%d %H", "%Y-%m-%d %H:%M", "%Y-%m-%d %H:%M:%S"]
@@ -37,28 +37,35 @@ _UNIT = {"%Y-%m-%d": timedelta(days=1), "%Y-%m-%d %H": timedelta(hours=1),
          "%Y-%m-%d %H:%M": timedelta(minutes=1), "%Y-%m-%d %H:%M:%S": timedelta(seconds=1)}
 
 
+#: Strftime directives of a timestamp's parts, in the order of the parts.
+_PARTS = (("%Y", 1900), ("%m", 1), ("%d", 1), ("%H", 0), ("%M", 0), ("%S", 0))
+
+
 def strip_bounds(strip: StripTime) -> tuple[str, str]:
-    fmt = strip.format
-    if "%Y" in fmt and "%H" in fmt:
-        f = datetime
-    elif "%Y" in fmt:
-        f = date
-    elif "%H" in fmt:
-        f = time
-    else:
+    """Both bounds as text in the strip's format. A bound's numbers are read as consecutive parts of a timestamp from the
+    first part that the format can start at: the year, or the hour for a time of day."""
+    have = [d for d, _ in _PARTS if d in strip.format]
+    first = 0 if "%Y" in have else 3
+    if not have or first == 3 and "%H" not in have:
         raise ValueError("strip format needs %Y or %H")
-    return f(*strip.start).strftime(fmt), f(*strip.end).strftime(fmt)
+
+    def text(bound) -> str:
+        parts = [v for _, v in _PARTS]
+        parts[first:first + len(bound)] = bound
+        return datetime(*parts).strftime(strip.format)
+
+    return text(strip.start), text(strip.end)
 
 
 def strip_time(df: DataFrame, ts: str, strip: StripTime) -> DataFrame:
     """Keep rows whose formatted timestamp lies in [start, end] (inclusive, text comparison).
     For big-endian formats an equivalent typed range is added so the scan can prune."""
     lo, hi = strip_bounds(strip)
-    cond = F.date_format(F.col(ts), strftime_to_spark(strip.format)).between(lo, hi)
+    cond = F.date_format(qc(ts), strftime_to_spark(strip.format)).between(lo, hi)
     if strip.format in _BIG_ENDIAN:
         lo_t = datetime.strptime(lo, strip.format)
         hi_t = datetime.strptime(hi, strip.format) + _UNIT[strip.format]
-        cond = (F.col(ts) >= F.lit(lo_t).cast("timestamp_ntz")) & (F.col(ts) < F.lit(hi_t).cast("timestamp_ntz")) & cond
+        cond = (qc(ts) >= F.lit(lo_t).cast("timestamp_ntz")) & (qc(ts) < F.lit(hi_t).cast("timestamp_ntz")) & cond
     return df.where(cond)
 
 
@@ -83,8 +90,8 @@ def shrink_plan(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, T.StringType):
             specs.append((f.name, "string"))
     num = [n for n, k in specs if k != "string"]
-    stats = df.agg(*[F.min(n).cast("double").alias(f"mn_{i}") for i, n in enumerate(num)],
-                   *[F.max(n).cast("double").alias(f"mx_{i}") for i, n in enumerate(num)])
+    stats = df.agg(*[F.min(qc(n)).cast("double").alias(f"mn_{i}") for i, n in enumerate(num)],
+                   *[F.max(qc(n)).cast("double").alias(f"mx_{i}") for i, n in enumerate(num)])
     rows = []
     for n, k in specs:
         if k == "string":
@@ -108,7 +115,7 @@ def shrink_plan(df: DataFrame) -> DataFrame:
 def shrink_types(df: DataFrame) -> DataFrame:
     """Apply ``shrink_plan`` (its single row of statistics reaches the driver, not the data)."""
     plan = {r["column_name"]: r["to_type"] for r in shrink_plan(df).collect()}
-    return df.select(*[F.col(c).cast(_SPARK_TYPE[plan[c]]).alias(c) if plan.get(c) in _SPARK_TYPE else F.col(c)
+    return df.select(*[qc(c).cast(_SPARK_TYPE[plan[c]]).alias(c) if plan.get(c) in _SPARK_TYPE else qc(c)
                        for c in df.columns])
 
 
@@ -124,18 +131,24 @@ def parse_date(df: DataFrame, spec: DatasetSpec) -> F.Column:
     return as_ntz(c)
 
 
+def unread_dates(df: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """The rows of ``df`` with a date that isn't null but can't be read; ``prepare`` drops them."""
+    return df.where(qc(spec.date).isNotNull() & parse_date(df, spec).isNull())
+
+
 def prepare(df: DataFrame, spec: DatasetSpec, null_scope: str = "all", strip: StripTime | None = None,
             shrink: bool = False) -> DataFrame:
     """Null drop -> key de-duplication -> date cast -> time strip -> used-column projection.
 
     ``null_scope='all'`` tests every input column for NULL before projecting (reference
-    behaviour, reads all columns); ``'used'`` projects first so the scan is pruned."""
+    behaviour, reads all columns); ``'used'`` projects first so the scan is pruned. Rows whose date
+    can't be read are dropped; ``unread_dates`` lists them."""
     if null_scope not in ("all", "used"):
         raise ValueError("null_scope must be all|used")
     used = list(spec.used_columns)
     d = df.select(*[qc(c) for c in used]) if null_scope == "used" else df
+    d = d.withColumn(spec.date, parse_date(d, spec))   # first, so that a date that can't be read is dropped like a null one
     d = drop_incomplete(d)
-    d = d.withColumn(spec.date, parse_date(d, spec))
     keys = [k for k in (spec.segment, spec.date) if k]
     d = dedupe_key(d, keys)
     strip = strip or spec.strip_time

@@ -1,26 +1,20 @@
-"""Exact order statistics per group without gathering a group in one task.
+"""Exact order statistics per group by counting, without gathering a group's values.
 
-Each requested rank k of a group is bracketed by ``percentile_approx`` (a mergeable sketch,
-partial-aggregated). One counting pass then gives, per bracket, the exact number of values
-below it (b) and inside it (c); the bracket is valid when b <= k < b + c. While a bracket still
-holds more than ``max_candidates`` values it is narrowed by a finer sketch over the values
-inside it only. Finally the few candidates are collected, sorted and indexed at k - b.
-Every pass is a hash aggregate, so a group holding a third of all rows is combined map-side;
-a bracket that fails the check falls back to its previous (wider) bracket, so results are
-exact whatever the sketch error."""
+A pass divides the open bracket of each requested rank into bins between the bracket's least and largest
+value (equal on a linear and, in every second pass, on a logarithmic scale), and counts values per (group, bracket,
+bin) with the bin's own least and largest value. The bin that holds the rank becomes the next bracket. The two ends of a
+bracket have bins of their own, so every pass excludes values; a bracket whose ends are equal is the answer,
+however many values tie there. Every pass is a hash
+aggregate with map-side combining, and at most ``bins`` rows per group and rank come out of it."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laglake.operators.common import as_keys
-from laglake.session import ensure_checkpoint_dir, materialize
-
-GRID = 512
+from laglake.operators.common import as_keys, qc
+from laglake.session import materialize
 
 
 def _round_half_away(x):
@@ -32,112 +26,71 @@ def nearest_rank(n, q: float):
     return _round_half_away((n - 1).cast("double") * F.lit(float(q))).cast("long")
 
 
-def exact_quantiles(df: DataFrame, key, value: str, quantiles: dict, accuracy: int = 10_000,
-                    max_candidates: int = 1_000_000, max_rounds: int = 8, extra_aggs=(),
-                    max_broadcast_groups: int = 200_000) -> DataFrame:
+def _scaled(v, logarithmic: bool):
+    """A finite, never falling function of a double, infinities included."""
+    if logarithmic:
+        size = lambda x: F.least(F.log(x) + 800.0, F.lit(2000.0))
+        return F.when(v > 0, size(v)).when(v < 0, -size(-v)).otherwise(0.0)
+    return F.least(F.greatest(v, F.lit(-1.7e308)), F.lit(1.7e308)) / 2
+
+
+def exact_quantiles(df: DataFrame, key, value: str, quantiles: dict, bins: int = 4096, extra_aggs=(),
+                    max_broadcast_groups: int = 100_000) -> DataFrame:
     """``quantiles``: name -> q (nearest-rank quantile) or name -> 'median' (interpolated mean of
-    the two middle values). Returns keys, n, ``extra_aggs`` and one column per name."""
+    the two middle values). Returns keys, n, ``extra_aggs`` (over the column ``_v``) and one column per name.
+    NaN counts as larger than any number."""
     keys = as_keys(key)
-    targets = []  # (name, q, rank builder)
+    targets = []  # (name, rank builder)
     for name, q in quantiles.items():
         if q == "median":
-            targets.append((name, 0.5, lambda n: F.floor((n - 1) / 2).cast("long")))
-            targets.append((name, 0.5, lambda n: F.ceil((n - 1) / 2).cast("long")))
+            targets += [(name, lambda n: F.floor((n - 1) / 2).cast("long")), (name, lambda n: F.ceil((n - 1) / 2).cast("long"))]
         else:
-            targets.append((name, float(q), lambda n, q=float(q): nearest_rank(n, q)))
-    T = range(len(targets))
-    d = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    d = d.persist(StorageLevel.MEMORY_AND_DISK)
-    v = F.col("_v")
-    delta = 4.0 / accuracy
-    qs = sorted({min(1.0, max(0.0, q + s * delta)) for _, q, _ in targets for s in (-1, 1)})
-    base = d.groupBy(*keys).agg(F.count(v).alias("n"), F.min(v).alias("_mn"), F.max(v).alias("_mx"),
-                                F.percentile_approx(v, qs, accuracy).alias("_pa"), *extra_aggs)
-    out_cols = [c for c in base.columns if c not in ("_mn", "_mx", "_pa")]
-    pos = {q: qs.index(q) + 1 for q in qs}
-    st = base.select(*out_cols, *[c for i in T for c in (
-        targets[i][2](F.col("n")).alias(f"k{i}"),
-        F.greatest(F.col("_mn"), F.element_at("_pa", pos[min(1.0, max(0.0, targets[i][1] - delta))])).alias(f"lo{i}"),
-        F.least(F.col("_mx"), F.element_at("_pa", pos[min(1.0, max(0.0, targets[i][1] + delta))])).alias(f"hi{i}"),
-        F.col("_mn").alias(f"plo{i}"), F.col("_mx").alias(f"phi{i}"))])
-
-    def with_state(state, cols):
-        s = state.select(*keys, *cols)
-        if not keys:
-            return d.crossJoin(F.broadcast(s))
-        # the state has one row per group and its size was counted: broadcast it so a hot group
-        # is never shuffled to one task; beyond the bound AQE's skew-join handling applies
-        return d.join(F.broadcast(s) if small_state else s, keys, "inner")
-
-    def inside(i):
-        return (v >= F.col(f"lo{i}")) & (v <= F.col(f"hi{i}"))
-
-    def attach(state, extra):
-        return state.join(extra, keys, "inner") if keys else state.crossJoin(extra)
-
-    ensure_checkpoint_dir(d.sparkSession)
-    st = st.persist(StorageLevel.MEMORY_AND_DISK)   # one row per group; the refinement rounds write it out
-    info = st.agg(F.count(F.lit(1)).alias("g"), F.max("n").alias("n")).first()
-    small_state = info["g"] <= max_broadcast_groups
-    picked_cols = [(name, i) for i, (name, _, _) in enumerate(targets)]
-
-    def pick(fin):
-        picked: dict = {}
-        for name, i in picked_cols:
-            picked.setdefault(name, []).append(F.element_at(f"s{i}", (F.col(f"k{i}") - F.col(f"b{i}") + 1).cast("int")))
-        return fin.select(*out_cols, *[(vals[0] if len(vals) == 1 else (vals[0] + vals[1]) / 2).alias(name)
-                                       for name, vals in picked.items()])
-
-    if info["n"] is not None and info["n"] * 10.0 / accuracy <= max_candidates:
-        # The sketch bounds every bracket to ~10 n / accuracy values, so counting and collecting the
-        # candidates share one pass; the exact counts still verify each bracket.
-        one = with_state(st, [f"{p}{i}" for i in T for p in ("lo", "hi")]).groupBy(*keys).agg(
-            *[F.count_if(v < F.col(f"lo{i}")).alias(f"b{i}") for i in T],
-            *[F.sort_array(F.collect_list(F.when(inside(i), v))).alias(f"s{i}") for i in T])
-        fin = attach(st, one).persist(StorageLevel.MEMORY_AND_DISK)
-        ok = F.lit(True)
-        for i in T:
-            ok = ok & (F.col(f"b{i}") <= F.col(f"k{i}")) & (F.col(f"k{i}") < F.col(f"b{i}") + F.size(f"s{i}"))
-        if fin.agg(F.min(ok.cast("int")).alias("ok")).first()["ok"] in (None, 1):
-            d.unpersist()      # ``fin`` is cached: one small row per group (recomputable from lineage)
-            return pick(fin)
-        fin.unpersist()
-    for _ in range(max_rounds):
-        cnt = with_state(st, [f"{p}{i}" for i in T for p in ("lo", "hi")]).groupBy(*keys).agg(
-            *[F.count_if(v < F.col(f"lo{i}")).alias(f"b{i}") for i in T],
-            *[F.count_if(inside(i)).alias(f"c{i}") for i in T])
-        st = attach(st.drop(*[f"{p}{i}" for i in T for p in ("b", "c") if f"{p}{i}" in st.columns]), cnt)
-        ok = [(F.col(f"b{i}") <= F.col(f"k{i}")) & (F.col(f"k{i}") < F.col(f"b{i}") + F.col(f"c{i}")) for i in T]
-        st = st.select(*[c for c in st.columns if not any(c in (f"lo{i}", f"hi{i}", f"ok{i}") for i in T)],
-                       *[F.when(ok[i], F.col(f"lo{i}")).otherwise(F.col(f"plo{i}")).alias(f"lo{i}") for i in T],
-                       *[F.when(ok[i], F.col(f"hi{i}")).otherwise(F.col(f"phi{i}")).alias(f"hi{i}") for i in T],
-                       *[ok[i].alias(f"ok{i}") for i in T]).transform(lambda t: materialize(t, "quantiles"))
-        chk = st.agg(F.max(F.greatest(*[F.col(f"c{i}") for i in T], F.lit(0))).alias("w"),
-                     F.min(F.least(*[F.col(f"ok{i}").cast("int") for i in T], F.lit(1))).alias("ok")).first()
-        if chk["ok"] in (None, 1) and (chk["w"] or 0) <= max_candidates:
+            targets.append((name, lambda n, q=float(q): nearest_rank(n, q)))
+    kq = [qc(k) for k in keys]
+    d = df.where(qc(value).isNotNull()).select(*kq, qc(value).cast("double").alias("_v")).persist(StorageLevel.MEMORY_AND_DISK)
+    number = F.when(~F.isnan("_v"), F.col("_v"))
+    base = d.groupBy(*kq).agg(F.count("_v").alias("n"), F.count(number).alias("_m"), F.min(number).alias("_lo"), F.max(number).alias("_hi"), *extra_aggs)
+    base = materialize(base, "quantile-groups")
+    small = base.count() <= max_broadcast_groups
+    rank = F.element_at(F.array(*[f(F.col("n")) for _, f in targets]), F.col("_t") + 1)
+    state = (base.withColumn("_t", F.explode(F.array(*[F.lit(i) for i in range(len(targets))]))).withColumn("_k", rank)
+             .select(*kq, "_t", "_k", F.when(F.col("_k") < F.col("_m"), F.col("_lo")).otherwise(F.lit(float("nan"))).alias("_lo"),
+                     F.when(F.col("_k") < F.col("_m"), F.col("_hi")).otherwise(F.lit(float("nan"))).alias("_hi")))
+    state = materialize(state, "quantile-brackets")
+    open_ = F.col("_lo") < F.col("_hi")
+    open_ = open_ & ~F.isnan("_lo")
+    done, logarithmic = [], True
+    while True:
+        logarithmic = not logarithmic
+        done.append(state.where(~open_))
+        todo = state.where(open_)
+        if todo.isEmpty():
             break
-        if chk["ok"] == 0:
-            continue  # recount the widened brackets before narrowing again
-        grid = [j / GRID for j in range(GRID + 1)]
-        slack = int(math.ceil(GRID / accuracy)) + 1   # grid cells covering the sketch's rank error
-        sk = with_state(st, [f"{p}{i}" for i in T for p in ("lo", "hi")]).groupBy(*keys).agg(
-            *[F.percentile_approx(F.when(inside(i), v), grid, accuracy).alias(f"z{i}") for i in T])
-        st2 = attach(st, sk)
-        upd = []
-        for i in T:
-            rel = (F.col(f"k{i}") - F.col(f"b{i}")).cast("double") / F.greatest(F.col(f"c{i}").cast("double"), F.lit(1.0))
-            j_lo = (F.greatest(F.floor(rel * GRID) - slack, F.lit(0)) + 1).cast("int")
-            j_hi = (F.least(F.ceil(rel * GRID) + slack, F.lit(GRID)) + 1).cast("int")
-            big = F.col(f"c{i}") > max_candidates
-            upd += [F.when(big, F.greatest(F.col(f"lo{i}"), F.element_at(f"z{i}", j_lo))).otherwise(F.col(f"lo{i}")).alias(f"lo{i}"),
-                    F.when(big, F.least(F.col(f"hi{i}"), F.element_at(f"z{i}", j_hi))).otherwise(F.col(f"hi{i}")).alias(f"hi{i}"),
-                    F.col(f"lo{i}").alias(f"plo{i}"), F.col(f"hi{i}").alias(f"phi{i}")]
-        drop = {f"{p}{i}" for i in T for p in ("lo", "hi", "plo", "phi", "z", "ok")}
-        st = st2.select(*[c for c in st2.columns if c not in drop], *upd).transform(lambda t: materialize(t, "quantiles"))
-    else:
-        raise RuntimeError("exact_quantiles did not converge; raise max_rounds or max_candidates")
-    cand = with_state(st, [f"{p}{i}" for i in T for p in ("lo", "hi")]).groupBy(*keys).agg(
-        *[F.sort_array(F.collect_list(F.when(inside(i), v))).alias(f"s{i}") for i in T])
-    out = pick(attach(st, cand)).transform(lambda t: materialize(t, "quantiles"))   # one row per group; lets the cached input go
+        # ranks of a group with one bracket share its counts
+        brackets = todo.select(*kq, "_lo", "_hi").distinct()
+        if small:   # a bracket per group and rank, of a counted number of groups
+            brackets = F.broadcast(brackets)
+        j = d.join(brackets, keys) if keys else d.crossJoin(brackets)
+        v, lo, hi = (_scaled(F.col(c), logarithmic) for c in ("_v", "_lo", "_hi"))
+        inner = F.greatest(F.least(F.floor(F.try_divide(v - lo, hi - lo) * (bins - 2)), F.lit(bins - 3)), F.lit(0))
+        at = F.when(F.col("_v") == F.col("_lo"), 0).when(F.col("_v") == F.col("_hi"), bins - 1).otherwise(1 + F.coalesce(inner, F.lit(0)))
+        counts = (j.where((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))
+                  .withColumn("_bin", at.cast("int"))
+                  .groupBy(*kq, "_lo", "_hi", "_bin").agg(F.count("_v").alias("_c"), F.min("_v").alias("_a"), F.max("_v").alias("_b")))
+        upto = Window.partitionBy(*kq, "_lo", "_hi").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("_below", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
+        hit = todo.join(counts, [*keys, "_lo", "_hi"]).where((F.col("_below") <= F.col("_k")) & (F.col("_k") < F.col("_below") + F.col("_c")))
+        state = materialize(hit.select(*kq, "_t", (F.col("_k") - F.col("_below")).alias("_k"), F.col("_a").alias("_lo"), F.col("_b").alias("_hi")), "quantile-brackets")
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
+    value_of = lambda i: F.max(F.when(F.col("_t") == i, F.col("_lo")))
+    cols: dict = {}
+    for i, (name, _) in enumerate(targets):
+        cols.setdefault(name, []).append(value_of(i))
+    wide = found.groupBy(*kq).agg(*[(v[0] if len(v) == 1 else (v[0] + v[1]) / 2).alias(name) for name, v in cols.items()])
+    base = base.drop("_m", "_lo", "_hi")
+    out = base.join(wide, keys) if keys else base.crossJoin(F.broadcast(wide))
+    out = materialize(out, "quantiles")   # one row per group; lets the cached input go
     d.unpersist()
     return out

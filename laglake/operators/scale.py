@@ -49,8 +49,8 @@ def _inverse(x, s, method):
 
 def _stat_cols(stats: DataFrame, channels):
     """Pivot the (small, one row per channel) stats table into one row of <stat>_<channel> columns."""
-    aggs = [F.first(F.when(F.col("channel") == c, F.col(s)), ignorenulls=True).alias(f"{s}__{c}")
-            for c in channels for s in ("min", "max", "mean", "std", "median", "iqr")]
+    aggs = [F.first(F.when(F.col("channel") == c, F.col(s)), ignorenulls=True).alias(f"_{s}{i}")
+            for i, c in enumerate(channels) for s in ("min", "max", "mean", "std", "median", "iqr")]
     return stats.agg(F.count(F.lit(1)).alias("_n"), *aggs).where(F.col("_n") > 0).drop("_n")
 
 
@@ -65,8 +65,8 @@ def apply_scaler(df: DataFrame, stats: DataFrame, channels, method: str | None =
     one = F.broadcast(_stat_cols(stats, channels))
     j = df.crossJoin(one)
     outs = []
-    for c in channels:
-        s = {k: F.col(f"{k}__{c}") for k in ("min", "max", "mean", "std", "median", "iqr")}
+    for i, c in enumerate(channels):
+        s = {k: F.col(f"_{k}{i}") for k in ("min", "max", "mean", "std", "median", "iqr")}
         f = _inverse if inverse else _forward
         outs.append(f(qc(c).cast("double"), s, method).alias(c + suffix))
     keep = [c for c in df.columns if c not in channels or suffix]

@@ -101,12 +101,12 @@ def raw_split_single(raw: DataFrame, n_windows: DataFrame, ts: str, ratios=(0.7,
     window table: [0, train_idx) train, [train_idx, val_idx) val, [max(train_idx, val_idx), ...) test.
     ``n_windows``: one-row DataFrame with column ``n`` (count of complete windows). Row positions come
     from per-chunk counts (``chunk_minutes`` wide), so the single series is never one task."""
-    from laglake.operators.common import chunk_of, with_minutes
+    from laglake.operators.common import MINUTE, chunk_of, with_micros
     r = list(ratios) + [0.0] * (3 - len(ratios))
-    d = with_minutes(raw, ts, "_m")
+    d = with_micros(raw, ts, "_m")
     chunk = None
     if chunk_minutes:
-        d = d.withColumn("_chunk", chunk_of("_m", chunk_minutes))
+        d = d.withColumn("_chunk", chunk_of("_m", chunk_minutes * MINUTE))
         chunk = "_chunk"
     d = ordered_row_number(d, [], "_m", chunk, name="_rr", count_name=None)
     nb = F.broadcast(n_windows.select(F.col("n").alias("_nw")))

@@ -21,8 +21,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laglake.operators.common import DEFAULT_CHUNK_STEPS, all_not_null, as_keys, chunk_of, qc, with_minutes
-from laglake.session import EPOCH_NTZ
+from laglake.functions.timecols import from_micro_index, micro_index
+from laglake.operators.common import DEFAULT_CHUNK_STEPS, MINUTE, all_not_null, as_keys, chunk_of, qc
 from laglake.spec import WindowSpec, unique
 
 HALO_ROWS = 2_000_000
@@ -72,19 +72,23 @@ def _target_step(targets) -> F.Column:
 def grid_check(df: DataFrame, key, ts: str, minutes: int) -> dict:
     """One aggregate: are all rows on their segment's grid, and how long is the longest segment."""
     keys = as_keys(key)
-    d = with_minutes(df, ts)
-    per = d.groupBy(*keys).agg(F.min(F.col("m") % minutes).alias("lo"), F.max(F.col("m") % minutes).alias("hi"),
-                               F.count(F.lit(1)).alias("n"))
+    phase = F.pmod(micros(ts), F.lit(minutes * MINUTE))
+    per = df.groupBy(*[qc(k) for k in keys]).agg(F.min(phase).alias("lo"), F.max(phase).alias("hi"), F.count(F.lit(1)).alias("n"))
     r = per.agg(F.coalesce(F.min(F.col("lo") == F.col("hi")), F.lit(True)).alias("on_grid"),
                 F.coalesce(F.max("n"), F.lit(0)).alias("max_rows")).first()
     return {"on_grid": bool(r["on_grid"]), "max_rows": int(r["max_rows"])}
 
 
 def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpec, strategy: str = "auto",
-                 chunk_steps: int = DEFAULT_CHUNK_STEPS, halo_rows: int = HALO_ROWS, align: str = "keep") -> DataFrame:
+                 chunk_steps: int = DEFAULT_CHUNK_STEPS, halo_rows: int = HALO_ROWS, align: str = "keep",
+                 on_grid: bool | None = None) -> DataFrame:
     """``align``: ``keep`` off-grid rows as steps (reference; needs ``dense``), or ``floor`` / ``drop``
     them onto the grid first (then RANGE / halo plans apply).
 
+    Every strategy gives the same rows: ``range`` and ``halo`` check the grid (one aggregate) and give way to
+    ``dense`` / ``dense_halo`` when a row is off it. ``on_grid=True`` states that all rows are on their grid and saves
+    the check. Two rows with one (key, timestamp) raise when the plan runs; ``prepare`` removes them.
+
     Return ``[*keys, (chunk,) ts, tus, x, y]`` (``tus``: microseconds since epoch, the order key); x is array<double> for one channel, else
     array<array<double>> (steps x channels, features then targets); y is array<double> of
     ahead x targets values, step-major, oldest first."""
@@ -101,6 +105,7 @@ def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpe
         # aligned rows are all on the grid, so the RANGE / halo plans apply
         from laglake.operators.grid import align_to_grid
         df = align_to_grid(df.select(*[qc(c) for c in (*keys, ts, *channels)]), keys, ts, spec.minutes, align)
+        on_grid = True
         if strategy in ("auto", "dense"):
             strategy = "halo" if not keys else "range"
     if not keys and strategy == "range":
@@ -114,6 +119,8 @@ def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpe
         # ~sqrt(n) steps per chunk balances the two levels of a hot key: rows per chunk task and
         # rows of that key in the per-chunk offset table
         chunk_steps = max(chunk_steps, math.isqrt(max(chk["max_rows"], 0)))
+    elif strategy in ("range", "halo") and on_grid is None and not grid_check(df, keys, ts, spec.minutes)["on_grid"]:
+        strategy = "dense" if strategy == "range" else "dense_halo"
     if strategy in ("dense", "dense_halo"):
         from laglake.operators.grid import fill_date
         dense = fill_date(df.select(*[qc(c) for c in (*keys, ts, *channels)]), keys, ts, spec.minutes)
@@ -134,32 +141,43 @@ def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpe
         part = keys
     else:
         raise ValueError(f"unknown strategy {strategy!r}")
-    w = Window.partitionBy(*part).orderBy("tus")
+    w = Window.partitionBy(*[qc(c) for c in part]).orderBy("tus")
     xw = w.rangeBetween(-spec.span * step_us, -spec.offset * step_us)
     yw = w.rangeBetween(-(spec.ahead - 1) * step_us, 0)
-    out = d.select(*part, "tus", *(["_own"] if strategy == "halo" else []),
+    out = d.select(*[qc(c) for c in part], "tus", *(["_own"] if strategy == "halo" else []), _again(w),
                    F.collect_list(_step(channels)).over(xw).alias("x"),
                    F.collect_list(_target_step(targets)).over(yw).alias("_y"))
     if strategy == "halo":
         out = out.where(F.col("chunk") == F.col("_own")).drop("_own")
-    out = out.where((F.size("x") == spec.lag) & (F.size("_y") == spec.ahead))
-    return out.select(*part, F.timestamp_add("MICROSECOND", F.col("tus"), F.expr(EPOCH_NTZ)).alias(ts), "tus", "x",
+    out = _unique(out).where((F.size("x") == spec.lag) & (F.size("_y") == spec.ahead))
+    return out.select(*[qc(c) for c in part], from_micro_index("tus").alias(ts), "tus", "x",
                       F.flatten("_y").alias("y"))
 
 
 def micros(ts) -> F.Column:
     """Microseconds since 1970-01-01 (BIGINT): exact for TIMESTAMP_NTZ, the windows' order key."""
-    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH_NTZ), qc(ts).cast("timestamp_ntz"))
+    return micro_index(qc(ts))
+
+
+def _again(w) -> F.Column:
+    """Whether the row before has the same timestamp."""
+    return (F.lag("tus").over(w) == F.col("tus")).alias("_again")
+
+
+def _unique(df: DataFrame) -> DataFrame:
+    """Raises at run time if a (key, timestamp) occurs twice: its windows would hold a step twice and miss another."""
+    fail = F.raise_error(F.lit("two rows with the same key and timestamp; de-duplicate them first (prepare does)")).cast("boolean")
+    return df.where(F.when(F.col("_again"), fail).otherwise(F.lit(True))).drop("_again")
 
 
 def _windows_rows(dense: DataFrame, keys, ts, channels, targets, spec: WindowSpec) -> DataFrame:
     d = dense.withColumn("tus", micros(ts))
-    w = Window.partitionBy(*keys).orderBy("tus")
-    out = d.select(*keys, ts, "tus",
+    w = Window.partitionBy(*[qc(k) for k in keys]).orderBy("tus")
+    out = d.select(*[qc(k) for k in keys], qc(ts), "tus", _again(w),
                    F.collect_list(_step(channels)).over(w.rowsBetween(-spec.span, -spec.offset)).alias("x"),
                    F.collect_list(_target_step(targets)).over(w.rowsBetween(-(spec.ahead - 1), 0)).alias("_y"),
                    F.count(F.lit(1)).over(w.rowsBetween(-spec.span, -spec.offset)).alias("_nx"))
-    out = out.where((F.size("x") == spec.lag) & (F.col("_nx") == spec.lag) & (F.size("_y") == spec.ahead))
+    out = _unique(out).where((F.size("x") == spec.lag) & (F.col("_nx") == spec.lag) & (F.size("_y") == spec.ahead))
     return out.withColumn("y", F.flatten("_y")).drop("_y", "_nx")
 
 
@@ -173,11 +191,11 @@ def _windows_rows_halo(dense: DataFrame, keys, ts, channels, targets, spec: Wind
     d = ordered_row_number(d, keys, "tus", "_tc", name="_rn", count_name=None).drop("_tc")
     d = (d.withColumn("_own", chunk_of("_rn", chunk_steps))
           .withColumn("_blk", F.explode(F.sequence(F.col("_own"), chunk_of(F.col("_rn") + spec.span, chunk_steps)))))
-    w = Window.partitionBy(*keys, "_blk").orderBy("_rn")
-    out = d.select(*keys, ts, "tus", "_own", "_blk",
+    w = Window.partitionBy(*[qc(k) for k in keys], "_blk").orderBy("_rn")
+    out = d.select(*[qc(k) for k in keys], qc(ts), "tus", "_own", "_blk", _again(w),
                    F.collect_list(_step(channels)).over(w.rowsBetween(-spec.span, -spec.offset)).alias("x"),
                    F.collect_list(_target_step(targets)).over(w.rowsBetween(-(spec.ahead - 1), 0)).alias("_y"),
                    F.count(F.lit(1)).over(w.rowsBetween(-spec.span, -spec.offset)).alias("_nx"))
-    out = out.where((F.col("_blk") == F.col("_own")) & (F.size("x") == spec.lag) & (F.col("_nx") == spec.lag)
-                    & (F.size("_y") == spec.ahead))
-    return out.select(*keys, ts, "tus", "x", F.flatten("_y").alias("y"))
+    out = _unique(out).where((F.col("_blk") == F.col("_own")) & (F.size("x") == spec.lag) & (F.col("_nx") == spec.lag)
+                             & (F.size("_y") == spec.ahead))
+    return out.select(*[qc(k) for k in keys], qc(ts), "tus", "x", F.flatten("_y").alias("y"))

@@ -14,12 +14,13 @@ from pyspark.sql import functions as F
 
 from laglake.operators import forecast as FC
 from laglake.operators import metrics as MET
-from laglake.operators.assemble import assemble_zero_shot, truncate_test
+from laglake.operators.assemble import assemble_zero_shot
+from laglake.operators.common import qc
 from laglake.operators.expand import union_all
 from laglake.operators.prepare import prepare
 from laglake.operators.scale import fit_scaler
-from laglake.operators.split import chrono_split, raw_split, rejected_segments, split_bounds
-from laglake.operators.windows import make_windows
+from laglake.operators.split import chrono_split, raw_split, raw_split_single, rejected_segments, split_bounds
+from laglake.operators.windows import grid_check, make_windows
 from laglake.session import materialize
 from laglake.sources.csv_scan import read_series
 from laglake.spec import DatasetSpec, WindowSpec
@@ -72,7 +73,7 @@ def scale_windows(windows: DataFrame, stats: DataFrame, channels, targets, metho
 def prepare_dataset(spark: SparkSession, spec: DatasetSpec, window: WindowSpec, source: DataFrame | None = None,
                     normalization: str | None = None, strategy: str = "auto", null_scope: str = "all",
                     strict_parity: bool = False, materialize_windows: bool = True,
-                    materialize_series: bool = True, skip_test: bool = False) -> PreparedDataset:
+                    materialize_series: bool = True, on_grid: bool | None = None) -> PreparedDataset:
     """``materialize_series`` / ``materialize_windows``: write the cleaned series and the window table
     once to the shared scratch folder and read them back. The series feeds the windows, the rejects
     and the raw splits, and the windows feed the split, rejects and boundaries; without this each
@@ -87,31 +88,41 @@ def prepare_dataset(spark: SparkSession, spec: DatasetSpec, window: WindowSpec,
     if key is None:
         series = series.withColumn(SEGMENT, F.lit("all"))
         key = SEGMENT
-    strat = strategy if spec.segment is not None else "halo"
-    w = make_windows(series, key, spec.date, spec.features, spec.target, window, strategy=strat)
+    single = spec.segment is None
+    if single:   # one series is one key: always spread it over time chunks
+        if strategy == "auto":
+            strategy = "halo" if on_grid or grid_check(series, key, spec.date, window.minutes)["on_grid"] else "dense_halo"
+        strategy = {"range": "halo", "dense": "dense_halo"}.get(strategy, strategy)
+    w = make_windows(series, key, spec.date, spec.features, spec.target, window, strategy=strategy, on_grid=on_grid)
     if materialize_windows:
         w = materialize(w, f"windows-{spec.name}")
     acc, split_rej = chrono_split(w, key, window.ratios, strict_parity=strict_parity)
     rej = rejected_segments(series, w, key, window.ratios, split_rejects=split_rej)
     bounds = split_bounds(acc, key, spec.date)
-    raw = raw_split(series, bounds, key, spec.date)
+    if single:   # sliced by the sample indices of the windows, as there is no segment to split by date
+        raw = raw_split_single(series, w.agg(F.count(F.lit(1)).alias("n")), spec.date, window.ratios)
+    else:
+        raw = raw_split(series, bounds, key, spec.date)
     stats = None
     if normalization:
         stats = fit_scaler(raw.where(F.col("split") == "train"), list(spec.channels), normalization)
         acc = scale_windows(acc, stats, spec.channels, spec.target, normalization)
-    if skip_test:   # a source dataset of a zero-shot run: its test windows are not used
-        acc = truncate_test(acc, 10, [key], spec.date)
     return PreparedDataset(spec.name, spec, window, series, acc, rej, raw, stats, key)
 
 
+def _named(d: PreparedDataset) -> DataFrame:
+    """The windows with their key as ``segment`` (text) and their date as ``ts``, whatever the dataset calls them."""
+    rest = [c for c in d.windows.columns if c not in (d.key, d.spec.date)]
+    return d.windows.select(qc(d.key).cast("string").alias("segment"), qc(d.spec.date).alias("ts"), *[qc(c) for c in rest])
+
+
 def run_zero_shot(spark: SparkSession, target: PreparedDataset, sources: list[PreparedDataset],
                   kinds=FC.KINDS, lambdas=(0.0, 1.0, 10.0, 100.0), ensemble: bool = True) -> DataFrame:
     """Metrics per model kind (and the R2-weighted ensemble) on the target's test windows,
     fitted on the sources' train / val windows, scored with the target's scaler."""
     shapes = {d.name: (d.window.lag, len(d.spec.channels), d.window.ahead * len(d.spec.target))
               for d in [target, *sources]}
-    norm = lambda d: d.windows.withColumnRenamed(d.key, "segment").withColumn("segment", F.col("segment").cast("string"))
-    a = assemble_zero_shot(norm(target), {d.name: norm(d) for d in sources}, target_name=target.name, shapes=shapes)
+    a = assemble_zero_shot(_named(target), {d.name: _named(d) for d in sources}, target_name=target.name, shapes=shapes)
     L, F_, A = shapes[target.name]
     mats = FC.split_grams(a.where(F.col("dataset") != target.name), n_terms=L * F_ + 1 + A)
     scaler = None
@@ -119,22 +130,14 @@ def run_zero_shot(spark: SparkSession, target: PreparedDataset, sources: list[Pr
         first = target.spec.target[0]
         r = target.scaler.where(F.col("channel") == first).first()
         scaler = r.asDict() if r else None
-    test = a.where(F.col("dataset") == target.name)
-    preds = []
+    fitted = {}
     for kind in kinds:
         m = FC.fit(kind=kind, lambdas=lambdas, L=L, F_=F_, A=A, mats=mats)
-        if m is None:
-            continue
-        p = FC.predict(test, FC.coefficient_table(spark, kind, m["weights"])).withColumn("model", F.lit(kind))
-        preds.append(MET.long_predictions(p, ["model", "segment", "ts"]))
-    if not preds:
+        if m is not None:
+            fitted[kind] = FC.coefficient_table(spark, kind, m["weights"])
+    if not fitted:
         raise ValueError("no training windows in the source datasets")
-    long = union_all(preds)
-    scores = MET.score(long, ["model"], scaler=scaler)
-    if ensemble:
-        e = MET.ensemble(long, MET.score(long, ["model"]), ["segment", "ts"])
-        scores = scores.unionByName(MET.score(e, ["model"], scaler=scaler))
-    return scores
+    return _score_kinds(spark, fitted, a.where(F.col("dataset") == target.name), scaler, ensemble)
 
 
 def _target_scaler(d: PreparedDataset) -> dict | None:
@@ -144,16 +147,16 @@ def _target_scaler(d: PreparedDataset) -> dict | None:
     return r.asDict() if r else None
 
 
-def _score_kinds(spark, fitted: dict, test: DataFrame, key: str, scaler, ensemble: bool) -> DataFrame:
-    preds = []
-    for kind, coef in fitted.items():
-        p = FC.predict(test, coef).withColumn("model", F.lit(kind))
-        preds.append(MET.long_predictions(p, ["model", key, "ts"] if "ts" in test.columns else ["model", key]))
-    long = union_all(preds)
-    scores = MET.score(long, ["model"], scaler=scaler)
+def _score_kinds(spark, fitted: dict, test: DataFrame, scaler, ensemble: bool) -> DataFrame:
+    """Scores of each model and of their ensemble on ``test`` (windows keyed by segment and ts). Predictions are written
+    once; the scores and the ensemble read them. The ensemble's weights are R2, which scaling leaves alone, so they come
+    from the scores themselves."""
+    preds = [MET.long_predictions(FC.predict(test, coef).withColumn("model", F.lit(kind)), ["model", "segment", "ts"])
+             for kind, coef in fitted.items()]
+    long = materialize(union_all(preds), "predictions")
+    scores = materialize(MET.score(long, ["model"], scaler=scaler), "scores")
     if ensemble and len(preds) > 1:
-        keys = [key, "ts"] if "ts" in test.columns else [key]
-        e = MET.ensemble(long, MET.score(long, ["model"]), keys)
+        e = MET.ensemble(long, scores, ["segment", "ts"])
         scores = scores.unionByName(MET.score(e, ["model"], scaler=scaler))
     return scores
 
@@ -174,9 +177,7 @@ def run_single(spark: SparkSession, ds: PreparedDataset, kinds=FC.KINDS, lambdas
             FC.save_model(fitted[kind], model_path)
     if not fitted:
         raise ValueError("no training windows")
-    test = ds.windows.where(F.col("split") == "test").withColumnRenamed(ds.spec.date, "ts") \
-        if ds.spec.date != "ts" else ds.windows.where(F.col("split") == "test")
-    return _score_kinds(spark, fitted, test, ds.key, _target_scaler(ds), ensemble)
+    return _score_kinds(spark, fitted, _named(ds).where(F.col("split") == "test"), _target_scaler(ds), ensemble)
 
 
 def evaluate_stored(spark: SparkSession, target: PreparedDataset, model_path: str, kinds=FC.KINDS,
@@ -184,5 +185,4 @@ def evaluate_stored(spark: SparkSession, target: PreparedDataset, model_path: st
     """Zero-shot evaluation of stored models: load each kind's latest coefficients (a filtered,
     partition-pruned read), predict the target's test windows, score with the target's scaler."""
     fitted = {k: FC.load_model(spark, model_path, k) for k in kinds}
-    test = target.windows.where(F.col("split") == "test")
-    return _score_kinds(spark, fitted, test, target.key, _target_scaler(target), ensemble)
+    return _score_kinds(spark, fitted, _named(target).where(F.col("split") == "test"), _target_scaler(target), ensemble)

@@ -16,17 +16,18 @@ from laglake.functions.calendar import cyclical_pattern, time_encode
 from laglake.operators import forecast as FC
 from laglake.operators import metrics as MET
 from laglake.operators.assemble import assemble_zero_shot, shuffle_windows
-from laglake.operators.expand import channel_catalogue, feature_combinations, union_all, univariate_unpivot
+from laglake.operators.expand import channel_catalogue, combination_series, feature_combinations, union_all, univariate_unpivot
 from laglake.operators.features import t2v_revin_frame, time2vec_weights
 from laglake.operators.grid import fill_date, fill_gaps
 from laglake.operators.moments import gram
-from laglake.operators.prepare import dedupe_key, prepare, shrink_plan, strip_time
+from laglake.operators.prepare import dedupe_key, prepare, shrink_plan, shrink_types, strip_time
+from laglake.operators.quantiles import exact_quantiles
 from laglake.operators.scale import apply_scaler, fit_scaler
 from laglake.operators.split import chrono_split, raw_split, raw_split_single, rejected_segments, split_bounds
 from laglake.operators.windows import lag_columns, make_windows
 from laglake.plans import oracle_sql as O
 from laglake.plans import views as V
-from laglake.plans.experiment import evaluate_stored, prepare_dataset, run_single, run_zero_shot
+from laglake.plans.experiment import evaluate_stored, prepare_dataset, run_single, run_zero_shot, scale_windows
 from laglake.plans.views import with_views
 from laglake.session import scratch_path
 from laglake.sources.csv_scan import read_series, write_series_csv
@@ -66,10 +67,10 @@ VIEW_STRATEGY = "range"
 
 
 def d6_windows(spark, sf, strategy=VIEW_STRATEGY, spec=D6_SPEC):
-    return make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], spec, strategy=strategy)
+    return make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], spec, strategy=strategy, on_grid=True)
 
 
-def d6_split_windows(spark, sf, strategy=VIEW_STRATEGY):
+def d6_split_windows(spark, sf, strategy=VIEW_STRATEGY, on_grid=True):
     acc, _ = chrono_split(d6_windows(spark, sf, strategy), "segment", (0.7, 0.1, 0.2))
     return acc
 
@@ -128,7 +129,7 @@ WIDE_SPEC = WindowSpec(lag=4, ahead=1, offset=1, minutes=1440)
     "UNION ALL SELECT segment, ts, 'y' AS part, UNNEST(range(len(y))) AS step, CAST(0 AS BIGINT) AS ch, "
     "round(UNNEST(y), 6) AS value FROM w", "WIDE"))
 def q_lag_windows_multi(spark, sf):
-    w = make_windows(V.wide(spark, sf), "segment", "ts", ["price", "disc"], ["qty"], WIDE_SPEC, strategy=VIEW_STRATEGY)
+    w = make_windows(V.wide(spark, sf), "segment", "ts", ["price", "disc"], ["qty"], WIDE_SPEC, strategy=VIEW_STRATEGY, on_grid=True)
     xs = w.select("segment", "ts", F.posexplode("x").alias("step", "v"))
     x = xs.select("segment", "ts", F.lit("x").alias("part"), F.col("step").cast("long").alias("step"),
                   F.posexplode("v").alias("ch", "value"))
@@ -174,7 +175,7 @@ USER_SPEC = WindowSpec(lag=3, ahead=1, offset=1, minutes=1440)
     "WHERE segment NOT IN (SELECT segment FROM c)", "USERD"))
 def q_rejected_segments(spark, sf):
     s = V.userd(spark, sf)
-    w = make_windows(s, "segment", "ts", ["value"], ["value"], USER_SPEC, strategy=VIEW_STRATEGY)
+    w = make_windows(s, "segment", "ts", ["value"], ["value"], USER_SPEC, strategy=VIEW_STRATEGY, on_grid=True)
     return rejected_segments(s, w, "segment", (0.7, 0.1, 0.2))
 
 
@@ -353,6 +354,25 @@ def q_csv_scan(spark, sf):
     return out.select("segment", "ts", rnd("qty").alias("qty"))
 
 
+@register("csv_scan_multi", "SELECT CAST(user_id % 4 AS VARCHAR) AS station, CAST(event_id AS BIGINT) AS id, ts, "
+          "round(CASE WHEN event_id % 7 = 0 THEN value ELSE floor(value) END, 6) AS v, event_type AS kind, true AS from_part FROM events")
+def q_csv_scan_multi(spark, sf):
+    """Events as CSV folders by station: every second station has its columns in another order, and whole numbers turn
+    to decimals at places. The file stem is a column."""
+    ev = V.table(spark, sf, "events").select(
+        F.col("event_id").alias("id"), "ts", F.when(F.col("event_id") % 7 == 0, F.format_string("%.17g", "value"))
+        .otherwise(F.floor("value").cast("string")).alias("v"), F.col("event_type").alias("kind"), (F.col("user_id") % 4).alias("station"))
+    path = scratch_path(spark, "csv_multi")
+    for s in range(4):
+        cols = ["id", "ts", "v", "kind"] if s % 2 else ["kind", "v", "id", "ts"]
+        one = ev.where(F.col("station") == s).select(*cols)
+        (one.write.option("header", True).option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(f"{path}/{s}"))
+    spec = DatasetSpec(path=path, target=("v",), date="ts", segment="station", name="events-csv", file_name_as_feature="part")
+    out = read_series(spark, spec)
+    folder = F.regexp_extract(F.input_file_name(), r"/(\d+)/[^/]*$", 1)
+    return out.withColumn("station", folder).select("station", "id", "ts", rnd("v").alias("v"), "kind", F.col("part").startswith("part-").alias("from_part"))
+
+
 # ---------------------------------------------------------------- scaling
 
 
@@ -360,7 +380,7 @@ def wide_train_raw(spark, sf):
     """Training rows of the 3-channel view: windows over all its channels (features price, disc and
     target qty), then rows up to each series' last training date. Both branches read the same view
     columns, so the view is aggregated once (shared shuffle)."""
-    w = make_windows(V.wide(spark, sf), "segment", "ts", ["price", "disc"], ["qty"], D6_SPEC, strategy=VIEW_STRATEGY)
+    w = make_windows(V.wide(spark, sf), "segment", "ts", ["price", "disc"], ["qty"], D6_SPEC, strategy=VIEW_STRATEGY, on_grid=True)
     acc, _ = chrono_split(w, "segment", (0.7, 0.1, 0.2))
     b = split_bounds(acc, "segment", "ts")
     return raw_split(V.wide(spark, sf), b, "segment", "ts").where(F.col("split") == "train").drop("split")
@@ -430,6 +450,24 @@ def q_denormalize(spark, sf):
     return back.select("segment", "ts", rnd("qty").alias("qty"))
 
 
+@register("denormalize_minmax", _norm_sql("((D6.qty - sq.min) / nullif(sq.max - sq.min, 0)) * (sq.max - sq.min) + sq.min"))
+def q_denormalize_minmax(spark, sf):
+    st = d6_train_stats(spark, sf, "minmax")
+    back = apply_scaler(apply_scaler(V.d6(spark, sf), st, ["qty"], "minmax"), st, ["qty"], "minmax", inverse=True)
+    return back.select("segment", "ts", rnd("qty").alias("qty"))
+
+
+@register("quantiles_lineitem", "SELECT c AS channel, count(*) AS n, round(min(v), 6) AS lo, round(median(v), 6) AS median, "
+          "round(quantile_disc(v, 0.25), 6) AS q25, round(quantile_disc(v, 0.9), 6) AS q90, round(max(v), 6) AS hi FROM ("
+          "SELECT 'l_discount' AS c, l_discount AS v FROM lineitem UNION ALL SELECT 'l_quantity', l_quantity FROM lineitem) GROUP BY 1")
+def q_quantiles_lineitem(spark, sf):
+    """Exact quantiles of raw columns with few distinct values: nearly all rows tie."""
+    long = univariate_unpivot(V.table(spark, sf, "lineitem"), None, "l_shipdate", ["l_discount", "l_quantity"])
+    v = F.col("_v")
+    q = exact_quantiles(long, "channel", "value", {"median": "median", "q25": 0.25, "q90": 0.9}, extra_aggs=(F.min(v).alias("lo"), F.max(v).alias("hi")))
+    return q.select("channel", "n", *[rnd(c).alias(c) for c in ("lo", "median", "q25", "q90", "hi")])
+
+
 # ---------------------------------------------------------------- calendar and activations
 
 _CYC = "((hour(ts) * 60 + minute(ts)) / 5.0) / (24 * (60 / 5.0)) * 2 * pi()"
@@ -475,7 +513,7 @@ _SEQ_W = f", w AS ({O.windows_cte('D6', ['segment'], 'ts', ['qty'], ['qty'], 8,
 
 
 def seq_windows(spark, sf):
-    return make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], SEQ_SPEC, strategy=VIEW_STRATEGY)
+    return make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], SEQ_SPEC, strategy=VIEW_STRATEGY, on_grid=True)
 
 
 def _explode_arr(df, col, extra=()):
@@ -541,6 +579,31 @@ def q_revin_roundtrip(spark, sf):
     return _explode_arr(w, "a")
 
 
+@register("revin_denorm_default", with_views(
+    _SEQ_W + _REVIN_SQL + "SELECT segment, ts, UNNEST(range(len(x))) AS pos, round(UNNEST(list_transform(x, "
+    "lambda v: (((v - mean) / std * 1.5 + 0.25) - 0.25) / (1.5 + 1e-5 * 1e-5) * std + mean)), 6) AS value FROM u", "D6"))
+def q_revin_denorm_default(spark, sf):
+    """The inverse as shipped, whose epsilon makes it slightly smaller than the input."""
+    w = seq_windows(spark, sf).withColumn("st", S.revin_stats("x"))
+    n = S.revin_norm("x", "st.mean", "st.std", weight=1.5, bias=0.25)
+    return _explode_arr(w.select("segment", "ts", S.revin_denorm(n, "st.mean", "st.std", weight=1.5, bias=0.25).alias("a")), "a")
+
+
+@register("revin_channels", with_views(
+    f", w AS ({O.windows_cte('WIDE', ['segment'], 'ts', ['price', 'disc', 'qty'], ['qty'], 8, 1, 1, 1440)}), "
+    "e AS (SELECT segment, ts, UNNEST(range(len(x))) AS pos, UNNEST(x) AS step FROM w), "
+    "f AS (SELECT segment, ts, pos, c AS ch, step[c + 1] AS v FROM e, range(3) r(c)) "
+    "SELECT segment, ts, pos, CAST(ch AS BIGINT) AS ch, round((v - avg(v) OVER k) / sqrt(var_pop(v) OVER k + 1e-5), 5) AS value FROM f "
+    "WINDOW k AS (PARTITION BY segment, ts, ch)", "WIDE"))
+def q_revin_channels(spark, sf):
+    """Instance normalisation of 3-channel windows, each channel by its own statistics."""
+    w = make_windows(V.wide(spark, sf), "segment", "ts", ["price", "disc"], ["qty"], WindowSpec(lag=8), strategy=VIEW_STRATEGY, on_grid=True)
+    w = w.withColumn("st", S.revin_stats("x", channels=3))
+    z = w.select("segment", "ts", F.posexplode(S.revin_norm_channels("x", "st")).alias("pos", "s"))
+    return z.select("segment", "ts", F.col("pos").cast("long").alias("pos"), F.posexplode("s").alias("ch", "value")).select(
+        "segment", "ts", "pos", F.col("ch").cast("long").alias("ch"), rnd("value", 5).alias("value"))
+
+
 # Fixed Time2Vec weights for the oracle check (k = 2 periodic features, L = 8 steps).
 T2V_WA = [0.01, -0.02]
 T2V_BA = [[0.1 * t, -0.05 * t] for t in range(8)]
@@ -644,7 +707,7 @@ AR1_SPEC = WindowSpec(lag=1, ahead=1, offset=1, minutes=1440)
 
 
 def d1_ar1_split(spark, sf):
-    w = make_windows(V.d1(spark, sf), None, "ts", ["qty"], ["qty"], AR1_SPEC, strategy="halo")
+    w = make_windows(V.d1(spark, sf), None, "ts", ["qty"], ["qty"], AR1_SPEC, strategy="halo", on_grid=True)
     acc, _ = chrono_split(w, None, (0.7, 0.1, 0.2))
     return acc
 
@@ -726,29 +789,19 @@ def q_predict_dlinear(spark, sf):
 
 
 def _head_sql():
-    heads = []
-    for sp in ("train", "val"):
-        heads.append(f"(SELECT * FROM s WHERE split = '{sp}' ORDER BY segment, ts LIMIT 500)")
     body = " UNION ALL ".join(
         f"SELECT split, segment, ts, CAST({h} AS BIGINT) AS h, round(list_dot_product(x, {_lit_list(LIN_W[h])}) "
         f"+ {LIN_B[h]!r}, 6) AS yhat FROM w" for h in range(2))
-    return with_views(f", s AS ({O.d6_split()}), w AS ({' UNION ALL '.join(heads)}) " + body, "D6")
+    return with_views(f", s AS ({O.d6_split()}), w AS (SELECT * FROM s WHERE split IN ('train', 'val')) " + body, "D6")
 
 
 @register("predict_head", _head_sql())
 def q_predict_head(spark, sf):
-    """Diagnostics on the first 500 train and the first 500 val windows (ordered by segment, date);
-    the limits are the feature."""
-    sw = d6_split_windows(spark, sf)
+    """Fit diagnostics: predictions on all train and val windows."""
+    sw = d6_split_windows(spark, sf).where(F.col("split").isin("train", "val"))
     coef = _coef(spark, "linear", FC.effective("linear", _lin_matrix(LIN_W, LIN_B), 8, 1, 2))
-    outs = []
-    for sp in ("train", "val"):
-        head = sw.where(F.col("split") == sp).orderBy("segment", "ts").limit(500)
-        p = FC.predict(head, coef)
-        z = p.select("segment", "ts", F.posexplode("yhat").alias("h", "yhat"))
-        outs.append(z.select(F.lit(sp).alias("split"), "segment", "ts", F.col("h").cast("long").alias("h"),
-                             rnd("yhat").alias("yhat")))
-    return outs[0].unionByName(outs[1])
+    z = FC.predict(sw, coef).select("split", "segment", "ts", F.posexplode("yhat").alias("h", "yhat"))
+    return z.select("split", "segment", "ts", F.col("h").cast("long").alias("h"), rnd("yhat").alias("yhat"))
 
 
 LAMBDAS = (0.0, 1.0, 10.0, 100.0, 1000.0, 10000.0)
@@ -799,7 +852,8 @@ def q_univariate_unpivot(spark, sf):
     "FROM (UNPIVOT WIDE ON qty, price, disc INTO NAME channel VALUE value)) "
     "SELECT a.channel AS c0, b.channel AS c1 FROM ch a JOIN ch b ON b.pos > a.pos", "WIDE"))
 def q_feature_combinations(spark, sf):
-    cat = channel_catalogue(univariate_unpivot(V.wide(spark, sf), "segment", "ts", WIDE_CH), order=WIDE_CH)
+    """Names only, so the schema is enough; ``combination_series`` builds the series."""
+    cat = V.wide(spark, sf).groupBy().agg(F.count("*").alias("n")).where("n > 0").select(F.posexplode(F.array(*map(F.lit, WIDE_CH))).alias("pos", "channel"))
     return feature_combinations(cat, 2)
 
 
@@ -808,11 +862,11 @@ ZS_SPEC_H = WindowSpec(lag=8, ahead=1, offset=1, minutes=60)
 
 
 def zero_shot_windows(spark, sf):
-    h = make_windows(V.h5(spark, sf), "segment", "ts", ["value"], ["value"], ZS_SPEC_H, strategy=VIEW_STRATEGY)
+    h = make_windows(V.h5(spark, sf), "segment", "ts", ["value"], ["value"], ZS_SPEC_H, strategy=VIEW_STRATEGY, on_grid=True)
     h, _ = chrono_split(h, "segment", (0.7, 0.1, 0.2))
-    d6 = make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], ZS_SPEC, strategy=VIEW_STRATEGY)
+    d6 = make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], ZS_SPEC, strategy=VIEW_STRATEGY, on_grid=True)
     d6, _ = chrono_split(d6, "segment", (0.7, 0.1, 0.2))
-    d1 = make_windows(V.d1(spark, sf), None, "ts", ["qty"], ["qty"], ZS_SPEC, strategy="halo")
+    d1 = make_windows(V.d1(spark, sf), None, "ts", ["qty"], ["qty"], ZS_SPEC, strategy="halo", on_grid=True)
     d1, _ = chrono_split(d1, None, (0.7, 0.1, 0.2))
     d1 = d1.withColumn("segment", F.lit("all"))
     return assemble_zero_shot(h, {"D6": d6, "D1": d1}, target_name="H5",
@@ -861,20 +915,9 @@ def q_windows_roundtrip(spark, sf):
 # ---------------------------------------------------------------- rows-only fits (no SQL twin)
 
 
-METRICS_SCHEMA = "model string, " + ", ".join(f"{m} double" for m in MET.ALL_METRICS)
-
-
-def scale_windows(w: DataFrame, stats: dict) -> DataFrame:
-    """Affine scaling of one-channel windows with a scaler record (x and y share the channel)."""
-    f = lambda v: (v - F.lit(stats["mean"])) / F.lit(stats["std"])
-    return w.withColumn("x", F.transform("x", f)).withColumn("y", F.transform("y", f))
-
-
-def _own_stats(spark, series, key, ts, ch, split_w):
+def _own_stats(series, key, ts, ch, split_w):
     b = split_bounds(split_w, key, ts)
-    tr = raw_split(series, b, key, ts).where(F.col("split") == "train")
-    r = fit_scaler(tr, [ch], "standard").first()
-    return r.asDict() if r else None
+    return fit_scaler(raw_split(series, b, key, ts).where(F.col("split") == "train"), [ch], "standard")
 
 
 @register("zero_shot_eval", None)
@@ -882,14 +925,13 @@ def q_zero_shot_eval(spark, sf):
     """Fit on the source datasets (each scaled by its own training stats), score on the unseen
     target's test windows with the target's scaler."""
     h5s, d6s = V.h5(spark, sf), V.d6(spark, sf)
-    h = make_windows(h5s, "segment", "ts", ["value"], ["value"], ZS_SPEC_H, strategy=VIEW_STRATEGY)
+    h = make_windows(h5s, "segment", "ts", ["value"], ["value"], ZS_SPEC_H, strategy=VIEW_STRATEGY, on_grid=True)
     h, _ = chrono_split(h, "segment", (0.7, 0.1, 0.2))
-    d6 = make_windows(d6s, "segment", "ts", ["qty"], ["qty"], ZS_SPEC, strategy=VIEW_STRATEGY)
+    d6 = make_windows(d6s, "segment", "ts", ["qty"], ["qty"], ZS_SPEC, strategy=VIEW_STRATEGY, on_grid=True)
     d6, _ = chrono_split(d6, "segment", (0.7, 0.1, 0.2))
-    hs, ds = _own_stats(spark, h5s, "segment", "ts", "value", h), _own_stats(spark, d6s, "segment", "ts", "qty", d6)
-    if hs is None or ds is None:
-        return spark.createDataFrame([], METRICS_SCHEMA)
-    a = assemble_zero_shot(scale_windows(h, hs), {"D6": scale_windows(d6, ds)}, target_name="H5")
+    hs, ds = _own_stats(h5s, "segment", "ts", "value", h), _own_stats(d6s, "segment", "ts", "qty", d6)
+    a = assemble_zero_shot(scale_windows(h, hs, ["value"], ["value"], "standard"),
+                           {"D6": scale_windows(d6, ds, ["qty"], ["qty"], "standard")}, target_name="H5")
     mats = FC.split_grams(a.where(F.col("dataset") == "D6"), n_terms=8 + 1 + 1)
     rows = []
     for kind in FC.KINDS:
@@ -898,22 +940,28 @@ def q_zero_shot_eval(spark, sf):
             continue
         pred = FC.predict(a.where(F.col("dataset") == "H5"), FC.coefficient_table(spark, kind, m["weights"]))
         lp = MET.long_predictions(pred.withColumn("model", F.lit(kind)), ["model", "segment", "ts"])
-        rows.append(MET.score(lp, ["model"], scaler=hs))
-    return union_all(rows) if rows else spark.createDataFrame([], METRICS_SCHEMA)
+        rows.append(MET.score(lp, ["model"], scaler=hs.first().asDict()))
+    return union_all(rows)
+
+
+def scale_windows_wide(w, spark, sf):
+    """Split windows of the 3-channel view, standard-scaled by its training rows."""
+    acc, _ = chrono_split(w, "segment", (0.7, 0.1, 0.2))
+    stats = fit_scaler(wide_train_raw(spark, sf), ["price", "disc", "qty"], "standard")
+    return scale_windows(acc, stats, ["price", "disc", "qty"], ["qty"], "standard")
 
 
 @register("predict_t2v", None)
 def q_predict_t2v(spark, sf):
-    """Time2Vec (16 seeded periodic features) -> RevIN -> ridge read-out fitted from one Gram
-    pass; predictions de-normalised with the window statistics and scored on test windows."""
-    sw = d6_split_windows(spark, sf)
-    fr = t2v_revin_frame(sw, time2vec_weights(8, 16, seed=941))
-    m = FC.fit(fr.select("split", F.col("xf").alias("x"), F.col("yn").alias("y")), "linear", (0.1, 1.0, 10.0), A=2)
-    if m is None:
-        return spark.createDataFrame([], METRICS_SCHEMA + ", lambda double")
-    coef = FC.coefficient_table(spark, "t2v", m["weights"])
-    test = fr.where(F.col("split") == "test").select("segment", "ts", "y", "mean", "std", F.col("xf").alias("x"))
-    pred = FC.predict(test, coef).withColumn("yhat", F.transform("yhat", lambda v: v * F.col("std") + F.col("mean")))
+    """Time2Vec (128 seeded periodic features of all three channels) -> RevIN -> decomposition -> weights shared by the
+    features -> denormalisation -> feature mix, fitted from one Gram pass and scored on the test windows."""
+    w = make_windows(V.wide(spark, sf), "segment", "ts", ["price", "disc"], ["qty"], WindowSpec(lag=8, ahead=2, offset=3),
+                     strategy=VIEW_STRATEGY, on_grid=True)
+    sw = scale_windows_wide(w, spark, sf)
+    k = 128
+    fr = t2v_revin_frame(sw, time2vec_weights(8, k, seed=941, channels=3), normalised=False)
+    m = FC.fit(fr, "t2v_shared", (0.1, 10.0), L=8, F_=k + 3, A=2)
+    pred = FC.predict(fr.where(F.col("split") == "test"), FC.coefficient_table(spark, "t2v", m["weights"]))
     lp = MET.long_predictions(pred.withColumn("model", F.lit("t2v")), ["model", "segment", "ts"])
     return MET.score(lp, ["model"]).withColumn("lambda", F.lit(float(m["lambda"])))
 
@@ -970,7 +1018,7 @@ WIDE_DS = DatasetSpec(path="", target=("qty",), date="ts", features=("price", "d
     "SELECT segment, split, count(*) AS n_windows, min(ts) AS first_ts, max(ts) AS last_ts FROM s GROUP BY 1, 2", "WIDE"))
 def q_prepare_dataset(spark, sf):
     """Whole dataset flow on the 3-channel daily lineitem series, standard-scaled on train rows."""
-    ds = prepare_dataset(spark, WIDE_DS, D6_SPEC, source=V.wide(spark, sf), normalization="standard", strategy=VIEW_STRATEGY)
+    ds = prepare_dataset(spark, WIDE_DS, D6_SPEC, source=V.wide(spark, sf), normalization="standard", strategy=VIEW_STRATEGY, on_grid=True)
     return (ds.windows.groupBy("segment", "split")
             .agg(F.count(F.lit(1)).alias("n_windows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
 
@@ -979,28 +1027,21 @@ def q_prepare_dataset(spark, sf):
 def q_zero_shot_experiment(spark, sf):
     """Target: hourly event means; source: daily lineitem quantities; every kind + ensemble."""
     h = prepare_dataset(spark, DatasetSpec(path="", target=("value",), date="ts", segment="segment", name="H5", granularity=60),
-                        ZS_SPEC_H, source=V.h5(spark, sf), normalization="standard", strategy=VIEW_STRATEGY)
+                        ZS_SPEC_H, source=V.h5(spark, sf), normalization="standard", strategy=VIEW_STRATEGY, on_grid=True)
     d = prepare_dataset(spark, DatasetSpec(path="", target=("qty",), date="ts", segment="segment", name="D6"),
-                        ZS_SPEC, source=V.d6(spark, sf), normalization="standard", strategy=VIEW_STRATEGY,
-                        skip_test=True)   # a source: its test windows are not used
-    try:
-        return run_zero_shot(spark, h, [d])
-    except ValueError:
-        return spark.createDataFrame([], METRICS_SCHEMA)
+                        ZS_SPEC, source=V.d6(spark, sf), normalization="standard", strategy=VIEW_STRATEGY, on_grid=True)
+    return run_zero_shot(spark, h, [d])
 
 
 def _d6_prepared(spark, sf):
     return prepare_dataset(spark, DatasetSpec(path="", target=("qty",), date="ts", segment="segment", name="D6"),
-                           ZS_SPEC, source=V.d6(spark, sf), normalization="standard", strategy=VIEW_STRATEGY)
+                           ZS_SPEC, source=V.d6(spark, sf), normalization="standard", strategy=VIEW_STRATEGY, on_grid=True)
 
 
 @register("single_dataset_experiment", None)
 def q_single_dataset_experiment(spark, sf):
     """Fit every kind on the daily lineitem series' own train/val windows, score its test windows."""
-    try:
-        return run_single(spark, _d6_prepared(spark, sf))
-    except ValueError:
-        return spark.createDataFrame([], METRICS_SCHEMA)
+    return run_single(spark, _d6_prepared(spark, sf))
 
 
 @register("stored_model_eval", None)
@@ -1008,23 +1049,121 @@ def q_stored_model_eval(spark, sf):
     """Fit on daily lineitem series, store the coefficients, reload them and score the hourly
     event series (an unseen dataset) with its own scaler."""
     path = scratch_path(spark, "zs-models")
-    try:
-        run_single(spark, _d6_prepared(spark, sf), model_path=path)
-    except ValueError:
-        return spark.createDataFrame([], METRICS_SCHEMA)
+    run_single(spark, _d6_prepared(spark, sf), model_path=path)
     h = prepare_dataset(spark, DatasetSpec(path="", target=("value",), date="ts", segment="segment", name="H5", granularity=60),
-                        ZS_SPEC_H, source=V.h5(spark, sf), normalization="standard", strategy=VIEW_STRATEGY)
+                        ZS_SPEC_H, source=V.h5(spark, sf), normalization="standard", strategy=VIEW_STRATEGY, on_grid=True)
     return evaluate_stored(spark, h, path)
 
 
+# ---------------------------------------------------------------- true timestamps
+RAW_SPEC = WindowSpec(lag=2, ahead=1, offset=1, minutes=60)
+
+# The reference's rows: the series joined with its grid (from its first timestamp, to the microsecond), in time order.
+_RAW_SQL = (
+    "WITH b AS (SELECT event_type AS segment, min(ts) AS lo, max(ts) AS hi FROM events GROUP BY 1), "
+    "g AS (SELECT segment, UNNEST(generate_series(lo, hi, INTERVAL 60 MINUTE)) AS ts FROM b), "
+    "d AS (SELECT coalesce(e.event_type, g.segment) AS segment, coalesce(e.ts, g.ts) AS ts, e.value FROM events e "
+    "FULL OUTER JOIN g ON e.event_type = g.segment AND e.ts = g.ts), "
+    "l AS (SELECT segment, ts, value, lag(value, 1) OVER k AS l1, lag(value, 2) OVER k AS l2 FROM d WINDOW k AS (PARTITION BY segment ORDER BY ts)), "
+    "w AS (SELECT segment, ts, [l2, l1] AS x, [value] AS y FROM l WHERE value IS NOT NULL AND l1 IS NOT NULL AND l2 IS NOT NULL) "
+    + SQL_EXPLODE_XY.format(k="segment, "))
+
+
+def _raw_query(strategy):
+    def q(spark, sf):
+        ev = V.table(spark, sf, "events").select(F.col("event_type").alias("segment"), "ts", "value")
+        return explode_xy(make_windows(ev, "segment", "ts", ["value"], ["value"], RAW_SPEC, strategy=strategy, chunk_steps=64), ["segment"])
+    return q
+
+
+for _s in ("range", "halo", "dense", "dense_halo"):
+    register(f"raw_windows_{_s}", _RAW_SQL)(_raw_query(_s))
+
+
+@register("lag_windows_offset", with_views(
+    f", w AS ({O.windows_cte('D6', ['segment'], 'ts', ['qty'], ['qty'], 4, 3, 3, 1440)})\n" + SQL_EXPLODE_XY.format(k="segment, "), "D6"))
+def q_lag_windows_offset(spark, sf):
+    """An offset below ahead is raised to it, so inputs and labels never overlap."""
+    spec = WindowSpec(lag=4, ahead=3, offset=1, minutes=1440)
+    return explode_xy(make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], spec, strategy=VIEW_STRATEGY, on_grid=True), ["segment"])
+
+
+@register("lag_windows_targets", with_views(
+    f", w AS ({O.windows_cte('WIDE', ['segment'], 'ts', ['price', 'qty', 'disc'], ['qty', 'disc'], 3, 2, 2, 1440)}) "
+    "SELECT segment, ts, UNNEST(range(len(y))) AS pos, round(UNNEST(y), 6) AS value FROM w", "WIDE"))
+def q_lag_windows_targets(spark, sf):
+    """Labels of two targets over two steps, step-major."""
+    spec = WindowSpec(lag=3, ahead=2, offset=2, minutes=1440)
+    w = make_windows(V.wide(spark, sf), "segment", "ts", ["price"], ["qty", "disc"], spec, strategy=VIEW_STRATEGY, on_grid=True)
+    z = w.select("segment", "ts", F.posexplode("y").alias("pos", "value"))
+    return z.select("segment", "ts", F.col("pos").cast("long").alias("pos"), rnd("value").alias("value"))
+
+
+@register("metrics_digits", with_views(_PRED_SQL + _metric_sql() + "SELECT model, round_even(mae, 2) AS mae, round_even(rmse, 2) AS rmse, "
+                                       "round_even(r2, 2) AS r2 FROM pooled JOIN r2 USING (model)", "D6"))
+def q_metrics_digits(spark, sf):
+    return MET.score(naive_predictions(spark, sf), ["model"], metrics=("mae", "rmse", "r2"), digits=2)
+
+
+@register("shrink_applied", "SELECT CAST(l_linenumber AS TINYINT) AS l_linenumber, round(CAST(l_quantity AS FLOAT)::DOUBLE, 4) AS l_quantity, "
+          "l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2, 3")
+def q_shrink_applied(spark, sf):
+    """Columns cast to their narrowest types, then used."""
+    d = shrink_types(V.table(spark, sf, "lineitem").select("l_linenumber", "l_quantity", "l_returnflag"))
+    g = d.groupBy("l_linenumber", "l_quantity", "l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    return g.select("l_linenumber", rnd(F.col("l_quantity").cast("double"), 4).alias("l_quantity"), "l_returnflag", "n")
+
+
+@register("combination_series", with_views(
+    ", c AS (SELECT * FROM (VALUES (0, 'qty', 'price'), (1, 'qty', 'disc'), (2, 'price', 'disc')) v(combination, a, b)) "
+    "SELECT CAST(combination AS INTEGER) AS combination, segment, ts, "
+    "round(CASE a WHEN 'qty' THEN qty ELSE price END, 6) AS c0, round(CASE b WHEN 'price' THEN price ELSE disc END, 6) AS c1 FROM WIDE, c", "WIDE"))
+def q_combination_series(spark, sf):
+    """A two-channel series per feature combination."""
+    s = combination_series(V.wide(spark, sf), "segment", "ts", WIDE_CH, 2)
+    return s.select("combination", "segment", "ts", rnd(F.col("channels")[0]).alias("c0"), rnd(F.col("channels")[1]).alias("c1"))
+
+
+LAG2_SPEC = WindowSpec(lag=2, ahead=1, offset=1, minutes=1440)
+LAG2_LAMBDAS = (0.0, 100.0, 10000.0)
+
+
+def _lag2_sql():
+    lam = ", ".join(f"({v!r})" for v in LAG2_LAMBDAS)
+    return with_views(
+        f", s AS ({O.split_cte(O.windows_cte('D6', ['segment'], 'ts', ['qty'], ['qty'], 2, 1, 1, 1440), ['segment'], 'ts')}), "
+        "t AS (SELECT split, x[1] AS a, x[2] AS b, y[1] AS y FROM s), "
+        "m AS (SELECT count(*) AS n, avg(a) AS ma, avg(b) AS mb, avg(y) AS my, var_pop(a) * count(*) AS aa, var_pop(b) * count(*) AS bb, "
+        "covar_pop(a, b) * count(*) AS ab, covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS bye, "
+        "var_pop(a - b) * count(*) AS dd, covar_pop(a - b, y - b) * count(*) AS dy FROM t WHERE split = 'train'), "
+        f"l AS (SELECT CAST(col0 AS DOUBLE) AS strength FROM (VALUES {lam}) v), "
+        "f AS (SELECT 'linear' AS model, strength, ((bb + strength) * ay - ab * bye) / ((aa + strength) * (bb + strength) - ab * ab) AS w0, "
+        "((aa + strength) * bye - ab * ay) / ((aa + strength) * (bb + strength) - ab * ab) AS w1, ma, mb, my, n FROM m, l UNION ALL "
+        "SELECT 'nlinear', strength, dy / (dd + strength), 1 - dy / (dd + strength), ma, mb, my, n FROM m, l), "
+        "g AS (SELECT model, strength, w0, w1, my - w0 * ma - w1 * mb AS b0, n FROM f) "
+        "SELECT model, strength AS \"lambda\", round(w0, 6) AS w0, round(w1, 6) AS w1, round(b0, 4) AS bias, n AS n_train, "
+        "round((SELECT avg(pow(t.y - g.w0 * t.a - g.w1 * t.b - g.b0, 2)) FROM t WHERE split = 'val'), 2) AS val_mse FROM g", "D6")
+
+
+@register("fit_lag2", _lag2_sql())
+def q_fit_lag2(spark, sf):
+    """Ridge fits of two input steps for every strength, against their closed forms."""
+    w = make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], LAG2_SPEC, strategy=VIEW_STRATEGY, on_grid=True)
+    mats = FC.split_grams(chrono_split(w, "segment", (0.7, 0.1, 0.2))[0], n_terms=4)
+    rows = [(kind, c["lambda"], *map(float, c["weights"][:, 0]), int(round(c["n_train"])), c["val_mse"])
+            for kind in ("linear", "nlinear") for c in FC.ridge_path(mats, kind, LAG2_LAMBDAS, 2, 1, 1)]
+    df = spark.createDataFrame(rows, "model string, lambda double, w0 double, w1 double, bias double, n_train long, val_mse double")
+    return df.select("model", "lambda", rnd("w0").alias("w0"), rnd("w1").alias("w1"), rnd("bias", 4).alias("bias"), "n_train", rnd("val_mse", 2).alias("val_mse"))
+
+
 # ---------------------------------------------------------------- off-grid alignment
 ALIGN_SPEC = WindowSpec(lag=4, ahead=1, offset=1, minutes=60)
 
 
 @register("lag_windows_aligned", with_views(
-    ", ev AS (SELECT event_type AS segment, ts, value, CAST(floor(epoch(ts) / 60) AS BIGINT) AS m FROM events), "
+    ", ev AS (SELECT event_type AS segment, ts, value, epoch_us(ts) AS m FROM events), "
     "lo AS (SELECT segment, min(m) AS m_lo FROM ev GROUP BY 1), "
-    "al AS (SELECT ev.segment, TIMESTAMP '1970-01-01 00:00:00' + to_minutes(ev.m - ((ev.m - lo.m_lo) % 60)) AS ts, "
+    "al AS (SELECT ev.segment, make_timestamp(ev.m - ((ev.m - lo.m_lo) % 3600000000)) AS ts, "
     "arg_max(ev.value, ev.ts) AS value FROM ev JOIN lo USING (segment) GROUP BY 1, 2), "
     f"w AS ({O.windows_cte('al', ['segment'], 'ts', ['value'], ['value'], 4, 1, 1, 60)}) "
     + SQL_EXPLODE_XY.format(k="segment, ")))
@@ -1040,7 +1179,6 @@ def q_lag_windows_aligned(spark, sf):
 def q_metrics_scaled(spark, sf):
     """Naive models run on standard-scaled windows and are scored after inverse scaling with the
     training scaler (both models commute with affine maps, so the metrics equal the raw ones)."""
-    from laglake.plans.experiment import scale_windows
     st = d6_train_stats(spark, sf, "standard")
     t = scale_windows(d6_split_windows(spark, sf).where(F.col("split") == "test"), st, ["qty"], ["qty"], "standard")
     last = t.select("segment", "ts", "y", F.lit("last").alias("model"),
@@ -1070,7 +1208,7 @@ def q_zero_shot_ar1(spark, sf):
     if m is None:
         return spark.createDataFrame([], METRICS_SCHEMA)
     coef = FC.coefficient_table(spark, "linear", m["weights"])
-    w = make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], AR1_SPEC, strategy=VIEW_STRATEGY)
+    w = make_windows(V.d6(spark, sf), "segment", "ts", ["qty"], ["qty"], AR1_SPEC, strategy=VIEW_STRATEGY, on_grid=True)
     acc, _ = chrono_split(w, "segment", (0.7, 0.1, 0.2))
     pred = FC.predict(acc.where(F.col("split") == "test"), coef).withColumn("model", F.lit("linear"))
     sc = MET.score(MET.long_predictions(pred, ["model", "segment", "ts"]), ["model"])
@@ -1110,11 +1248,11 @@ def q_ridge_path_ar1(spark, sf):
 def q_fit_shared_multi(spark, sf):
     """3-channel daily windows (price, discount, quantity -> quantity): per-channel ("individual")
     and shared-weight linear models fitted from one Gram pass, compared on validation MSE."""
-    w = make_windows(V.wide(spark, sf), "segment", "ts", ["price", "disc"], ["qty"], WIDE_SPEC, strategy=VIEW_STRATEGY)
+    w = make_windows(V.wide(spark, sf), "segment", "ts", ["price", "disc"], ["qty"], WIDE_SPEC, strategy=VIEW_STRATEGY, on_grid=True)
     acc, _ = chrono_split(w, "segment", (0.7, 0.1, 0.2))
     mats = FC.split_grams(acc, n_terms=4 * 3 + 1 + 1)
     rows = []
-    for kind in ("linear", FC.SHARED):
+    for kind in ("linear", *FC.SHARED_KINDS[:3]):
         m = FC.fit(kind=kind, lambdas=(0.0, 1.0, 100.0), L=4, F_=3, A=1, mats=mats)
         if m is not None:
             rows.append((kind, float(m["lambda"]), float(m["val_mse"]), int(round(m["n_train"]))))
@@ -1130,15 +1268,17 @@ _GRAM_SQL = with_views(
     "FROM zz, range(11) a(i), range(11) b(j) WHERE j >= i GROUP BY 1, 2, 3", "D6")
 
 
-def _gram_query(engine):
-    def q(spark, sf):
-        g = gram(d6_split_windows(spark, sf), "split", engine=engine)
-        return g.select(F.col("grp").alias("split"), "i", "j", rnd("v").alias("v"))
-    return q
+@register("gram_moments", _GRAM_SQL)
+def q_gram_moments(spark, sf):
+    g = gram(d6_split_windows(spark, sf), "split")
+    return g.select(F.col("grp").alias("split"), "i", "j", rnd("v").alias("v"))
 
 
-register("gram_moments", _GRAM_SQL)(_gram_query("sql"))
-register("gram_moments_arrow", _GRAM_SQL)(_gram_query("arrow"))
+@register("gram_moments_arrow", _GRAM_SQL)
+def q_gram_moments_arrow(spark, sf):
+    """The same from halo windows, which arrive in chunks."""
+    g = gram(d6_split_windows(spark, sf, "halo"), "split")
+    return g.select(F.col("grp").alias("split"), "i", "j", rnd("v").alias("v"))
 
 
 # ---------------------------------------------------------------- Time2Vec + RevIN feature map (pandas path) with an SQL twin

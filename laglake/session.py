@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -52,9 +53,13 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared checkpoint folder; create a private one only when unset (tests)."""
+    """Use the cluster's shared checkpoint folder; create a private one only in local mode (tests). Elsewhere
+    executors couldn't read each other's files there, so an unset folder raises."""
     d = checkpoint_dir(spark)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not re.match(r"local(\[[^\]]*\])?$", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master or 'the cluster'} share")
         d = tempfile.mkdtemp(prefix="laglake-ckpt-")
         try:
             spark.sparkContext.setCheckpointDir(d)
@@ -72,7 +77,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint directory for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/laglake/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{base}/laglake/{_run_name(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def _run_name(spark: SparkSession) -> str:
+    return re.sub(r"[^A-Za-z0-9_.-]", "-", spark.conf.get("spark.app.id", "run"))
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove the intermediate tables this application wrote; call it once their results are consumed."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/laglake/{_run_name(spark)}")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df, name: str = "state"):

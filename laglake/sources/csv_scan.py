@@ -1,13 +1,19 @@
-"""Delimited-text series source: many files under a folder, header / separator options,
-schema inference (or an explicit schema), and the file stem as an optional column."""
+"""Delimited-text series source: many files under a folder, matched by the names in their headers, with types
+that hold for every value, and the file stem as an optional column."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from laglake.functions.timecols import strftime_to_spark
+from laglake.operators.common import qc
 from laglake.spec import DatasetSpec
 
+CORRUPT = "__unreadable_line"
+_DATE_LIKE = r"^\s*\d{4}-\d{1,2}-\d{1,2}"
+
 
 def file_stem(col: str = "_metadata.file_name") -> F.Column:
     """Name before the last dot; all-digit stems are normalised as integers (``012`` -> ``12``),
@@ -17,56 +23,118 @@ def file_stem(col: str = "_metadata.file_name") -> F.Column:
     return F.when(stem.rlike("^[0-9]+$"), stem.try_cast("bigint").cast("string")).otherwise(stem)
 
 
-def _reader(spark: SparkSession, spec: DatasetSpec):
-    r = (spark.read.option("header", spec.has_header).option("sep", spec.delimiter)
-         .option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{spec.extension}")
-         .option("mode", "PERMISSIVE"))
-    return r.option("timestampFormat", spec.time_format) if spec.time_format else r
+def _files(spark: SparkSession, spec: DatasetSpec):
+    return spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{spec.extension}")
 
 
-def infer_schema(spark: SparkSession, spec: DatasetSpec, rows: int = 10_000):
-    """Infer column types from the first ``rows`` data lines of the input (header lines of further
-    files are skipped), so inference costs a bounded read instead of a pass over every file."""
-    text = (spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{spec.extension}")
-            .text(spec.path))
-    first = text.limit(1).collect()
-    if not first:
-        raise FileNotFoundError(f"no {spec.extension} file under {spec.path}")
-    head = text.limit(rows + 1)
-    lines = head.rdd.map(lambda r: r.value)
-    if spec.has_header:
-        header = first[0].value
-        lines = spark.sparkContext.parallelize([header], 1).union(lines.filter(lambda v: v != header))
-    r = (spark.read.option("header", spec.has_header).option("sep", spec.delimiter).option("inferSchema", "true"))
+def _parsed_time(c: Column, spec: DatasetSpec) -> Column:
     if spec.time_format:
-        r = r.option("timestampFormat", spec.time_format)
-    return r.csv(lines).schema
+        fmt = strftime_to_spark(spec.time_format) if "%" in spec.time_format else spec.time_format
+        return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+    return F.when(c.rlike(_DATE_LIKE), c.try_cast("timestamp_ntz"))
 
 
-def read_series(spark: SparkSession, spec: DatasetSpec, schema=None, infer_rows: int | None = 10_000) -> DataFrame:
-    """Read every ``*<extension>`` file below ``spec.path`` (recursively) into one DataFrame.
+def header_groups(spark: SparkSession, spec: DatasetSpec) -> dict[str, list[str]]:
+    """Header line -> files that begin with it. The first line of a file is the first row of the split at byte 0,
+    found by one aggregate; one row per file reaches the driver, as many as it lists anyway."""
+    lines = _files(spark, spec).text(spec.path).select(
+        F.col("_metadata.file_path").alias("file"), "value", F.col("_metadata.file_block_start").alias("at"))
+    first = (lines.where("at = 0").withColumn("id", F.monotonically_increasing_id())
+             .groupBy("file").agg(F.min_by("value", "id").alias("header")).collect())
+    groups: dict[str, list[str]] = {}
+    for r in sorted(first, key=lambda r: r["file"]):
+        groups.setdefault(r["header"], []).append(r["file"])
+    return groups
+
 
-    Types come from ``schema`` when given, else from the first ``infer_rows`` lines (like the
-    reference's 10 000-row inference), else (``infer_rows=None``) from a full inference pass.
-    Raises when no file matches."""
-    r = _reader(spark, spec)
-    if schema is None and infer_rows:
-        try:
-            schema = infer_schema(spark, spec, infer_rows)
-        except FileNotFoundError:
-            raise
-        except Exception:  # noqa: BLE001 - no RDD API (remote session): fall back to full inference
-            schema = None
-    if schema is not None:
-        r = r.schema(schema)
-    else:
-        r = r.option("inferSchema", "true")
-    df = r.csv(spec.path)
-    if not df.columns:
+def read_text_columns(spark: SparkSession, spec: DatasetSpec) -> DataFrame:
+    """All files as string columns matched by header name, with ``CORRUPT`` holding lines whose number of fields differs
+    from their header's. Files whose headers differ only in column order are one table; files with other columns raise."""
+    groups = header_groups(spark, spec) if spec.has_header else {"": [spec.path]}
+    if not groups:
         raise FileNotFoundError(f"no {spec.extension} file under {spec.path}")
-    if spec.file_name_as_feature:
-        df = df.withColumn(spec.file_name_as_feature, file_stem())
-    return df
+    parts = []
+    for files in groups.values():
+        r = spark.read.option("header", spec.has_header).option("sep", spec.delimiter)
+        if not spec.has_header:
+            r = r.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{spec.extension}")
+        names = r.csv(files).columns
+        if not names:
+            raise FileNotFoundError(f"no {spec.extension} file under {spec.path}")
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
+        df = r.option("enforceSchema", "false" if spec.has_header else "true").option("columnNameOfCorruptRecord", CORRUPT).schema(schema).csv(files)
+        if spec.file_name_as_feature:
+            df = df.withColumn(spec.file_name_as_feature, file_stem())
+        parts.append(df)
+    out = parts[0]
+    for p in parts[1:]:
+        if set(p.columns) != set(out.columns):
+            raise ValueError(f"files under {spec.path} have different columns: {sorted(set(p.columns) ^ set(out.columns))}")
+        out = out.unionByName(p)
+    return out
+
+
+def _candidates(spec: DatasetSpec):
+    """(type name, conversion) from the narrowest on; text fits everything."""
+    return [("bigint", lambda c: c.try_cast("bigint")), ("double", lambda c: c.try_cast("double")),
+            ("timestamp_ntz", lambda c: _parsed_time(c, spec)), ("boolean", lambda c: F.when(F.lower(c).isin("true", "false"), F.lower(c).try_cast("boolean")))]
+
+
+def infer_types(df: DataFrame, spec: DatasetSpec, columns) -> dict[str, str]:
+    """The narrowest type that every value of a column has, from one aggregate over all rows. Raises if a line
+    doesn't have its header's number of fields."""
+    kinds = _candidates(spec)
+    aggs = [F.count(CORRUPT).alias("bad")]
+    for i, c in enumerate(columns):
+        aggs += [F.count(qc(c)).alias(f"n{i}"), *[F.count(f(qc(c))).alias(f"k{i}_{k}") for k, (_, f) in enumerate(kinds)]]
+    r = df.agg(*aggs).first()
+    if r["bad"]:
+        raise ValueError(f"{r['bad']} lines under {spec.path} don't have their header's number of fields")
+    out = {}
+    for i, c in enumerate(columns):
+        out[c] = next((name for k, (name, _) in enumerate(kinds) if r[f"n{i}"] and r[f"k{i}_{k}"] == r[f"n{i}"]), "string")
+    return out
+
+
+def _converted(c: Column, kind: T.DataType, spec: DatasetSpec) -> Column:
+    if isinstance(kind, T.StringType):
+        return c
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) and spec.time_format:
+        return _parsed_time(c, spec).cast(kind)
+    return c.try_cast(kind)
+
+
+def read_series(spark: SparkSession, spec: DatasetSpec, schema=None, on_bad: str = "raise") -> DataFrame:
+    """Read every ``*<extension>`` file below ``spec.path`` (recursively) into one DataFrame.
+
+    Columns are matched by header name, whatever their order in a file. Without ``schema``, a column gets the
+    narrowest of bigint, double, timestamp_ntz, boolean and string that all its values have, so no value is lost.
+    With ``schema``, values that don't have the stated type, and lines of another number of fields, raise (counted in
+    one pass) or, with ``on_bad='null'``, become NULL. Raises when no file matches."""
+    text = read_text_columns(spark, spec)
+    stem = spec.file_name_as_feature
+    columns = [c for c in text.columns if c not in (CORRUPT, stem)]
+    if schema is None:
+        types = infer_types(text, spec, columns)
+        kinds = {c: T._parse_datatype_string(t) if t != "timestamp_ntz" else T.TimestampNTZType() for c, t in types.items()}
+        out = text.select(*[_parsed_time(qc(c), spec).alias(c) if isinstance(kinds[c], T.TimestampNTZType) else _converted(qc(c), kinds[c], spec).alias(c)
+                            for c in columns], *([qc(stem)] if stem else []))
+        return out
+    if isinstance(schema, str):
+        schema = T._parse_datatype_string(schema)
+    if not spec.has_header:
+        text = text.toDF(*[schema.names[columns.index(c)] if c in columns else c for c in text.columns])
+        columns = schema.names
+    missing = [f.name for f in schema if f.name not in columns and f.name != stem]
+    if missing:
+        raise ValueError(f"no column {missing} in the files under {spec.path}")
+    fields = [f for f in schema if f.name != stem]
+    if on_bad == "raise":
+        bad = text.agg(F.count(CORRUPT), *[F.count_if(qc(f.name).isNotNull() & _converted(qc(f.name), f.dataType, spec).isNull()) for f in fields]).first()
+        if any(bad):
+            raise ValueError(f"unreadable under {spec.path}: {bad[0]} lines, values by column "
+                             f"{ {f.name: n for f, n in zip(fields, bad[1:], strict=True) if n} }")
+    return text.select(*[_converted(qc(f.name), f.dataType, spec).alias(f.name) for f in fields], *([qc(stem)] if stem else []))
 
 
 def write_series_csv(df: DataFrame, path: str, partition_cols=None, mode: str = "overwrite") -> str:

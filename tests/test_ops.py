@@ -17,7 +17,8 @@ from laglake.operators.prepare import dedupe_key, drop_incomplete, prepare, shri
 from laglake.operators.quantiles import exact_quantiles
 from laglake.operators.scale import apply_scaler, fit_scaler
 from laglake.sources.csv_scan import read_series
-from laglake.spec import DatasetSpec, StripTime
+from laglake.operators.windows import make_windows
+from laglake.spec import DatasetSpec, StripTime, WindowSpec
 
 T0 = dt.datetime(2024, 3, 1)
 
@@ -72,7 +73,7 @@ def test_exact_quantiles_narrowing(spark):
     vals = np.round(rng.lognormal(3, 1, 20000), 2)
     df = spark.createDataFrame([("g", float(v)) for v in vals] + [("h", float(v)) for v in vals[:7]], "k string, v double")
     out = {r["k"]: r for r in exact_quantiles(df, "k", "v", {"median": "median", "q25": 0.25, "q75": 0.75, "q99": 0.99},
-                                              accuracy=200, max_candidates=100).collect()}
+                                              bins=16).collect()}
     for k, data in (("g", vals), ("h", vals[:7])):
         s = sorted(data.tolist())
         assert out[k]["median"] == pytest.approx(float(np.median(data)))
@@ -245,16 +246,17 @@ def test_scaled_windows_equal_windows_of_scaled_series(spark):
             assert t1 == t2 and np.allclose(x1, x2) and np.allclose(y1, y2)
 
 
-def test_gram_engines_agree(spark):
-    from laglake.operators.moments import gram, gram_matrices
+def test_gram_equals_numpy(spark):
+    from laglake.operators.moments import gram, gram_matrices, gram_rows
     rng = np.random.default_rng(9)
     X, Y = rng.normal(size=(200, 5)), rng.normal(size=(200, 2))
-    df = _windows_df(spark, X, Y, ["train"] * 150 + ["val"] * 50)
-    a = gram_matrices(gram(df, "split", engine="sql"))
-    b = gram_matrices(gram(df, "split", engine="arrow"))
+    df = _windows_df(spark, X, Y, ["train"] * 150 + ["val"] * 50).repartition(7)
+    a = gram_matrices(gram_rows(df, "split"))
     Z = np.hstack([X, np.ones((200, 1)), Y])
     for k, sl in (("train", slice(0, 150)), ("val", slice(150, 200))):
-        assert np.allclose(a[k], b[k]) and np.allclose(a[k], Z[sl].T @ Z[sl])
+        assert np.allclose(a[k], Z[sl].T @ Z[sl])
+    long = gram(df, "split").collect()
+    assert len(long) == 2 * 36 and all(np.isclose(a[r["grp"]][r["i"], r["j"]], r["v"]) for r in long)
 
 
 def test_cli_end_to_end(spark):
@@ -298,10 +300,9 @@ def test_metric_and_registry_errors(spark):
         MET.nql(1.5)
     with pytest.raises(ValueError):
         apply_activation("relu", F.col("x"))
-    from laglake.operators.moments import MAX_TERMS, gram_matrices
-    big = spark.createDataFrame([("train", MAX_TERMS + 100, 0, 1.0)], "grp string, i int, j int, v double")
+    from laglake.operators.moments import MAX_TERMS, gram_rows
     with pytest.raises(ValueError):
-        gram_matrices(big)
+        gram_rows(_windows_df(spark, np.ones((2, 3)), np.ones((2, 1)), ["train", "val"]), n_terms=MAX_TERMS + 1)
 
 
 def test_last_value_roundtrip_and_cluster_conf(spark):
@@ -341,7 +342,7 @@ def test_zero_shot_flow_matches_numpy(spark):
     tgt_df = spark.createDataFrame(ar_rows("t", 2, 150), "segment string, ts timestamp_ntz, v double")
     ws = WindowSpec(lag=2, ahead=1, offset=1)
     spec = lambda name: DatasetSpec(path="", target=("v",), date="ts", segment="segment", name=name)
-    src = prepare_dataset(spark, spec("src"), ws, source=src_df, strategy="range", skip_test=True)
+    src = prepare_dataset(spark, spec("src"), ws, source=src_df, strategy="range")
     tgt = prepare_dataset(spark, spec("tgt"), ws, source=tgt_df, strategy="range")
     res = {r["model"]: r for r in run_zero_shot(spark, tgt, [src], kinds=("linear",), lambdas=(0.0,)).collect()}
     # numpy: fit on the source's train windows, score the target's test windows
@@ -464,3 +465,191 @@ def test_case_parquet_and_json_sink(spark):
     write_table(cases, os.path.join(d, "cases.json"), fmt="json", single_file=True)
     back = spark.read.schema(cases.schema).json(os.path.join(d, "cases.json"))
     assert sorted(tuple(r) for r in back.collect()) == [(1, 8), (2, 16)]
+
+
+def _csv(folder, name, text):
+    with open(os.path.join(folder, name), "w") as fh:
+        fh.write(text)
+
+
+def test_csv_types_hold_for_all_rows_and_headers_match(spark):
+    d = tempfile.mkdtemp(prefix="laglake-csv-")
+    _csv(d, "007.csv", "date,lo,hi\n" + "".join(f"{T0 + dt.timedelta(hours=h)},{h},{h + 1}\n" for h in range(10_500)) + "2030-01-01,5.5,7\n")
+    _csv(d, "b.csv", "date,hi,lo\n2031-01-01,100,1\n")
+    spec = DatasetSpec(path=d, target=("lo",), date="date", features=("hi",), file_name_as_feature="st")
+    df = read_series(spark, spec)
+    assert dict(df.dtypes) == {"date": "timestamp_ntz", "lo": "double", "hi": "bigint", "st": "string"}
+    assert df.where("lo is null or hi is null or date is null").count() == 0 and df.count() == 10_502
+    assert [(r.lo, r.hi, r.st) for r in df.where("hi = 100 and lo = 1").collect()] == [(1.0, 100, "b")]
+    assert df.where("st = '7'").count() == 10_501
+    schema = "date timestamp_ntz, lo bigint, hi bigint"
+    with pytest.raises(ValueError, match="lo"):
+        read_series(spark, spec, schema)
+    assert read_series(spark, spec, schema, on_bad="null").where("lo is null").count() == 1
+    _csv(d, "c.csv", "date,hi,lo\n2031-01-02,1\n")
+    with pytest.raises(ValueError, match="1 lines"):
+        read_series(spark, spec)
+    _csv(d, "c.csv", "date,hi,other\n2031-01-02,1,2\n")
+    with pytest.raises(ValueError, match="columns"):
+        read_series(spark, spec)
+
+
+def test_unread_dates_are_dropped_and_listed(spark):
+    from laglake.operators.prepare import unread_dates
+    df = spark.createDataFrame([("2024-01-01", 1.0), ("soon", 2.0), ("later", 3.0), (None, 4.0)], "d string, v double")
+    spec = DatasetSpec(path="", target=("v",), date="d")
+    assert [r.v for r in prepare(df, spec).collect()] == [1.0]
+    assert {r.d for r in unread_dates(df, spec).collect()} == {"soon", "later"}
+
+
+def test_quantiles_of_ties_and_odd_values(spark):
+    rng = np.random.default_rng(0)
+    data = {"tied": rng.choice([1.0, 2.0, 3.0], 4000).tolist(), "steep": [2.0 ** -k for k in range(900)], "one": [5.0],
+            "wide": [-1.7e308, 1.7e308, 0.0, -0.0, 1e-300], "open": [float("inf"), float("-inf"), 0.0, 1.0], "nan": [float("nan"), 1.0, float("nan")]}
+    rows = [(k, v) for k, some in data.items() for v in some] + [("tied", None)]
+    got = {r["k.x"]: r for r in exact_quantiles(spark.createDataFrame(rows, "`k.x` string, `v.y` double").repartition(5), "k.x", "v.y",
+                                                {"q1": 0.25, "q9": 0.9}, bins=64).collect()}
+    for k, some in data.items():
+        s = sorted(some, key=lambda v: (v != v, v))
+        assert got[k]["n"] == len(s)
+        for name, q in (("q1", 0.25), ("q9", 0.9)):
+            assert got[k][name] == _nearest(s, q) or got[k][name] != got[k][name] and _nearest(s, q) != _nearest(s, q)
+
+
+def test_dotted_names(spark):
+    from laglake.operators.expand import univariate_unpivot
+    from laglake.operators.grid import fill_date, fill_gaps
+    from laglake.operators.prepare import shrink_types
+    from laglake.operators.scale import apply_scaler, fit_scaler
+    df = spark.createDataFrame([("a", T0 + dt.timedelta(days=i), float(i)) for i in (0, 1, 3)], "`s.e` string, `d.t` timestamp_ntz, `max. PAR` double")
+    assert dict(shrink_types(df).dtypes)["max. PAR"] == "float"
+    assert univariate_unpivot(df, "s.e", "d.t", ["max. PAR"]).count() == 3
+    st = fit_scaler(df, ["max. PAR"], "minmax")
+    assert sorted(r["max. PAR"] for r in apply_scaler(df, st, ["max. PAR"], "minmax").collect()) == [0.0, pytest.approx(1 / 3), 1.0]
+    plain = df.withColumnsRenamed({"s.e": "s", "d.t": "t"})
+    dense = fill_date(plain, "s", "t", 1440)
+    for how, value in (("forward", 1.0), ("backward", 3.0), ("max", 3.0)):
+        out = {r["t"]: r["max. PAR"] for r in fill_gaps(dense, "s", "t", ["max. PAR"], how).collect()}
+        assert out[T0 + dt.timedelta(days=2)] == value
+
+
+@pytest.mark.parametrize("kind", ["linear", "nlinear", "dlinear"])
+def test_shared_fits_recover_their_model(spark, kind):
+    from laglake.operators import forecast as FC
+    from laglake.operators.moments import gram_matrices, gram_rows
+    rng = np.random.default_rng(4)
+    L, C, A, n = 8, 3, 2, 600
+    D, carry = FC.channel_map(kind, L)
+    w, v, beta = rng.normal(size=(len(D), A)), np.array([0.5, -1.0, 1.5]), np.array([2.0, -1.0])
+    X = rng.normal(size=(n, L, C)) + 5
+    Y = np.einsum("nlc,lhc->nh", X, (D.T @ w + carry[:, None])[:, :, None] * v) + beta
+    S = gram_matrices(gram_rows(_windows_df(spark, X.reshape(n, -1), Y, ["train"] * n)))["train"]
+    W = FC.fit_shared(S, L, C, A, kind=kind)
+    assert np.abs(np.hstack([X.reshape(n, -1), np.ones((n, 1))]) @ W - Y).max() < 1e-2 * Y.std()
+
+
+def test_t2v_model_equals_its_layers(spark):
+    """The Gram's linear features, with weights put through the layers one by one."""
+    from laglake.operators import forecast as FC
+    from laglake.operators.features import t2v_features, t2v_revin_frame, time2vec_weights
+    rng = np.random.default_rng(5)
+    n, L, C, k = 20, 8, 2, 3
+    X = rng.normal(size=(n, L, C))
+    wt = time2vec_weights(L, k, channels=C)
+    df = spark.createDataFrame([(i, X[i].tolist(), [0.0]) for i in range(n)], "segment long, x array<array<double>>, y array<double>")
+    fr = {r.segment: np.array(r.x) for r in t2v_revin_frame(df, wt, keep=("segment",), normalised=False).collect()}
+    D, carry = FC.channel_map("t2v", L)
+    w, v, b = rng.normal(size=2 * L), rng.normal(size=k + C), 0.7
+    row = np.concatenate([w, [b]]) @ D + carry
+    K = FC.ma_matrix(L, FC.decomposition_kernel(L))
+    f = t2v_features(X, wt)
+    mu, sd = f.mean(axis=1, keepdims=True), np.sqrt(f.var(axis=1, keepdims=True) + 1e-5)
+    z = (f - mu) / sd
+    layers = np.einsum("l,nlc->nc", w[:L], z - np.einsum("tl,nlc->ntc", K, z)) + np.einsum("l,nlc->nc", w[L:], np.einsum("tl,nlc->ntc", K, z)) + b
+    want = (layers * sd[:, 0] + mu[:, 0]) @ v
+    got = [fr[i].reshape(L + 2, k + C) for i in range(n)]
+    assert np.allclose([row @ g @ v for g in got], want)
+
+
+def test_moving_average_and_revin_take_linear_time_forms(spark):
+    from laglake.functions import sequence as S
+    rng = np.random.default_rng(1)
+    X = [rng.normal(size=m) * 10 + 1e6 for m in (1, 5, 9, 30)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)] + [(9, None), (10, [])], "i int, x array<double>")
+    for k in (1, 3, 25):
+        out = {r.i: r for r in df.select("i", S.decompose("x", k).alias("d"), S.moving_average("x", k).alias("m")).collect()}
+        for i, x in enumerate(X):
+            p = (k - 1) // 2
+            pad = np.concatenate([[x[0]] * p, x, [x[-1]] * p])
+            want = np.array([pad[j:j + k].mean() for j in range(len(x))])
+            assert np.allclose(out[i].m, want, rtol=1e-12) and np.allclose(out[i].d.trend, want, rtol=1e-12)
+            assert np.allclose(np.array(out[i].d.seasonal) + want, x)
+        assert out[10].m == [] and (out[9].m is None)
+
+
+def test_model_versions_are_replaced(spark):
+    from laglake.operators import forecast as FC
+    path = tempfile.mkdtemp(prefix="laglake-models-") + "/m"
+    w = np.array([[2.0], [1.0]])
+    for factor, version in ((1, 1), (3, 1), (5, 2)):
+        FC.save_model(FC.coefficient_table(spark, "linear", factor * w, version), path)
+    df = spark.createDataFrame([([10.0],)], "x array<double>")
+    assert FC.predict(df, FC.load_model(spark, path, "linear", 1)).first().yhat == [63.0]
+    assert FC.predict(df, FC.load_model(spark, path, "linear")).first().yhat == [105.0]
+
+
+def test_flows_with_any_date_name_and_single_series(spark):
+    from laglake.plans.experiment import evaluate_stored, prepare_dataset, run_single, run_zero_shot
+    rng = np.random.default_rng(6)
+    walk = np.cumsum(rng.normal(size=160)).tolist()
+    many = spark.createDataFrame([(s, T0 + dt.timedelta(days=i), walk[i] * (s + 1)) for s in (0, 1) for i in range(160)], "st int, `Date Time` timestamp_ntz, v double")
+    ws = WindowSpec(lag=2)
+    spec = DatasetSpec(path="", target=("v",), date="Date Time", segment="st", name="many")
+    ds = prepare_dataset(spark, spec, ws, source=many, normalization="standard", strategy="range")
+    path = tempfile.mkdtemp(prefix="laglake-models-")
+    a = {r.model: r.asDict() for r in run_single(spark, ds, model_path=path).collect()}
+    b = {r.model: r.asDict() for r in evaluate_stored(spark, ds, path).collect()}
+    assert a.keys() == b.keys() and "Ensemble" in a and all(abs(a[m]["mse"] - b[m]["mse"]) < 1e-9 for m in a)
+    best = min(a[m]["mae"] for m in a if m != "Ensemble")
+    assert a["Ensemble"]["mae"] < 3 * best
+    import dataclasses
+    assert run_zero_shot(spark, ds, [dataclasses.replace(ds, name="other")]).count() == 4
+    one = many.where("st = 0").select("Date Time", "v")
+    single = prepare_dataset(spark, DatasetSpec(path="", target=("v",), date="Date Time", name="one"), ws, source=one, normalization="standard")
+    n = 158
+    counts = {r.split: r["count"] for r in single.raw.groupBy("split").count().collect()}
+    assert counts == {"train": math.ceil(n * 0.7), "val": int(n * (0.7 + 0.1)) - math.ceil(n * 0.7), "test": 160 - int(n * (0.7 + 0.1))}
+
+
+def test_strategies_agree_off_the_minute_and_duplicates_raise(spark):
+    base = dt.datetime(2024, 1, 1, 0, 0, 30, 250_000)
+    rows = [("a", base + dt.timedelta(hours=i), float(i)) for i in range(20) if i != 7]
+    jitter = [("b", base + dt.timedelta(hours=i, seconds=20 * (i % 3)), float(i)) for i in range(20)]
+    spec = WindowSpec(lag=3, minutes=60)
+    for data, n in ((rows, 13), (jitter, None), (rows + jitter, None)):
+        df = spark.createDataFrame(data, "s string, t timestamp_ntz, v double")
+        got = [sorted((r.s, r.t, tuple(r.x), tuple(r.y)) for r in make_windows(df, "s", "t", ["v"], ["v"], spec, strategy=how, chunk_steps=4).collect())
+               for how in ("range", "halo", "dense", "dense_halo", "auto")]
+        assert all(g == got[0] for g in got) and (n is None or len(got[0]) == n)
+    again = spark.createDataFrame(rows + [("a", rows[3][1], 99.0)], "s string, t timestamp_ntz, v double")
+    for how in ("range", "halo", "dense", "dense_halo"):
+        with pytest.raises(Exception, match="same key and timestamp"):
+            make_windows(again, "s", "t", ["v"], ["v"], spec, strategy=how).collect()
+
+
+def test_checkpoint_folder_is_needed_on_a_cluster(spark):
+    from laglake import session
+
+    class Other:
+        conf = type("C", (), {"get": staticmethod(lambda k, d=None: "spark://host" if k == "spark.master" else d)})()
+        sparkContext = None
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Other())
+
+
+def test_clear_scratch(spark):
+    from laglake import session
+    df = session.materialize(spark.range(3), "gone")
+    path = df.inputFiles()[0].removeprefix("file://")
+    assert os.path.exists(path)

@@ -165,15 +165,12 @@ def test_lag_columns_strategies(spark):
     assert rows[5] == (day(6), 6.0, 5.0, 4.0)
 
 
-def test_p10_skip_test_keeps_first_ten(spark):
-    from laglake.operators.assemble import assemble_zero_shot, truncate_test
+def test_assembly_keeps_the_target_test_and_source_train(spark):
+    from laglake.operators.assemble import assemble_zero_shot
     t = series(spark, [("a", day(i), float(i)) for i in range(1, 40)]).withColumn("split", F.lit("test")) \
         .withColumn("x", F.array(F.col("v"))).withColumn("y", F.array(F.col("v")))
     src = t.withColumn("split", F.when(F.col("v") < 20, "train").otherwise("test"))
-    cut = truncate_test(src, 10)
-    assert cut.where(F.col("split") == "train").count() == 19
-    assert sorted(r["ts"] for r in cut.where(F.col("split") == "test").collect()) == [day(i) for i in range(20, 30)]
-    a = assemble_zero_shot(t, {"src": cut})
+    a = assemble_zero_shot(t, {"src": src})
     assert a.where(F.col("dataset") == "target").count() == 39   # the target's test set stays whole
     assert a.where(F.col("dataset") == "src").count() == 19
     with pytest.raises(ValueError):
