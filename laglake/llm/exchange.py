@@ -26,13 +26,23 @@ ASK = "bucket long, block long, kind int, keys binary, facts binary"
 ANSWER = "block long, bucket long, kind int, facts binary"
 
 
+def planes(values: np.ndarray) -> bytes:
+    """The values' first bytes, then their second bytes and so on: runs of equal bytes, which shuffles compress well."""
+    return np.ascontiguousarray(values).view(np.uint8).reshape(len(values), -1).T.tobytes() if len(values) else b""
+
+
+def values_of(data: bytes, kind) -> np.ndarray:
+    kind = np.dtype(kind)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).view(kind).ravel()
+
+
 def sent(keys: np.ndarray, drop: int = 0) -> bytes:
     """Rising uint64 keys as bytes: one for the width, then the differences."""
     if not len(keys):
         return b""
     step = np.diff(keys >> np.uint64(drop), prepend=np.uint64(0))
     width = max(1, (int(step.max()).bit_length() + 7) // 8)
-    return bytes([width]) + step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    return bytes([width]) + step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 
 def received(data: bytes) -> np.ndarray:
@@ -41,7 +51,7 @@ def received(data: bytes) -> np.ndarray:
         return np.empty(0, np.uint64)
     width = data[0]
     raw = np.zeros(((len(data) - 1) // width, 8), np.uint8)
-    raw[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(-1, width)
+    raw[:, :width] = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1).T
     return np.cumsum(raw.view("<u8").ravel(), dtype=np.uint64)
 
 
@@ -78,7 +88,7 @@ def slices(keys: np.ndarray, buckets: int) -> list[slice]:
 
 def asks(block: int, kind: int, keys: np.ndarray, facts: np.ndarray, buckets: int, drop: int = 0, empty: bool = False) -> list[tuple]:
     """Rows of ``ASK`` of one block; with ``empty``, buckets without a key get a row too."""
-    return [(i, block, kind, sent(keys[s], drop), facts[s].tobytes()) for i, s in enumerate(slices(keys, buckets)) if empty or s.stop > s.start]
+    return [(i, block, kind, sent(keys[s], drop), planes(facts[s])) for i, s in enumerate(slices(keys, buckets)) if empty or s.stop > s.start]
 
 
 def ask_table(rows: list[tuple]) -> pa.Table:
@@ -93,13 +103,13 @@ def answered(ask: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarra
     front of every reply of the bucket."""
     def run(t: pa.Table) -> pa.Table:
         lists = [received(k) for k in t["keys"].to_pylist()]
-        facts = [np.frombuffer(f, fact) for f in t["facts"].to_pylist()]
+        facts = [values_of(f, fact) for f in t["facts"].to_pylist()]
         n = [len(x) for x in lists]
         keys, which = np.unique(np.concatenate(lists), return_inverse=True)
         out = answer(which, np.concatenate(facts), np.repeat(t["block"].to_numpy(), n))
         front = prefix(keys, which, np.concatenate(facts)) if prefix else b""
         parts = np.split(out, np.cumsum(n)[:-1])
-        return pa.table({"block": t["block"], "bucket": t["bucket"], "kind": t["kind"], "facts": pa.array([front + p.tobytes() for p in parts], pa.binary())})
+        return pa.table({"block": t["block"], "bucket": t["bucket"], "kind": t["kind"], "facts": pa.array([front + planes(p) for p in parts], pa.binary())})
 
     return ask.groupBy("bucket", "kind").applyInArrow(run, ANSWER)
 
@@ -107,5 +117,5 @@ def answered(ask: DataFrame, answer: Callable[[np.ndarray, np.ndarray, np.ndarra
 def replies(t: pa.Table, fact: str, kind: int = 0, front: int = 0) -> tuple[np.ndarray, list[bytes]]:
     """A block's answers of a kind in the order of its rising keys, and the replies' first ``front`` bytes."""
     rows = sorted((r for r in t.to_pylist() if r["kind"] == kind), key=lambda r: r["bucket"])
-    parts = [np.frombuffer(r["facts"], fact, offset=front) for r in rows]
+    parts = [values_of(r["facts"][front:], fact) for r in rows]
     return (np.concatenate(parts) if parts else np.empty(0, fact)), [r["facts"][:front] for r in rows]
