@@ -51,13 +51,13 @@ def gram_rows(windows: DataFrame, group: str | None = "split", x: str = "x", y:
             yield pd.DataFrame({"grp": grp, "i": np.arange(len(s), dtype=np.int32), "part": np.int32(part), "v": [s[i, i:] for i in range(len(s))]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        one = pdf.iloc[:1].copy()
-        one["v"] = [np.sum(np.vstack(pdf["v"].to_numpy()), axis=0)]
-        return one
+        rows = [(some["grp"].iloc[0], i, some["part"].iloc[0], np.sum(np.vstack(some["v"].to_numpy()), axis=0)) for i, some in pdf.groupby("i")]
+        return pd.DataFrame(rows, columns=["grp", "i", "part", "v"])
 
+    band = F.floor(F.col("i") / 64).alias("band")   # some rows of the matrix together, to have fewer groups
     parts = z.mapInPandas(fold, _ROWS)
-    parts = parts.groupBy("grp", "i", "part").applyInPandas(add, _ROWS)
-    return parts.groupBy("grp", "i").applyInPandas(add, _ROWS).drop("part")
+    parts = parts.groupBy("grp", band, "part").applyInPandas(add, _ROWS)
+    return parts.groupBy("grp", band).applyInPandas(add, _ROWS).drop("part")
 
 
 def gram(windows: DataFrame, group: str | None = "split", x: str = "x", y: str = "y", n_terms: int | None = None) -> DataFrame:
