@@ -289,7 +289,7 @@ class Known:
 def dealt(docs: DataFrame, blocks: int) -> DataFrame:
     """``docs`` with the number of their block: neighbouring ids, about as many rows each; null ids are last."""
     shares = [i / blocks for i in range(1, blocks)]
-    bounds = docs.where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", shares, 100 * blocks)).first()[0] or []
+    bounds = docs.where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * blocks))).first()[0] or []
     edges = np.unique(np.array(bounds, np.int64))
 
     @F.pandas_udf("long")
