@@ -941,6 +941,8 @@ def q_zero_shot_eval(spark, sf):
         pred = FC.predict(a.where(F.col("dataset") == "H5"), FC.coefficient_table(spark, kind, m["weights"]))
         lp = MET.long_predictions(pred.withColumn("model", F.lit(kind)), ["model", "segment", "ts"])
         rows.append(MET.score(lp, ["model"], scaler=hs.first().asDict()))
+    if not rows:
+        raise ValueError("no training windows in the source dataset")
     return union_all(rows)
 
 
@@ -961,6 +963,8 @@ def q_predict_t2v(spark, sf):
     k = 128
     fr = t2v_revin_frame(sw, time2vec_weights(8, k, seed=941, channels=3), normalised=False)
     m = FC.fit(fr, "t2v_shared", (0.1, 10.0), L=8, F_=k + 3, A=2)
+    if m is None:
+        raise ValueError("no training windows")
     pred = FC.predict(fr.where(F.col("split") == "test"), FC.coefficient_table(spark, "t2v", m["weights"]))
     lp = MET.long_predictions(pred.withColumn("model", F.lit("t2v")), ["model", "segment", "ts"])
     return MET.score(lp, ["model"]).withColumn("lambda", F.lit(float(m["lambda"])))
