@@ -57,11 +57,11 @@ def received(data: bytes) -> np.ndarray:
 
 def mixed(x: np.ndarray) -> np.ndarray:
     """A well mixed 64-bit value of each input (xor-shift and multiply rounds)."""
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> np.uint64(32))
-    x = x * np.uint64(0xD6E8FEB86659FD93)
-    return x ^ (x >> np.uint64(32))
+    x = x ^ (x >> np.uint64(32))   # a new array; the rest works in place
+    for _ in range(2):
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        x ^= x >> np.uint64(32)
+    return x
 
 
 def plan(docs: DataFrame, block_bytes: int, bucket_factor: float, bucket_bytes: int = 8 << 20, least: int = 48,

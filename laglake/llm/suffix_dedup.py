@@ -67,7 +67,10 @@ class Block:
         self.ends = np.cumsum([len(r) for r in self.raw], dtype=np.int64)
         # the prefix hash before position i is the sum of (byte + 1) * BASE^j over j < i; a substring's hash is shifted to j = 0
         self.prefix = np.zeros(n + 1, U)
-        np.cumsum((self.data.astype(U) + U(1)) * powers(BASE, n), out=self.prefix[1:])
+        self.prefix[1:] = self.data
+        self.prefix[1:] += U(1)
+        self.prefix[1:] *= powers(BASE, n)[:n]
+        np.cumsum(self.prefix[1:], out=self.prefix[1:])
         self.shift = powers(INVERSE, n + 1)
         self.anchors()
 
@@ -81,16 +84,20 @@ class Block:
         self.key, self.anchor, self.first, self.count = none.astype(U), none, none, none
         if n < self.length:
             return
-        grams = (self.prefix[self.gram:] - self.prefix[:-self.gram]) * self.shift[:n + 1 - self.gram]
+        grams = self.prefix[self.gram:] - self.prefix[:-self.gram]
+        grams *= self.shift[:n + 1 - self.gram]
         low = U((1 << 32) - 1)  # 32 bits of hash, then the position; the same in every block
-        x = (mixed(grams) & ~low) | np.arange(len(grams), dtype=U)
+        x = mixed(grams)
+        x &= ~low
+        x |= np.arange(len(grams), dtype=U)
         have = 1
         while have * 2 <= span:
             x = np.minimum(x[:-have], x[have:])
             have *= 2
         if span > have:
             x = np.minimum(x[:have - span], x[span - have:])
-        picked = (x & low).astype(np.int64)
+        x &= low
+        picked = x.view(np.int64)
         starts = np.concatenate([[0], self.ends[:-1]])
         inside = np.zeros(n + 1, np.int64)  # windows that don't leave their document
         fits = self.ends - starts >= self.length
