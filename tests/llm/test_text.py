@@ -109,6 +109,25 @@ def test_compression_bands(rng):
     assert judge(half)[7] > 0.5 * judge(half)[6] and not judge(half)[-1]
 
 
+def test_encoded_text_goes_and_prose_stays(rng):
+    bands, packer = quality_rules.Bands(), zstandard.ZstdCompressor()
+    judge = lambda t: quality_rules.judge(t, bands, packer)
+    encoded = lambda n: "\n".join(base64.b64encode(rng.randbytes(57)).decode() for _ in range(n // 77 + 1))[:n]
+    letters = {"en": "etaoinshrdlu", "fr": "esaitnruléèà", "de": "enisratdhuöß", "es": "eaosrnidlñóí"}
+    for alphabet in letters.values():
+        clean = " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(2, 9))) for _ in range(5000))
+        for n in (600, 1000, 1500, 2000, 2999, 3001, 20_000):
+            assert judge(clean[:n])[-1], n
+        assert judge(clean[:2000])[7] == 1 and judge(clean[:20_000])[8] == 0
+        for share in (0.4, 0.5, 0.6, 0.8):
+            block = int(20_000 * share)
+            mixed = judge(clean[:7000] + " " + encoded(block) + " " + clean[7000:27_000 - block - 7000])
+            assert mixed[8] >= block // 2000 - 1 and not mixed[-1], share
+    for n in (700, 1000, 1500, 2000, 3000, 30_000):
+        spaced = " ".join(base64.b64encode(rng.randbytes(6)).decode() for _ in range(n))[:n]
+        assert not judge(spaced)[5] and not judge(spaced)[-1], n
+
+
 # toxicity
 
 
