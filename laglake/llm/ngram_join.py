@@ -12,9 +12,10 @@ the result is the connected component of every document. Exact copies of a set a
    overlaps with all others are known, its own overlaps are derived from those, by the lists of the n-grams in
    which the two differ.
 4. Components of more than ``chunk_sets`` sets are dealt to chunks. Each chunk compares its own sets and a few pivots of
-   the component; then each set outside the component's largest class is compared with all chunks. Two sets
-   that are already in one class needn't be compared. No link that would join two classes is lost, no pair is
-   emitted, and a task holds a chunk and the sets that are sent to it.
+   the component; then each set outside the component's largest class is sent, as a probe, to the chunks that hold a candidate of
+   another class (``probes_of``: a common prefix n-gram, sizes and positions that could bear a link). Two sets
+   that are already in one class needn't be compared. No link that would join two classes is lost, no pair of sets is
+   emitted, and a task holds a chunk and a block of about ``2 * chunk_sets`` probes.
 
 Defined results: null and empty texts have an empty set (n_shingles 0), link with nothing and are their own
 component. Fewer words than n make one n-gram of the whole. Null ids never name a component that has another id.
@@ -23,6 +24,8 @@ Rows with equal ids get one row each. n-grams are compared by 64-bit hash, sets
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -38,6 +41,9 @@ from .graph import components
 DROP = 28  # 36 bits tell n-grams apart when they are counted: a collision only makes a count too high
 SETS = "kind int, doc_id long, n long, digest binary, tokens binary, df binary"
 STEP = np.uint64(0x9E3779B97F4A7C15)
+ENTRY = "token long, digest binary, n long, room long, band long"
+#: The counts that a byte stands for: exact below 128, then four to an octave (up to 4e11), so that common n-grams keep their order.
+LEVELS = np.concatenate([np.arange(128), np.floor(128 * 2.0 ** (np.arange(128) / 4))])
 
 
 def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
@@ -67,8 +73,13 @@ def needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def capped_sum(which: np.ndarray, facts: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-    return np.minimum(np.bincount(which, weights=facts), 255).astype(np.uint8)[which]
+def coded(counts: np.ndarray) -> np.ndarray:
+    """The byte of the largest level that isn't above each count."""
+    return (np.searchsorted(LEVELS, counts, side="right") - 1).astype(np.uint8)
+
+
+def coded_sum(which: np.ndarray, facts: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    return coded(np.bincount(which, weights=LEVELS[facts]))[which]
 
 
 class Classes:
@@ -218,6 +229,60 @@ def shared_prefixes(percent: int):
     return run
 
 
+def band_of(n: int, percent: int) -> int:
+    """Sets that link lie in the same or in adjacent bands of sizes."""
+    return int(math.log(n) / math.log(1.0001 * 100 / percent))
+
+
+def prefix_entries(percent: int):
+    """Arrow function over sets (digest, tokens, df): a row of ``ENTRY`` for each prefix n-gram that another set may hold. ``room`` is
+    the number of the set's n-grams from this one on, in the common order."""
+    def run(batches):
+        for b in batches:
+            parts = []
+            for k in range(b.num_rows):
+                s, df = np.frombuffer(b.column(1)[k].as_py(), "<u8"), np.frombuffer(b.column(2)[k].as_py(), np.uint8)
+                by = np.lexsort((s, df))[:len(s) - needed(len(s), percent) + 1]
+                place = np.flatnonzero(df[by] > 1)
+                parts.append((s[by[place]].view(np.int64), np.full(len(place), k), np.full(len(place), len(s)), len(s) - place,
+                              np.full(len(place), band_of(len(s), percent))))
+            if parts:
+                token, who, n, room, band = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(token), b.column(0).take(pa.array(who)), pa.array(n), pa.array(room), pa.array(band)],
+                                                 names=[x.split()[0] for x in ENTRY.split(", ")])
+    return run
+
+
+def probes_of(open_: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """digest, label, chunk: the chunks that hold a candidate of another class for a set outside its component's main class. ``open_``: digest, label,
+    chunk, class, main of the sets of components with several classes.
+
+    Entries of one n-gram, chunk, class and band of sizes count as one with the widest bounds, which can only add candidates.
+    Of two sets outside the main class, the one of the larger class name is the probe."""
+    entries = sets.select("digest", "tokens", "df").join(open_.select("digest"), "digest").mapInArrow(prefix_entries(percent), ENTRY)
+    entries = materialize(entries.join(open_, "digest"), "entries")
+    here = entries.groupBy("token", "band", "chunk", "class").agg(
+        F.min("n").alias("low"), F.max("n").alias("high"), F.max("room").alias("most"), F.first("main").alias("main"))
+    probe = entries.where(F.col("class") != F.col("main")).select(
+        "token", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])).alias("band"), "digest", "label", "n", "room", F.col("class").alias("own"))
+    smallest = F.greatest(100 * F.col("low"), percent * F.col("n"))   # 100 times the least size of a candidate
+    return probe.join(here, ["token", "band"]).where(
+        ((F.col("class") == F.col("main")) | (F.col("class") < F.col("own"))) & (100 * F.col("high") >= percent * F.col("n"))
+        & (100 * F.col("n") >= percent * F.col("low"))
+        & (100 * (100 + percent) * F.least("room", "most") >= percent * (100 * F.col("n") + smallest))).select("digest", "label", "chunk").distinct()
+
+
+def second_pass(open_: DataFrame, sets: DataFrame, percent: int, chunk_sets: int) -> DataFrame:
+    """label, chunk, block, digest, class, probe: each chunk's own sets with each block of its probes."""
+    sent = materialize(probes_of(open_, sets, percent), "probes")
+    per = sent.groupBy("label", "chunk").agg(F.ceil(F.count("*") / (2 * chunk_sets)).cast("long").alias("blocks"))
+    own = open_.join(per, ["label", "chunk"]).select(
+        "label", "chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "digest", "class", F.lit(False).alias("probe"))
+    probes = sent.join(per, ["label", "chunk"]).join(open_.select("digest", "class"), "digest").select(
+        "label", "chunk", F.pmod(F.xxhash64("digest", F.lit(2)), F.col("blocks")).alias("block"), "digest", "class", F.lit(True).alias("probe"))
+    return own.unionByName(probes)
+
+
 def corpus_sets(docs: DataFrame, width: int, percent: int, block_bytes: int) -> DataFrame:
     """Written ``SETS`` rows: of kind 0 for each row of ``docs``, and of kind 1 for each set that may have a link, once per block."""
     blocks, buckets = plan(docs, block_bytes, 1.0)
@@ -237,7 +302,7 @@ def corpus_sets(docs: DataFrame, width: int, percent: int, block_bytes: int) ->
 
     def ask(t: pa.Table) -> pa.Table:
         *_, keys, _, times = block_sets(t)
-        return ask_table(asks(t["block"][0].as_py(), 0, keys, np.minimum(times, 255).astype(np.uint8), buckets, DROP))
+        return ask_table(asks(t["block"][0].as_py(), 0, keys, coded(times), buckets, DROP))
 
     def tell(t: pa.Table, reply: pa.Table) -> pa.Table:
         rows = []
@@ -257,7 +322,7 @@ def corpus_sets(docs: DataFrame, width: int, percent: int, block_bytes: int) ->
             SETS.split(", "), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True))})
 
     asked = dealt.groupBy("block").applyInArrow(ask, ASK)
-    return materialize(dealt.groupBy("block").cogroup(answered(asked, capped_sum, "u1").groupBy("block")).applyInArrow(tell, SETS), "ngram-sets")
+    return materialize(dealt.groupBy("block").cogroup(answered(asked, coded_sum, "u1").groupBy("block")).applyInArrow(tell, SETS), "ngram-sets")
 
 
 def classes_of(sets: DataFrame, percent: int, chunk_sets: int, pivots: int) -> DataFrame:
@@ -289,11 +354,9 @@ def classes_of(sets: DataFrame, percent: int, chunk_sets: int, pivots: int) -> D
     main = materialize(per.groupBy("label").agg(F.max_by("class", F.struct("n", "class")).alias("main"), F.count("*").alias("kinds")).where("kinds > 1"), "main-classes")
     if main.isEmpty():
         return classes
-    open_ = state.join(main, "label")
-    own = open_.select("digest", "label", "chunk", "class", F.lit(False).alias("probe"))
-    probes = open_.where(F.col("class") != F.col("main")).join(big.select("label", "chunks"), "label").select("digest", "label", every, "class", F.lit(True).alias("probe"))
-    again = own.unionByName(probes).join(member.select("digest", "tokens", "df"), "digest")
-    more = again.select(cols).groupBy("label", "chunk").applyInArrow(compared(percent), "a binary, b binary")
+    open_ = materialize(state.join(main.select("label", "main"), "label"), "open-members")
+    again = second_pass(open_, member, percent, chunk_sets).join(member.select("digest", "tokens", "df"), "digest")
+    more = again.groupBy("label", "chunk", "block").applyInArrow(compared(percent), "a binary, b binary")
     return components(found.unionByName(more))
 
 

@@ -97,6 +97,37 @@ def test_ngram_join_of_chains_in_chunks(spark, rng, chunk, pivots, percent):
     assert Counter(tuple(r) for r in got) == brute_components(rows, percent=percent)
 
 
+def test_ngram_join_sends_probes_only_to_candidates(spark, rng, monkeypatch):
+    """Texts of passages that each occur in a few texts: one component of shared n-grams, no main class, few links."""
+    passages = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(400)]
+    dealt = passages * 4
+    rng.shuffle(dealt)
+    rows = [(k, " ".join(dealt[5 * k:5 * k + 5])) for k in range(320)]
+    rows += [(1000 + k, rows[k][1] + f" end{k}") for k in range(0, 60, 2)]
+    whole = ngram_join.compared
+
+    def bounded(percent):
+        run = whole(percent)
+
+        def checked(t):
+            assert t.num_rows <= 90, t.num_rows
+            return run(t)
+        return checked
+
+    monkeypatch.setattr(ngram_join, "compared", bounded)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = ngram_join.ngram_join(df, chunk_sets=12, block_bytes=20_000).collect()
+    want = brute_components(rows)
+    assert Counter(tuple(r) for r in got) == want and len({c for *_, c in want}) == 320
+
+
+def test_counts_keep_their_order_above_a_byte():
+    counts = np.array([0, 1, 2, 100, 127, 300, 1000, 10_000, 10**6, 10**9])
+    got = ngram_join.coded(counts)
+    assert got[:5].tolist() == counts[:5].tolist() and (np.diff(got.astype(int)) > 0).all()
+    assert all(ngram_join.band_of(m, 80) - ngram_join.band_of(n, 80) <= 1 for n in range(1, 500) for m in range(n, n * 100 // 80 + 1))
+
+
 def test_overlaps_derived_from_a_similar_set(rng):
     universe = np.arange(400, dtype=np.uint64) * np.uint64(7919)
     sets = [np.sort(rng.choices(universe.tolist(), k=80)) for _ in range(6)]
