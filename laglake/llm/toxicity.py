@@ -15,9 +15,9 @@ a probability.
 
 Learning uses a bounded sample: at most ``rows_per_class`` labelled documents of each class, by hash of the id.
 
-Defined results: null and empty texts have no token and get the curve's value for no evidence. Without labelled
-rows of both classes every score is the smoothed share of toxic labels (0.5 without any label), capped below
-0.5 if no document is known to be toxic. A document with several labels is toxic if one says so; null labels
+Defined results: null and empty texts have no token and get the curve's value for no evidence. Unless the sampled
+labelled rows that are found in the documents have both classes, among those to learn from and among those to calibrate with, every score
+is their smoothed share of toxic ones, kept below 0.5 if these aren't the majority (so also without any). A document with several labels is toxic if one says so; null labels
 and ids are ignored in learning. Repeated rows give repeated results.
 """
 
@@ -170,14 +170,12 @@ def feature_counts(rows: DataFrame, most_of_one: int) -> DataFrame:
     return counts.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("toxic", "clean", "documents")])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, learn, s: Settings, id_col: str, text_col: str) -> DataFrame | None:
-    """label, text, fold (0..9 by hash) of the bounded sample; None if a class is missing."""
+def labelled(docs: DataFrame, labels: DataFrame, learn, s: Settings, id_col: str, text_col: str) -> DataFrame:
+    """label, text, fold (0..9 by hash) of the bounded sample, as far as ``docs`` holds it."""
     one = (labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & learn)
            .groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("label")))
     one = one.withColumn("toss", F.xxhash64("_id", F.lit("toxicity")))
     ids = [r for c in (1, 0) for r in one.where(F.col("label") == c).orderBy("toss", "_id").limit(s.rows_per_class).collect()]
-    if len({r["label"] for r in ids}) < 2:
-        return None
     spark = docs.sparkSession
     chosen = spark.createDataFrame([(r["_id"], r["label"], r["toss"] % 10) for r in ids], "_id long, label int, fold long")
     return docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("text")).join(
@@ -189,14 +187,15 @@ def learned(docs: DataFrame, labels: DataFrame, learn, settings: Settings | None
     s = settings or Settings()
     m = Model(other=s.other, most_expected=s.most_expected)
     rows = labelled(docs, labels, learn, s, id_col, text_col)
-    if rows is None:
-        n = labels.where(F.col(id_col).isNotNull() & F.col("toxic").isNotNull() & learn).agg(
-            F.count("*"), F.sum((F.col("toxic") > 0).cast("int"))).first()
-        share = ((n[1] or 0) + 1) / (n[0] + 2)
-        share = min(share, 0.49) if not n[1] else share
+    rows = rows.persist()
+    held = {(r["label"], r["late"]): r["count"] for r in rows.groupBy("label", (F.col("fold") >= 7).alias("late")).count().collect()}
+    if len(held) < 4:   # both classes, to learn from and to calibrate with
+        rows.unpersist()
+        toxic, n = sum(x for (label, _), x in held.items() if label), sum(held.values())
+        share = (toxic + 1) / (n + 2)
+        share = share if 2 * toxic > n else min(share, 0.49)
         m.curve = (math.log(share / (1 - share)), 0.0)
         return m
-    rows = rows.persist()
     counts = feature_counts(rows.where("fold < 7"), s.most_of_one).where(F.col("documents") >= s.least_documents).persist()
     all1, all0, size = counts.agg(F.sum("toxic"), F.sum("clean"), F.count("*")).first()
     if size:

@@ -190,6 +190,19 @@ def test_toxicity_of_odd_rows_and_no_labels(docs, nothing, marked):
     assert toxicity.toxicity(nothing, m).collect() == []
 
 
+def test_toxicity_of_few_or_unknown_labels(spark, marked):
+    """Too few labels, or labels of other documents, must not reject the corpus."""
+    docs, labels = marked
+    unknown = labels.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id") + 10_000)
+    toss = spark.range(500).select("id", F.pmod(F.xxhash64("id", F.lit("toxicity")), F.lit(10)).alias("fold")).where("fold < 7 AND id > 3").collect()
+    toxic, clean = [r.id for r in toss if r.id % 5 == 0], [r.id for r in toss if r.id % 5]
+    table = lambda t, c: spark.createDataFrame([(i, 1) for i in toxic[:t]] + [(i, 0) for i in clean[:c]], "doc_id long, toxic int")
+    for few, share in ((unknown, 0.49), (table(2, 2), 0.49), (table(1, 3), 1 / 3), (table(3, 1), 2 / 3)):
+        m = toxicity.learned(docs, few, F.lit(True))
+        assert {(round(r.score, 9), r.predicted) for r in toxicity.toxicity(docs, m).collect()} == {(round(share, 9), int(share > 0.5))}
+        assert toxicity.without_toxic(docs, m).count() == (0 if share > 0.5 else 500)
+
+
 # language
 
 
