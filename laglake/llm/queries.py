@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from . import bestfit_packing, exact_topk, language_id, lm_scoring, mix_sources, ngram_join, quality_rules, suffix_dedup, toxicity, warc
+from . import (
+    bestfit_packing, exact_topk, language_id, lm_scoring, mix_sources, ngram_join, periodic_runs, prefix_trie, quality_rules, suffix_dedup, toxicity,
+    warc, wrappers,
+)
 
 QUERIES = {
     "op1_exact_topk": (exact_topk.op1_exact_topk, exact_topk.SQL),
@@ -15,4 +18,7 @@ QUERIES = {
     "op8_warc": (warc.op8_warc, warc.SQL),
     "op9_ngram_jaccard_join": (ngram_join.op9_ngram_jaccard_join, ngram_join.SQL),
     "op10_quality_rules": (quality_rules.op10_quality_rules, None),
+    "op11_wrappers": (wrappers.op11_wrappers, wrappers.SQL),
+    "op12_periodic_runs": (periodic_runs.op12_periodic_runs, None),
+    "op13_prefix_trie": (prefix_trie.op13_prefix_trie, prefix_trie.SQL),
 }
