@@ -87,9 +87,11 @@ def segments(at: Iterable[int], gains: Iterable[float], other: float) -> list[tu
     """All maximal scoring segments as (first token, last token + 1, score). ``at`` holds the rising positions of
     tokens that don't score ``other`` (< 0), ``gains`` their scores; the scan is linear in their number.
 
-    Kept is a list of candidates with the running sum left of each (low) and at its end (high). A new one is
-    merged with the nearest candidate of a lower low whose high is less than its own high, and so on."""
-    found: list[tuple[int, int, float, float]] = []
+    Kept is a list of candidates with the running sum left of each (low) and at its end (high), and a link to the nearest
+    earlier candidate of a lower low. A new one follows the links to the nearest candidate of a lower low; if that one's high is
+    less than its own, both become one, which goes on from that candidate's link. Candidates that a link leaves out are
+    never looked at again, so the scan is linear however the sums fall."""
+    found: list[tuple[int, int, float, float, int]] = []
     total, last = 0.0, 0
     for p, g in zip(at, gains, strict=True):
         total += other * (p - last)
@@ -97,17 +99,17 @@ def segments(at: Iterable[int], gains: Iterable[float], other: float) -> list[tu
         low, total = total, total + g
         if g <= 0:
             continue
-        first = p
+        first, j = p, len(found) - 1
         while True:
-            j = len(found) - 1
             while j >= 0 and found[j][2] >= low:
-                j -= 1
+                j = found[j][4]
             if j < 0 or found[j][3] >= total:
-                found.append((first, p + 1, low, total))
+                found.append((first, p + 1, low, total, j))
                 break
-            first, low = found[j][0], found[j][2]
+            first, low, k = found[j][0], found[j][2], found[j][4]
             del found[j:]
-    return [(a, b, high - low) for a, b, low, high in found]
+            j = k
+    return [(a, b, high - low) for a, b, low, high, _ in found]
 
 
 def scan(text: str | None, m: Model, memo: Memo) -> tuple[int, list[tuple[int, int, float]]]:
