@@ -85,7 +85,8 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, size: int) -> np.ndarray
     A step takes the emptiest bin that isn't settled (fill a) and looks, over all items t of other bins (fill b), for the best
     net transfer d out of it: an item s against t (d = s - t), a pair against t, or s alone into free
     space (t = 0). It must fit (d <= size - b) and raise the squares (b - a + d > 0); among those the
-    largest gain 2 d (b - a + d) is made. A bin without one is settled until a bin that it could use changes."""
+    largest gain 2 d (b - a + d) is made. A bin without one is settled. When all are, those are taken up again that a bin changed
+    since could help, and are held against the changed bins only. Every step raises the sum, so the search ends."""
     if not len(lengths):
         return bins
     fill = np.bincount(bins, weights=lengths).astype(np.int64)
@@ -93,12 +94,19 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, size: int) -> np.ndarray
     for i, b in enumerate(bins.tolist()):
         member[b].append(i)
     settled = fill >= size
+    step, changed, seen = 0, np.zeros(len(fill), np.int64), np.full(len(fill), -1)   # a bin has been held against all changes before ``seen``
     while True:
         alive = np.flatnonzero(~settled & (fill > 0))
         if not len(alive):
-            return bins
+            open_ = (fill < size) & (fill > 0)
+            newest = int(changed[open_].max(initial=-1))
+            again = open_ & (seen < newest)
+            if not again.any():
+                return bins
+            settled[again] = False
+            continue
         a = int(alive[np.argmin(fill[alive])])
-        roomy = np.flatnonzero((fill < size) & (fill > 0))
+        roomy = np.flatnonzero((fill < size) & (fill > 0) & (changed > seen[a]))
         roomy = roomy[roomy != a]
         mine = member[a]
         own: dict[int, tuple[int, ...]] = {}
@@ -114,13 +122,16 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, size: int) -> np.ndarray
         for s, what in own.items():
             d = s - gives
             gain = np.where((d > 0) & (d <= gap) & (lead + d > 0), d * (lead + d), 0)
+            if len(what) == 2:
+                gain[len(items):] = 0   # one move at a time into free space
             k = int(np.argmax(gain)) if len(gain) else -1
-            if k >= 0 and gain[k] > top and not (len(what) == 2 and gives[k] == 0):
+            if k >= 0 and gain[k] > top:
                 top, pick = int(gain[k]), (what, k, int(d[k]))
         if pick is None:
-            settled[a] = True
+            settled[a], seen[a] = True, step
             continue
         what, k, d = pick
+        step += 1
         b = int(there[k])
         back = [int(items[k])] if k < len(items) else []
         for i in what:
@@ -133,7 +144,9 @@ def local_search(lengths: np.ndarray, bins: np.ndarray, size: int) -> np.ndarray
             bins[i] = a
         fill[a] -= d
         fill[b] += d
-        settled[a], settled[b] = False, settled[b] or fill[b] >= size
+        changed[a] = changed[b] = step
+        seen[a] = seen[b] = -1
+        settled[a], settled[b] = False, fill[b] >= size
 
 
 def packed_group(size: int):
