@@ -39,6 +39,14 @@ def _array(values, kind: pa.DataType) -> pa.Array:
     return values.cast(kind) if isinstance(values, pa.Array) else pa.array(values, type=kind)
 
 
+def fresh(name: str, taken) -> str:
+    """``name``, with underscores behind it until no column has it (Spark's names don't tell upper from lower case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def crc_mod(column: str, by: int):
     """``crc32`` of the id as text, modulo ``by``; the learn / hold-out split of the classifiers."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % by

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_SQL, table
+from .common import WORD_SQL, fresh, table
 
 WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
@@ -58,28 +58,27 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_rate: int = M
 
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, max_rate: int = MAX_RATE, seed: int = 7,
         broadcast_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Every input row with ``_mix``: struct(size, source_size, target, rate, copies). Copies aren't expanded."""
+    """Every input row with a last column ``_mix``: struct(size, source_size, target, rate, copies). Copies aren't expanded. If the input
+    has a column of that name, the result's name gets underscores (``fresh``); no input column is changed."""
+    found, own, name = fresh("_source_totals", docs.columns), fresh("_words", docs.columns), fresh("_mix", docs.columns)
     sizes = docs.select(F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"))
-    targets = source_targets(sizes, weights, max_rate).select(
-        F.col("source").alias("_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
+    targets = source_targets(sizes, weights, max_rate).select(F.struct("source", "source_size", "target").alias(found))
     if sizes.select("source").distinct().count() <= broadcast_rows:
         targets = F.broadcast(targets)
-    out = docs.withColumn("_size", words_in(F.col(text_col)))
-    out = out.join(targets, out[source_col].eqNullSafe(targets["_source"]), "left")
-    rate = F.when(F.col("_source_size") > 0, F.least(F.col("_target") / F.col("_source_size"), F.lit(float(max_rate)))).otherwise(0.0)
-    out = out.withColumn("_rate", rate)
-    copies = F.floor("_rate") + (coin(F.col(id_col), seed) < F.col("_rate") - F.floor("_rate")).cast("int")
-    fields = [F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"),
-              F.col("_rate").alias("rate"), copies.cast("long").alias("copies")]
-    return out.select(*docs.columns, F.struct(*fields).alias("_mix"))
+    out = docs.withColumn(own, words_in(F.col(text_col)))
+    out = out.join(targets, F.col(source_col).eqNullSafe(F.col(found)["source"]), "left")
+    size, target = F.col(found)["source_size"], F.col(found)["target"]
+    rate = F.when(size > 0, F.least(target / size, F.lit(float(max_rate)))).otherwise(0.0)
+    copies = F.floor(rate) + (coin(F.col(id_col), seed) < rate - F.floor(rate)).cast("int")
+    fields = [F.col(own).alias("size"), size.alias("source_size"), target.alias("target"), rate.alias("rate"), copies.cast("long").alias("copies")]
+    return out.select(*docs.columns, F.struct(*fields).alias(name))
 
 
 def expand(mixed: DataFrame) -> DataFrame:
     """The mixture itself: each document as often as the mix takes it, with the input's columns."""
-    keep = [c for c in mixed.columns if c != "_mix"]
-    return (mixed.where("_mix.copies > 0")
-            .withColumn("_mix", F.explode(F.array_repeat(F.lit(True), F.col("_mix.copies").cast("int"))))
-            .select(*keep))
+    *keep, name = mixed.columns
+    copies = F.array_repeat(F.lit(True), F.col(name)["copies"].cast("int"))
+    return mixed.where(F.col(name)["copies"] > 0).withColumn(name, F.explode(copies)).select(*keep)
 
 
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -373,3 +374,44 @@ def test_warc_reader_rejects_damage(spark, pages, tmp_path):
 def test_warc_of_nothing(pages, tmp_path):
     manifest = warc.write_warc(warc.marked(pages.where("false")), str(tmp_path))
     assert manifest.count() == 0 and warc.read_warc(manifest).collect() == []
+
+
+def test_segments_take_linear_time():
+    import time
+    r = random.Random(4)
+    for at, gains in ((list(range(0, 3_000_000, 30)), [5.0] * 100_000), (list(range(100_000)), [r.uniform(-1, 1) for _ in range(100_000)]),
+                      (list(range(100_000)), [1.0] * 100_000)):
+        t = time.perf_counter()
+        toxicity.segments(at, gains, -0.7)
+        assert time.perf_counter() - t < 1
+
+
+def test_search_leaves_no_open_exchange(rng):
+    """After the search, no bin has a move, exchange or two-for-one exchange that raises the squares."""
+    for n, most in ((60, 9), (120, 30), (200, 70)):
+        size = 100
+        lengths = np.sort(np.array([rng.randint(1, most) for _ in range(n)], np.int64))[::-1].copy()
+        bins = bestfit_packing.local_search(lengths, np.arange(n), size)
+        fill = np.bincount(bins, weights=lengths, minlength=n).astype(int)
+        assert fill.max() <= size
+        for a in np.flatnonzero(fill):
+            own = [int(x) for x in lengths[bins == a]]
+            sums = {*own}, {x + y for i, x in enumerate(own) for y in own[i + 1:]}
+            for b in np.flatnonzero((fill > 0) & (fill < size)):
+                if a != b and fill[a] < size:
+                    for pair in (0, 1):
+                        for s in sums[pair]:
+                            for t in [int(x) for x in lengths[bins == b]] + [0] * (1 - pair):
+                                d = s - t
+                                assert not (d > 0 and d <= size - fill[b] and fill[b] - fill[a] + d > 0)
+
+
+def test_mix_leaves_columns_of_any_name(spark):
+    names = ["_size", "_rate", "_source", "_target", "_mix", "_source_size", "_words", "_source_totals", "_MIX_"]
+    df = spark.createDataFrame([(i, f"s{i % 2}", "a b c", *range(70, 70 + len(names))) for i in range(6)],
+                               "doc_id long, source string, text string, " + ", ".join(f"`{n}` int" for n in names))
+    m = mix_sources.mix(df)
+    assert m.columns[:-1] == df.columns and m.columns[-1].lower() not in {c.lower() for c in df.columns}
+    assert {tuple(r[n] for n in names) for r in m.collect()} == {tuple(range(70, 70 + len(names)))}
+    out = mix_sources.expand(m)
+    assert out.columns == df.columns and {tuple(r[n] for n in names) for r in out.collect()} == {tuple(range(70, 70 + len(names)))}
