@@ -21,18 +21,23 @@ polynomial hashes (modulo 2^64) give the hash of any substring in constant time.
 A gram or window that millions of documents hold is one entry per block, so no task gets a hot group.
 
 Defined results: a null text is empty; a text shorter than ``length`` is only kept. Null ids come after all others; rows
-with equal ids are ordered by their text. Empty tables give no rows.
+with equal ids are ordered by their text's first 16 bytes, then by its hash. Empty tables give no rows. A document is
+never cut in two: a block is about ``block_bytes`` of text or one longer document.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from laglake.session import materialize
+
+from .common import table, text_bytes
 from .exchange import ASK, answered, ask_table, asks, mixed, plan, replies
 
 BASE = 0x9E3779B97F4A7C15 | 1
@@ -60,7 +65,8 @@ class Block:
         self.length, self.gram = length, gram
         raw = [(x or "").encode("utf-8", "surrogatepass") for x in t["text"].to_pylist()]
         ids = t["doc_id"].to_pylist()
-        self.order = sorted(range(len(raw)), key=lambda k: (ids[k] is None, ids[k] or 0, raw[k]))
+        mark = t["mark"].to_pylist() if "mark" in t.column_names else [0] * len(ids)
+        self.order = sorted(range(len(raw)), key=lambda k: (ids[k] is None, ids[k] or 0, raw[k][:16].ljust(16, b"\0"), mark[k], raw[k]))
         self.ids, self.raw = [ids[k] for k in self.order], [raw[k] for k in self.order]
         self.data = np.frombuffer(b"".join(self.raw), np.uint8)
         n = len(self.data)
@@ -293,18 +299,73 @@ class Known:
         return np.cumsum(change[:n]) > 0
 
 
-def dealt(docs: DataFrame, blocks: int) -> DataFrame:
-    """``docs`` with the number of their block: neighbouring ids, about as many rows each; null ids are last."""
-    shares = [i / blocks for i in range(1, blocks)]
-    bounds = docs.where("doc_id IS NOT NULL").agg(F.percentile_approx("doc_id", shares, max(10_000, 4 * blocks))).first()[0] or []
-    edges = np.unique(np.array(bounds, np.int64))
+KEY = ("last", "doc_id", "begin", "mark")  # the order of documents
+
+
+def with_order(rows: DataFrame) -> DataFrame:
+    """``rows`` (doc_id, text) with what orders them besides the id: nulls last, the text's first 16 bytes, its hash."""
+    return rows.select("*", F.col("doc_id").isNull().cast("int").alias("last"), F.substring(F.coalesce("text", F.lit("")).cast("binary"), 1, 16).alias("begin"),
+                       F.xxhash64("text").alias("mark"))
+
+
+def order_keys(last: np.ndarray, ids: np.ndarray, begin: list, mark: np.ndarray) -> np.ndarray:
+    """The order as byte strings that compare like it."""
+    sign = U(1 << 63)
+    out = np.zeros((len(ids), 33), np.uint8)
+    out[:, 0] = last
+    out[:, 1:9] = (ids.astype(np.int64).view(U) ^ sign).astype(">u8").view(np.uint8).reshape(-1, 8)
+    out[:, 9:25] = np.array(begin, "S16").view(np.uint8).reshape(-1, 16)
+    out[:, 25:] = (mark.astype(np.int64).view(U) ^ sign).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S33").ravel()
+
+
+def block_starts(rows: DataFrame, block_bytes: int) -> np.ndarray:
+    """Keys at which blocks of about ``block_bytes`` bytes of text start, a block ending before the document that would overfill it. Range
+    partitions of (key, bytes) cut themselves in parallel; the driver joins what is left over at their edges (one key of 33 bytes a
+    block). Repeated and null ids are cut like any others."""
+    @F.pandas_udf("binary")
+    def key(last: pd.Series, ids: pd.Series, begin: pd.Series, mark: pd.Series) -> pd.Series:
+        return pd.Series([bytes(k).ljust(33, b"\0") for k in order_keys(last.to_numpy(), ids.to_numpy(), begin.tolist(), mark.to_numpy())], dtype=object)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[bytes, int]] = []
+        for b in batches:
+            for k, n, rows_ in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                parts = max(1, min(rows_, n // block_bytes))   # equal rows fill several blocks
+                if parts == 1 and found and found[-1][1] + n <= block_bytes:
+                    found[-1] = (found[-1][0], found[-1][1] + n)
+                else:
+                    found += [(k, -(-n // parts))] * parts
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.binary()), pa.array([n for _, n in found], pa.int64())], ["key", "size"])
+
+    small = rows.select(key("last", F.coalesce("doc_id", F.lit(0)), "begin", "mark").alias("key"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"))
+    small = materialize(small.groupBy("key").agg(F.sum("size").alias("size"), F.count("size").alias("rows")), "order-keys")
+    parts = small.repartitionByRange("key").sortWithinPartitions("key").mapInArrow(cut, "key binary, size long").collect()
+    starts: list[bytes] = []
+    size = 0
+    for r in sorted(parts, key=lambda r: bytes(r["key"])):
+        k = bytes(r["key"])
+        if not starts or size + r["size"] > block_bytes:
+            starts.append(k)
+            size = 0
+        size += r["size"]
+    return np.array(starts, "S33")
+
+
+def dealt(rows: DataFrame, blocks: int) -> DataFrame:
+    """``rows`` with the number of their block: neighbouring documents, about as many bytes each."""
+    rows = with_order(rows)
+    starts = block_starts(rows, max(1, -(-text_bytes(rows) // blocks)))
 
     @F.pandas_udf("long")
-    def block(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(edges, ids.to_numpy(), side="left"))
-
-    last = F.lit(int(np.iinfo(np.int64).max))
-    return docs.withColumn("block", block(F.coalesce("doc_id", last))).repartition(blocks, "block")
+    def block(last: pd.Series, ids: pd.Series, begin: pd.Series, mark: pd.Series, share: pd.Series) -> pd.Series:
+        keys = order_keys(last.to_numpy(), ids.to_numpy(), begin.tolist(), mark.to_numpy())
+        high = np.searchsorted(starts, keys, side="right") - 1
+        first = np.minimum(np.searchsorted(starts, keys), high)   # equal rows may fill several blocks: any of them
+        return pd.Series(np.maximum(0, first + (share.to_numpy() * (high - first + 1)).astype(np.int64)))
+
+    numbered = rows.withColumn("block", block("last", F.coalesce("doc_id", F.lit(0)), "begin", "mark", F.rand(5)))
+    return numbered.drop("last", "begin").repartition(max(1, len(starts)), "block")
 
 
 def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes: int = 2 << 20, id_col: str = "doc_id", text_col: str = "text",

@@ -1,6 +1,7 @@
 """Passage dedup, n-gram join and top-k against brute force."""
 
 import hashlib
+import random
 from collections import Counter
 
 import numpy as np
@@ -186,3 +187,25 @@ def test_topk_of_huge_components_is_exact():
 def test_empty_tables(nothing):
     assert suffix_dedup.suffix_dedup(nothing).collect() == []
     assert ngram_join.ngram_join(nothing).collect() == []
+
+
+def test_passage_blocks_hold_like_amounts(spark):
+    """Long texts in a row, null ids, one repeated id and equal rows without an id are all dealt by bytes."""
+    r = random.Random(2)
+    word = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    same = word(20_000)
+    rows = [(i, word(40_000 if i < 96 else 20)) for i in range(960)] + [(None, word(9_000)) for _ in range(200)] + [(7, word(9_000)) for _ in range(200)]
+    rows += [(None, same)] * 100
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = suffix_dedup.dealt(df, 48).collect()
+    size, low = Counter(), {}
+    for x in got:
+        size[x.block] += len(x.text)
+    total = sum(size.values())
+    assert total == sum(len(t) for _, t in rows) and max(size.values()) <= 2 * total / 48 + 40_000
+    # blocks follow the order of documents
+    for x in got:
+        k = (x.doc_id is None, x.doc_id or 0, x.text[:16])
+        low[x.block] = (min(low.get(x.block, (k, k))[0], k), max(low.get(x.block, (k, k))[1], k))
+    spans = [low[b] for b in sorted(low)]
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
