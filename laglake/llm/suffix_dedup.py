@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from laglake.session import materialize
 
 from .common import table, text_bytes
-from .exchange import ASK, answered, ask_table, asks, mixed, plan, replies
+from .exchange import ASK, answered, ask_table, asks, distinct, mixed, plan, replies
 
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
@@ -211,17 +211,37 @@ def repeats(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     left = np.flatnonzero(~later)
     _, gram, times = np.unique(b.key[left], return_inverse=True, return_counts=True)
     many = left[times[gram] > 1]
-    if not len(many):
-        none = np.empty(0, np.int64)
-        return later, none, none, none.astype(bool)
+    many = many[np.lexsort((b.first[many], b.key[many]))]
+    parts = []
+    for s in windows_at_once(b.key[many], b.count[many]):
+        parts.append(sorted_windows(b, many[s]))
+    if not parts:
+        return later, np.empty(0, np.int32), np.empty(0, np.int32), np.empty(0, bool)
+    return later, *[np.concatenate(x) for x in zip(*parts, strict=True)]
+
+
+def windows_at_once(key: np.ndarray, count: np.ndarray, most: int = 200_000) -> list[slice]:
+    """Slices of the ranges (sorted by gram) that hold whole grams, and at most about ``most`` windows unless one gram has more: what the
+    sort needs beside the result is bounded by a slice."""
+    ends = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [True]])) + 1 if len(key) else np.empty(0, np.int64)
+    total = np.concatenate([[0], np.cumsum(count)])
+    out, at = [], 0
+    for end, more in zip(ends.tolist(), np.append(ends, -1)[1:].tolist(), strict=True):
+        if more < 0 or total[more] - total[at] > most:
+            out.append(slice(at, end))
+            at = end
+    return out
+
+
+def sorted_windows(b: Block, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The windows of some grams' ranges, sorted as suffixes within (gram, offset): range, position, and whether it is a later copy."""
     rng = np.repeat(many, b.count[many])
     at = b.first[rng] + np.arange(len(rng)) - np.repeat(np.cumsum(b.count[many]) - b.count[many], b.count[many])
     offset = b.anchor[rng] - at
     by = np.lexsort((at, offset, b.key[rng]))
     rng, at = rng[by], at[by]
     key, offset = b.key[rng], offset[by]
-    new = np.concatenate([[True], (key[1:] != key[:-1]) | (offset[1:] != offset[:-1])])
-    bucket = np.cumsum(new)
+    bucket = np.cumsum(np.concatenate([[True], (key[1:] != key[:-1]) | (offset[1:] != offset[:-1])]))
     order = suffix_sort(b, at, bucket)
     rng, at, bucket = rng[order], at[order], bucket[order]
     near = np.flatnonzero(bucket[1:] == bucket[:-1])
@@ -231,7 +251,7 @@ def repeats(b: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         equal = extension(b, x, y) >= b.length
         near, x, y = near[equal], x[equal], y[equal]
         copy[near[same_bytes(b.data, x, y, np.full(len(x), b.length, np.int64))] + 1] = True
-    return later, rng, at, copy
+    return rng.astype(np.int32), at.astype(np.int32), copy
 
 
 GRAM_FACT = "<u4"  # the upper bits of the only range's hash; 0: several ranges
@@ -386,7 +406,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, gram: int = 32, block_bytes
         if not t.num_rows:
             return ask_table([])
         k = Known(Block(t, length, gram))
-        keys = np.unique(k.open_windows(replies(reply, "u1")[0])[1])
+        keys = distinct(k.open_windows(replies(reply, "u1")[0])[1])
         return ask_table(asks(t["block"][0].as_py(), 1, keys, np.zeros(len(keys), np.uint8), buckets))
 
     def finish(t: pa.Table, reply: pa.Table) -> pa.Table:
