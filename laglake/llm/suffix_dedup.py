@@ -117,7 +117,8 @@ class Block:
         self.first = at[new]
         self.anchor = picked[self.first]
         self.count = np.diff(np.concatenate([np.flatnonzero(new), [len(at)]]))
-        self.key = mixed(grams[self.anchor])
+        # anchors have the smallest of their windows' hashes; mixed once more, they spread over all buckets
+        self.key = mixed(mixed(grams[self.anchor]) ^ U(BASE))
 
     def ranges(self) -> np.ndarray:
         """A hash of each range: its bytes and where the anchor is in it."""

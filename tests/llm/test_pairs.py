@@ -209,3 +209,13 @@ def test_passage_blocks_hold_like_amounts(spark):
         low[x.block] = (min(low.get(x.block, (k, k))[0], k), max(low.get(x.block, (k, k))[1], k))
     spans = [low[b] for b in sorted(low)]
     assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_gram_keys_spread_over_all_buckets(rng):
+    import pyarrow as pa
+
+    from laglake.llm.exchange import slices
+    text = "".join(rng.choice("abcdefgh ") for _ in range(200_000))
+    b = suffix_dedup.Block(pa.table({"doc_id": [1], "text": [text]}), 100, 32)
+    sizes = [s.stop - s.start for s in slices(np.unique(b.key), 16)]
+    assert max(sizes) < 2 * sum(sizes) / 16
