@@ -23,6 +23,8 @@ from laglake.operators.moments import gram_matrices, gram_rows
 KINDS = ("linear", "nlinear", "dlinear")
 SHARED_KINDS = ("linear_shared", "nlinear_shared", "dlinear_shared", "t2v_shared")
 SHARED = SHARED_KINDS[0]
+#: An input whose variance is below this share of its mean square is the same in every window (rounding apart).
+CONSTANT = 1e-13
 
 
 def ma_matrix(L: int, k: int) -> np.ndarray:
@@ -68,16 +70,21 @@ def basis(kind: str, L: int, F_: int, A: int, last_channel: int | None = None) -
 
 def solve(S: np.ndarray, n_feat: int, lam: float) -> np.ndarray:
     """Ridge solution W ((n_feat+1) x A) of the transformed Gram; the intercept is not penalised. Inputs and labels are
-    centred from the Gram's own sums first, which leaves the solution alone but not the square of the raw level in
-    the condition number."""
+    centred from the Gram's own sums first, and inputs are brought to one scale, which leaves the solution alone but not the raw
+    levels and units in the condition number. An input that is the same in every window gets weight 0."""
     p, n = n_feat + 1, S[n_feat, n_feat]
     if n <= 0:
         return np.zeros((p, S.shape[0] - p))
     mx, my = S[:n_feat, n_feat] / n, S[n_feat, p:] / n
     A_ = S[:n_feat, :n_feat] - n * np.outer(mx, mx)
     B_ = S[:n_feat, p:] - n * np.outer(mx, my)
+    varies = np.diagonal(A_) > CONSTANT * np.diagonal(S)[:n_feat]
     A_[np.arange(n_feat), np.arange(n_feat)] += lam
-    W = np.linalg.lstsq(A_, B_, rcond=None)[0]
+    W = np.zeros((n_feat, S.shape[0] - p))
+    if varies.any():
+        scale = np.sqrt(np.diagonal(A_)[varies])
+        some = A_[np.ix_(varies, varies)] / np.outer(scale, scale)
+        W[varies] = np.linalg.lstsq(some, B_[varies] / scale[:, None], rcond=None)[0] / scale[:, None]
     return np.vstack([W, my - mx @ W])
 
 
@@ -115,6 +122,8 @@ def fit(split_windows: DataFrame | None = None, kind: str = "linear", lambdas=(0
         return None   # no training window
     P = mats["train"].shape[0] - 1 - A
     L = L or P // F_
+    if len(lambdas) > 1 and not ("val" in mats and mats["val"][P, P] > 0):
+        raise ValueError("no validation windows to choose among several lambdas; pass a single one")
     best = None
     for cand in ridge_path(mats, kind, lambdas, L, F_, A, last_channel):
         if best is None or cand["val_mse"] < best["val_mse"]:
@@ -147,6 +156,29 @@ def ridge_path(mats: dict, kind: str, lambdas, L: int, F_: int, A: int, last_cha
     return out
 
 
+def sub_gram(S: np.ndarray, keep: list[int], L: int, F_: int) -> np.ndarray:
+    """The Gram matrix of windows that have only the channels ``keep`` of F."""
+    P = L * F_
+    at = [t * F_ + c for t in range(L) for c in keep]
+    at += range(P, len(S))
+    return S[np.ix_(at, at)]
+
+
+def fit_combinations(mats: dict, features, targets, k: int, L: int, A: int, kind: str = "linear", lambdas=(0.0,)) -> dict[tuple, dict]:
+    """A model for every k of the features (with the targets, which are the last channels), all from the Gram matrices of the
+    windows with all channels: each is solved from its own rows and columns, so no series is expanded and no data are read again.
+    Returns the chosen members -> the result of ``fit``; its weights are on [vec(x), 1] of members and targets."""
+    from itertools import combinations
+    features, targets = list(features), list(targets)
+    own = [len(features) + i for i in range(len(targets))]
+    F_, out = len(features) + len(targets), {}
+    for chosen in combinations(range(len(features)), k):
+        keep = [*chosen, *own]
+        some = {split: sub_gram(S, keep, L, F_) for split, S in mats.items()}
+        out[tuple(features[c] for c in chosen)] = fit(kind=kind, lambdas=lambdas, L=L, F_=len(keep), A=A, mats=some)
+    return out
+
+
 def coefficient_table(spark: SparkSession, model: str, Weff: np.ndarray, version: int = 1) -> DataFrame:
     """(model, version, h, term, coef) rows; term = position in [vec(x), 1] (last = intercept)."""
     rows = [(model, version, int(h), int(t), float(Weff[t, h])) for h in range(Weff.shape[1]) for t in range(Weff.shape[0])]
@@ -165,15 +197,21 @@ def load_model(spark: SparkSession, path: str, model: str, version: int | None =
     return df.where(F.col("version") == version)
 
 
-def predict(windows: DataFrame, coef: DataFrame, x: str = "x") -> DataFrame:
-    """Append ``yhat`` (array, one value per horizon) = W_h . [vec(x), 1]. The coefficients (a model's, bounded by
-    ``MAX_TERMS`` per horizon) go to the tasks as one matrix, and a batch of windows is one matrix product."""
+def coefficient_matrix(coef: DataFrame) -> np.ndarray:
+    """Weights on [vec(x), 1] (rows) per horizon (columns) of one model's coefficient table."""
     rows = coef.select("h", "term", "coef").collect()
     if not rows:
         raise ValueError("the coefficient table is empty")
     W = np.zeros((max(r["term"] for r in rows) + 1, max(r["h"] for r in rows) + 1))
     for r in rows:
         W[r["term"], r["h"]] = r["coef"]
+    return W
+
+
+def predict(windows: DataFrame, coef: DataFrame, x: str = "x") -> DataFrame:
+    """Append ``yhat`` (array, one value per horizon) = W_h . [vec(x), 1]. The coefficients (a model's, bounded by
+    ``MAX_TERMS`` per horizon) go to the tasks as one matrix, and a batch of windows is one matrix product."""
+    W = coefficient_matrix(coef)
     multi = str(windows.schema[x].dataType).startswith("ArrayType(ArrayType")
 
     @F.pandas_udf("array<double>")

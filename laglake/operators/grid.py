@@ -1,11 +1,14 @@
-"""Regular time grid: densify each series (full outer join with its own grid) and fill gaps."""
+"""Regular time grid: densify each series and fill gaps.
+
+Missing points are generated from the row before the gap: inside (key, chunk) each row knows the next row's time, the last row of a
+chunk learns it from a table of one row per chunk. So a series is shuffled once, no grid is built and none is joined."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from laglake.functions.timecols import from_micro_index
+from laglake.functions.timecols import from_micro_index, micro_index
 from laglake.operators.common import DEFAULT_CHUNK_STEPS, MINUTE, as_keys, chunk_of, qc, with_micros
 
 
@@ -63,14 +66,38 @@ def align_to_grid(df: DataFrame, key, ts: str, minutes: int, align: str = "floor
     return best.select(*kq, F.col("_t").alias(ts), *[F.col("_r")[f"c{i}"].alias(c) for i, c in enumerate(others)])
 
 
-def fill_date(df: DataFrame, key, ts: str, minutes: int, low=None, high=None, align: str = "keep") -> DataFrame:
-    """Full outer equi-join of each series with its grid; the key of new rows is filled from
-    the grid side. ``align``: keep off-grid rows (default, the reference), ``floor`` them onto the
-    grid, or ``drop`` them (see ``align_to_grid``)."""
+def fill_date(df: DataFrame, key, ts: str, minutes: int, low=None, high=None, align: str = "keep",
+              chunk_steps: int = DEFAULT_CHUNK_STEPS) -> DataFrame:
+    """The rows of each series and the points of its grid lo, lo+g, ..., <= hi that have no row, with nulls in all other columns. The grid
+    is anchored at the series' first timestamp (or ``low``, up to ``high``). ``align``: keep off-grid rows (default, the reference),
+    ``floor`` them onto the grid, or ``drop`` them (see ``align_to_grid``). Points of a long gap are generated in blocks of
+    ``chunk_steps``."""
     keys = as_keys(key)
     src = align_to_grid(df, keys, ts, minutes, align)
-    g = grid(df, keys, ts, minutes, low, high)
-    return src.join(g, on=[*keys, ts], how="full_outer")
+    if low is not None or high is not None:   # also where the grid lies outside of the rows
+        return src.join(grid(src, keys, ts, minutes, low, high), on=[*keys, ts], how="full_outer")
+    kq, step = [qc(k) for k in keys], minutes * MINUTE
+    rest = [c for c in src.columns if c not in (*keys, ts)]
+    d = src.select(*kq, qc(ts), micro_index(qc(ts)).alias("__t"), *[qc(c) for c in rest]).withColumn("__chunk", chunk_of("__t", chunk_steps * step))
+    inside = Window.partitionBy(*kq, "__chunk").orderBy("__t")
+    d = d.withColumn("__next", F.lead("__t").over(inside))
+    per_chunk = d.groupBy(*kq, "__chunk").agg(F.min("__t").alias("__first"))
+    per = Window.partitionBy(*kq)
+    edges = per_chunk.select(*kq, "__chunk", F.lead("__first").over(per.orderBy("__chunk")).alias("__later"), F.min("__first").over(per).alias("__lo"))
+    names = [*keys, "__chunk"]
+    j = d.alias("l").join(edges.alias("r"), [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in names], "left")
+    after = F.coalesce("__next", "__later")
+    t, lo = F.col("__t"), F.col("__lo")
+    base = t - F.pmod(t - lo, F.lit(step))                            # the grid point at or before the row
+    missing = F.coalesce(chunk_of(after - base - 1, step), F.lit(0))  # points in between; none after the last row
+    d = j.select(*[F.col(f"l.`{k}`").alias(k) for k in keys], F.col(f"l.`{ts}`").alias(ts), *[F.col(f"l.`{c}`").alias(c) for c in rest],
+                 base.alias("__base"), F.greatest(missing, F.lit(0)).alias("__missing"))
+    d = d.withColumn("__block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("__missing") / chunk_steps).cast("long"))))
+    start = F.col("__block") * chunk_steps
+    d = d.withColumn("__i", F.explode(F.sequence(start, F.least(start + (chunk_steps - 1), F.col("__missing")))))
+    own = F.col("__i") == 0                                           # the row itself, then its missing points
+    return d.select(*kq, F.when(own, qc(ts)).otherwise(from_micro_index(F.col("__base") + F.col("__i") * step).cast(src.schema[ts].dataType)).alias(ts),
+                    *[F.when(own, qc(c)).alias(c) for c in rest])
 
 
 def _chunked_fill(df: DataFrame, keys, ts: str, cols, forward: bool, chunk_minutes: int) -> DataFrame:

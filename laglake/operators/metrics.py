@@ -56,7 +56,8 @@ ALL_METRICS = ("r2", "mae", "mse", "rmse", "mape", "smape", "nql_5", "nql_9")
 
 
 def r2_per_horizon(pred: DataFrame, group, y: str = "y", p: str = "yhat", h: str = "h") -> DataFrame:
-    yc, pc = F.col(y), F.col(p)
+    pc = F.col(p)
+    yc = F.when(pc.isNotNull(), F.col(y))
     per = pred.groupBy(*group, h).agg(F.sum((yc - pc) * (yc - pc)).alias("_ssr"),
                                       (F.count(yc) * F.var_pop(yc)).alias("_sst"))
     r2h = (F.when(F.col("_sst") > 0, 1 - F.col("_ssr") / F.col("_sst"))
@@ -79,21 +80,24 @@ def unscale(c: Column, stats_row: dict | None) -> Column:
 
 
 def score(pred: DataFrame, group=("model",), y: str = "y", p: str = "yhat", h: str = "h", metrics=ALL_METRICS,
-          scaler: dict | None = None, digits: int | None = None, extra: dict | None = None) -> DataFrame:
+          scaler: dict | None = None, digits: int | None = None, extra: dict | None = None, counts: bool = False) -> DataFrame:
     """One row per group with the requested metrics. ``scaler``: a scaler record to unscale y and
-    yhat first; ``digits``: round half to even; ``extra``: name -> f(y, p) aggregate builders.
+    yhat first; ``digits``: round half to even; ``extra``: name -> f(y, p) aggregate builders; ``counts``: adds ``n``, the rows
+    scored, and ``n_missing``, the rows left out. A row whose y or yhat is NULL is left out of every metric.
 
     The registered metrics are rolled up from one aggregate over (group, horizon) - sums of the
     per-row terms plus the per-horizon R2 inputs - so the prediction rows are read and shuffled once
     (map-side partial aggregation), and the second aggregate sees one row per (group, horizon)."""
     group = list(group)
-    d = pred.select(*group, h, unscale(F.col(y), scaler).alias("_y"), unscale(F.col(p), scaler).alias("_p"))
+    d = pred.select(*group, h, unscale(F.col(y), scaler).alias("_y0"), unscale(F.col(p), scaler).alias("_p0"))
+    both = F.col("_y0").isNotNull() & F.col("_p0").isNotNull()
+    d = d.select(*group, h, F.when(both, F.col("_y0")).alias("_y"), F.when(both, F.col("_p0")).alias("_p"))
     yc, pc = F.col("_y"), F.col("_p")
     e = yc - pc
     den = (F.abs(pc) + F.abs(yc)) / 2
     ql = lambda q: F.lit(q) * F.greatest(e, F.lit(0.0)) + F.lit(1 - q) * F.greatest(-e, F.lit(0.0))
     per = d.groupBy(*group, h).agg(
-        F.count(yc).alias("_n"), F.sum(F.abs(e)).alias("_ae"), F.sum(e * e).alias("_se"),
+        F.count(yc).alias("_n"), F.count_if(yc.isNull()).alias("_missing"), F.sum(F.abs(e)).alias("_ae"), F.sum(e * e).alias("_se"),
         F.sum(F.abs(e) / F.greatest(F.abs(yc), F.lit(EPS))).alias("_ape"),
         F.sum(F.when(den == 0, F.lit(float("nan"))).otherwise(F.abs(pc - yc) / den)).alias("_sm"),
         F.sum(ql(0.5)).alias("_q5"), F.sum(ql(0.9)).alias("_q9"), F.sum(F.abs(yc)).alias("_ay"),
@@ -113,13 +117,13 @@ def score(pred: DataFrame, group=("model",), y: str = "y", p: str = "yhat", h: s
     if unknown:
         raise ValueError(f"unknown metrics {unknown}")
     out = per.groupBy(*group).agg(*[built[m].alias(m) for m in metrics if m in built],
-                                  F.count(F.lit(1)).alias("_groups")).drop("_groups")
+                                  n.alias("n"), F.sum("_missing").alias("n_missing"))
     custom = [m for m in metrics if m not in built]
     if custom:
         c = d.groupBy(*group).agg(*[fns[m](yc, pc).alias(m) for m in custom])
         out = out.join(c, group, "inner") if group else out.crossJoin(c)
     cols = [F.bround(F.col(m), digits).alias(m) if digits is not None else F.col(m) for m in metrics]
-    return out.select(*group, *cols)
+    return out.select(*group, *cols, *(["n", "n_missing"] if counts else []))
 
 
 def long_predictions(df: DataFrame, keys, y: str = "y", p: str = "yhat") -> DataFrame:
@@ -130,9 +134,10 @@ def long_predictions(df: DataFrame, keys, y: str = "y", p: str = "yhat") -> Data
 
 def ensemble(pred: DataFrame, scores: DataFrame, keys, model: str = "model", name: str = "Ensemble") -> DataFrame:
     """R2-weighted average of the models' predictions per (keys, h): w_m = r2_m / sum(r2).
-    The score table has one row per model (bounded), so it is broadcast."""
-    w = scores.select(model, (F.col("r2") / F.sum("r2").over(Window.partitionBy()))
-                      .alias("weight"))
+    The score table has one row per model (bounded), so it is broadcast. Where a model's prediction is missing, the weighted
+    sum would fall short, so there is no ensemble prediction (NULL)."""
+    every = Window.partitionBy()
+    w = scores.select(model, (F.col("r2") / F.sum("r2").over(every)).alias("weight"), F.count(model).over(every).alias("_models"))
     j = pred.join(F.broadcast(w), model, "inner")
-    return (j.groupBy(*keys, "h").agg(F.first("y").alias("y"), F.sum(F.col("weight") * F.col("yhat")).alias("yhat"))
-             .withColumn(model, F.lit(name)))
+    total = F.when(F.count("yhat") == F.first("_models"), F.sum(F.col("weight") * F.col("yhat")))
+    return j.groupBy(*keys, "h").agg(F.first("y").alias("y"), total.alias("yhat")).withColumn(model, F.lit(name))

@@ -3,18 +3,21 @@
 For each window z = [vec(x), 1, y] (vec(x): L*F inputs, y: A labels). Every Python worker folds
 its Arrow batches into one partial Gram matrix S = sum z z^T and emits it as one array per matrix row; these are
 added in two steps. Only the (P+A)^2 matrix reaches the
-driver, never the windows."""
+driver, never the windows. ``chunks.lag_gram`` gives the same rows from the series themselves."""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bound of a matrix' terms: 8192 squared doubles are 512 MB, what a driver can solve. Checked before any job.
 MAX_TERMS = 8192
+#: Matrices up to so many terms are added in the JVM.
+JVM_TERMS = 256
 
 _ROWS = "grp string, i int, part int, v array<double>"
 
@@ -42,20 +45,47 @@ def gram_rows(windows: DataFrame, group: str | None = "split", x: str = "x", y:
         from pyspark import TaskContext
         part = TaskContext.get().partitionId() % fan
         acc: dict = {}
-        for pdf in batches:
-            for grp, some in pdf.groupby("grp", sort=False):
-                m = np.vstack(some["z"].to_numpy()).astype(np.float64)
-                s = m.T @ m
-                acc[grp] = acc[grp] + s if grp in acc else s
-        for grp, s in acc.items():
-            yield pd.DataFrame({"grp": grp, "i": np.arange(len(s), dtype=np.int32), "part": np.int32(part), "v": [s[i, i:] for i in range(len(s))]})
+        for b in batches:
+            grp = b.column(0).dictionary_encode()
+            lists = b.column(1)
+            m = lists.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+            which = grp.indices.to_numpy()
+            for k, name in enumerate(grp.dictionary.to_pylist()):
+                some = m[which == k]
+                s = some.T @ some
+                acc[name] = acc[name] + s if name in acc else s
+        for name, s in acc.items():
+            yield from part_rows(name, s, part)
+
+    return added_rows(z, fold, n_terms)
+
+
+def part_rows(grp: str, s: np.ndarray, part: int):
+    """A task's matrix as Arrow batches of rows from the diagonal on."""
+    for at in range(0, len(s), 1024):
+        i = np.arange(at, min(at + 1024, len(s)))
+        flat = np.concatenate([s[k, k:] for k in i])
+        ends = np.concatenate([[0], np.cumsum(len(s) - i)]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array([grp] * len(i)), pa.array(i, pa.int32()), pa.array(np.full(len(i), part), pa.int32()),
+                                          pa.ListArray.from_arrays(ends, pa.array(flat))], names=["grp", "i", "part", "v"])
+
+
+def added_rows(df: DataFrame, fold, n_terms: int) -> DataFrame:
+    """(grp, i, v): the tasks' matrix rows added in two steps, ``part`` first, so no task adds up more than its share of partitions. Small
+    matrices are added in the JVM, larger ones (whose rows take whole megabytes) by numpy."""
+    parts = df.mapInArrow(fold, _ROWS)
+    if n_terms <= JVM_TERMS:
+        zero = F.array_repeat(F.lit(0.0), F.size(F.element_at("vs", 1)))
+        total = F.aggregate("vs", zero, lambda x, y: F.zip_with(x, y, lambda p, q: p + q)).alias("v")
+        for by in (("grp", "i", "part"), ("grp", "i")):
+            parts = parts.groupBy(*by).agg(F.collect_list("v").alias("vs")).select(*by, total)
+        return parts
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = [(some["grp"].iloc[0], i, some["part"].iloc[0], np.sum(np.vstack(some["v"].to_numpy()), axis=0)) for i, some in pdf.groupby("i")]
         return pd.DataFrame(rows, columns=["grp", "i", "part", "v"])
 
     band = F.floor(F.col("i") / 64).alias("band")   # some rows of the matrix together, to have fewer groups
-    parts = z.mapInPandas(fold, _ROWS)
     parts = parts.groupBy("grp", band, "part").applyInPandas(add, _ROWS)
     return parts.groupBy("grp", band).applyInPandas(add, _ROWS).drop("part")
 
@@ -67,10 +97,16 @@ def gram(windows: DataFrame, group: str | None = "split", x: str = "x", y: str =
 
 
 def gram_matrices(rows: DataFrame) -> dict[str, np.ndarray]:
-    """The summed rows of ``gram_rows`` as symmetric numpy matrices per group (bounded by ``MAX_TERMS``)."""
+    """The summed rows of ``gram_rows`` as symmetric numpy matrices per group (bounded by ``MAX_TERMS``). Raises if an entry isn't
+    finite: a NULL, NaN or infinite value is in the windows."""
     out: dict[str, np.ndarray] = {}
     for r in sorted(rows.collect(), key=lambda r: (r["grp"], r["i"])):
         m = out.setdefault(r["grp"], np.zeros((len(r["v"]), len(r["v"]))))   # row 0 comes first and is the longest
         m[r["i"], r["i"]:] = r["v"]
         m[r["i"]:, r["i"]] = r["v"]
+    for grp, m in out.items():
+        bad = np.flatnonzero(~np.isfinite(np.diagonal(m)))
+        if len(bad):
+            raise ValueError(f"values that aren't finite numbers in the {grp} windows, at terms {bad[:8].tolist()} of [inputs, 1, labels] "
+                             f"(term t * channels + c is channel c at step t)")
     return out

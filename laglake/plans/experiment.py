@@ -7,6 +7,7 @@ pass -> predictions on the target's test windows -> metrics with the target's sc
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,7 +24,7 @@ from laglake.operators.split import chrono_split, raw_split, raw_split_single, r
 from laglake.operators.windows import grid_check, make_windows
 from laglake.session import materialize
 from laglake.sources.csv_scan import read_series
-from laglake.spec import DatasetSpec, WindowSpec
+from laglake.spec import DatasetSpec, WindowSpec, unique
 
 SEGMENT = "__series"
 
@@ -43,8 +44,12 @@ class PreparedDataset:
 
 def scale_windows(windows: DataFrame, stats: DataFrame, channels, targets, method: str) -> DataFrame:
     """Scale x (steps x channels, or one channel) and y (ahead x targets) with per-channel stats.
-    The stats table has one row per channel; its values become literals."""
+    The stats table has one row per channel; its values become literals. A channel that is constant in training scales to 0 under
+    minmax and standard (a warning names it): it tells a model nothing, and the inverse gives the constant again."""
     rows = {r["channel"]: r.asDict() for r in stats.collect()}
+    constant = [c for c in unique([*channels, *targets]) if c in rows and not (rows[c]["max"] - rows[c]["min"])]
+    if constant and method != "robust":
+        warnings.warn(f"constant in the training rows, scaled to 0: {constant}", stacklevel=2)
 
     def f(v, c):
         s = rows.get(c)
@@ -52,9 +57,9 @@ def scale_windows(windows: DataFrame, stats: DataFrame, channels, targets, metho
             return F.lit(None).cast("double")
         if method == "minmax":
             den = s["max"] - s["min"]
-            return (v - F.lit(s["min"])) / F.lit(den) if den else F.lit(None).cast("double")
+            return (v - F.lit(s["min"])) / F.lit(den) if den else v * 0
         if method == "standard":
-            return (v - F.lit(s["mean"])) / F.lit(s["std"]) if s["std"] else F.lit(None).cast("double")
+            return (v - F.lit(s["mean"])) / F.lit(s["std"]) if s["std"] and c not in constant else v * 0
         return (v - F.lit(s["median"])) / F.lit(s["iqr"] + 1e-12)
 
     channels, targets = list(channels), list(targets)

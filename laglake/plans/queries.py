@@ -1338,3 +1338,6 @@ def q_strip_time_datetime(spark, sf):
     """Date-and-time strip: inclusive to the minute, with a typed range pushed to the scan."""
     out = strip_time(V.table(spark, sf, "events"), "ts", STRIP_DT)
     return out.select("event_id", "ts", "event_type", rnd("value").alias("value"))
+
+
+from laglake.plans import chunk_queries  # noqa: E402, F401 - registers its queries
