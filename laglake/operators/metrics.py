@@ -45,8 +45,9 @@ def nql(q: float):
         raise ValueError("quantile must be within [0, 1]")
 
     def f(y: Column, p: Column) -> Column:
+        both = (y - p).isNotNull()   # ``greatest`` skips NULLs
         loss = F.lit(q) * F.greatest(y - p, F.lit(0.0)) + F.lit(1 - q) * F.greatest(p - y, F.lit(0.0))
-        return F.try_divide(2 * F.avg(loss), F.avg(F.abs(y)))
+        return F.try_divide(2 * F.avg(F.when(both, loss)), F.avg(F.when(both, F.abs(y))))
     return f
 
 

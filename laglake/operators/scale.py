@@ -6,25 +6,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from laglake.operators.common import qc
-from laglake.operators.quantiles import exact_quantiles
+from laglake.operators.quantiles import channel_statistics
 
 ROBUST_EPS = 1e-12
 STAT_COLUMNS = ("min", "max", "mean", "median", "std", "variance", "quantile_25", "quantile_50", "quantile_75", "iqr")
 
 
-def fit_scaler(train_raw: DataFrame, channels, method: str = "minmax", **quantile_opts) -> DataFrame:
+def fit_scaler(train_raw: DataFrame, channels, method: str = "minmax") -> DataFrame:
     """One row per channel: min, max, mean, median, std, variance (sample), nearest-rank
-    quartiles, iqr and the method name; pooled over every segment of the training rows."""
-    long = train_raw.select(F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), qc(c).cast("double").alias("value"))
-                                                for c in channels])).alias("p")).select("p.*")
-    v = F.col("_v")
-    st = exact_quantiles(long, "channel", "value",
-                         {"median": "median", "quantile_25": 0.25, "quantile_50": 0.5, "quantile_75": 0.75},
-                         extra_aggs=(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"),
-                                     F.stddev_samp(v).alias("std"), F.var_samp(v).alias("variance")),
-                         **quantile_opts)
-    return st.select("channel", *[c for c in STAT_COLUMNS if c != "iqr"],
-                     (F.col("quantile_75") - F.col("quantile_25")).alias("iqr"), F.lit(method).alias("method"))
+    quartiles, iqr and the method name; pooled over every segment of the training rows. The rows are read at most three times
+    (``channel_statistics``), when this is called; channels without a value have no row."""
+    found = channel_statistics(train_raw, channels, {"median": "median", "quantile_25": 0.25, "quantile_50": 0.5, "quantile_75": 0.75})
+    rows = []
+    for c, s in found.items():
+        s["std"] = None if s["variance"] is None else s["variance"] ** 0.5
+        s["iqr"] = s["quantile_75"] - s["quantile_25"]
+        rows.append((c, *[s[k] for k in STAT_COLUMNS], method))
+    schema = ", ".join(["channel string", *[f"{k} double" for k in STAT_COLUMNS], "method string"])
+    return train_raw.sparkSession.createDataFrame(rows, schema)
 
 
 def _forward(x, s, method):
