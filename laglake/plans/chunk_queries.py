@@ -101,11 +101,10 @@ def _missing_sql():
     return with_views(
         f", s AS ({O.d6_split()}), w AS (SELECT *, list_avg(x) AS avg_x FROM s WHERE split = 'test'), "
         f"p AS (SELECT UNNEST(range(len(y))) AS h, UNNEST(y) AS y, {_GAPPY} AS yhat FROM w), "
-        "k AS (SELECT * FROM p WHERE yhat IS NOT NULL), "
         "r AS (SELECT avg(CASE WHEN sst > 0 THEN 1 - sse / sst WHEN sse = 0 THEN 1.0 ELSE 0.0 END) AS r2 FROM "
-        "(SELECT sum((y - yhat) * (y - yhat)) AS sse, count(*) * var_pop(y) AS sst FROM k GROUP BY h)) "
-        "SELECT 'gappy' AS model, round(any_value(r2), 6) AS r2, round(avg(abs(y - yhat)), 6) AS mae, round(avg((y - yhat) * (y - yhat)), 6) AS mse, "
-        "round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse, count(*) AS n, (SELECT count(*) FROM p WHERE yhat IS NULL) AS n_missing FROM k, r", "D6")
+        "(SELECT sum((y - yhat) * (y - yhat)) AS sse, count(*) * var_pop(y) AS sst FROM p WHERE yhat IS NOT NULL GROUP BY h)) "
+        "SELECT 'gappy' AS model, round((SELECT r2 FROM r), 6) AS r2, round(avg(abs(y - yhat)), 6) AS mae, round(avg((y - yhat) * (y - yhat)), 6) AS mse, "
+        "round(sqrt(avg((y - yhat) * (y - yhat))), 6) AS rmse, count(yhat) AS n, count(*) - count(yhat) AS n_missing FROM p HAVING count(*) > 0", "D6")
 
 
 @Q.register("metrics_missing", _missing_sql())

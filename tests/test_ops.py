@@ -653,3 +653,30 @@ def test_clear_scratch(spark):
     df = session.materialize(spark.range(3), "gone")
     path = df.inputFiles()[0].removeprefix("file://")
     assert os.path.exists(path)
+
+
+def _csv_files(tmp_path, **files):
+    from laglake.spec import DatasetSpec
+    for name, text in files.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    return DatasetSpec(path=str(tmp_path), target="v", date="d")
+
+
+def test_csv_line_breaks_within_quotes(spark, tmp_path):
+    spec = _csv_files(tmp_path, a='d,note,v\n2020-01-01,"two\nlines, and ""quotes""",1.5\n2020-01-02,plain,2\n', b="d,note,v\n2020-01-03,x,3\n")
+    got = sorted((r.d.day, r.note, r.v) for r in read_series(spark, spec).collect())
+    assert got == [(1, 'two\nlines, and "quotes"', 1.5), (2, "plain", 2.0), (3, "x", 3.0)]
+
+
+def test_csv_keeps_codes_and_digits(spark, tmp_path):
+    spec = _csv_files(tmp_path, a="d,code,word,big,mixed,v\n01/02/2020,007,1d,9007199254740993,9007199254740993,1e3\n13/02/2020 10:30,12,2f,1,0.5,-.5\n")
+    df = read_series(spark, spec)
+    assert dict(df.dtypes) == {"d": "timestamp_ntz", "code": "string", "word": "string", "big": "bigint", "mixed": "string", "v": "double"}
+    rows = sorted(df.collect(), key=lambda r: r.d)
+    assert [(r.code, r.word, r.big, r.mixed, r.v) for r in rows] == [("007", "1d", 9007199254740993, "9007199254740993", 1000.0), ("12", "2f", 1, "0.5", -0.5)]
+    assert [(r.d.year, r.d.month, r.d.day, r.d.hour) for r in rows] == [(2020, 2, 1, 0), (2020, 2, 13, 10)]
+
+
+def test_csv_month_first_only_where_needed(spark, tmp_path):
+    spec = _csv_files(tmp_path, a="d,v\n01/02/2020,1\n01/13/2020,2\n")
+    assert sorted((r.d.month, r.d.day) for r in read_series(spark, spec).collect()) == [(1, 2), (1, 13)]
