@@ -10,8 +10,6 @@ Every model collapses to effective weights on the raw window, so prediction is o
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -249,45 +247,112 @@ def channel_map(kind: str, L: int) -> tuple[np.ndarray, np.ndarray]:
     raise ValueError(f"no shared form of {kind!r}")
 
 
-def fit_shared(S: np.ndarray, L: int, F_: int, A: int, lam: float = 0.0, kind: str = "linear", iters: int = 300,
-               tol: float = 1e-8) -> np.ndarray:
+def fit_shared(S: np.ndarray, L: int, F_: int, A: int, lam: float = 0.0, kind: str = "linear", warm: int = 20, most: int = 500,
+               bound: float = 1e-4) -> np.ndarray:
     """Shared-weight model for F channels: y_h = sum_c v_c (w_h . D x_c + carry . x_c) + beta_h, one set of time weights for
-    every channel, then a channel mix. Bilinear, so it is fitted by alternating least squares; both
-    half-steps are linear maps of z, hence solved from the one Gram matrix S (as steps x channels blocks), until the
-    training error settles (a warning tells if it doesn't). Returns effective weights on [vec(x), 1] like ``effective``."""
-    D, carry = channel_map(kind, L)
-    steps, p = D.shape[1], len(D)
-    P = steps * F_
-    S_xx = S[:P, :P].reshape(steps, F_, steps, F_)
-    S_x = S[:P, P:].reshape(steps, F_, 1 + A)         # against the constant and the labels
-    S_y = S[P:, P:]
-    M = np.zeros((p + 1 + A, steps + 1 + A))          # of the mixed series u = sum_c v_c x_c, 1 and y
-    M[:p, :steps] = D
-    M[p:, steps:] = np.eye(1 + A)
-    M[p + 1:, :steps] = -carry
-    v = np.ones(F_) / F_
-    least, Weff = np.inf, np.zeros((P + 1, A))
-    spread = float(np.trace(S_y[1:, 1:] - np.outer(S_y[0, 1:], S_y[0, 1:]) / max(S_y[0, 0], 1.0))) / max(S_y[0, 0] * A, 1.0)
-    for _ in range(iters):
-        S_ux = np.einsum("tcs,c->ts", np.tensordot(S_xx, v, axes=(3, 0)), v)
-        S_u = np.einsum("tcj,c->tj", S_x, v)
-        W = solve(M @ np.block([[S_ux, S_u], [S_u.T, S_y]]) @ M.T, p, lam)
-        big, right = np.zeros((F_ + A, F_ + A)), np.zeros(F_ + A)
+    every channel, then a channel mix; the ridge term is lam |w|^2 F |v|^2, which doesn't depend on how a factor is shared between
+    w and v. Some rounds of alternating least squares start it; then damped Newton steps on all weights at once, whose gradient and
+    Hessian come from the one Gram matrix S, until the scaled gradient (the largest cosine between the residuals and what one weight can
+    change) is at most ``bound``, or the sum of squares is rounding only. Raises if ``most`` steps don't get there; a ridge term helps where inputs are nearly collinear. Returns effective weights on [vec(x), 1] like ``effective``."""
+    m = _Shared(S, L, F_, A, lam, kind)
+    W, v, beta = m.started(warm)
+    best, mu = m.objective(W, v, beta), 1e-4
+    for _ in range(most):
+        g, H = m.normal(W, v, beta)
+        scale = np.sqrt(np.maximum(np.diagonal(H), 1e-300))
+        g, H = g / scale, H / np.outer(scale, scale)
+        steepest = float(np.abs(g).max()) / max(best, 1e-300) ** 0.5
+        if steepest <= bound or best <= m.rounding:
+            return m.effective(W, v, beta)
+        while True:
+            step = np.linalg.solve(H + mu * np.eye(len(g)), -g) / scale
+            new = m.moved(W, v, beta, step)
+            value = m.objective(*new)
+            if value < best:
+                (W, v, beta), best, mu = new, value, max(mu / 5, 1e-12)
+                break
+            mu *= 4
+            if mu > 1e12:   # no direction gains anything in floating point
+                return m.effective(W, v, beta)
+    raise RuntimeError(f"the shared {kind} fit has a scaled gradient of {steepest:.1e} after {most} steps; try a larger lambda")
+
+
+class _Shared:
+    """The bilinear least squares problem behind ``fit_shared``, in terms of the Gram matrix."""
+
+    def __init__(self, S: np.ndarray, L: int, F_: int, A: int, lam: float, kind: str):
+        self.D, self.carry = channel_map(kind, L)
+        self.S, self.F, self.A, self.lam = S, F_, A, lam
+        self.steps, self.p = self.D.shape[1], len(self.D)
+        self.P = P = self.steps * F_
+        self.xx = S[:P, :P].reshape(self.steps, F_, self.steps, F_)
+        self.x1 = S[:P, P].reshape(self.steps, F_)
+        self.rounding = 1e-13 * float(np.trace(S[P + 1:, P + 1:]))
+
+    def rows(self, W: np.ndarray) -> np.ndarray:
+        """Weights of each horizon on a channel's own steps (A x steps)."""
+        return W.T @ self.D + self.carry
+
+    def effective(self, W, v, beta) -> np.ndarray:
+        return np.vstack([np.kron(self.rows(W).T, v[:, None]), beta])
+
+    def residual(self, W, v, beta) -> np.ndarray:
+        return np.vstack([self.effective(W, v, beta), -np.eye(self.A)])
+
+    def objective(self, W, v, beta) -> float:
+        r = self.residual(W, v, beta)
+        return float(np.sum(r * (self.S @ r))) + self.lam * self.F * float(np.sum(W * W)) * float(v @ v)
+
+    def moved(self, W, v, beta, step):
+        k = self.p * self.A
+        return W + step[:k].reshape(self.A, self.p).T, v + step[k:k + self.F], beta + step[k + self.F:]
+
+    def normal(self, W, v, beta) -> tuple[np.ndarray, np.ndarray]:
+        """Half the gradient and half the Hessian over (w_1, .., w_A, v, beta)."""
+        p, F_, A, lam = self.p, self.F, self.A, self.lam * self.F
+        k, rows = p * A, self.rows(W)
+        Sr = self.S @ self.residual(W, v, beta)
+        Srx = Sr[:self.P].reshape(self.steps, F_, A)
+        one = np.einsum("tcsd,c->tsd", self.xx, v, optimize=True)
+        both = self.D @ (one @ v) @ self.D.T + lam * (v @ v) * np.eye(p)
+        H, g = np.zeros((k + F_ + A, k + F_ + A)), np.zeros(k + F_ + A)
+        ones = self.D @ (self.x1 @ v)
         for h in range(A):
-            row = W[:p, h] @ D + carry
-            big[:F_, :F_] += np.tensordot(np.tensordot(row, S_xx, axes=(0, 0)), row, axes=(1, 0))
-            g = np.tensordot(row, S_x, axes=(0, 0))
-            big[:F_, F_ + h] = g[:, 0]
-            right[:F_] += g[:, 1 + h]
-            right[F_ + h] = S_y[0, 1 + h]
-        big[F_:, :F_] = big[:F_, F_:].T
-        big[F_:, F_:] = np.eye(A) * S_y[0, 0]
-        sol = np.linalg.lstsq(big, right, rcond=None)[0]
-        v, beta = sol[:F_], sol[F_:]
-        Weff = np.vstack([np.kron(D.T @ W[:p] + carry[:, None], v[:, None]), beta])
-        error = val_mse(S, Weff, S[P, P], A)
-        if least - error <= tol * error or error <= 1e-9 * spread:
-            return Weff
-        least = error
-    warnings.warn(f"the shared {kind} fit still improved after {iters} rounds", stacklevel=2)
-    return Weff
+            at = slice(h * p, (h + 1) * p)
+            H[at, at] = both
+            H[at, k:k + F_] = self.D @ (np.einsum("tsd,s->td", one, rows[h]) + Srx[:, :, h]) + 2 * lam * np.outer(W[:, h], v)
+            H[at, k + F_ + h] = ones
+            H[k:k + F_, k:k + F_] += np.einsum("tcsd,t,s->cd", self.xx, rows[h], rows[h], optimize=True) + lam * (W[:, h] @ W[:, h]) * np.eye(F_)
+            H[k:k + F_, k + F_ + h] = rows[h] @ self.x1
+            H[k + F_ + h, k + F_ + h] = self.S[self.P, self.P]
+            g[at] = self.D @ (Srx[:, :, h] @ v) + lam * (v @ v) * W[:, h]
+            g[k:k + F_] += rows[h] @ Srx[:, :, h] + lam * (W[:, h] @ W[:, h]) * v
+            g[k + F_ + h] = Sr[self.P, h]
+        return g, np.triu(H) + np.triu(H, 1).T
+
+    def started(self, rounds: int):
+        """Alternating half-steps from equal channel weights: each is linear least squares."""
+        p, F_, A = self.p, self.F, self.A
+        M = np.zeros((p + 1 + A, self.steps + 1 + A))     # of the mixed series u = sum_c v_c x_c, 1 and y
+        M[:p, :self.steps] = self.D
+        M[p:, self.steps:] = np.eye(1 + A)
+        M[p + 1:, :self.steps] = -self.carry
+        S_x = self.S[:self.P, self.P:].reshape(self.steps, F_, 1 + A)
+        S_y = self.S[self.P:, self.P:]
+        v = np.ones(F_) / F_
+        for _ in range(rounds):
+            S_ux = np.einsum("tcs,c->ts", np.tensordot(self.xx, v, axes=(3, 0)), v)
+            S_u = np.einsum("tcj,c->tj", S_x, v)
+            W = solve(M @ np.block([[S_ux, S_u], [S_u.T, S_y]]) @ M.T, p, self.lam * F_ * float(v @ v))
+            big, right = np.zeros((F_ + A, F_ + A)), np.zeros(F_ + A)
+            for h, row in enumerate(self.rows(W[:p])):
+                big[:F_, :F_] += np.tensordot(np.tensordot(row, self.xx, axes=(0, 0)), row, axes=(1, 0)) + self.lam * F_ * (W[:p, h] @ W[:p, h]) * np.eye(F_)
+                g = np.tensordot(row, S_x, axes=(0, 0))
+                big[:F_, F_ + h] = g[:, 0]
+                right[:F_] += g[:, 1 + h]
+                right[F_ + h] = S_y[0, 1 + h]
+            big[F_:, :F_] = big[:F_, F_:].T
+            big[F_:, F_:] = np.eye(A) * S_y[0, 0]
+            sol = np.linalg.lstsq(big, right, rcond=None)[0]
+            v, beta = sol[:F_], sol[F_:]
+        return W[:p], v, beta

@@ -208,3 +208,27 @@ def test_moments_name_what_is_not_a_number(spark):
     df = spark.createDataFrame([("train", [1.0, math.nan], [1.0]), ("train", [2.0, 3.0], [1.0])], "split string, x array<double>, y array<double>")
     with pytest.raises(ValueError, match=r"train windows, at terms \[1\]"):
         gram_matrices(gram_rows(df))
+
+
+@pytest.mark.parametrize("kind, lam", [("linear", 0.0), ("dlinear", 0.5), ("nlinear", 5.0)])
+def test_shared_fits_end_where_the_gradient_is_small(kind, lam):
+    """Noisy data of correlated channels: no step of any weight alone improves the fit, and alternating rounds end no lower."""
+    r = np.random.default_rng(6)
+    L, F_, A, n = 8, 4, 2, 500
+    X = np.cumsum(r.normal(size=(n, L, F_)), axis=1) + r.normal(size=(n, 1, 1))
+    Y = X[:, -1, :A] * 0.7 + r.normal(size=(n, A))
+    z = np.concatenate([X.reshape(n, -1), np.ones((n, 1)), Y], axis=1)
+    S = z.T @ z
+    m = FC._Shared(S, L, F_, A, lam, kind)
+    W = FC.fit_shared(S, L, F_, A, lam, kind, bound=1e-7)
+    w, v, b = m.started(400)
+    alternating = m.objective(w, v, b)
+    residual = np.vstack([W, -np.eye(A)])
+    assert float(np.sum(residual * (S @ residual))) <= alternating * (1 + 1e-9)
+    g, H = m.normal(w, v, b)
+    eps = 1e-5
+    for k in range(0, len(g), 5):   # the gradient is that of the objective
+        step = np.zeros(len(g))
+        step[k] = eps
+        up, down = m.objective(*m.moved(w, v, b, step)), m.objective(*m.moved(w, v, b, -step))
+        assert (up - down) / (4 * eps) == pytest.approx(g[k], abs=1e-3 * np.sqrt(H[k, k] * alternating))
