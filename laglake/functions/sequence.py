@@ -140,8 +140,8 @@ def time2vec(x, wa, ba, wb, bb) -> Column:
 
     ``wa``: k periodic frequencies, ``ba``: L x k phase table, ``wb``/``bb``: L slopes/intercepts.
     Step t yields [sin(x_t*wa_j + ba_tj) for j < k] + [wb_t*x_t + bb_t]  (array<array<double>>).
-    Weights become literal arrays, so keep L*k small; ``sequence_frames.time2vec_frame`` covers
-    large k with a vectorised pandas UDF."""
+    Weights become literal arrays, so keep L*k small; ``operators.features.t2v_revin_frame`` covers
+    large k with numpy per batch."""
     x = _c(x)
     k = len(wa)
     if k * len(ba) > MAX_LITERAL_WEIGHTS:
