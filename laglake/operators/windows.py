@@ -119,8 +119,10 @@ def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpe
         # ~sqrt(n) steps per chunk balances the two levels of a hot key: rows per chunk task and
         # rows of that key in the per-chunk offset table
         chunk_steps = max(chunk_steps, math.isqrt(max(chk["max_rows"], 0)))
-    elif strategy in ("range", "halo") and on_grid is None and not grid_check(df, keys, ts, spec.minutes)["on_grid"]:
-        strategy = "dense" if strategy == "range" else "dense_halo"
+    elif strategy in ("range", "halo") and on_grid is None:
+        chk = grid_check(df, keys, ts, spec.minutes)
+        if not chk["on_grid"]:
+            strategy = "dense" if strategy == "range" and chk["max_rows"] <= halo_rows else "dense_halo"
     if strategy in ("dense", "dense_halo"):
         from laglake.operators.grid import fill_date
         dense = fill_date(df.select(*[qc(c) for c in (*keys, ts, *channels)]), keys, ts, spec.minutes)

@@ -16,6 +16,7 @@ from laglake.plans import queries as Q
 from laglake.plans import views as V
 from laglake.plans.views import with_views
 from laglake.session import scratch_path
+from laglake.sources.stores import append_run, read_runs
 from laglake.spec import WindowSpec
 
 
@@ -130,3 +131,13 @@ def q_constant_channel_fit(spark, sf):
     rows = [(float(m["weights"][0, 0]), float(m["weights"][1, 0]), float(m["weights"][2, 0]), int(round(m["n_train"])))] if m else []
     out = spark.createDataFrame(rows, "w_constant double, slope double, intercept double, n_train long")
     return out.select("w_constant", Q.rnd("slope").alias("slope"), Q.rnd("intercept", 4).alias("intercept"), "n_train")
+
+
+@Q.register("runs_appended_again", Q.QUERIES["windows_roundtrip"][1])
+def q_runs_appended_again(spark, sf):
+    """Split windows appended to a store of runs, the same run twice: its rows are there once."""
+    path = scratch_path(spark, "runs")
+    w = Q.d6_split_windows(spark, sf).select("segment", "ts", "split", "x", "y")
+    for _ in range(2):
+        append_run(w, path, "first", partition_by=["split"], sort_within=["segment", "ts"])
+    return Q.explode_xy(read_runs(spark, path).where("split = 'test'"), ["segment"])

@@ -232,3 +232,25 @@ def test_shared_fits_end_where_the_gradient_is_small(kind, lam):
         step[k] = eps
         up, down = m.objective(*m.moved(w, v, b, step)), m.objective(*m.moved(w, v, b, -step))
         assert (up - down) / (4 * eps) == pytest.approx(g[k], abs=1e-3 * np.sqrt(H[k, k] * alternating))
+
+
+# ---- store of runs
+
+def test_a_run_is_appended_once(spark, tmp_path):
+    from laglake.sources.stores import append_run, committed_runs, read_runs
+    path = str(tmp_path / "store")
+    df = spark.range(100).withColumn("k", F.col("id") % 3)
+    with pytest.raises(ValueError, match="no whole run"):
+        read_runs(spark, path)
+    assert append_run(df, path, "a", partition_by=["k"]) and not append_run(df, path, "a", partition_by=["k"])
+    assert read_runs(spark, path).count() == 100
+    df.limit(40).write.parquet(f"{path}/rows/run=b")   # an attempt that broke off before its manifest entry
+    assert read_runs(spark, path).count() == 100
+    assert append_run(df.withColumn("more", F.lit(1.5)), path, "b", partition_by=["k"])
+    both = read_runs(spark, path)
+    assert both.count() == 200 and {r.run: r.n_rows for r in committed_runs(spark, path).collect()} == {"a": 100, "b": 100}
+    assert both.where("run = 'a' AND more IS NULL").count() == 100 and both.where("more = 1.5").count() == 100
+    assert read_runs(spark, path, ["b"]).where("k = 1").count() == 33
+    with pytest.raises(ValueError, match="no run"):
+        read_runs(spark, path, ["c"])
+    assert append_run(df.where("false"), path, "none") and read_runs(spark, path, ["none"]).isEmpty()
