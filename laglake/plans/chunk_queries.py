@@ -1,5 +1,5 @@
-"""Registered queries over chunked series: the chunk store, moments from shifted series, models of feature combinations; and of imperfect
-data: missing predictions, constant channels."""
+"""Registered queries over chunked series: the chunk store, moments from shifted series, models of feature combinations; of imperfect
+data: missing predictions, constant channels; and of whole flows."""
 
 from __future__ import annotations
 
@@ -14,10 +14,11 @@ from laglake.operators.windows import make_windows
 from laglake.plans import oracle_sql as O
 from laglake.plans import queries as Q
 from laglake.plans import views as V
+from laglake.plans.experiment import evaluate_stored, prepare_dataset, run_single, run_zero_shot
 from laglake.plans.views import with_views
 from laglake.session import scratch_path
 from laglake.sources.stores import append_run, read_runs
-from laglake.spec import WindowSpec
+from laglake.spec import DatasetSpec, WindowSpec
 
 
 def d6_chunks(spark, sf):
@@ -141,3 +142,81 @@ def q_runs_appended_again(spark, sf):
     for _ in range(2):
         append_run(w, path, "first", partition_by=["split"], sort_within=["segment", "ts"])
     return Q.explode_xy(read_runs(spark, path).where("split = 'test'"), ["segment"])
+
+
+# ---- whole flows at lag 1, where the fit has a closed form
+
+AR1 = WindowSpec(lag=1, ahead=1, offset=1, minutes=1440)
+AR1_HOURLY = WindowSpec(lag=1, ahead=1, offset=1, minutes=60)
+
+
+def _ar1_d6(spark, sf):
+    return prepare_dataset(spark, DatasetSpec(path="", target=("qty",), date="ts", segment="segment", name="D6"), AR1, source=V.d6(spark, sf),
+                           normalization="standard", strategy=Q.VIEW_STRATEGY, on_grid=True)
+
+
+def _ar1_h5(spark, sf):
+    return prepare_dataset(spark, DatasetSpec(path="", target=("value",), date="ts", segment="segment", name="H5", granularity=60), AR1_HOURLY,
+                           source=V.h5(spark, sf), normalization="standard", strategy=Q.VIEW_STRATEGY, on_grid=True)
+
+
+def _flow_sql(other: bool) -> str:
+    """AR(1) fitted on D6's training windows, scored on D6's own test windows, or on those of H5 in H5's own scale."""
+    parts = ""
+    for view, ch, minutes in (("D6", "qty", 1440), ("H5", "value", 60)):
+        cut = O.split_cte(O.windows_cte(view, ["segment"], "ts", [ch], [ch], 1, 1, 1, minutes), ["segment"], "ts")
+        parts += (f", s{view} AS ({cut}), b{view} AS (SELECT segment, max(ts) FILTER (WHERE split = 'train') AS last FROM s{view} GROUP BY 1), "
+                  f"t{view} AS (SELECT avg({ch}) AS m, stddev_samp({ch}) AS s FROM {view} JOIN b{view} USING (segment) WHERE ts <= last)")
+    fit = ", f AS (SELECT regr_slope(y[1], x[1]) AS b, regr_intercept(y[1], x[1]) AS a FROM sD6 WHERE split = 'train')"
+    if other:
+        p = (", p AS (SELECT 'linear' AS model, 0 AS h, y[1] AS y, f.b * (x[1] - tH5.m) + (f.a + f.b * tD6.m - tD6.m) / tD6.s * tH5.s + tH5.m AS yhat "
+             "FROM sH5, f, tD6, tH5 WHERE split = 'test')")
+    else:
+        p = ", p AS (SELECT 'linear' AS model, 0 AS h, y[1] AS y, f.b * x[1] + f.a AS yhat FROM sD6, f WHERE split = 'test')"
+    return with_views(parts + fit + p + Q._metric_sql() + f"SELECT model, {Q._METRIC_COLS} FROM pooled JOIN r2 USING (model)", "D6", "H5")
+
+
+def _rounded(scores):
+    return scores.select("model", *[Q.rnd(m).alias(m) for m in MET.ALL_METRICS])
+
+
+@Q.register("single_flow_ar1", _flow_sql(False))
+def q_single_flow_ar1(spark, sf):
+    """Read, clean, window, split, scale, fit, predict, unscale and score one dataset."""
+    return _rounded(run_single(spark, _ar1_d6(spark, sf), kinds=("linear",), lambdas=(0.0,)))
+
+
+@Q.register("zero_shot_flow_ar1", _flow_sql(True))
+def q_zero_shot_flow_ar1(spark, sf):
+    """The same with the fit on one dataset and the scores on another."""
+    return _rounded(run_zero_shot(spark, _ar1_h5(spark, sf), [_ar1_d6(spark, sf)], kinds=("linear",), lambdas=(0.0,)))
+
+
+@Q.register("stored_flow_ar1", _flow_sql(True))
+def q_stored_flow_ar1(spark, sf):
+    """The same with the coefficients stored and loaded in between."""
+    path = scratch_path(spark, "ar1-models")
+    run_single(spark, _ar1_d6(spark, sf), kinds=("linear",), lambdas=(0.0,), model_path=path)
+    return _rounded(evaluate_stored(spark, _ar1_h5(spark, sf), path, kinds=("linear",)))
+
+
+CHOICES = (0.0, 3e5, 3e6, 3e7, 3e8)
+
+
+def _choice_sql() -> str:
+    cut = O.split_cte(O.windows_cte("D1", [], "ts", ["qty"], ["qty"], 1, 1, 1, 1440), [], "ts")
+    lam = ", ".join(f"({v!r})" for v in CHOICES)
+    return with_views(
+        f", s AS ({cut}), st AS (SELECT regr_sxy(y[1], x[1]) AS sxy, regr_sxx(y[1], x[1]) AS sxx, regr_avgx(y[1], x[1]) AS ax, regr_avgy(y[1], x[1]) AS ay "
+        f"FROM s WHERE split = 'train'), w AS (SELECT CAST(l AS DOUBLE) AS lam, sxy / (sxx + l) AS b, ay - sxy / (sxx + l) * ax AS a FROM st, (VALUES {lam}) t(l)), "
+        "e AS (SELECT lam, b, a, avg((b * x[1] + a - y[1]) * (b * x[1] + a - y[1])) AS mse FROM w, s WHERE split = 'val' GROUP BY ALL) "
+        "SELECT lam AS lambda, round(b, 8) AS slope, round(a, 4) AS intercept FROM e ORDER BY mse, lam LIMIT 1", "D1")
+
+
+@Q.register("select_lambda_ar1", _choice_sql())
+def q_select_lambda_ar1(spark, sf):
+    """The ridge strength with the least validation error, from the two Gram matrices alone."""
+    m = FC.fit(Q.d1_ar1_split(spark, sf), "linear", lambdas=CHOICES, L=1, A=1)
+    rows = [(float(m["lambda"]), float(m["weights"][0, 0]), float(m["weights"][1, 0]))] if m else []
+    df = spark.createDataFrame(rows, "lambda double, slope double, intercept double")
+    return df.select("lambda", Q.rnd("slope", 8).alias("slope"), Q.rnd("intercept", 4).alias("intercept"))

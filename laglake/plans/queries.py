@@ -852,9 +852,9 @@ def q_univariate_unpivot(spark, sf):
     "FROM (UNPIVOT WIDE ON qty, price, disc INTO NAME channel VALUE value)) "
     "SELECT a.channel AS c0, b.channel AS c1 FROM ch a JOIN ch b ON b.pos > a.pos", "WIDE"))
 def q_feature_combinations(spark, sf):
-    """Names only, so the schema is enough; ``combination_series`` builds the series."""
-    cat = V.wide(spark, sf).groupBy().agg(F.count("*").alias("n")).where("n > 0").select(F.posexplode(F.array(*map(F.lit, WIDE_CH))).alias("pos", "channel"))
-    return feature_combinations(cat, 2)
+    """Pairs of the channels that have a value in any row; ``combination_series`` builds their series."""
+    long = univariate_unpivot(V.wide(spark, sf), "segment", "ts", WIDE_CH).where("value IS NOT NULL")
+    return feature_combinations(channel_catalogue(long, WIDE_CH), 2)
 
 
 ZS_SPEC = WindowSpec(lag=8, ahead=1, offset=1, minutes=1440)
