@@ -254,3 +254,25 @@ def test_a_run_is_appended_once(spark, tmp_path):
     with pytest.raises(ValueError, match="no run"):
         read_runs(spark, path, ["c"])
     assert append_run(df.where("false"), path, "none") and read_runs(spark, path, ["none"]).isEmpty()
+
+
+# ---- command line
+
+def test_zero_shot_from_the_command_line(spark, tmp_path):
+    import json
+    from laglake.__main__ import main
+    r = np.random.default_rng(3)
+    for name, step in (("near", 1), ("far", 2)):
+        x = np.cumsum(r.normal(size=300)) * step
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "7.csv").write_text("day,value\n" + "".join(f"{day(i):%Y-%m-%d},{v:.6f}\n" for i, v in enumerate(x)))
+    about = tmp_path / "near.json"
+    about.write_text(json.dumps({"path": str(tmp_path / "near"), "date": "day", "target": ["value"], "name": "near"}))
+    common = ["--date", "day", "--target", "value", "--lag", "3", "--normalization", "standard", "--models", "linear", "nlinear"]
+    out = str(tmp_path / "out")
+    main(["--path", str(tmp_path / "near"), *common, "--out", out], spark)
+    fitted = {r.model: r.mse for r in main(["--path", str(tmp_path / "far"), *common, "--sources", str(about)], spark).collect()}
+    stored = {r.model: r.mse for r in main(["--path", str(tmp_path / "far"), *common, "--stored", out], spark).collect()}
+    assert set(fitted) == {"linear", "nlinear", "Ensemble"} and fitted == pytest.approx(stored)
+    with pytest.raises(SystemExit):
+        main(["--path", "x", *common, "--sources", "a", "--stored", "b"], spark)
