@@ -1,7 +1,8 @@
 """Regular time grid: densify each series and fill gaps.
 
 Missing points are generated from the row before the gap: inside (key, chunk) each row knows the next row's time, the last row of a
-chunk learns it from a table of one row per chunk. So a series is shuffled once, no grid is built and none is joined."""
+chunk learns it from a table of one row per chunk (a second read of key and time only). So a series' rows are shuffled once, no grid
+is built and none is joined."""
 
 from __future__ import annotations
 
