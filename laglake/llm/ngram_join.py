@@ -29,17 +29,17 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from laglake.session import materialize
 
-from .common import table
+from .common import fresh, table
 from .exchange import ASK, answered, ask_table, asks, by_hash, mixed, plan, replies
 from .graph import components
 
 DROP = 28  # 36 bits tell n-grams apart when they are counted: a collision only makes a count too high
-SETS = "kind int, doc_id long, n long, digest binary, tokens binary, df binary"
+SETS = "kind int, doc_id long, mark binary, n long, digest binary, tokens binary, df binary"
 STEP = np.uint64(0x9E3779B97F4A7C15)
 ENTRY = "token long, digest binary, n long, room long, band long"
 #: The counts that a byte stands for: exact below 128, then four to an octave (up to 4e11), so that common n-grams keep their order.
@@ -284,7 +284,8 @@ def second_pass(open_: DataFrame, sets: DataFrame, percent: int, chunk_sets: int
 
 
 def corpus_sets(docs: DataFrame, width: int, percent: int, block_bytes: int) -> DataFrame:
-    """Written ``SETS`` rows: of kind 0 for each row of ``docs``, and of kind 1 for each set that may have a link, once per block."""
+    """Written ``SETS`` rows: of kind 0 for each row of ``docs`` (doc_id, text, mark; the last is passed on), and of kind 1 for each set that
+    may have a link, once per block."""
     blocks, buckets = plan(docs, block_bytes, 1.0)
     dealt = by_hash(docs, blocks, "doc_id", "text")
 
@@ -310,16 +311,17 @@ def corpus_sets(docs: DataFrame, width: int, percent: int, block_bytes: int) ->
             ids = t["doc_id"].to_pylist()
             sets, digests, once, _, which, _ = block_sets(t)
             df = replies(reply, "u1")[0][which]
-            rows = [(0, i, len(s), d, None, None) for i, s, d in zip(ids, sets, digests, strict=True)]
+            marks = t["mark"].to_pylist()
+            rows = [(0, i, m, len(s), d, None, None) for i, m, s, d in zip(ids, marks, sets, digests, strict=True)]
             at = 0
             for k in once:
                 n = len(sets[k])
                 here = df[at:at + n]
                 at += n
                 if int((here > 1).sum()) >= needed(n, percent):
-                    rows.append((1, ids[k], n, digests[k], sets[k].astype("<u8").tobytes(), here.tobytes()))
+                    rows.append((1, ids[k], None, n, digests[k], sets[k].astype("<u8").tobytes(), here.tobytes()))
         return pa.table({x.split()[0]: pa.array([r[k] for r in rows], kind) for k, (x, kind) in enumerate(zip(
-            SETS.split(", "), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True))})
+            SETS.split(", "), (pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True))})
 
     asked = dealt.groupBy("block").applyInArrow(ask, ASK)
     return materialize(dealt.groupBy("block").cogroup(answered(asked, coded_sum, "u1").groupBy("block")).applyInArrow(tell, SETS), "ngram-sets")
@@ -360,30 +362,57 @@ def classes_of(sets: DataFrame, percent: int, chunk_sets: int, pivots: int) -> D
     return components(found.unionByName(more))
 
 
+def labelled(all_: DataFrame, percent: int, chunk_sets: int, pivots: int, least: Column) -> DataFrame:
+    """digest, least, label of every distinct set of ``SETS`` rows: ``least`` is an aggregate over its rows, ``label`` names its class."""
+    sets = materialize(all_.where("kind = 1").groupBy("digest").agg(F.first("tokens").alias("tokens"), F.first("df").alias("df")), "distinct-sets")
+    classes = classes_of(sets, percent, chunk_sets, pivots)
+    firsts = materialize(all_.where("kind = 0 AND digest IS NOT NULL").groupBy("digest").agg(least.alias("least")), "least-ids")
+    return materialize(firsts.join(classes.withColumnRenamed("node", "digest"), "digest", "left")
+                       .select("digest", "least", F.coalesce("label", "digest").alias("label")), "labelled-sets")
+
+
 def ngram_join(docs: DataFrame, width: int = 5, percent: int = 80, chunk_sets: int = 96, pivots: int = 8, block_bytes: int = 4 << 20,
                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.lit(None).cast("binary").alias("mark"))
     all_ = corpus_sets(rows, width, percent, block_bytes)
     members = all_.where("kind = 0").select("doc_id", "n", "digest")
-    sets = materialize(all_.where("kind = 1").groupBy("digest").agg(F.first("tokens").alias("tokens"), F.first("df").alias("df")), "distinct-sets")
-    classes = classes_of(sets, percent, chunk_sets, pivots)
-    least = materialize(members.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("least")), "least-ids")
-    label = materialize(least.join(classes.withColumnRenamed("node", "digest"), "digest", "left")
-                        .select("digest", "least", F.coalesce("label", "digest").alias("label")), "labelled-sets")
+    label = labelled(all_, percent, chunk_sets, pivots, F.min("doc_id"))
     per = materialize(label.groupBy("label").agg(F.min("least").alias("component_id")), "least-of-classes")
     named = materialize(label.join(per, "label").select("digest", "component_id"), "named-sets")
     return members.join(named, "digest", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component, equal rows (id and text) once. Rows without an id can't
-    be told apart by it and stay."""
-    found = ngram_join(docs, id_col=id_col, text_col=text_col, **settings)
-    first = found.where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    kept = docs.join(first, docs[id_col] == first["_first"], "left_semi").dropDuplicates([id_col, text_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, chunk_sets: int = 96,
+                    pivots: int = 8, block_bytes: int = 4 << 20) -> DataFrame:
+    """One row of ``docs`` for each component: that with the smallest id, rows without an id last; of several texts under that id the one with
+    the smallest MD5. Rows without words are linked with nothing and stay, those equal in id and text once. Of rows equal in id and
+    text, that with the smallest hash of all columns stays, so reruns agree."""
+    mark = F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), mark.alias("mark"))
+    all_ = corpus_sets(rows, width, percent, block_bytes)
+    members = all_.where("kind = 0")
+    label = labelled(all_, percent, chunk_sets, pivots, F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark")))
+    first = label.groupBy("label").agg(F.min("least").alias("least")).select("least.doc_id", "least.mark")
+    first = first.unionByName(members.where("digest IS NULL").select("doc_id", "mark").distinct())
+    times = members.groupBy(F.col("doc_id").alias("i"), F.col("mark").alias("m")).agg((F.count("*") > 1).alias("again"))
+    same = F.col("doc_id").eqNullSafe(F.col("i")) & F.col("mark").eqNullSafe(F.col("m"))
+    first = materialize(first.join(times, same).select("i", "m", "again"), "kept-rows")
+    i, m, ik, mk = (fresh(n, docs.columns) for n in ("_i", "_m", "_ik", "_mk"))
+    keyed = docs.withColumn(i, F.col(id_col).cast("long")).withColumn(m, mark)
+
+    def kept(again: bool) -> DataFrame:
+        some = first.where(F.col("again") == again).select(F.col("i").alias(ik), F.col("m").alias(mk))
+        return keyed.join(some, F.col(i).eqNullSafe(F.col(ik)) & F.col(m).eqNullSafe(F.col(mk)), "left_semi")
+
+    once = kept(False).drop(i, m)
+    if first.where("again").isEmpty():
+        return once
+    columns = [f"`{c}`" for c in docs.columns]
+    order = F.xxhash64(*[f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    more = kept(True).groupBy(i, m).agg(F.min_by(F.struct(*columns), order).alias("row"))
+    return once.unionByName(more.select(*[F.col("row").getField(c).alias(c) for c in docs.columns]))
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
