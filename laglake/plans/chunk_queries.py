@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from laglake.operators import chunks as C
 from laglake.operators import forecast as FC
+from laglake.operators import iterative as IT
 from laglake.operators import metrics as MET
 from laglake.operators.moments import gram_matrices
 from laglake.operators.split import chrono_split
@@ -96,6 +97,16 @@ def q_combination_fits(spark, sf):
     return df.select("feature", Q.rnd("w_feature", 5).alias("w_feature"), Q.rnd("w_target", 5).alias("w_target"), Q.rnd("intercept", 4).alias("intercept"), "n_train")
 
 
+@Q.register("fit_lag2_iterative", Q.QUERIES["fit_lag2"][1])
+def q_fit_lag2_iterative(spark, sf):
+    """The ridge fits of two input steps by conjugate gradients over the chunked series: all strengths in the same passes, no Gram matrix."""
+    chunks = C.with_split(C.chunk_series(V.d6(spark, sf), "segment", "ts", [], ["qty"], Q.LAG2_SPEC), "segment", [], ["qty"], Q.LAG2_SPEC)
+    rows = [(kind, c["lambda"], *map(float, c["weights"][:, 0]), int(round(c["n_train"])), c["val_mse"])
+            for kind in ("linear", "nlinear") for c in IT.iterative_path(chunks, [], ["qty"], Q.LAG2_SPEC, kind, Q.LAG2_LAMBDAS)]
+    df = spark.createDataFrame(rows, "model string, lambda double, w0 double, w1 double, bias double, n_train long, val_mse double")
+    return df.select("model", "lambda", Q.rnd("w0").alias("w0"), Q.rnd("w1").alias("w1"), Q.rnd("bias", 4).alias("bias"), "n_train", Q.rnd("val_mse", 2).alias("val_mse"))
+
+
 _GAPPY = "CASE WHEN x[-1] > avg_x THEN x[-1] END"
 
 
