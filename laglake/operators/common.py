@@ -47,7 +47,7 @@ def chunk_of(m: Column | str, width: int) -> Column:
     return F.floor((m - F.pmod(m, w)) / w).cast("long")
 
 
-def ordered_row_number(df: DataFrame, keys: list[str], order: str, chunk: str | None = None,
+def ordered_row_number(df: DataFrame, keys: list[str], order: str | list, chunk: str | None = None,
                        name: str = "rn", count_name: str | None = "n") -> DataFrame:
     """0-based position of each row inside its key group ordered by ``order`` (and the group size).
 

@@ -79,19 +79,28 @@ def grid_check(df: DataFrame, key, ts: str, minutes: int) -> dict:
     return {"on_grid": bool(r["on_grid"]), "max_rows": int(r["max_rows"])}
 
 
+def has_ties(df: DataFrame, key, ts: str) -> bool:
+    """Whether two rows have one (key, timestamp)."""
+    again = df.where(qc(ts).isNotNull()).groupBy(*[qc(k) for k in as_keys(key)], micros(ts)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return not again.isEmpty()
+
+
 def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpec, strategy: str = "auto",
                  chunk_steps: int = DEFAULT_CHUNK_STEPS, halo_rows: int = HALO_ROWS, align: str = "keep",
-                 on_grid: bool | None = None) -> DataFrame:
+                 on_grid: bool | None = None, ties: str = "raise") -> DataFrame:
     """``align``: ``keep`` off-grid rows as steps (reference; needs ``dense``), or ``floor`` / ``drop``
     them onto the grid first (then RANGE / halo plans apply).
 
     Every strategy gives the same rows: ``range`` and ``halo`` check the grid (one aggregate) and give way to
     ``dense`` / ``dense_halo`` when a row is off it. ``on_grid=True`` states that all rows are on their grid and saves
-    the check. Two rows with one (key, timestamp) raise when the plan runs; ``prepare`` removes them.
+    the check. Two rows with one (key, timestamp) raise when the plan runs; ``prepare`` removes them. With ``ties="keep"`` each is a
+    step, in order of the channels' values (nulls first): ``range`` and ``halo`` look for such rows (one aggregate) and give way as above.
 
     Return ``[*keys, (chunk,) ts, tus, x, y]`` (``tus``: microseconds since epoch, the order key); x is array<double> for one channel, else
     array<array<double>> (steps x channels, features then targets); y is array<double> of
     ahead x targets values, step-major, oldest first."""
+    if ties not in ("raise", "keep"):
+        raise ValueError("ties must be raise|keep")
     keys = as_keys(key)
     channels = list(unique([*channels, *targets]))
     targets = list(unique(targets))
@@ -112,23 +121,23 @@ def make_windows(df: DataFrame, key, ts: str, channels, targets, spec: WindowSpe
         strategy = "halo"   # a single series is one hot key: always spread it over time chunks
     if strategy == "auto":
         chk = grid_check(df, keys, ts, spec.minutes)
-        if not chk["on_grid"]:
+        if not chk["on_grid"] or (ties == "keep" and has_ties(df, keys, ts)):
             strategy = "dense_halo" if (chk["max_rows"] > halo_rows or not keys) else "dense"
         else:
             strategy = "halo" if (chk["max_rows"] > halo_rows or not keys) else "range"
         # ~sqrt(n) steps per chunk balances the two levels of a hot key: rows per chunk task and
         # rows of that key in the per-chunk offset table
         chunk_steps = max(chunk_steps, math.isqrt(max(chk["max_rows"], 0)))
-    elif strategy in ("range", "halo") and on_grid is None:
+    elif strategy in ("range", "halo") and (on_grid is None or ties == "keep"):
         chk = grid_check(df, keys, ts, spec.minutes)
-        if not chk["on_grid"]:
+        if not chk["on_grid"] or (ties == "keep" and has_ties(df, keys, ts)):
             strategy = "dense" if strategy == "range" and chk["max_rows"] <= halo_rows else "dense_halo"
     if strategy in ("dense", "dense_halo"):
         from laglake.operators.grid import fill_date
         dense = fill_date(df.select(*[qc(c) for c in (*keys, ts, *channels)]), keys, ts, spec.minutes)
         if strategy == "dense" and keys:
-            return _windows_rows(dense, keys, ts, channels, targets, spec)
-        return _windows_rows_halo(dense, keys, ts, channels, targets, spec, chunk_steps)
+            return _windows_rows(dense, keys, ts, channels, targets, spec, ties)
+        return _windows_rows_halo(dense, keys, ts, channels, targets, spec, chunk_steps, ties)
     # Order by a microsecond index and rebuild ``ts`` from it after the window: the shuffled
     # rows then carry no column that a second consumer (e.g. the split's per-chunk counts)
     # would prune, so Spark can reuse this one shuffle for both.
@@ -166,31 +175,38 @@ def _again(w) -> F.Column:
     return (F.lag("tus").over(w) == F.col("tus")).alias("_again")
 
 
-def _unique(df: DataFrame) -> DataFrame:
+def _unique(df: DataFrame, ties: str = "raise") -> DataFrame:
     """Raises at run time if a (key, timestamp) occurs twice: its windows would hold a step twice and miss another."""
+    if ties == "keep":
+        return df.drop("_again")
     fail = F.raise_error(F.lit("two rows with the same key and timestamp; de-duplicate them first (prepare does)")).cast("boolean")
     return df.where(F.when(F.col("_again"), fail).otherwise(F.lit(True))).drop("_again")
 
 
-def _windows_rows(dense: DataFrame, keys, ts, channels, targets, spec: WindowSpec) -> DataFrame:
+def _row_order(channels, ties: str) -> list:
+    """The order of steps; rows that tie in all of it are equal, so every run gives the same windows."""
+    return ["tus", *([qc(c) for c in channels] if ties == "keep" else [])]
+
+
+def _windows_rows(dense: DataFrame, keys, ts, channels, targets, spec: WindowSpec, ties: str = "raise") -> DataFrame:
     d = dense.withColumn("tus", micros(ts))
-    w = Window.partitionBy(*[qc(k) for k in keys]).orderBy("tus")
+    w = Window.partitionBy(*[qc(k) for k in keys]).orderBy(*_row_order(channels, ties))
     out = d.select(*[qc(k) for k in keys], qc(ts), "tus", _again(w),
                    F.collect_list(_step(channels)).over(w.rowsBetween(-spec.span, -spec.offset)).alias("x"),
                    F.collect_list(_target_step(targets)).over(w.rowsBetween(-(spec.ahead - 1), 0)).alias("_y"),
                    F.count(F.lit(1)).over(w.rowsBetween(-spec.span, -spec.offset)).alias("_nx"))
-    out = _unique(out).where((F.size("x") == spec.lag) & (F.col("_nx") == spec.lag) & (F.size("_y") == spec.ahead))
+    out = _unique(out, ties).where((F.size("x") == spec.lag) & (F.col("_nx") == spec.lag) & (F.size("_y") == spec.ahead))
     return out.withColumn("y", F.flatten("_y")).drop("_y", "_nx")
 
 
-def _windows_rows_halo(dense: DataFrame, keys, ts, channels, targets, spec: WindowSpec, chunk_steps: int) -> DataFrame:
+def _windows_rows_halo(dense: DataFrame, keys, ts, channels, targets, spec: WindowSpec, chunk_steps: int, ties: str = "raise") -> DataFrame:
     """ROWS-frame windows without a per-key task: rows get their position in the series (per-chunk
     prefix counts), are grouped in blocks of ``chunk_steps`` positions, and the last ``span`` rows of
     each block are copied into the next block, so every frame is complete inside one block."""
     from laglake.operators.common import ordered_row_number
     d = dense.withColumn("tus", micros(ts))
     d = d.withColumn("_tc", chunk_of("tus", chunk_steps * spec.minutes * 60_000_000))
-    d = ordered_row_number(d, keys, "tus", "_tc", name="_rn", count_name=None).drop("_tc")
+    d = ordered_row_number(d, keys, _row_order(channels, ties), "_tc", name="_rn", count_name=None).drop("_tc")
     d = (d.withColumn("_own", chunk_of("_rn", chunk_steps))
           .withColumn("_blk", F.explode(F.sequence(F.col("_own"), chunk_of(F.col("_rn") + spec.span, chunk_steps)))))
     w = Window.partitionBy(*[qc(k) for k in keys], "_blk").orderBy("_rn")
@@ -198,6 +214,6 @@ def _windows_rows_halo(dense: DataFrame, keys, ts, channels, targets, spec: Wind
                    F.collect_list(_step(channels)).over(w.rowsBetween(-spec.span, -spec.offset)).alias("x"),
                    F.collect_list(_target_step(targets)).over(w.rowsBetween(-(spec.ahead - 1), 0)).alias("_y"),
                    F.count(F.lit(1)).over(w.rowsBetween(-spec.span, -spec.offset)).alias("_nx"))
-    out = _unique(out).where((F.col("_blk") == F.col("_own")) & (F.size("x") == spec.lag) & (F.col("_nx") == spec.lag)
+    out = _unique(out, ties).where((F.col("_blk") == F.col("_own")) & (F.size("x") == spec.lag) & (F.col("_nx") == spec.lag)
                              & (F.size("_y") == spec.ahead))
     return out.select(*[qc(k) for k in keys], qc(ts), "tus", "x", F.flatten("_y").alias("y"))

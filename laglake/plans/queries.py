@@ -1074,9 +1074,10 @@ _RAW_SQL = (
 
 
 def _raw_query(strategy):
+    """An event's type and time aren't its key: events of one type in the same microsecond are steps of their own, as in the SQL."""
     def q(spark, sf):
         ev = V.table(spark, sf, "events").select(F.col("event_type").alias("segment"), "ts", "value")
-        return explode_xy(make_windows(ev, "segment", "ts", ["value"], ["value"], RAW_SPEC, strategy=strategy, chunk_steps=64), ["segment"])
+        return explode_xy(make_windows(ev, "segment", "ts", ["value"], ["value"], RAW_SPEC, strategy=strategy, chunk_steps=64, ties="keep"), ["segment"])
     return q
 
 

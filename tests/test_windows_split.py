@@ -305,3 +305,37 @@ def test_grid_low_high_override(spark):
     from laglake.operators.grid import grid
     pts = grid(s.where(F.col("segment") == "a"), "segment", "ts", 60, chunk_steps=7)
     assert pts.count() == 2 * 24 + 1 and pts.select("ts").distinct().count() == 49
+
+
+def tied_rows():
+    at = dt.datetime(2024, 1, 1)
+    return [("a", at, 1.0), ("a", at + dt.timedelta(hours=1), 3.0), ("a", at + dt.timedelta(hours=1), 2.0), ("a", at + dt.timedelta(hours=1), 3.0),
+            ("a", at + dt.timedelta(hours=2), 4.0), ("a", at + dt.timedelta(hours=4), 5.0), ("a", at + dt.timedelta(hours=5), 6.0),
+            ("a", at + dt.timedelta(hours=5), None), ("b", at, 7.0), ("b", at, 7.0), ("b", at, 8.0)]
+
+
+@pytest.mark.parametrize("late", [0, 30])
+@pytest.mark.parametrize("strategy", ["range", "halo", "dense", "dense_halo", "auto"])
+def test_tied_rows_are_steps_of_their_own_when_kept(spark, strategy, late):
+    off = [("b", dt.datetime(2024, 1, 1, 0, 0, late), 9.0)] if late else []   # a row off the grid
+    df = spark.createDataFrame(tied_rows() + off, "segment string, ts timestamp_ntz, v double").repartition(3)
+    spec = WindowSpec(lag=2, ahead=1, offset=1, minutes=60)
+    for stated in (None, True) if not late and strategy in ("range", "halo") else (None,):
+        w = make_windows(df, "segment", "ts", ["v"], ["v"], spec, strategy=strategy, chunk_steps=2, on_grid=stated, ties="keep")
+        got = sorted((r.segment, r.ts.hour, r.ts.second, tuple(r.x), tuple(r.y)) for r in w.collect())
+        # the steps of a: 1, 2 3 3, 4, none, 5, none 6
+        assert got == [("a", 1, 0, (1.0, 2.0), (3.0,)), ("a", 1, 0, (2.0, 3.0), (3.0,)), ("a", 2, 0, (3.0, 3.0), (4.0,)),
+                       ("b", 0, 0, (7.0, 7.0), (8.0,))] + ([("b", 0, 30, (7.0, 8.0), (9.0,))] if late else [])
+
+
+@pytest.mark.parametrize("name", ["raw_windows_range", "raw_windows_halo", "raw_windows_dense", "raw_windows_dense_halo"])
+def test_events_of_one_type_and_time_are_steps_as_in_the_sql(spark, tmp_path, name):
+    import __spark_entry__ as E
+    import duckdb
+    at = dt.datetime(2024, 1, 1, 0, 0, 3, 7)
+    rows = [(k, at + dt.timedelta(minutes=37 * i), kind, float(i * 10 + len(kind))) for k in range(3) for kind in ("view", "click") for i in range(30) if i % 7]
+    spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, event_type string, value double").coalesce(2).write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in E.queries()[name](spark, str(tmp_path)).select("segment", "ts", "part", "pos", "value").collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    assert got and got == sorted(con.sql(f"SELECT segment, ts, part, pos, value FROM ({E.oracle_sql()[name]})").fetchall())
