@@ -45,6 +45,8 @@ MASK = (1 << 64) - 1
 INVERSE = pow(BASE, -1, 1 << 64)
 GRAM_DROP = 20  # 44 bits tell grams apart; equal ranges need 32 more bits to agree
 U = np.uint64
+PIECE = 1 << 16  # positions worked on at a time, so that only few arrays are as long as a block
+LOW_BITS = 11
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -58,6 +60,18 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def pieces(n: int) -> Iterator[slice]:
+    return (slice(at, min(at + PIECE, n)) for at in range(0, n, PIECE))
+
+
+def spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``count`` numbers from each ``first`` on."""
+    before = np.cumsum(count) - count
+    out = np.repeat((first - before).astype(np.int32), count)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
 class Block:
     """The texts of a block in order, their hashes, and the windows' anchors."""
 
@@ -73,15 +87,26 @@ class Block:
         self.ends = np.cumsum([len(r) for r in self.raw], dtype=np.int64)
         # the prefix hash before position i is the sum of (byte + 1) * BASE^j over j < i; a substring's hash is shifted to j = 0
         self.prefix = np.zeros(n + 1, U)
-        self.prefix[1:] = self.data
-        self.prefix[1:] += U(1)
-        self.prefix[1:] *= powers(BASE, n)[:n]
-        np.cumsum(self.prefix[1:], out=self.prefix[1:])
-        self.shift = powers(INVERSE, n + 1)
+        base, power = powers(BASE, min(n, PIECE)), 1
+        for s in pieces(n):
+            part = self.data[s].astype(U)
+            part += U(1)
+            part *= base[:len(part)]
+            part *= U(power)
+            part[:1] += self.prefix[s.start:s.start + 1]
+            np.cumsum(part, out=self.prefix[s.start + 1:s.stop + 1])
+            power = power * pow(BASE, PIECE, 1 << 64) & MASK
+        # INVERSE^i is low[i's lower bits] * high[its upper bits]
+        self.low = powers(INVERSE, 1 << LOW_BITS)
+        self.high = powers(pow(INVERSE, 1 << LOW_BITS, 1 << 64), (n >> LOW_BITS) + 1)
         self.anchors()
 
     def hashes(self, at: np.ndarray, length) -> np.ndarray:
-        return (self.prefix[at + length] - self.prefix[at]) * self.shift[at]
+        out = self.prefix[at + length]
+        out -= self.prefix[at]
+        out *= self.low[at & ((1 << LOW_BITS) - 1)]
+        out *= self.high[at >> LOW_BITS]
+        return out
 
     def anchors(self) -> None:
         """Windows by anchor: gram hash, anchor, first window and number of windows, in order."""
@@ -90,35 +115,43 @@ class Block:
         self.key, self.anchor, self.first, self.count = none.astype(U), none, none, none
         if n < self.length:
             return
-        grams = self.prefix[self.gram:] - self.prefix[:-self.gram]
-        grams *= self.shift[:n + 1 - self.gram]
+        starts = np.concatenate([[0], self.ends[:-1]])
+        inside = np.zeros(n + 1, np.int8)  # windows that don't leave their document
+        fits = self.ends - starts >= self.length
+        np.add.at(inside, starts[fits], 1)
+        np.add.at(inside, self.ends[fits] - self.length + 1, -1)
+        np.cumsum(inside, out=inside)
+        first, anchor, rank = [none], [none], [none]
+        windows, last, held = 0, -2, -1  # so far: windows, the last one and its anchor
+        for s in pieces(n - self.length + 1):
+            at = np.flatnonzero(inside[s]) + s.start
+            if not len(at):
+                continue
+            picked = self.picked(s.start, s.stop, span)[at - s.start]
+            new = (np.diff(at, prepend=last) != 1) | (np.diff(picked, prepend=held) != 0)
+            first.append(at[new])
+            anchor.append(picked[new])
+            rank.append(np.flatnonzero(new) + windows)
+            windows, last, held = windows + len(at), at[-1], picked[-1]
+        self.first, self.anchor = np.concatenate(first), np.concatenate(anchor)
+        self.count = np.diff(np.concatenate([*rank, [windows]]))
+        # anchors have the smallest of their windows' hashes; mixed once more, they spread over all buckets
+        self.key = mixed(mixed(self.hashes(self.anchor, self.gram)) ^ U(BASE))
+
+    def picked(self, start: int, stop: int, span: int) -> np.ndarray:
+        """The gram that each window from ``start`` to ``stop`` picks: its position."""
+        at = np.arange(start, stop + span - 1)
         low = U((1 << 32) - 1)  # 32 bits of hash, then the position; the same in every block
-        x = mixed(grams)
+        x = mixed(self.hashes(at, self.gram))
         x &= ~low
-        x |= np.arange(len(grams), dtype=U)
+        x |= at.view(U)
         have = 1
         while have * 2 <= span:
             x = np.minimum(x[:-have], x[have:])
             have *= 2
         if span > have:
             x = np.minimum(x[:have - span], x[span - have:])
-        x &= low
-        picked = x.view(np.int64)
-        starts = np.concatenate([[0], self.ends[:-1]])
-        inside = np.zeros(n + 1, np.int64)  # windows that don't leave their document
-        fits = self.ends - starts >= self.length
-        np.add.at(inside, starts[fits], 1)
-        np.add.at(inside, self.ends[fits] - self.length + 1, -1)
-        ok = np.cumsum(inside)[:len(picked)] > 0
-        at = np.flatnonzero(ok)
-        if not len(at):
-            return
-        new = np.concatenate([[True], (picked[at[1:]] != picked[at[:-1]]) | (np.diff(at) != 1)])
-        self.first = at[new]
-        self.anchor = picked[self.first]
-        self.count = np.diff(np.concatenate([np.flatnonzero(new), [len(at)]]))
-        # anchors have the smallest of their windows' hashes; mixed once more, they spread over all buckets
-        self.key = mixed(mixed(grams[self.anchor]) ^ U(BASE))
+        return (x & low).view(np.int64)
 
     def ranges(self) -> np.ndarray:
         """A hash of each range: its bytes and where the anchor is in it."""
@@ -279,6 +312,16 @@ def window_state(which: np.ndarray, facts: np.ndarray, blocks: np.ndarray) -> np
     return (blocks > least[which]).astype(np.uint8)
 
 
+def among(rising: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether each of ``x`` is one of the rising keys; looked up in order, which is several times faster."""
+    out = np.zeros(len(x), bool)
+    if len(rising):
+        order = np.argsort(x)
+        x = x[order]
+        out[order] = rising[np.minimum(np.searchsorted(rising, x), len(rising) - 1)] == x
+    return out
+
+
 class Known:
     """What a block works out for itself: later copies, and its distinct grams with their facts."""
 
@@ -300,9 +343,11 @@ class Known:
         sorted_ = np.zeros(len(b.key), bool)
         sorted_[self.rng] = True
         r = np.flatnonzero(ask & ~sorted_)
-        plain = np.repeat(b.first[r], b.count[r]) + np.arange(int(b.count[r].sum())) - np.repeat(np.cumsum(b.count[r]) - b.count[r], b.count[r])
-        at = np.concatenate([plain, self.at[ask[self.rng] & ~self.copy]])
-        return at, mixed(b.hashes(at, b.length))
+        at = np.concatenate([spread(b.first[r], b.count[r]), self.at[ask[self.rng] & ~self.copy]])
+        found = np.empty(len(at), U)
+        for s in pieces(len(at)):
+            found[s] = mixed(b.hashes(at[s], b.length))
+        return at, found
 
     def marked(self, state: np.ndarray, reply: np.ndarray) -> np.ndarray:
         """Whether each byte of the block goes."""
@@ -312,12 +357,14 @@ class Known:
         np.add.at(change, b.first[whole], 1)
         np.add.at(change, b.first[whole] + b.count[whole] + b.length - 1, -1)
         at, h = self.open_windows(state)
-        keys, which = np.unique(h, return_inverse=True)
-        single = np.concatenate([self.at[self.copy], at[reply[which] > 0] if len(keys) else at])
+        known = distinct(h)[reply > 0]   # windows that an earlier block has
+        single = [self.at[self.copy], *[at[s][among(known, h[s])] for s in pieces(len(at))]]
         # a later copy of a window that an earlier block has is a later copy in this block as well, so nothing is missed
-        np.add.at(change, single, 1)
-        np.add.at(change, single + b.length, -1)
-        return np.cumsum(change[:n]) > 0
+        for x in single:
+            np.add.at(change, x, 1)
+            np.add.at(change, x + b.length, -1)
+        np.cumsum(change, out=change)
+        return change[:n] > 0
 
 
 KEY = ("last", "doc_id", "begin", "mark")  # the order of documents

@@ -2,9 +2,11 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -239,3 +241,32 @@ def test_gram_keys_spread_over_all_buckets(rng):
     b = suffix_dedup.Block(pa.table({"doc_id": [1], "text": [text]}), 100, 32)
     sizes = [s.stop - s.start for s in slices(np.unique(b.key), 16)]
     assert max(sizes) < 2 * sum(sizes) / 16
+
+
+def test_blocks_are_hashed_in_pieces(rng, monkeypatch):
+    """The same anchors and hashes wherever pieces end, and few arrays as long as the block."""
+    texts = ["".join(rng.choice("abc ") for _ in range(rng.randrange(90))) for _ in range(60)] + ["", None, "é" * 40]
+    t = pa.table({"doc_id": list(range(len(texts))), "text": texts})
+    plain = suffix_dedup.Block(t, 20, 5)
+    for piece in (1, 7, 64):
+        monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+        b = suffix_dedup.Block(t, 20, 5)
+        for name in ("prefix", "first", "anchor", "count", "key"):
+            assert np.array_equal(getattr(b, name), getattr(plain, name)), name
+    data = bytes(plain.data)
+    for i, n in ((0, 20), (len(data) - 20, 20), (3, len(data) - 3)):
+        assert int(plain.hashes(np.array([i]), n)[0]) == sum((c + 1) * pow(suffix_dedup.BASE, j, 1 << 64) for j, c in enumerate(data[i:i + n])) % (1 << 64)
+    monkeypatch.undo()
+    n = 1 << 20
+    t = pa.table({"doc_id": [1], "text": [bytes(rng.choices(b"abcdefgh ", k=n)).decode()]})
+    tracemalloc.start()
+    b = suffix_dedup.Block(t, 100, 32)
+    assert tracemalloc.get_traced_memory()[1] < 24 * n   # 8 for the prefix hashes, 3 for copies of the text
+    tracemalloc.stop()
+    k = suffix_dedup.Known(b)
+    at, h = k.open_windows(np.full(len(k.grams), suffix_dedup.SEVERAL, np.uint8))
+    assert sorted(at.tolist()) == list(range(n - 99))
+    keys = np.unique(h)
+    del h
+    gone = k.marked(np.full(len(k.grams), suffix_dedup.SEVERAL, np.uint8), (np.arange(len(keys)) % 50 == 0).astype(np.uint8))
+    assert 0 < gone.sum() <= n
