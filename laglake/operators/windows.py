@@ -184,8 +184,8 @@ def _unique(df: DataFrame, ties: str = "raise") -> DataFrame:
 
 
 def _row_order(channels, ties: str) -> list:
-    """The order of steps; rows that tie in all of it are equal, so every run gives the same windows."""
-    return ["tus", *([qc(c) for c in channels] if ties == "keep" else [])]
+    """The order of steps; rows that tie in all of it are equal, so every run gives the same windows. Rows without a timestamp have no order."""
+    return ["tus", *([F.when(F.col("tus").isNotNull(), qc(c)) for c in channels] if ties == "keep" else [])]
 
 
 def _windows_rows(dense: DataFrame, keys, ts, channels, targets, spec: WindowSpec, ties: str = "raise") -> DataFrame:
