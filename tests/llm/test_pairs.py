@@ -206,6 +206,60 @@ def test_topk_of_huge_components_is_exact():
     assert exact_topk.product(a, a).tolist() == [[2 ** 63 - 1, 3 * 2 ** 40 + 2 ** 30], [3 * 2 ** 40 + 2 ** 30, 9 + 2 ** 60]]
 
 
+def test_topk_sieve_loses_no_pair():
+    """Rounded and packed products find what exact ones do, and keep few pairs of vectors that aren't alike."""
+    r = np.random.default_rng(4)
+
+    def unit(n: int, d: int = 16) -> np.ndarray:
+        x = r.normal(size=(n, d))
+        return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+    tight, shares = unit(1) + 0.1 * unit(900), unit(900)
+    shares[::3] = shares[0]
+    tables = {"apart": unit(900), "tight": tight, "copies": shares, "norms": unit(900) * np.exp(3 * r.normal(size=(900, 1))), "zero": np.zeros((900, 4)),
+              "signs": np.sign(unit(900, 5)), "one component": unit(900, 1), "large": unit(900) * 1e5, "negative": -np.abs(unit(900)), "wide": unit(900, 300)}
+    for name, x in tables.items():
+        v = np.floor(256 * x)
+        ids = r.permutation(900) * 10 - 4000
+        asked = ids % 70 == 0
+        scores = v[asked] @ v.T
+        want = [[(int(-s), int(i)) for s, i in sorted((-int(s), i) for s, i in zip(row, ids, strict=True) if i != own)[:3]] for row, own in zip(scores, ids[asked], strict=True)]
+        third = np.array([w[-1][0] for w in want], float)
+        for floor in (None, third, np.where(np.arange(len(third)) % 2 == 0, third - 5, -np.inf)):
+            found = exact_topk.search(ids[asked], v[asked], ids, v, 3, 50, 60, 0, floor)
+            assert [[*zip(s[:c].tolist(), i[:c].tolist(), strict=True)] for s, i, c in zip(found.scores, found.ids, found.count, strict=True)] == want, name
+    v = np.floor(256 * unit(4000, 64))
+    side = exact_topk.LIMIT ** 0.5 - 0.5
+    c = exact_topk.Rounded(v, side, False)
+    row, col = exact_topk.sieved(exact_topk.Rounded(v[:512], side, True), np.full(512, 0.5 * 65536), c, exact_topk.packed(c), 4000, 1.0)
+    real = {*zip(*(x.tolist() for x in np.nonzero(v[:512] @ v.T >= 0.5 * 65536)), strict=True)}
+    assert real <= {*zip(row.tolist(), col.tolist(), strict=True)} and len(row) < 0.01 * 512 * 4000
+
+
+def test_topk_with_spans_searched_before(spark, rng):
+    """Several spans and groups, the k-th best scores of one span known to the others; repeated ids of several lengths."""
+    rows = [(i, [round(rng.uniform(-1, 1), 1) for _ in range(3)]) for i in range(400)]
+    rows += [(i, [round(rng.uniform(-1, 1), 1) for _ in range(rng.choice((2, 3)))]) for i in range(0, 400, 7)] + [(i, [1e6 * rng.random(), -1.0, 0.5]) for i in (1000, 1005)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    want = brute_top(rows, 5)
+    for block, shard, fan, span, sieve in ((8, 8, 3, 64, 0), (16, 20, 2, 30, 10), (1024, 4096, 8, 32, 0)):
+        got = exact_topk.exact_topk(df, F.col("vec_id") % 5 == 0, block_rows=block, shard_rows=shard, fan=fan, span_rows=span, sieve_from=sieve)
+        assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_topk_query_copies_grow_with_the_table(spark, monkeypatch):
+    """A query goes to a bounded number of spans until these are large: no copy for each shard of the table."""
+    sent, plain = [], exact_topk.pieces
+    monkeypatch.setattr(exact_topk, "pieces", lambda *a, **b: sent.append(plain(*a, **b)) or sent[-1])
+    for n in (2000, 4000):
+        df = spark.range(n, numPartitions=2).selectExpr("id vec_id", "array(float(sin(id)), float(cos(id)))  embedding")
+        exact_topk.exact_topk(df, F.col("vec_id") % 5 == 0, block_rows=8, shard_rows=8)
+    few, many = (x.agg(F.sum(F.octet_length("m"))).first()[0] for x in sent)
+    assert many < 2.5 * few
+    spans, groups, _ = exact_topk.dealt(15_000_000, 300_000, 1024, 4096, 1 << 18)
+    assert 15_000_000 * groups + 300_000 * spans < 4 * 15_000_000
+
+
 def test_empty_tables(nothing):
     assert suffix_dedup.suffix_dedup(nothing).collect() == []
     assert ngram_join.ngram_join(nothing).collect() == []
