@@ -351,7 +351,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k
     at = 0
     while at < len(c_ids):
         known = 2 * len(c_ids) if floor is not None else at   # without a floor short steps at first, as much is found in them
-        many = min(max(shard_rows, min(8 * shard_rows, known // 2)), len(c_ids) - at)
+        many = min(max(shard_rows, min(4 * shard_rows, known // 2)), len(c_ids) - at)
         order = at + np.argsort(c_ids[at:at + many], kind="stable")
         shard_ids, shard, four, plain = c_ids[order], c[order], None, None
         for n, b in enumerate(blocks):
@@ -460,9 +460,10 @@ def merged(k: int, last: bool):
 
 
 def dealt(rows: int, asked: int, block_rows: int, shard_rows: int, span_rows: int) -> tuple[int, int, int]:
-    """Spans of candidates, groups and blocks of queries: spans of ``span_rows``, smaller ones if they were fewer than 32."""
+    """Spans of candidates, groups and blocks of queries: spans of ``span_rows``, smaller ones if they were fewer than 32;
+    groups of half as many."""
     spans = max(1, math.ceil(rows / max(0.75 * shard_rows, min(span_rows, rows / 32))))
-    return spans, max(1, math.ceil(asked / span_rows)), max(1, math.ceil(asked / (0.75 * block_rows)))
+    return spans, max(1, math.ceil(2 * asked / span_rows)), max(1, math.ceil(asked / (0.75 * block_rows)))
 
 
 def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, block_rows: int = 1024,
