@@ -6,7 +6,7 @@ id; a task gets one span and one group, cuts them into tiles (a query block meet
 the k best of each query. The lists of ``fan`` spans at a time are merged until one per query is left.
 
 A task's first shard is multiplied exactly. After that a query's k-th best score so far is known (in a large table from
-the start, by a search of one span before the others), and shards are sieved: both sides are rounded to about six bits,
+the start, by a search of two spans before the others), and shards are sieved: both sides are rounded to about six bits,
 four candidates share one float64 (fields of 13 bits), so one product bounds four scores from above. Only pairs whose
 bound reaches the k-th best are multiplied exactly; Cauchy-Schwarz on the rounding errors makes the bound hold for every
 pair. Where the sieve keeps too much (data much alike, many dimensions), a block goes back to exact products. Selection
@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from laglake.session import materialize
+
 from .common import map_batches, table
 
 PIECE = "span long, part long, asked boolean, dim int, wide boolean, ids binary, m binary"
@@ -44,6 +46,8 @@ SIGNS = sum(1 << (FIELD * f + FIELD - 1) for f in range(4))
 UNITS = np.array([1.0, 2.0 ** FIELD, 2.0 ** (2 * FIELD), -2.0 ** (3 * FIELD)])
 #: Added so that the integer is in the low 52 bits of the float64.
 BASE = 1.5 * 2.0 ** 52
+#: Spans that are searched before the others where the table is large.
+FIRST = 2
 #: Rows and columns of one packed product, rows of an exact one; share of kept pairs beyond which exact products are cheaper.
 ROWS, COLUMNS, PLAIN, DENSE = 512, 256, 256, 0.012
 
@@ -89,9 +93,10 @@ def single(ids: list[np.ndarray], vectors: list[np.ndarray]) -> list[np.ndarray]
 
 
 def pieces(vectors: DataFrame, is_query: Column, scale: int, spans: int, groups: int, blocks: int, id_col: str, vec_col: str,
-           first_only: bool = False) -> DataFrame:
+           low: int = 0, high: int = 0) -> DataFrame:
     """Valid vectors as floor(scale * x), packed by span (candidates, once for each group) and by group (queries, once for
-    each span). Rows of ``span`` and ``part``, the group, meet in one task. ``first_only``: without the other spans."""
+    each span). Rows of ``span`` and ``part``, the group, meet in one task. Only spans from ``low`` on; with ``high``, those
+    before it, as one."""
     def quantized(b: pa.RecordBatch) -> tuple[list[np.ndarray], ...]:
         lists = b.column(1)
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)   # nulls become nan
@@ -128,8 +133,9 @@ def pieces(vectors: DataFrame, is_query: Column, scale: int, spans: int, groups:
                         out[c].append(value)
 
         ids, asked, span, v = quantized(b)
-        own = [s == 0 if first_only else np.ones(len(s), bool) for s in span]
-        cut(*([x[o] for x, o in zip(c, own, strict=True)] for c in (ids, span, v)), False)
+        own = [(s >= low) & (s < (high or spans)) for s in span]
+        place = [np.full_like(s, low) if high else s for s in span]
+        cut(*([x[o] for x, o in zip(c, own, strict=True)] for c in (ids, place, v)), False)
         part = [(mixed(i) % np.uint64(blocks) % np.uint64(groups)).astype(np.int64) for i in ids]
         cut(*([x[o] for x, o in zip(c, asked, strict=True)] for c in (ids, part, v)), True)
         return out
@@ -140,11 +146,11 @@ def pieces(vectors: DataFrame, is_query: Column, scale: int, spans: int, groups:
     rows = (vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull())
             .select(F.col(id_col).cast("long").alias("id"), x.alias("v"), F.coalesce(is_query.cast("boolean"), F.lit(False)).alias("asked"),
                     F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(spans)).alias("span")))
-    if first_only:
-        rows = rows.where("asked or span = 0")
-    whole = lambda n: F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")
+    if low or high:
+        rows = rows.where(F.col("asked") | F.col("span").between(low, (high or spans) - 1))
+    whole = lambda a, b: F.sequence(F.lit(a), F.lit(b - 1)).cast("array<long>")
     cuts = map_batches(rows, run, PIECE)
-    return (cuts.withColumn("copy", F.explode(F.when(F.col("asked"), whole(1 if first_only else spans)).otherwise(whole(groups))))
+    return (cuts.withColumn("copy", F.explode(F.when(F.col("asked"), whole(low, low + 1 if high else spans)).otherwise(whole(0, groups))))
             .select(F.coalesce("span", "copy").alias("span"), F.coalesce("part", "copy").alias("part"), "asked", "dim", "wide", "ids", "m"))
 
 
@@ -366,7 +372,7 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k
                 if hits is not None:
                     for low in range(0, len(hits[0]), 1 << 13):
                         row, col = (x[low:low + (1 << 13)] for x in hits)
-                        scores = np.einsum("nd,nd->n", q[b][row].astype(kind), shard[col].astype(kind))
+                        scores = np.einsum("nd,nd->n", q[b].take(row, axis=0).astype(kind), shard.take(col, axis=0).astype(kind))
                         near = scores >= found.least(b)[row]
                         add(b, row[near], col[near], scores[near])
                     continue
@@ -389,8 +395,8 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k
     return found
 
 
-def seeds(lists: DataFrame, k: int, spans: int, groups: int) -> DataFrame:
-    """For each span, pieces with the k-th best scores that a search of one span has found; ``asked`` is null."""
+def seeds(lists: DataFrame, k: int, low: int, spans: int, groups: int) -> DataFrame:
+    """For each span from ``low`` on, pieces with the k-th best scores that a search of those before has found; ``asked`` is null."""
     def run(b: pa.RecordBatch) -> dict:
         out: dict[str, list] = {"part": [], "ids": [], "m": []}
         for block, q, n, scores in zip(*(b.column(c) for c in ("block", "query_ids", "counts", "scores")), strict=True):
@@ -402,7 +408,7 @@ def seeds(lists: DataFrame, k: int, spans: int, groups: int) -> DataFrame:
         return out
 
     return (map_batches(lists, run, "part long, ids binary, m binary")
-            .select(F.explode(F.sequence(F.lit(0), F.lit(spans - 1)).cast("array<long>")).alias("span"), "part", F.lit(None).cast("boolean").alias("asked"),
+            .select(F.explode(F.sequence(F.lit(low), F.lit(spans - 1)).cast("array<long>")).alias("span"), "part", F.lit(None).cast("boolean").alias("asked"),
                     F.lit(None).cast("int").alias("dim"), F.lit(None).cast("boolean").alias("wide"), "ids", "m"))
 
 
@@ -473,13 +479,17 @@ def exact_topk(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 25
     queries doesn't sieve: its candidates would cost more to round than to multiply."""
     rows, asked = vectors.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     spans, groups, blocks = dealt(rows, asked, block_rows, shard_rows, span_rows)
-    tiles = pieces(vectors, is_query, scale, spans, groups, blocks, id_col, vec_col)
-    if rows > 4 * span_rows:
+    tops = tile_lists(k, blocks, block_rows, shard_rows, sieve_from)
+    first = FIRST if rows > 4 * span_rows else 0
+    tiles = pieces(vectors, is_query, scale, spans, groups, blocks, id_col, vec_col, first)
+    if first:
         few = max(1, math.ceil(asked / (span_rows / 16)))
-        first = pieces(vectors, is_query, scale, spans, few, blocks, id_col, vec_col, first_only=True)
-        lists = first.groupBy("span", "part").applyInArrow(tile_lists(k, blocks, block_rows, shard_rows, sieve_from), LISTS)
-        tiles = tiles.unionByName(seeds(lists, k, spans, groups))
-    lists = tiles.groupBy("span", "part").applyInArrow(tile_lists(k, blocks, block_rows, shard_rows, sieve_from), LISTS)
+        start = pieces(vectors, is_query, scale, spans, few, blocks, id_col, vec_col, 0, first)
+        known = materialize(start.groupBy("span", "part").applyInArrow(tops, LISTS), "topk-first")
+        tiles = tiles.unionByName(seeds(known, k, first, spans, groups))
+    lists = tiles.groupBy("span", "part").applyInArrow(tops, LISTS)
+    if first:
+        lists = lists.unionByName(known)
     while True:
         last = spans <= fan
         lists = lists.withColumn("part", F.floor(F.col("part") / fan)).groupBy("block", "part").applyInArrow(merged(k, last), HITS if last else LISTS)
